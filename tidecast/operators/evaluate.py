@@ -6,22 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions.scalars import is_finite, scale_col
-from tidecast.operators.features import IN_SPLIT, SERIES, TEST, only_train
-from tidecast.operators.forecasts import MODEL_KEYS
+from tidecast.operators.features import TEST, in_split, only_train, series
+from tidecast.operators.forecasts import MODEL_KEYS, tagged
 
 METRICS = ["rmse", "mae", "mase", "smape", "rmse_norm", "mae_norm"]
 
 
-def with_seasonal_change(prepared: DataFrame, period: int = 7) -> DataFrame:
-    """Add `seasonal_change`: |x_t - x_(t-period)| by row offset on the filled series."""
-    change = F.abs(F.col("sales") - F.lag("sales", period).over(IN_SPLIT))
-    return prepared.withColumn("seasonal_change", change)
+def with_seasonal_lag(prepared: DataFrame, period: int = 7) -> DataFrame:
+    """Add `seasonal_lag`, the filled sales `period` rows back, and how far sales moved since."""
+    lagged = prepared.withColumn("seasonal_lag", F.lag("sales", period).over(in_split()))
+    return lagged.withColumn("seasonal_change", F.abs(F.col("sales") - F.col("seasonal_lag")))
 
 
 def mase_scale(prepared: DataFrame, period: int = 7) -> DataFrame:
     """Mean seasonal change of the training split; NULL if it is too short or never changes."""
     mean_change = F.avg(only_train(F.col("seasonal_change")))
-    return with_seasonal_change(prepared, period).groupBy("category").agg(
+    return with_seasonal_lag(prepared, period).groupBy("category").agg(
         F.nullif(mean_change, F.lit(0.0)).alias("mase_scale")
     )
 
@@ -29,23 +29,36 @@ def mase_scale(prepared: DataFrame, period: int = 7) -> DataFrame:
 def truth_table(prepared: DataFrame, max_lag: int, period: int = 7, min_history: int = 7) -> DataFrame:
     """Observed test targets on the common evaluation dates, with both scales and the MASE scale.
 
-    All windows reuse the shuffle and the sort of `prepare_features`.
+    All windows reuse the shuffle and the sort of `prepare_features`. The seasonal lag of each row
+    comes along, so the seasonal-naive forecast needs no join with its truth.
     """
-    mean_change = F.avg(only_train(F.col("seasonal_change"))).over(SERIES)
-    rows = with_seasonal_change(prepared, period).withColumn(
+    mean_change = F.avg(only_train(F.col("seasonal_change"))).over(series())
+    rows = with_seasonal_lag(prepared, period).withColumn(
         "mase_scale", F.nullif(mean_change, F.lit(0.0))
     )
     first = max(max_lag, min_history)
     scored = rows.filter((F.col("split") == TEST) & (F.col("pos") > first) & F.col("target_observed"))
+    low, high = F.col("sales_min"), F.col("sales_max")
     return scored.select(
         "category", "date", F.col("sales").alias("target"),
-        scale_col(F.col("sales"), F.col("sales_min"), F.col("sales_max")).alias("target_norm"),
-        "mase_scale",
+        scale_col(F.col("sales"), low, high).alias("target_norm"),
+        "mase_scale", "seasonal_lag",
+        scale_col(F.col("seasonal_lag"), low, high).alias("seasonal_lag_norm"),
     )
 
 
+def naive_aligned(truth: DataFrame) -> DataFrame:
+    """Seasonal-naive rows beside their truth, taken from the truth table itself."""
+    forecast = truth.filter(F.col("seasonal_lag").isNotNull()).withColumns(
+        {"predicted": F.col("seasonal_lag"), "predicted_norm": F.col("seasonal_lag_norm")}
+    )
+    truth_columns = ["target", "target_norm", "mase_scale"]
+    return tagged(forecast, "seasonal_naive", keep=truth_columns)
+
+
 def align(forecasts: DataFrame, truth: DataFrame, eval_dates: DataFrame | None = None) -> DataFrame:
     """Inner join with the truth on (category, date), kept to the common dates if these are given."""
+    truth = truth.drop("seasonal_lag", "seasonal_lag_norm")
     aligned = truth.join(forecasts, ["category", "date"], "inner")
     return aligned if eval_dates is None else aligned.join(eval_dates, ["category", "date"], "left_semi")
 

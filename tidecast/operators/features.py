@@ -14,9 +14,18 @@ from pyspark.sql import functions as F
 from tidecast.functions.scalars import clip, scale_col
 
 TRAIN, TEST = "train", "test"
-SERIES = Window.partitionBy("category")
-IN_SPLIT = Window.partitionBy("category", "split").orderBy("date")
-UP_TO_NOW = IN_SPLIT.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def series():
+    return Window.partitionBy("category")
+
+
+def in_split():
+    return Window.partitionBy("category", "split").orderBy("date")
+
+
+def up_to_now():
+    return in_split().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def only_train(column):
@@ -54,18 +63,18 @@ def observe_and_fill(holdout: DataFrame, columns: list[str]) -> DataFrame:
     """
     located = holdout.repartition("category").select(
         "category", "split", "date",
-        F.row_number().over(IN_SPLIT).alias("pos"),
-        (F.lag("date").over(IN_SPLIT) == F.col("date")).alias("repeated_day"),
+        F.row_number().over(in_split()).alias("pos"),
+        (F.lag("date").over(in_split()) == F.col("date")).alias("repeated_day"),
         F.col("sales").isNotNull().alias("target_observed"),
         *columns,
-        *[F.last(c, ignorenulls=True).over(UP_TO_NOW).alias(f"{c}_forward") for c in columns],
+        *[F.last(c, ignorenulls=True).over(up_to_now()).alias(f"{c}_forward") for c in columns],
     )
     with_medians = located.select(
         "*",
-        *[F.median(only_train(F.col(c))).over(SERIES).alias(f"{c}_median") for c in columns],
-        F.count_if(F.col("split") == TRAIN).over(SERIES).alias("train_days"),
-        F.count_if(F.col("split") == TEST).over(SERIES).alias("test_days"),
-        F.coalesce(F.bool_or("repeated_day").over(SERIES), F.lit(False)).alias("has_repeats"),
+        *[F.median(only_train(F.col(c))).over(series()).alias(f"{c}_median") for c in columns],
+        F.count_if(F.col("split") == TRAIN).over(series()).alias("train_days"),
+        F.count_if(F.col("split") == TEST).over(series()).alias("test_days"),
+        F.coalesce(F.bool_or("repeated_day").over(series()), F.lit(False)).alias("has_repeats"),
     )
     return with_medians.select(
         "category", "split", "date", "pos", "target_observed",
@@ -110,7 +119,7 @@ def prepare_features(
     if on_error == "raise":
         usable = F.when(usable, True).otherwise(F.raise_error(problem).cast("boolean"))
     scales = [
-        agg(only_train(F.col(c))).over(SERIES).alias(f"{c}_{end}")
+        agg(only_train(F.col(c))).over(series()).alias(f"{c}_{end}")
         for c in columns for end, agg in (("min", F.min), ("max", F.max))
     ]
     return filled.filter(usable).drop("train_days", "test_days", "has_repeats").select("*", *scales)
@@ -163,7 +172,7 @@ def make_supervised(prepared: DataFrame, lags: list[int], covariates: list[str])
         "category", "split", "date", "pos", "target_observed",
         F.col("sales").alias("target"),
         scaled(F.col("sales"), "sales").alias("target_norm"),
-        *[clip(scaled(F.lag("sales", k).over(IN_SPLIT), "sales")).alias(f"sales_lag_{k}") for k in lags],
+        *[clip(scaled(F.lag("sales", k).over(in_split()), "sales")).alias(f"sales_lag_{k}") for k in lags],
         *[clip(scaled(F.col(c), c)).alias(c) for c in covariates],
         "sales_min", "sales_max",
     )

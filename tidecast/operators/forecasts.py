@@ -19,16 +19,16 @@ def tagged(
     variant: str | Column = "sales_only",
     backend: str = BACKEND,
     seed: Column | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Give a forecast its model keys; models without a random start have a NULL seed."""
     variant = variant if isinstance(variant, Column) else F.lit(variant)
     seed = F.lit(None) if seed is None else seed
-    keyed = forecast.select(
+    return forecast.select(
         "category", F.lit(model).alias("model"), variant.alias("variant"),
         F.lit(backend).alias("backend"), seed.cast("long").alias("seed"),
-        "date", "predicted", "predicted_norm",
+        "date", "predicted", "predicted_norm", *(keep or []),
     )
-    return keyed
 
 
 def to_both_scales(forecast: DataFrame) -> DataFrame:

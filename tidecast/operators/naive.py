@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators.features import IN_SPLIT, TEST
+from tidecast.operators.features import TEST, in_split
 from tidecast.operators.forecasts import tagged, to_both_scales
 
 
@@ -14,7 +14,7 @@ def seasonal_naive(prepared: DataFrame, period: int = 7) -> DataFrame:
     test = prepared.filter(F.col("split") == TEST)
     lagged = test.select(
         "category", "date", "pos", "target_observed", "sales_min", "sales_max",
-        F.lag("sales", period).over(IN_SPLIT).alias("predicted"),
+        F.lag("sales", period).over(in_split()).alias("predicted"),
     )
     scored = lagged.filter(F.col("target_observed") & (F.col("pos") > period))
     return tagged(to_both_scales(scored), "seasonal_naive")

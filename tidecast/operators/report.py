@@ -42,4 +42,4 @@ def forecast_pivot(
 
 def preview(df: DataFrame, n: int = 100) -> DataFrame:
     """First rows by category and date: a distributed top-k."""
-    return df.orderBy("category", "date").limit(n)
+    return df.orderBy(F.col("category").asc_nulls_last(), F.col("date").asc_nulls_last()).limit(n)
