@@ -64,10 +64,10 @@ def explain(models: DataFrame, activations: DataFrame, keys: list[str]) -> DataF
 def activation_matrix(activations: DataFrame, keys: list[str]) -> DataFrame:
     """Heat-map cells (keys, sample_index, rule_id, activation), samples numbered by date.
 
-    Samples are numbered inside a model's test year, at most 366 of them; `dense_rank` numbers
-    the dates without a second table.
+    Every sample has a row for every rule, so numbering inside (keys, rule) gives one index per
+    date and keeps a group to the days of one model's test year.
     """
-    by_date = Window.partitionBy(*keys).orderBy("date")
+    by_date = Window.partitionBy(*keys, "rule_id").orderBy("date")
     return activations.select(
-        *keys, (F.dense_rank().over(by_date) - 1).alias("sample_index"), "rule_id", "activation"
+        *keys, (F.row_number().over(by_date) - 1).alias("sample_index"), "rule_id", "activation"
     )
