@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from catalog import fuzzy_inputs as fx
 from catalog.inputs import COVARIATES, LAGS, PERIOD, PRICE_UNIT, TEST_YEAR, TRAIN_YEAR, WIDE_BRANDS, WIDE_YEARS
 from catalog.rounding import r, rs
 
@@ -297,3 +298,175 @@ oracle("preview_demand", ["demand"], f"""
 select date, category, {rs(["sales", *WEATHER])} from demand order by category nulls last, date nulls last limit 100""")
 oracle("safe_series_names", ["demand"], """
 select replace(category, '#', '_') || '___daily' as name, count(*) as days from demand group by 1""")
+
+# ---- fuzzy scoring with the fixed model
+
+def values(rows: list[tuple]) -> str:
+    def lit(v):
+        return f"cast({v!r} as double)" if isinstance(v, float) else repr(v)
+
+    return ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in rows)
+
+
+CTES["inputs"] = ([], f"""
+select l_orderkey as sample_id, {clipped("avg(l_discount) * 10")} as x1, {clipped("avg(l_quantity) / 50")} as x2
+from lineitem group by l_orderkey""")
+CTES["mfs"] = ([], f"""
+select * from (values {values(fx.MEMBERSHIPS)}) t(feature, mf, center, sigma, lower_scale, lower_lag)""")
+CTES["rules"] = ([], f"""
+select * from (values {values([(i, a[0], a[1], c, w) for i, a, c, w in fx.RULES])}) t(rule_id, mf0, mf1, consequent, weight)""")
+CTES["bounds"] = (["inputs", "mfs"], """
+select sample_id, feature, mf, upper, least(upper, lower_scale * exp(-0.5 * pow((x - (center + lower_lag)) / sigma, 2))) as lower
+from (select sample_id, feature, mf, center, sigma, lower_scale, lower_lag, x, exp(-0.5 * pow((x - center) / sigma, 2)) as upper
+      from (select sample_id, feature, mf, center, sigma, lower_scale, lower_lag,
+                   case feature when 0 then x1 else x2 end as x from inputs cross join mfs) a) b""")
+CTES["firing"] = (["bounds", "rules"], """
+select a.sample_id, r.rule_id, r.consequent, a.lower * b.lower * r.weight as lower, a.upper * b.upper * r.weight as upper
+from rules r join bounds a on a.feature = 0 and a.mf = r.mf0
+join bounds b on b.feature = 1 and b.mf = r.mf1 and b.sample_id = a.sample_id""")
+
+
+def reduced(firing: str, keys: str) -> str:
+    """Switch-point form of the type-reduced ends over a firing table."""
+    return f"""
+select {keys}, min(case when wl > 1e-12 then nl / wl end) as y_left, max(case when wr > 1e-12 then nr / wr end) as y_right,
+       max(total) as upper_sum
+from (
+  select {keys}, u.k,
+         sum(case when not asc_raised then lower else upper end) as wl,
+         sum(case when not asc_raised then lower else upper end * consequent) as nl,
+         sum(case when not desc_raised then lower else upper end) as wr,
+         sum(case when not desc_raised then lower else upper end * consequent) as nr, sum(upper) as total
+  from (select f.*, up <= k as asc_raised, down <= k as desc_raised, k
+        from (select *, row_number() over (partition by {keys} order by consequent, rule_id) as up,
+                     row_number() over (partition by {keys} order by consequent desc, rule_id desc) as down,
+                     count(*) over (partition by {keys}) as rules
+              from {firing}) f, unnest(range(0, rules + 1)) t(k)) u
+  group by {keys}, u.k) z
+group by {keys}"""
+
+
+CTES["interval"] = (["firing"], reduced("firing", "sample_id"))
+
+
+def crisp(fallback: str) -> str:
+    return f"case when upper_sum <= 1e-12 then {fallback} else {clipped('(y_left + y_right) / 2')} end"
+
+
+oracle("membership_bounds", ["bounds"], f"select sample_id, feature, mf, {rs(['lower', 'upper'])} from bounds")
+oracle("firing_bounds", ["firing"],
+       f"select sample_id, rule_id, {rs(['consequent', 'lower', 'upper'])} from firing")
+oracle("type_reduce", ["interval"], f"select sample_id, {rs(['y_left', 'y_right'])} from interval")
+oracle("it2_predict", ["interval"], f"""
+select sample_id, {r(crisp(str(fx.FALLBACK)), "prediction_norm")}, upper_sum <= 1e-12 as no_rule_fired from interval""")
+oracle("predict_saved", ["interval"], f"""
+select cast(o_orderdate as date) as date, {r(crisp(str(fx.FALLBACK)), "prediction_norm")},
+       upper_sum <= 1e-12 as no_rule_fired from interval join orders on sample_id = o_orderkey""")
+oracle("rule_activations", ["firing"],
+       f"select sample_id, rule_id, {r('sqrt(lower * upper)', 'activation')} from firing")
+oracle("activations_wide", ["firing"], "select sample_id, " + ", ".join(
+    r(f"max(sqrt(lower * upper)) filter (where rule_id = {i})", f"rule_{i}") for i in (1, 2, 3)
+) + " from firing group by sample_id")
+STATS = f"""count(*) filter (where sqrt(lower * upper) > 0.01) as support,
+  {r("avg(sqrt(lower * upper))", "mean_activation")}, {r("max(sqrt(lower * upper))", "max_activation")}"""
+oracle("rule_stats", ["firing"], f"select rule_id, {STATS} from firing group by rule_id")
+
+# ---- rule learning: all candidate rules on the training rows of each series
+
+VARIANTS = fx.variants()
+
+
+def long_inputs(split: str) -> str:
+    return " union all ".join(
+        f"select category, date, target_norm, '{v}' as variant, {i} as feature, {c} as x from supervised where split = '{split}'"
+        for v, names in VARIANTS.items() for i, c in enumerate(names)
+    )
+
+
+CTES["candidates"] = ([], " union all ".join(
+    f"""select '{v}' as variant, g + 1 as rule_id, f as feature, (g // cast(pow(2, {len(n) - 1} - f) as bigint)) % 2 as mf
+        from range(0, {2 ** len(n)}) a(g), range(0, {len(n)}) b(f)""" for v, n in VARIANTS.items()))
+CTES["candidate_firing"] = (["supervised", "candidates"], f"""
+select category, date, variant, rule_id, any_value(target_norm) as target_norm, product(0.8 * degree) as lower, product(degree) as upper
+from (select i.category, i.date, i.target_norm, c.variant, c.rule_id, exp(-0.5 * pow((i.x - (c.mf + 0.5) / 2) / 0.275, 2)) as degree
+      from ({long_inputs("train")}) i join candidates c on c.variant = i.variant and c.feature = i.feature) d
+group by category, date, variant, rule_id""")
+CTES["fallback"] = (["supervised"], f"""
+select category, {clipped("median(target_norm)")} as fallback from supervised where split = 'train' group by category""")
+CTES["consequents"] = (["candidate_firing", "fallback"], """
+select category, variant, rule_id, activation, coalesce(case when activation > 1e-12 then weighted / activation end, fallback) as consequent
+from (select category, variant, rule_id, sum(sqrt(lower * upper)) as activation, sum(sqrt(lower * upper) * target_norm) as weighted
+      from candidate_firing group by category, variant, rule_id) s join fallback using (category)""")
+CTES["series_rules"] = (["consequents"], f"""
+select category, variant, rule_id as candidate, {clipped("consequent")} as consequent,
+       row_number() over (partition by category, variant order by consequent, rule_id) as rule_id
+from consequents""")
+CTES["rule_texts"] = (["series_rules", "candidates"], f"""
+select s.category, s.variant, s.rule_id, string_agg(n.name || ' is ' || case c.mf when 0 then 'low' else 'high' end, ' AND ' order by c.feature) as antecedent
+from series_rules s join candidates c on c.variant = s.variant and c.rule_id = s.candidate
+join (values {values([(v, i, c) for v, names in VARIANTS.items() for i, c in enumerate(names)])}) n(variant, feature, name)
+  on n.variant = c.variant and n.feature = c.feature
+group by s.category, s.variant, s.rule_id""")
+HALF_OPEN = """case least(floor(greatest(0, least(1, consequent)) * 5), 4)
+  when 0 then 'critical_low' when 1 then 'low' when 2 then 'medium' when 3 then 'high' else 'peak' end"""
+
+oracle("weighted_consequents", ["consequents"],
+       f"select category, variant, rule_id, {rs(['activation', 'consequent'])} from consequents")
+oracle("candidate_rules", ["rule_texts"], "select category, variant, rule_id, antecedent from rule_texts")
+oracle("strongest_rules", ["consequents"], f"""
+select category, rule_id, {rs(["activation", "consequent"])} from (
+  select *, row_number() over (partition by category order by activation desc, rule_id) as nth
+  from consequents where variant = 'target_weather') x where nth <= 12""")
+oracle("initial_memberships", ["fallback"], " union all ".join(
+    f"""select category, '{v}' as variant, f as feature, m as mf, {r("(m + 0.5) / 2", "center")}, {r("0.55 / 2", "sigma")},
+        {r("0.8", "lower_scale")}, {r("0", "lower_lag")} from fallback, range(0, {len(n)}) a(f), range(0, 2) b(m)"""
+    for v, n in VARIANTS.items()))
+oracle("signed_rule_text", ["series_rules"], """
+select category, variant, rule_id, case rule_id % 4 when 1 then 'NOT rainfall is Low' when 2 then 'sales is High'
+  when 3 then 'NOT sales is High AND rainfall is Low' else 'sales is Low AND rainfall is High' end as antecedent
+from series_rules""")
+oracle("consequent_labels", ["series_rules"],
+       f"select category, variant, rule_id, {HALF_OPEN} as consequent from series_rules")
+oracle("closed_consequent_labels", ["series_rules"], """
+select category, variant, rule_id, case when nth > 1 then label || '_' || nth else label end as consequent
+from (select *, row_number() over (partition by category, variant, label order by rule_id) as nth
+      from (select *, case when consequent <= 0.2 then 'Critical_Low' when consequent <= 0.4 then 'Low'
+                           when consequent <= 0.6 then 'Medium' when consequent <= 0.8 then 'High' else 'Peak' end as label
+            from series_rules) a) b""")
+
+CTES["series_firing"] = (["supervised", "candidates", "series_rules"], f"""
+select d.category, d.date, s.rule_id, s.consequent, product(0.8 * degree) as lower, product(degree) as upper
+from (select i.category, i.date, i.feature, c.rule_id as candidate, exp(-0.5 * pow((i.x - (c.mf + 0.5) / 2) / 0.275, 2)) as degree
+      from ({long_inputs("test")}) i join candidates c on c.variant = i.variant and c.feature = i.feature
+      where i.variant = 'sales_only') d
+join series_rules s on s.category = d.category and s.candidate = d.candidate and s.variant = 'sales_only'
+group by d.category, d.date, s.rule_id, s.consequent""")
+CTES["series_interval"] = (["series_firing"], reduced("series_firing", "category, date"))
+oracle("series_predictions", ["series_interval", "fallback"], f"""
+select category, date, {r(crisp("fallback"), "prediction_norm")}, upper_sum <= 1e-12 as no_rule_fired
+from series_interval join fallback using (category)""")
+oracle("explain_rules", ["series_firing", "rule_texts"], f"""
+select category, rule_id, antecedent, {HALF_OPEN} as consequent, {r("consequent", "consequent_value_norm")},
+       {r("1", "weight")}, support, mean_activation, max_activation
+from (select category, rule_id, consequent, {STATS} from series_firing group by category, rule_id, consequent) s
+join (select category, rule_id, antecedent from rule_texts where variant = 'sales_only') t using (category, rule_id)""")
+oracle("activation_matrix", ["series_firing"], f"""
+select category, row_number() over (partition by category, rule_id order by date) - 1 as sample_index, rule_id,
+       {r("sqrt(lower * upper)", "activation")} from series_firing""")
+
+GENE_ROWS = [
+    (k, i + 1, max(0.05, min(1.0, float(g[8 + i]))), max(0.0, min(1.0, float(g[16 + i]))))
+    for k, g in enumerate(fx.GENOMES)
+    for i in range(8)
+    if g[i] >= 0.5 or (max(g[:8]) < 0.5 and i == g.index(max(g[:8])))
+]
+CTES["genes"] = ([], f"select * from (values {values(GENE_ROWS)}) t(genome, rule_id, weight, consequent)")
+CTES["genome_firing"] = (["candidate_firing", "genes"], """
+select f.category, f.date, g.genome, f.rule_id, g.consequent, f.target_norm, f.lower * g.weight as lower, f.upper * g.weight as upper
+from candidate_firing f join genes g on f.rule_id = g.rule_id where f.variant = 'sales_only'""")
+CTES["genome_interval"] = (["genome_firing"], reduced("genome_firing", "category, date, genome, target_norm"))
+oracle("score_population", ["genome_interval", "fallback", "genes"], f"""
+select category, genome, {rs(["mae", "active_share"])}, {r("mae + 0.002 * active_share", "fitness")}
+from (select category, genome, avg(abs({crisp("fallback")} - target_norm)) as mae
+      from genome_interval join fallback using (category) group by category, genome) m
+join (select genome, count(*) / cast(8 as double) as active_share from genes group by genome) a using (genome)""")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalog import fuzzy_inputs as fx
 from catalog.inputs import (
     COVARIATES,
     LAGS,
@@ -17,10 +18,23 @@ from catalog.inputs import (
     holdout_demand,
     prepared_demand,
     raw_demand,
+    table,
     wide_demand,
 )
 from catalog.rounding import rounded
-from tidecast.operators import contract, evaluate, features, naive, report, reshape, summaries
+from tidecast.operators import (
+    contract,
+    evaluate,
+    explain,
+    features,
+    fuzzy_infer,
+    fuzzy_train,
+    naive,
+    report,
+    reshape,
+    summaries,
+)
+from tidecast.plans.config import FuzzyConfig
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -248,3 +262,139 @@ def safe_series_names(spark, sf_dir):
     return demand.groupBy(safe_name(F.concat(F.lit("#"), "category", F.lit(" / daily."))).alias("name")).agg(
         F.count(F.lit(1)).alias("days")
     )
+
+
+# ---- fuzzy scoring with a fixed model, over every order
+
+@query
+def membership_bounds(spark, sf_dir):
+    return fuzzy_infer.membership_table(fx.scored_orders(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"])
+
+
+@query
+def firing_bounds(spark, sf_dir):
+    return fuzzy_infer.firing_table(fx.scored_orders(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"])
+
+
+@query
+def type_reduce(spark, sf_dir):
+    return fuzzy_infer.type_reduce(fx.scored_orders(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"])
+
+
+@query
+def it2_predict(spark, sf_dir):
+    return fuzzy_infer.it2_predict(fx.scored_orders(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"])
+
+
+@query
+def predict_saved(spark, sf_dir):
+    """A saved model on a table with dates; the features must be the model's."""
+    days = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("sample_id"), F.col("o_orderdate").cast("date").alias("date"))
+    rows = fx.order_inputs(spark, sf_dir).join(days, "sample_id")
+    return fuzzy_infer.predict_saved(fx.fixed_model(spark), rows, fx.ORDER_FEATURES)
+
+
+def order_activations(spark, sf_dir):
+    return fuzzy_infer.rule_activations(fx.scored_orders(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"])
+
+
+@query
+def rule_activations(spark, sf_dir):
+    return order_activations(spark, sf_dir)
+
+
+@query
+def activations_wide(spark, sf_dir):
+    return fuzzy_infer.activations_wide(order_activations(spark, sf_dir), ["sample_id"], len(fx.RULES))
+
+
+@query
+def rule_stats(spark, sf_dir):
+    return explain.rule_stats(order_activations(spark, sf_dir), [])
+
+
+# ---- rule learning and explanation, one model per series and variant
+
+@query
+def weighted_consequents(spark, sf_dir):
+    rows = fx.training_rows(spark, sf_dir)
+    parts = [fuzzy_train.weighted_consequents(rows, v, names, fx.MFS) for v, names in fx.variants().items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def candidate_rules(spark, sf_dir):
+    """The candidate rule base of each series with its text, before any learning."""
+    models = fx.series_models(spark, sf_dir)
+    return explain.rule_text(models, ["category", "variant"])
+
+
+@query
+def strongest_rules(spark, sf_dir):
+    rows, names = fx.training_rows(spark, sf_dir), fx.variants()["target_weather"]
+    ranked = fuzzy_train.strongest_rules(
+        fuzzy_train.weighted_consequents(rows, "target_weather", names, fx.MFS), len(names))
+    return ranked.filter("strong").select("category", "rule_id", "activation", "consequent")
+
+
+@query
+def initial_memberships(spark, sf_dir):
+    return fx.series_models(spark, sf_dir).select("category", "variant", F.inline("memberships"))
+
+
+@query
+def signed_rule_text(spark, sf_dir):
+    """Signed antecedents on the first three candidate rules of each series."""
+    signed = F.create_map(*[
+        part for i, a in fx.SIGNED.items() for part in (F.lit(i), F.array(*[F.lit(v) for v in a]))
+    ])
+    rules = explain.rule_rows(fx.series_models(spark, sf_dir), ["category", "variant"]).select(
+        "category", "variant", "rule_id", F.array(F.lit("sales"), F.lit("rainfall")).alias("feature_columns"),
+        F.coalesce(F.try_element_at(signed, F.pmod("rule_id", F.lit(4))),
+                   F.array(F.lit(1), F.lit(2))).alias("antecedent"),
+    )
+    return explain.signed_rule_text(rules, ["category", "variant"], 2)
+
+
+@query
+def consequent_labels(spark, sf_dir):
+    return explain.consequent_labels(fx.series_models(spark, sf_dir), ["category", "variant"])
+
+
+@query
+def closed_consequent_labels(spark, sf_dir):
+    return explain.closed_consequent_labels(fx.series_models(spark, sf_dir), ["category", "variant"])
+
+
+def series_scored(spark, sf_dir):
+    """Sales-only test rows beside the untrained model of their series."""
+    models = fx.series_models(spark, sf_dir).filter(F.col("variant") == "sales_only")
+    test = fx.supervised(spark, sf_dir).filter(F.col("split") == "test")
+    return models, fuzzy_infer.with_model(test, models, ["category"])
+
+
+@query
+def series_predictions(spark, sf_dir):
+    _, rows = series_scored(spark, sf_dir)
+    return fuzzy_infer.it2_predict(rows, fx.SALES_FEATURES, ["category", "date"])
+
+
+@query
+def explain_rules(spark, sf_dir):
+    models, rows = series_scored(spark, sf_dir)
+    activations = fuzzy_infer.rule_activations(rows, fx.SALES_FEATURES, ["category", "date"])
+    return explain.explain(models, activations, ["category"])
+
+
+@query
+def activation_matrix(spark, sf_dir):
+    _, rows = series_scored(spark, sf_dir)
+    activations = fuzzy_infer.rule_activations(rows, fx.SALES_FEATURES, ["category", "date"])
+    return explain.activation_matrix(activations, ["category"])
+
+
+@query
+def score_population(spark, sf_dir):
+    return fuzzy_train.score_population(
+        fx.training_rows(spark, sf_dir), fx.SALES_FEATURES, fx.GENOMES, FuzzyConfig())

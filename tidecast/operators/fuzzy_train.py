@@ -207,68 +207,76 @@ def genome_rules(genome: Column, total: Column) -> Column:
 
 
 def generation_step(chunks: DataFrame, cfg: FuzzyConfig):
-    """One generation: score the population, keep the best genome, breed the next population."""
+    """One generation: score the population, keep the best genome, breed the next population.
+
+    The generation number is read from the state, so every round has the same plan and reuses the
+    code generated for the first one.
+    """
     size = cfg.population_size
     elite = max(1, size // 10)
     stall_limit = max(5, min(cfg.ga_stall_generations, cfg.max_generations))
-    nothing = (F.array().cast("array<int>"), F.array().cast("array<double>"))
+    total, seed, generation = F.col("total"), F.col("seed"), F.col("generations")
 
-    def step(state: DataFrame, generation: int) -> DataFrame:
-        total, seed = F.col("total"), F.col("seed")
-        whole = F.flatten(F.transform(
-            "population", lambda g: F.concat(F.col("shape"), genome_rules(g, total))
-        ))
-        jobs = state.select(*JOB_KEYS, "used", "fallback", whole.alias("base"),
-                            nothing[0].alias("coords"), nothing[1].alias("values"))
-        share = F.transform("population", lambda g: F.greatest(
-            F.size(F.filter(F.slice(g, 1, total), lambda s: s >= 0.5)), F.lit(1)) / total)
-        scored = state.join(score_jobs(chunks, jobs, cfg.num_input_mfs), JOB_KEYS)
-        fitness = F.zip_with("errors", share, lambda e, s: e + s * cfg.complexity_penalty)
-        ranked = F.array_sort(F.transform(fitness, lambda f, i: F.struct(f.alias("score"), i.alias("index"))))
-        scored = scored.withColumn("ranked", ranked)
-
-        leader = F.get("ranked", F.lit(0))
-        better = F.col("best").isNull() | (leader["score"] < F.col("best_score") - 1e-8)
-        best_score = F.when(better, leader["score"]).otherwise(F.col("best_score"))
-        stalled = F.when(better, 0).otherwise(F.col("stalled") + 1)
-        judged = scored.select(
-            *JOB_KEYS, "used", "total", "shape", "fallback", "rows", "population", "ranked",
-            F.when(better, F.get("population", leader["index"])).otherwise(F.col("best")).alias("best"),
-            best_score.alias("best_score"), stalled.alias("stalled"), F.lit(generation).alias("generations"),
-            F.concat("history", F.array(best_score)).alias("history"),
-            ((stalled >= stall_limit) | F.lit(generation >= cfg.max_generations)).alias("done"),
+    whole = F.flatten(F.transform("population", lambda g: F.concat(F.col("shape"), genome_rules(g, total))))
+    job_columns = [
+        *JOB_KEYS, "used", "fallback", whole.alias("base"),
+        F.array().cast("array<int>").alias("coords"), F.array().cast("array<double>").alias("values"),
+    ]
+    share = F.transform("population", lambda g: F.greatest(
+        F.size(F.filter(F.slice(g, 1, total), lambda s: s >= 0.5)), F.lit(1)) / total)
+    fitness = F.zip_with("errors", share, lambda e, s: e + s * cfg.complexity_penalty)
+    ranked = F.array_sort(F.transform(fitness, lambda f, i: F.struct(f.alias("score"), i.alias("index"))))
+
+    leader = F.get("ranked", F.lit(0))
+    better = F.col("best").isNull() | (leader["score"] < F.col("best_score") - 1e-8)
+    best_score = F.when(better, leader["score"]).otherwise(F.col("best_score"))
+    stalled = F.when(better, 0).otherwise(F.col("stalled") + 1)
+    judged_columns = [
+        *JOB_KEYS, "used", "total", "shape", "fallback", "rows", "population", "ranked", "generations",
+        F.when(better, F.get("population", leader["index"])).otherwise(F.col("best")).alias("best"),
+        best_score.alias("best_score"), stalled.alias("stalled"),
+        F.concat("history", F.array(best_score)).alias("history"),
+        ((stalled >= stall_limit) | (generation >= cfg.max_generations)).alias("done"),
+    ]
+
+    spread = (1 - generation / max(cfg.max_generations - 1, 1)) * 0.18 + 0.025
+    by_index = F.array_sort(F.transform(
+        "ranked", lambda r: F.struct(r["index"].alias("index"), r["score"].alias("score"))))
+
+    def parent(scores: Column, k: Column, side: str) -> Column:
+        drawn = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)),
+                            lambda j: F.get(scores, choice(size, seed, "fight", generation, side, k, j)))
+        winner = F.array_min(F.transform(drawn, lambda d: F.struct(d["score"].alias("s"), d["index"].alias("i"))))
+        return F.get("population", winner["i"])
+
+    def child(scores: Column, k: Column) -> Column:
+        at = (seed, "breed", generation, k)
+        parents = F.struct(
+            parent(scores, k, "first").alias("first"), parent(scores, k, "second").alias("second"),
+            (uniform(*at, "cross") < cfg.crossover_fraction).alias("cross"),
         )
 
-        progress = generation / max(cfg.max_generations - 1, 1)
-        spread = 0.18 * (1 - progress) + 0.025
-        by_index = F.array_sort(F.transform(
-            "ranked", lambda r: F.struct(r["index"].alias("index"), r["score"].alias("score"))))
-
-        def parent(scores: Column, k: Column, side: str) -> Column:
-            drawn = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)),
-                                lambda j: F.get(scores, choice(size, seed, "fight", generation, side, k, j)))
-            winner = F.array_min(F.transform(drawn, lambda d: F.struct(d["score"].alias("s"), d["index"].alias("i"))))
-            return F.get("population", winner["i"])
-
-        def child(scores: Column, k: Column) -> Column:
-            at = (seed, "breed", generation, k)
-            parents = F.struct(
-                parent(scores, k, "first").alias("first"), parent(scores, k, "second").alias("second"),
-                (uniform(*at, "cross") < cfg.crossover_fraction).alias("cross"),
-            )
-
-            def gene(p: Column, value: Column, i: Column) -> Column:
-                mixed = F.when(p["cross"] & (uniform(*at, "mix", i) >= 0.5), F.get(p["second"], i)).otherwise(value)
-                moved = F.when(uniform(*at, "hit", i) < 0.08, mixed + normal(*at, "move", i) * spread)
-                return clip(F.coalesce(moved, mixed))
-
-            return bind(parents, lambda p: F.transform(p["first"], lambda v, i: gene(p, v, i)))
-
-        kept = F.transform(F.slice("ranked", 1, elite), lambda r: F.get("population", r["index"]))
-        bred = bind(by_index, lambda scores: F.transform(
-            F.sequence(F.lit(0), F.lit(size - elite - 1)), lambda k: child(scores, k)))
-        following = F.when(F.col("done"), F.col("population")).otherwise(F.concat(kept, bred))
-        return judged.withColumn("population", following).drop("ranked")
+        def gene(p: Column, value: Column, i: Column) -> Column:
+            mixed = F.when(p["cross"] & (uniform(*at, "mix", i) >= 0.5), F.get(p["second"], i)).otherwise(value)
+            moved = F.when(uniform(*at, "hit", i) < 0.08, mixed + normal(*at, "move", i) * spread)
+            return clip(F.coalesce(moved, mixed))
+
+        return bind(parents, lambda p: F.transform(p["first"], lambda v, i: gene(p, v, i)))
+
+    kept = F.transform(F.slice("ranked", 1, elite), lambda r: F.get("population", r["index"]))
+    bred = bind(by_index, lambda scores: F.transform(
+        F.sequence(F.lit(0), F.lit(size - elite - 1)), lambda k: child(scores, k)))
+    following = F.when(F.col("done"), F.col("population")).otherwise(F.concat(kept, bred))
+    next_columns = [
+        *JOB_KEYS, "used", "total", "shape", "fallback", "rows", following.alias("population"),
+        (generation + F.when(F.col("done"), 0).otherwise(1)).alias("generations"),
+        "best", "best_score", "stalled", "history", "done",
+    ]
+
+    def step(state: DataFrame) -> DataFrame:
+        scores = score_jobs(chunks, state.select(*job_columns), cfg.num_input_mfs)
+        scored = state.join(scores, JOB_KEYS).withColumn("ranked", ranked)
+        return scored.select(*judged_columns).select(*next_columns)
 
     return step
 
@@ -315,47 +323,46 @@ def poll_step(chunks: DataFrame, cfg: FuzzyConfig, stage: int):
     Elements are polled in a drawn order; all moves of a poll start from the same point, so scoring
     them together and taking the first better one is the sequential first-improvement rule.
     """
-    top_step = 0.06
-    mfs = cfg.num_input_mfs
-
-    def step(state: DataFrame, iteration: int) -> DataFrame:
-        width = F.size("shape") / 4
-        order = F.array_sort(F.transform("moved", lambda c: F.struct(
-            uniform(F.col("seed"), "poll", stage, iteration, c).alias("key"), c.alias("coord"))))
-
-        def moves(o: Column) -> Column:
-            rule = element_rules(o["coord"], width, mfs)
-            value, size = F.get("parameters", o["coord"]), rule["step"] * F.col("shrink")
-            return F.array(*[
-                F.struct(o["coord"].alias("coord"),
-                         F.greatest(rule["low"], F.least(rule["high"], value + size * sign)).alias("value"))
-                for sign in (1.0, -1.0)
-            ])
-
-        polled = state.withColumn("polls", F.flatten(F.transform(order, moves)))
-        jobs = polled.select(*JOB_KEYS, "used", "fallback", F.col("parameters").alias("base"),
-                             F.col("polls.coord").alias("coords"), F.col("polls.value").alias("values"))
-        scored = polled.join(score_jobs(chunks, jobs, mfs), JOB_KEYS)
-        now = F.get("errors", F.lit(0))
-        first = F.array_position(
-            F.transform(F.slice("errors", 2, F.size("polls")), lambda e: e < now - 1e-9), F.lit(True)
-        )
-        judged = scored.withColumn("first", first.cast("int"))
-        hit = F.col("first") > 0
-        pick = F.get("polls", F.col("first") - 1)
-        score = F.when(hit, F.get("errors", F.col("first"))).otherwise(now)
-        parameters = F.when(hit, F.transform(
-            "parameters", lambda v, i: F.when(i == pick["coord"], pick["value"]).otherwise(v)
-        )).otherwise(F.col("parameters"))
-        shrink = F.when(hit, F.col("shrink")).otherwise(F.col("shrink") / 2)
-        history = F.when(F.size("history") == 0, F.array(now, score)).otherwise(F.concat("history", F.array(score)))
-        return judged.select(
-            *JOB_KEYS, "used", "total", "shape", "fallback", parameters.alias("parameters"), "moved",
-            shrink.alias("shrink"), score.alias("score"), F.lit(iteration + 1).alias("iterations"),
-            (F.col("evaluations") + F.when(hit, F.col("first")).otherwise(F.size("polls"))).alias("evaluations"),
-            history.alias("history"),
-            ((shrink * top_step < 1e-3) | F.lit(iteration + 1 >= cfg.pattern_max_iterations)).alias("done"),
-        )
+    top_step, mfs, iteration = 0.06, cfg.num_input_mfs, F.col("iterations")
+    width = F.size("shape") / 4
+    order = F.array_sort(F.transform("moved", lambda c: F.struct(
+        uniform(F.col("seed"), "poll", stage, iteration, c).alias("key"), c.alias("coord"))))
+
+    def moves(o: Column) -> Column:
+        rule = element_rules(o["coord"], width, mfs)
+        value, size = F.get("parameters", o["coord"]), rule["step"] * F.col("shrink")
+        return F.array(*[
+            F.struct(o["coord"].alias("coord"),
+                     F.greatest(rule["low"], F.least(rule["high"], value + size * sign)).alias("value"))
+            for sign in (1.0, -1.0)
+        ])
+
+    polls = F.flatten(F.transform(order, moves))
+    job_columns = [*JOB_KEYS, "used", "fallback", F.col("parameters").alias("base"),
+                   F.col("polls.coord").alias("coords"), F.col("polls.value").alias("values")]
+    now = F.get("errors", F.lit(0))
+    gains = F.transform(F.slice("errors", 2, F.size("polls")), lambda e: e < now - 1e-9)
+    first = F.array_position(gains, F.lit(True)).cast("int")
+    hit = F.col("first") > 0
+    pick = F.get("polls", F.col("first") - 1)
+    score = F.when(hit, F.get("errors", F.col("first"))).otherwise(now)
+    parameters = F.when(hit, F.transform(
+        "parameters", lambda v, i: F.when(i == pick["coord"], pick["value"]).otherwise(v)
+    )).otherwise(F.col("parameters"))
+    shrink = F.when(hit, F.col("shrink")).otherwise(F.col("shrink") / 2)
+    history = F.when(F.size("history") == 0, F.array(now, score)).otherwise(F.concat("history", F.array(score)))
+    next_columns = [
+        *JOB_KEYS, "used", "total", "shape", "fallback", parameters.alias("parameters"), "moved",
+        shrink.alias("shrink"), score.alias("score"), (iteration + 1).alias("iterations"),
+        (F.col("evaluations") + F.when(hit, F.col("first")).otherwise(F.size("polls"))).alias("evaluations"),
+        history.alias("history"),
+        ((shrink * top_step < 1e-3) | (iteration + 1 >= cfg.pattern_max_iterations)).alias("done"),
+    ]
+
+    def step(state: DataFrame) -> DataFrame:
+        polled = state.withColumn("polls", polls)
+        scores = score_jobs(chunks, polled.select(*job_columns), mfs)
+        return polled.join(scores, JOB_KEYS).withColumn("first", first).select(*next_columns)
 
     return step
 
@@ -433,3 +440,27 @@ def train_it2(
         moved.alias("upper_parameter_max_delta"), (moved <= 1e-12).alias("upper_parameters_locked"),
         "stage_1", "stage_2", "stage_3",
     )
+
+
+def score_population(
+    rows: DataFrame, features: list[str], genomes: list[list[float]], cfg: FuzzyConfig
+) -> DataFrame:
+    """Fitness of each genome on each series: mean absolute error plus a price per active rule."""
+    total = rule_limit(len(features), cfg.num_input_mfs)
+    chunks = pack_rows(rows, ["category"], features, F.col("pos"))
+    flat = initial_memberships(len(features), cfg.num_input_mfs)
+    shape = F.concat(*[flat[n] for n in ("center", "sigma", "lower_scale", "lower_lag")])
+    listed = F.array(*[F.array(*[F.lit(float(v)) for v in g]) for g in genomes])
+    decoded = F.transform(listed, lambda g: genome_rules(g, F.lit(total)))
+    jobs = fallbacks(rows).select(
+        "category", F.lit("scored").alias("variant"), F.lit(0).cast("long").alias("seed"),
+        F.sequence(F.lit(0), F.lit(len(features) - 1)).alias("used"), "fallback",
+        F.flatten(F.transform(decoded, lambda g: F.concat(shape, g))).alias("base"),
+        F.array().cast("array<int>").alias("coords"), F.array().cast("array<double>").alias("values"),
+    )
+    active = F.size(F.filter(F.slice(F.get(decoded, F.col("genome")), 1, total), lambda w: w > 0)) / total
+    scored = score_jobs(chunks, jobs, cfg.num_input_mfs).select("category", F.posexplode("errors").alias("genome", "mae"))
+    return scored.select(
+        "category", "genome", "mae", active.alias("active_share"),
+        (F.col("mae") + active * cfg.complexity_penalty).alias("fitness"),
+    )

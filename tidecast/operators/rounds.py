@@ -64,13 +64,15 @@ def sum_arrays(arrays: Column) -> Column:
 
 
 def run_rounds(
-    state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int
+    state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int
 ) -> DataFrame:
     """Apply `step` up to `rounds` times, until every state row says `done`."""
+    tasks = task_count(state.sparkSession)
     state = durable(state)
-    for index in range(rounds):
+    for _ in range(rounds):
         waiting = state.filter(~F.col("done"))
         if waiting.isEmpty():
             break
-        state = durable(step(waiting, index).unionByName(state.filter("done")))
+        # The union must not add a partition per round.
+        state = durable(step(waiting).unionByName(state.filter("done")).coalesce(tasks))
     return state
