@@ -45,10 +45,6 @@ def fixed_model(spark: SparkSession) -> DataFrame:
     return fuzzy_infer.literal_model(spark, ORDER_FEATURES, MEMBERSHIPS, RULES, FALLBACK)
 
 
-def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_infer.with_model(order_inputs(spark, sf_dir), fixed_model(spark))
-
-
 def supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.make_supervised(prepared_demand(spark, sf_dir), LAGS, COVARIATES)
 

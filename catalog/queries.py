@@ -266,24 +266,28 @@ def safe_series_names(spark, sf_dir):
 
 # ---- fuzzy scoring with a fixed model, over every order
 
+def order_model(spark):
+    return fuzzy_infer.single_model(fx.fixed_model(spark))
+
+
 @query
 def membership_bounds(spark, sf_dir):
-    return fuzzy_infer.membership_table(fx.scored_orders(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"])
+    return fuzzy_infer.membership_table(fx.order_inputs(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"], order_model(spark))
 
 
 @query
 def firing_bounds(spark, sf_dir):
-    return fuzzy_infer.firing_table(fx.scored_orders(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"])
+    return fuzzy_infer.firing_table(fx.order_inputs(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"], order_model(spark))
 
 
 @query
 def type_reduce(spark, sf_dir):
-    return fuzzy_infer.type_reduce(fx.scored_orders(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"])
+    return fuzzy_infer.type_reduce(fx.order_inputs(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"], order_model(spark))
 
 
 @query
 def it2_predict(spark, sf_dir):
-    return fuzzy_infer.it2_predict(fx.scored_orders(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"])
+    return fuzzy_infer.it2_predict(fx.order_inputs(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"], order_model(spark))
 
 
 @query
@@ -296,7 +300,7 @@ def predict_saved(spark, sf_dir):
 
 
 def order_activations(spark, sf_dir):
-    return fuzzy_infer.rule_activations(fx.scored_orders(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"])
+    return fuzzy_infer.rule_activations(fx.order_inputs(spark, sf_dir), fx.ORDER_FEATURES, ["sample_id"], order_model(spark))
 
 
 @query

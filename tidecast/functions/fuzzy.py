@@ -26,18 +26,24 @@ def bell(value: Column, center: Column, sigma: Column) -> Column:
     return F.exp(z * z * -0.5)
 
 
+def membership_pair(
+    value: Column, center: Column, sigma: Column, lower_scale: Column, lower_lag: Column
+) -> tuple[Column, Column]:
+    """Lower and upper degree of one value; NULL stays NULL."""
+    inside = clip(value)
+    upper = bell(inside, center, sigma)
+    shifted = lower_scale * bell(inside, center + lower_lag, sigma)
+    return clip(F.when(inside.isNotNull(), F.least(upper, shifted))), clip(upper)
+
+
 def membership_bounds(x: Column, memberships: Column) -> Column:
     """array<struct<feature, mf, lower, upper>> in the order of the memberships."""
 
     def bounds(m: Column) -> Column:
-        value = clip(F.get(x, m["feature"]))
-        upper = bell(value, m["center"], m["sigma"])
-        shifted = m["lower_scale"] * bell(value, m["center"] + m["lower_lag"], m["sigma"])
-        lower = F.when(value.isNotNull(), F.least(upper, shifted))
-        return F.struct(
-            m["feature"].alias("feature"), m["mf"].alias("mf"),
-            clip(lower).alias("lower"), clip(upper).alias("upper"),
-        )
+        lower, upper = membership_pair(
+            F.get(x, m["feature"]), m["center"], m["sigma"], m["lower_scale"], m["lower_lag"])
+        return F.struct(m["feature"].alias("feature"), m["mf"].alias("mf"),
+                        lower.alias("lower"), upper.alias("upper"))
 
     return F.transform(memberships, bounds)
 
@@ -109,3 +115,42 @@ def crisp_output(interval: Column, fallback: Column) -> Column:
 
 def activation(rule: Column) -> Column:
     return F.sqrt(F.greatest(rule["lower"] * rule["upper"], F.lit(0.0)))
+
+
+# ---- the same for one model that the driver knows, as plain arithmetic inside generated code
+
+WRITTEN_OUT_RULES = 16
+
+
+def written_memberships(values: list[Column], memberships: list) -> dict[tuple[int, int], tuple[Column, Column]]:
+    return {
+        (m["feature"], m["mf"]): membership_pair(
+            values[m["feature"]],
+            *[F.lit(m[name]) for name in ("center", "sigma", "lower_scale", "lower_lag")])
+        for m in memberships
+    }
+
+
+def written_interval(lowers: list[Column], uppers: list[Column], consequents: list[float]) -> Column:
+    """struct<left, right, upper_sum> from one lower and one upper column per rule, by consequent."""
+
+    def end(order: list[int], pick) -> Column:
+        weight, moment = F.lit(0.0), F.lit(0.0)
+        for i in range(len(order)):
+            weight, moment = weight + lowers[i], moment + lowers[i] * consequents[i]
+        means = [F.when(weight > NO_FIRING, moment / weight)]
+        for i in order:
+            gain = uppers[i] - lowers[i]
+            weight, moment = weight + gain, moment + gain * consequents[i]
+            means.append(F.when(weight > NO_FIRING, moment / weight))
+        return pick(*means)
+
+    rising = list(range(len(consequents)))
+    total = F.lit(0.0)
+    for upper in uppers:
+        total = total + upper
+    if not rising:
+        return F.struct(F.lit(None).cast("double").alias("left"), F.lit(None).cast("double").alias("right"),
+                        total.alias("upper_sum"))
+    return F.struct(end(rising, F.least).alias("left"), end(rising[::-1], F.greatest).alias("right"),
+                    total.alias("upper_sum"))

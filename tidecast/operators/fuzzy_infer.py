@@ -1,11 +1,11 @@
 """Scoring with interval type-2 fuzzy models: one projection per row, many models per table.
 
-`scored_rows` joins rows with their models; everything after it is row-local.
+Everything is row-local once a row stands beside its model.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions import fuzzy
@@ -28,77 +28,103 @@ def check_features(expected: list[str], given: list[str]) -> None:
         raise ValueError(f"Feature contract mismatch: model expects {list(expected)}, got {list(given)}")
 
 
-def with_model(rows: DataFrame, models: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Rows beside their model.
+def with_model(rows: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows beside the model of their key, joined like any two tables."""
+    return rows.join(models.select(*keys, *MODEL_COLUMNS), keys)
 
-    With keys the models are joined like any table. Without keys `models` is a single row, whose
-    size the rule limit bounds, and every row gets it from a scalar subquery: nothing is shuffled.
-    """
-    if keys:
-        return rows.join(models.select(*keys, *MODEL_COLUMNS), keys)
-    # A one-row table: its arrays are bounded by the limit on candidate rules.
-    model = models.select(*MODEL_COLUMNS).first()
-    if model is None:
-        raise ValueError("No model to score with")
-    literals = {
-        "feature_columns": F.array(*[F.lit(f) for f in model["feature_columns"]]),
-        "mfs": F.lit(model["mfs"]),
-        "memberships": F.array(*[
-            F.struct(*[F.lit(v).alias(k) for k, v in m.asDict().items()]) for m in model["memberships"]
-        ]),
-        "rules": F.array(*[
-            F.struct(F.lit(r["rule_id"]).alias("rule_id"),
-                     F.array(*[F.lit(a) for a in r["antecedent"]]).alias("antecedent"),
-                     F.lit(r["consequent"]).alias("consequent"), F.lit(r["weight"]).alias("weight"))
-            for r in model["rules"]
-        ]) if model["rules"] else F.array().cast(fuzzy.RULE_TYPE),
-        "fallback": F.lit(model["fallback"]),
-    }
-    return rows.withColumns(literals)
+
+def single_model(models: DataFrame) -> Row:
+    """The one saved model of a table, on the driver: its size is bounded by the candidate-rule limit."""
+    found = models.select(*MODEL_COLUMNS).take(2)
+    if len(found) != 1:
+        raise ValueError(f"Expected one model to score with, found {'more' if found else 'none'}")
+    return found[0]
 
 
-def fired_rows(rows: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
-    """Keep columns plus the firing of each rule, for rows that stand beside their model."""
-    x = F.array(*[F.col(name).cast("double") for name in features])
-    bounds = fuzzy.membership_bounds(F.col("x"), F.col("memberships"))
-    fired = rows.withColumn("x", x).withColumn("bounds", bounds)
-    firing = fuzzy.firing_bounds(F.col("bounds"), F.col("rules"), F.col("mfs"))
-    return fired.select(*keep, "fallback", "bounds", firing.alias("firing"))
+def fired_rows(rows: DataFrame, features: list[str], keep: list[str], model: Row | None = None) -> DataFrame:
+    """Keep columns, fallback, `bounds` per membership and `firing` per rule (by consequent).
+
+    With a `model` the driver knows, degrees are plain columns that run as generated code; else the
+    rows stand beside their own models and the model arrays are walked.
+    """
+    values = [F.col(name).cast("double") for name in features]
+    if model is None:
+        bounds = fuzzy.membership_bounds(F.col("x"), F.col("memberships"))
+        fired = rows.withColumn("x", F.array(*values)).withColumn("bounds", bounds)
+        firing = fuzzy.firing_bounds(F.col("bounds"), F.col("rules"), F.col("mfs"))
+        return fired.select(*keep, "fallback", "bounds", firing.alias("firing"))
+    pairs = fuzzy.written_memberships(values, model["memberships"])
+    degrees = rows.select(*keep, *[
+        column.alias(f"{side}_{f}_{m}") for (f, m), pair in pairs.items()
+        for side, column in zip(("lower", "upper"), pair, strict=True)
+    ])
+
+    def degree(side: str, f: int, m: int) -> Column:
+        return F.col(f"{side}_{f}_{m}")
+
+    def strength(rule: Row, side: str) -> Column:
+        product = F.lit(rule["weight"])
+        for f, m in enumerate(rule["antecedent"]):
+            product = product * degree(side, f, m)
+        return product
+
+    bounds = [
+        F.struct(F.lit(f).alias("feature"), F.lit(m).alias("mf"), degree("lower", f, m).alias("lower"),
+                 degree("upper", f, m).alias("upper"))
+        for f, m in pairs
+    ]
+    firing = [
+        F.struct(F.lit(r["consequent"]).alias("consequent"), F.lit(r["rule_id"]).alias("rule_id"),
+                 strength(r, "lower").alias("lower"), strength(r, "upper").alias("upper"))
+        for r in model["rules"]
+    ]
+    empty = "array<struct<consequent:double,rule_id:int,lower:double,upper:double>>"
+    return degrees.select(*keep, F.lit(model["fallback"]).alias("fallback"), F.array(*bounds).alias("bounds"),
+                          F.array(*firing).cast(empty).alias("firing"))
 
 
-def membership_table(rows: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
-    return fired_rows(rows, features, keep).select(*keep, F.inline("bounds"))
+def membership_table(rows: DataFrame, features: list[str], keep: list[str], model: Row | None = None) -> DataFrame:
+    return fired_rows(rows, features, keep, model).select(*keep, F.inline("bounds"))
 
 
-def firing_table(rows: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
-    return fired_rows(rows, features, keep).select(*keep, F.inline("firing"))
+def firing_table(rows: DataFrame, features: list[str], keep: list[str], model: Row | None = None) -> DataFrame:
+    return fired_rows(rows, features, keep, model).select(*keep, F.inline("firing"))
 
 
-def interval_rows(fired: DataFrame, keep: list[str]) -> DataFrame:
-    return fired.select(*keep, "fallback", fuzzy.reduced_interval(F.col("firing")).alias("interval"))
+def interval_rows(rows: DataFrame, features: list[str], keep: list[str], model: Row | None = None) -> DataFrame:
+    """Keep columns, fallback and the type-reduced `interval`."""
+    fired = fired_rows(rows, features, keep, model)
+    if model is None or len(model["rules"]) > fuzzy.WRITTEN_OUT_RULES:
+        return fired.select(*keep, "fallback", fuzzy.reduced_interval(F.col("firing")).alias("interval"))
+    indices = range(len(model["rules"]))
+    flat = fired.select(*keep, "fallback", *[
+        F.col("firing")[i][side].alias(f"{side}_{i}") for i in indices for side in ("lower", "upper")])
+    interval = fuzzy.written_interval(
+        [F.col(f"lower_{i}") for i in indices], [F.col(f"upper_{i}") for i in indices],
+        [r["consequent"] for r in model["rules"]])
+    return flat.select(*keep, "fallback", interval.alias("interval"))
 
 
-def type_reduce(rows: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+def type_reduce(rows: DataFrame, features: list[str], keep: list[str], model: Row | None = None) -> DataFrame:
     """Both ends of the type-reduced set; NULL where no rule fires."""
-    reduced = interval_rows(fired_rows(rows, features, keep), keep)
-    return reduced.select(*keep, F.col("interval.left").alias("y_left"), F.col("interval.right").alias("y_right"))
+    return interval_rows(rows, features, keep, model).select(
+        *keep, F.col("interval.left").alias("y_left"), F.col("interval.right").alias("y_right"))
 
 
-def it2_predict(rows: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+def it2_predict(rows: DataFrame, features: list[str], keep: list[str], model: Row | None = None) -> DataFrame:
     """Prediction on the normalised scale and whether no rule fired."""
-    reduced = interval_rows(fired_rows(rows, features, keep), keep)
     interval = F.col("interval")
-    return reduced.select(
+    return interval_rows(rows, features, keep, model).select(
         *keep, fuzzy.crisp_output(interval, F.col("fallback")).alias("prediction_norm"),
         fuzzy.no_rule_fired(interval).alias("no_rule_fired"),
     )
 
 
-def rule_activations(rows: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+def rule_activations(rows: DataFrame, features: list[str], keep: list[str], model: Row | None = None) -> DataFrame:
     """Long activations: one row per input row and rule."""
-    fired = fired_rows(rows, features, keep).select(*keep, F.explode("firing").alias("rule"))
-    return fired.select(*keep, F.col("rule.rule_id").alias("rule_id"),
-                        fuzzy.activation(F.col("rule")).alias("activation"))
+    fired = fired_rows(rows, features, keep, model).select(*keep, F.inline("firing"))
+    strength = fuzzy.activation({"lower": F.col("lower"), "upper": F.col("upper")})
+    return fired.select(*keep, "rule_id", strength.alias("activation"))
 
 
 def activations_wide(activations: DataFrame, keys: list[str], rules: int) -> DataFrame:
@@ -111,9 +137,10 @@ def activations_wide(activations: DataFrame, keys: list[str], rules: int) -> Dat
 
 
 def predict_saved(models: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
-    """Score one saved model: the features must be the model's, in its order."""
-    picked = models.select("feature_columns").first()
-    if picked is None:
-        raise ValueError("No model to score with")
-    check_features(picked["feature_columns"], features)
-    return it2_predict(with_model(rows, models), features, ["date"])
+    """Score one saved model: the features must be the model's, in its order.
+
+    Row-local, so `rows` may be a stream.
+    """
+    model = single_model(models)
+    check_features(model["feature_columns"], features)
+    return it2_predict(rows, features, ["date"], model)

@@ -36,23 +36,36 @@ def rule_limit(features: int, mfs: int) -> int:
 
 
 def candidate_rules(features: int, mfs: int) -> Column:
-    """array<array<int>>: all antecedents in product order, the digits of 0 .. mfs^features - 1."""
-    last = rule_limit(features, mfs) - 1
-    places = F.array(*[F.lit(mfs ** (features - 1 - f)) for f in range(features)])
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(last)),
-        lambda g: F.transform(places, lambda place: F.pmod(F.floor(g / place), F.lit(mfs)).cast("int")),
-    )
+    """array<array<int>>: all antecedents in product order, the digits of 0 .. mfs^features - 1.
+
+    The array is a constant: Catalyst folds it once, and no row builds it again.
+    """
+    rules = [
+        "array(" + ",".join(str(g // mfs ** (features - 1 - f) % mfs) for f in range(features)) + ")"
+        for g in range(rule_limit(features, mfs))
+    ]
+    return F.expr("array(" + ",".join(rules) + ")")
+
+
+def initial_cells(features: int, mfs: int) -> list[tuple]:
+    """(feature, mf, center, sigma, lower_scale, lower_lag): evenly spaced centers on [0, 1]."""
+    return [(f, m, (m + 0.5) / mfs, 0.55 / mfs, 0.8, 0.0) for f in range(features) for m in range(mfs)]
 
 
 def initial_memberships(features: int, mfs: int) -> Column:
-    """Evenly spaced centers on [0, 1] in the membership array type."""
+    """The first memberships in the membership array type, as a constant."""
+    names = ["feature", "mf", "center", "sigma", "lower_scale", "lower_lag"]
     cells = [
-        F.struct(F.lit(f).alias("feature"), F.lit(m).alias("mf"), F.lit((m + 0.5) / mfs).alias("center"),
-                 F.lit(0.55 / mfs).alias("sigma"), F.lit(0.8).alias("lower_scale"), F.lit(0.0).alias("lower_lag"))
-        for f in range(features) for m in range(mfs)
+        "named_struct(" + ",".join(f"'{n}',{v}{'' if isinstance(v, int) else 'D'}" for n, v in zip(names, c, strict=True)) + ")"
+        for c in initial_cells(features, mfs)
     ]
-    return F.array(*cells)
+    return F.expr("array(" + ",".join(cells) + ")")
+
+
+def initial_shape(features: int, mfs: int) -> Column:
+    """Centers, sigmas, lower scales and lags of the first memberships, one after the other."""
+    cells = initial_cells(features, mfs)
+    return F.expr("array(" + ",".join(f"{c[i]}D" for i in range(2, 6) for c in cells) + ")")
 
 
 def training_rows(supervised: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
@@ -69,18 +82,28 @@ def training_rows(supervised: DataFrame, variants: dict[str, list[str]]) -> Data
 
 
 def candidate_activations(rows: DataFrame, variant: str, features: list[str], mfs: int) -> DataFrame:
-    """(category, variant, rule_id, target_norm, activation) of every candidate rule with weight 1."""
-    rules = F.transform(candidate_rules(len(features), mfs), lambda a, g: F.struct(
-        (g + 1).alias("rule_id"), a.alias("antecedent"), F.lit(0.0).alias("consequent"),
-        F.lit(1.0).alias("weight"),
-    ))
-    x = F.array(*[F.col(f) for f in features])
-    bounds = rows.select("category", "target_norm",
-                         fuzzy.membership_bounds(x, initial_memberships(len(features), mfs)).alias("bounds"))
-    fired = bounds.select("category", "target_norm",
-                          F.explode(fuzzy.firing_bounds(F.col("bounds"), rules, F.lit(mfs))).alias("rule"))
-    return fired.select("category", F.lit(variant).alias("variant"), F.col("rule.rule_id").alias("rule_id"),
-                        "target_norm", fuzzy.activation(F.col("rule")).alias("activation"))
+    """(category, variant, rule_id, target_norm, activation) of every candidate rule with weight 1.
+
+    The activation sqrt(lower * upper) of a rule is the product of its memberships' activations, so
+    these are computed once per row as plain columns and each exploded rule multiplies its own:
+    the whole step stays inside generated code.
+    """
+    degree = {}
+    for f, m, center, sigma, scale, lag in initial_cells(len(features), mfs):
+        lower, upper = fuzzy.membership_pair(F.col(features[f]), *map(F.lit, (center, sigma, scale, lag)))
+        degree[f, m] = F.sqrt(lower * upper).alias(f"degree_{f}_{m}")
+    last = rule_limit(len(features), mfs) - 1
+    exploded = rows.select("category", "target_norm", *degree.values()).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("g"))
+    activation = F.lit(1.0)
+    for f in range(len(features)):
+        digit = F.expr(f"(g div {mfs ** (len(features) - 1 - f)}) % {mfs}")
+        own = F.col(f"degree_{f}_{mfs - 1}")
+        for m in range(mfs - 1):
+            own = F.when(digit == m, F.col(f"degree_{f}_{m}")).otherwise(own)
+        activation = activation * own
+    return exploded.select("category", F.lit(variant).alias("variant"), (F.col("g") + 1).alias("rule_id"),
+                           "target_norm", activation.alias("activation"))
 
 
 def fallbacks(rows: DataFrame) -> DataFrame:
@@ -121,8 +144,8 @@ def initial_models(rows: DataFrame, variants: dict[str, list[str]], mfs: int) ->
         rules = weighted_consequents(rows, variant, features, mfs)
         cell = F.struct("consequent", "rule_id", F.get("antecedents", F.col("rule_id") - 1).alias("antecedent"))
         listed = (
-            rules.withColumn("antecedents", candidate_rules(len(features), mfs)).groupBy(*SERIES_VARIANT)
-            .agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+            rules.select("*", candidate_rules(len(features), mfs).alias("antecedents"))
+            .groupBy(*SERIES_VARIANT).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
         )
         ordered = F.transform("cells", lambda c, i: F.struct(
             (i + 1).cast("int").alias("rule_id"), c["antecedent"].alias("antecedent"),
@@ -153,8 +176,7 @@ def first_state(
         listed = ranked.groupBy(*SERIES_VARIANT).agg(
             F.sort_array(F.collect_list(F.struct("rule_id", "consequent", "strong"))).alias("cells")
         )
-        flat = initial_memberships(len(features), cfg.num_input_mfs)
-        shape = F.concat(*[flat[n] for n in ("center", "sigma", "lower_scale", "lower_lag")])
+        shape = initial_shape(len(features), cfg.num_input_mfs)
         parts.append(listed.select(
             *SERIES_VARIANT,
             F.array(*[F.lit(feature_order.index(f)) for f in features]).alias("used"),
@@ -448,8 +470,7 @@ def score_population(
     """Fitness of each genome on each series: mean absolute error plus a price per active rule."""
     total = rule_limit(len(features), cfg.num_input_mfs)
     chunks = pack_rows(rows, ["category"], features, F.col("pos"))
-    flat = initial_memberships(len(features), cfg.num_input_mfs)
-    shape = F.concat(*[flat[n] for n in ("center", "sigma", "lower_scale", "lower_lag")])
+    shape = initial_shape(len(features), cfg.num_input_mfs)
     listed = F.array(*[F.array(*[F.lit(float(v)) for v in g]) for g in genomes])
     decoded = F.transform(listed, lambda g: genome_rules(g, F.lit(total)))
     jobs = fallbacks(rows).select(
