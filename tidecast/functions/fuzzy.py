@@ -29,15 +29,14 @@ def bell(value: Column, center: Column, sigma: Column) -> Column:
 def membership_pair(
     value: Column, center: Column, sigma: Column, lower_scale: Column, lower_lag: Column
 ) -> tuple[Column, Column]:
-    """Lower and upper degree of one value; NULL stays NULL."""
-    inside = clip(value)
-    upper = bell(inside, center, sigma)
-    shifted = lower_scale * bell(inside, center + lower_lag, sigma)
-    return clip(F.when(inside.isNotNull(), F.least(upper, shifted))), clip(upper)
+    """Lower and upper degree of a value in [0, 1]. The upper degree of a NULL is NULL."""
+    upper = bell(value, center, sigma)
+    shifted = lower_scale * bell(value, center + lower_lag, sigma)
+    return F.greatest(F.lit(0.0), F.least(upper, shifted)), upper
 
 
 def membership_bounds(x: Column, memberships: Column) -> Column:
-    """array<struct<feature, mf, lower, upper>> in the order of the memberships."""
+    """array<struct<feature, mf, lower, upper>> in the order of the memberships; x is in [0, 1]."""
 
     def bounds(m: Column) -> Column:
         lower, upper = membership_pair(
@@ -76,7 +75,7 @@ def endpoint(ordered: Column, pick) -> Column:
     """
 
     def mean(weight: Column, weighted: Column) -> Column:
-        return F.when(weight > NO_FIRING, weighted / weight)
+        return weighted / F.when(weight > NO_FIRING, weight)
 
     def state(weight: Column, weighted: Column, best: Column) -> Column:
         return F.struct(weight.alias("weight"), weighted.alias("weighted"), best.alias("best"))
@@ -114,7 +113,7 @@ def crisp_output(interval: Column, fallback: Column) -> Column:
 
 
 def activation(rule: Column) -> Column:
-    return F.sqrt(F.greatest(rule["lower"] * rule["upper"], F.lit(0.0)))
+    return F.sqrt(rule["lower"] * rule["upper"])
 
 
 # ---- the same for one model that the driver knows, as plain arithmetic inside generated code
@@ -134,15 +133,18 @@ def written_memberships(values: list[Column], memberships: list) -> dict[tuple[i
 def written_interval(lowers: list[Column], uppers: list[Column], consequents: list[float]) -> Column:
     """struct<left, right, upper_sum> from one lower and one upper column per rule, by consequent."""
 
+    def mean(weight: Column, moment: Column) -> Column:
+        return moment / F.when(weight > NO_FIRING, weight)
+
     def end(order: list[int], pick) -> Column:
         weight, moment = F.lit(0.0), F.lit(0.0)
-        for i in range(len(order)):
+        for i in order:
             weight, moment = weight + lowers[i], moment + lowers[i] * consequents[i]
-        means = [F.when(weight > NO_FIRING, moment / weight)]
+        means = [mean(weight, moment)]
         for i in order:
             gain = uppers[i] - lowers[i]
             weight, moment = weight + gain, moment + gain * consequents[i]
-            means.append(F.when(weight > NO_FIRING, moment / weight))
+            means.append(mean(weight, moment))
         return pick(*means)
 
     rising = list(range(len(consequents)))

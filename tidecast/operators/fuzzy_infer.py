@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions import fuzzy
+from tidecast.functions.scalars import clip
 
 MODEL_COLUMNS = ["feature_columns", "mfs", "memberships", "rules", "fallback"]
 
@@ -41,46 +42,52 @@ def single_model(models: DataFrame) -> Row:
     return found[0]
 
 
+def clipped_inputs(features: list[str]) -> list[Column]:
+    return [clip(F.col(name).cast("double")) for name in features]
+
+
+def written_degrees(rows: DataFrame, features: list[str], keep: list[str], model: Row) -> DataFrame:
+    """Degrees of a known model's memberships as columns lower_<f>_<m> and upper_<f>_<m>."""
+    inputs = [value.alias(f"x_{i}") for i, value in enumerate(clipped_inputs(features))]
+    pairs = fuzzy.written_memberships([F.col(f"x_{i}") for i in range(len(features))], model["memberships"])
+    return rows.select(*keep, *inputs).select(*keep, *[
+        column.alias(f"{side}_{f}_{m}") for (f, m), pair in pairs.items()
+        for side, column in zip(("lower", "upper"), pair, strict=True)
+    ])
+
+
+def written_strength(rule: Row, side: str) -> Column:
+    product = F.lit(rule["weight"])
+    for f, m in enumerate(rule["antecedent"]):
+        product = product * F.col(f"{side}_{f}_{m}")
+    return product
+
+
 def fired_rows(rows: DataFrame, features: list[str], keep: list[str], model: Row | None = None) -> DataFrame:
     """Keep columns, fallback, `bounds` per membership and `firing` per rule (by consequent).
 
     With a `model` the driver knows, degrees are plain columns that run as generated code; else the
     rows stand beside their own models and the model arrays are walked.
     """
-    values = [F.col(name).cast("double") for name in features]
     if model is None:
         bounds = fuzzy.membership_bounds(F.col("x"), F.col("memberships"))
-        fired = rows.withColumn("x", F.array(*values)).withColumn("bounds", bounds)
+        fired = rows.withColumn("x", F.array(*clipped_inputs(features))).withColumn("bounds", bounds)
         firing = fuzzy.firing_bounds(F.col("bounds"), F.col("rules"), F.col("mfs"))
         return fired.select(*keep, "fallback", "bounds", firing.alias("firing"))
-    pairs = fuzzy.written_memberships(values, model["memberships"])
-    degrees = rows.select(*keep, *[
-        column.alias(f"{side}_{f}_{m}") for (f, m), pair in pairs.items()
-        for side, column in zip(("lower", "upper"), pair, strict=True)
-    ])
-
-    def degree(side: str, f: int, m: int) -> Column:
-        return F.col(f"{side}_{f}_{m}")
-
-    def strength(rule: Row, side: str) -> Column:
-        product = F.lit(rule["weight"])
-        for f, m in enumerate(rule["antecedent"]):
-            product = product * degree(side, f, m)
-        return product
-
     bounds = [
-        F.struct(F.lit(f).alias("feature"), F.lit(m).alias("mf"), degree("lower", f, m).alias("lower"),
-                 degree("upper", f, m).alias("upper"))
-        for f, m in pairs
+        F.struct(F.lit(m["feature"]).alias("feature"), F.lit(m["mf"]).alias("mf"),
+                 *[F.col(f"{side}_{m['feature']}_{m['mf']}").alias(side) for side in ("lower", "upper")])
+        for m in model["memberships"]
     ]
     firing = [
         F.struct(F.lit(r["consequent"]).alias("consequent"), F.lit(r["rule_id"]).alias("rule_id"),
-                 strength(r, "lower").alias("lower"), strength(r, "upper").alias("upper"))
+                 *[written_strength(r, side).alias(side) for side in ("lower", "upper")])
         for r in model["rules"]
     ]
     empty = "array<struct<consequent:double,rule_id:int,lower:double,upper:double>>"
-    return degrees.select(*keep, F.lit(model["fallback"]).alias("fallback"), F.array(*bounds).alias("bounds"),
-                          F.array(*firing).cast(empty).alias("firing"))
+    return written_degrees(rows, features, keep, model).select(
+        *keep, F.lit(model["fallback"]).alias("fallback"), F.array(*bounds).alias("bounds"),
+        F.array(*firing).cast(empty).alias("firing"))
 
 
 def membership_table(rows: DataFrame, features: list[str], keep: list[str], model: Row | None = None) -> DataFrame:
@@ -93,16 +100,17 @@ def firing_table(rows: DataFrame, features: list[str], keep: list[str], model: R
 
 def interval_rows(rows: DataFrame, features: list[str], keep: list[str], model: Row | None = None) -> DataFrame:
     """Keep columns, fallback and the type-reduced `interval`."""
-    fired = fired_rows(rows, features, keep, model)
     if model is None or len(model["rules"]) > fuzzy.WRITTEN_OUT_RULES:
+        fired = fired_rows(rows, features, keep, model)
         return fired.select(*keep, "fallback", fuzzy.reduced_interval(F.col("firing")).alias("interval"))
     indices = range(len(model["rules"]))
-    flat = fired.select(*keep, "fallback", *[
-        F.col("firing")[i][side].alias(f"{side}_{i}") for i in indices for side in ("lower", "upper")])
+    flat = written_degrees(rows, features, keep, model).select(*keep, *[
+        written_strength(rule, side).alias(f"{side}_{i}")
+        for i, rule in enumerate(model["rules"]) for side in ("lower", "upper")])
     interval = fuzzy.written_interval(
         [F.col(f"lower_{i}") for i in indices], [F.col(f"upper_{i}") for i in indices],
         [r["consequent"] for r in model["rules"]])
-    return flat.select(*keep, "fallback", interval.alias("interval"))
+    return flat.select(*keep, F.lit(model["fallback"]).alias("fallback"), interval.alias("interval"))
 
 
 def type_reduce(rows: DataFrame, features: list[str], keep: list[str], model: Row | None = None) -> DataFrame:
