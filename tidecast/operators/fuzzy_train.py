@@ -423,15 +423,20 @@ def model_columns(variants: dict[str, list[str]], mfs: int) -> dict[str, Column]
 
 
 def train_it2(
-    supervised: DataFrame, variants: dict[str, list[str]], seeds: list[int], cfg: FuzzyConfig
+    supervised: DataFrame, variants: dict[str, list[str]], seeds: list[int], cfg: FuzzyConfig,
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """One trained model per (category, variant, seed), with the record of its three stages."""
+    """One trained model per (category, variant, seed), with the record of its three stages.
+
+    `only` (job keys) leaves out jobs that need no training.
+    """
     feature_order = sorted({f for names in variants.values() for f in names})
     rows = durable(training_rows(supervised, variants).select("category", "date", "pos", "target_norm", *feature_order))
     chunks = durable(pack_rows(rows, ["category"], feature_order, F.col("pos")))
 
-    learned = run_rounds(first_state(rows, variants, feature_order, seeds, cfg),
-                         generation_step(chunks, cfg), cfg.max_generations + 1)
+    jobs = first_state(rows, variants, feature_order, seeds, cfg)
+    jobs = jobs if only is None else jobs.join(only, JOB_KEYS, "left_semi")
+    learned = run_rounds(jobs, generation_step(chunks, cfg), cfg.max_generations + 1)
     started = learned.select(
         "*", F.concat("shape", genome_rules(F.col("best"), F.col("total"))).alias("parameters"))
     tuned = pattern_stage(chunks, started, cfg, 2)
