@@ -470,3 +470,62 @@ select category, genome, {rs(["mae", "active_share"])}, {r("mae + 0.002 * active
 from (select category, genome, avg(abs({crisp("fallback")} - target_norm)) as mae
       from genome_interval join fallback using (category) group by category, genome) m
 join (select genome, count(*) / cast(8 as double) as active_share from genes group by genome) a using (genome)""")
+
+# ---- fitted forecasters: the parts that are plain least squares
+
+CTES["timeline"] = (["prepared"], """
+select *, lag(sales) over (partition by category order by date) as before from prepared""")
+oracle("ar_ols", ["timeline"], f"""
+select t.category, t.date, {r("slope", "slope")}, {r("intercept", "intercept")}, {r("intercept + slope * before", "predicted")}
+from timeline t join (select category, regr_slope(sales, before) as slope, regr_intercept(sales, before) as intercept
+                      from timeline where split = 'train' and before is not null group by category) f using (category)
+where split = 'test' and target_observed""")
+
+CTES["steps"] = (["prepared"], f"""
+select category, pos, y, y1, y2 from (
+  select category, split, pos, y, lag(y) over w as y1, lag(y, 2) over w as y2
+  from (select *, {scaled("sales", "sales")} as y from prepared) a
+  window w as (partition by category order by date)) b where split = 'train' and pos > 6""")
+AIC = "n * (ln(2 * pi() * rss / n) + 1) + 2 * (k + 1)"
+oracle("arima_ar_fits", ["steps"], f"""
+select category, d, {r(AIC, "aic")}, {rs(["constant", "ar"])} from (
+  select category, 0 as d, regr_intercept(y, y1) as constant, regr_slope(y, y1) as ar, count(*) as n, 2 as k,
+         regr_syy(y, y1) - regr_slope(y, y1) * regr_sxy(y, y1) as rss from steps group by category
+  union all
+  select category, 1, 0, sum((y - y1) * (y1 - y2)) / sum(pow(y1 - y2, 2)), count(*), 1,
+         sum(pow(y - y1, 2)) - pow(sum((y - y1) * (y1 - y2)), 2) / sum(pow(y1 - y2, 2)) from steps group by category) f""")
+
+# ---- records and checks of a run
+
+oracle("preprocessing_record", ["scales", "medians"], f"""
+select category, v.variant, v.feature_columns, 'training_minmax_then_clip_0_1' as input_policy,
+       {r("sales_min", "sales_minimum")}, {r("sales_max", "sales_maximum")}, {r("rainfall_max", "rainfall_maximum")},
+       {r("humidity_median", "humidity_median")}
+from scales join medians using (category)
+cross join (values {values([(v, ",".join(n)) for v, n in VARIANTS.items()])}) v(variant, feature_columns)""")
+oracle("unavailable_records", ["metrics"], """
+select category, w.model, 'spark' as backend, w.reason from (select distinct category from metrics) c
+cross join (values ('arima', 'ARIMA search did not produce a valid fitted model'),
+                   ('lstm', 'LSTM needs at least two training rows')) w(model, reason)
+where not exists (select 1 from metrics m where m.category = c.category and m.model = w.model)""")
+oracle("required_models", ["metrics"], """
+select 'required_model' as "check", cast(null as varchar) as model_key, w.model in (select model from metrics) as ok, w.model as detail
+from (values ('seasonal_naive'), ('arima'), ('lstm'), ('efs')) w(model)""")
+oracle("fuzzy_variant_check", ["metrics"], """
+select 'fuzzy_variant' as "check", cast(null as varchar) as model_key,
+       variant in ('sales_only', 'target_weather') as ok, variant as detail
+from (select distinct variant from metrics where model = 'efs') m""")
+CTES["rule_facts"] = (["series_firing"], """
+select category, rule_id, count(*) as samples, min(sqrt(lower * upper)) as low, max(sqrt(lower * upper)) as high,
+       stddev_pop(sqrt(lower * upper)) as spread from series_firing group by category, rule_id""")
+CTES["facts"] = (["rule_facts"], """
+select category, max(samples) as samples, min(low) as low, max(high) as high, max(spread) as spread
+from rule_facts group by category""")
+oracle("activation_checks", ["facts"], f"""
+select category, 'activation_finite' as "check", true as ok, {r("cast(samples as double)", "value")} from facts
+union all select category, 'activation_range', low >= 0 and high <= 1, {r("high", "value")} from facts
+union all select category, 'activation_responds', spread > 1e-12, {r("spread", "value")} from facts""")
+oracle("support_checks", ["series_firing"], "select distinct category, cast(0 as bigint) as outside from series_firing")
+oracle("missing_outputs", ["supervised"], """
+select distinct category, variant, cast(45 as bigint) as seed
+from supervised cross join (values ('sales_only'), ('target_weather')) v(variant) where split = 'train'""")

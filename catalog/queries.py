@@ -23,18 +23,25 @@ from catalog.inputs import (
 )
 from catalog.rounding import rounded
 from tidecast.operators import (
+    arima,
     contract,
     evaluate,
     explain,
     features,
     fuzzy_infer,
     fuzzy_train,
+    lstm,
     naive,
     report,
     reshape,
     summaries,
+    verify,
 )
-from tidecast.plans.config import FuzzyConfig
+from tidecast.operators.rounds import durable
+from tidecast.plans.benchmark import preprocessing_table
+from tidecast.plans.config import MODELS, FuzzyConfig, make_config
+from tidecast.plans.forecasting import fuzzy_predictions, unavailable_models
+from tidecast.plans.jobs import training_jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -402,3 +409,116 @@ def activation_matrix(spark, sf_dir):
 def score_population(spark, sf_dir):
     return fuzzy_train.score_population(
         fx.training_rows(spark, sf_dir), fx.SALES_FEATURES, fx.GENOMES, FuzzyConfig())
+
+
+# ---- fitted forecasters
+
+@query
+def ar_ols(spark, sf_dir):
+    return arima.ar_ols(prepared_demand(spark, sf_dir))
+
+
+@query
+def arima_ar_fits(spark, sf_dir):
+    """The grid's AR(1) candidates, which are least-squares fits on the common sample."""
+    fits = arima.arima_candidates(prepared_demand(spark, sf_dir), "smoke")
+    return fits.filter("p = 1 and q = 0").select(
+        "category", "d", "aic", "constant", F.get("ar", F.lit(0)).alias("ar"))
+
+
+@query
+def arima_select(spark, sf_dir):
+    """Best order per series over the full grid."""
+    best = arima.arima_select(prepared_demand(spark, sf_dir), "full")
+    return best.select("category", "p", "d", "q", "aic")
+
+
+@query
+def arima_forecast(spark, sf_dir):
+    """Rolling one-step forecasts with the selected orders, scored on the common dates."""
+    prepared = durable(prepared_demand(spark, sf_dir))
+    forecast = arima.arima_roll(arima.arima_select(prepared, "full"), prepared)
+    truth = evaluate.truth_table(prepared, max(LAGS), PERIOD, PERIOD)
+    return evaluate.metrics_table(evaluate.align(forecast, truth))
+
+
+@query
+def lstm_forecast(spark, sf_dir):
+    """Short-profile training and test metrics of the neural baseline."""
+    prepared = durable(prepared_demand(spark, sf_dir))
+    rows = features.make_supervised(prepared, LAGS, [])
+    networks = lstm.train_lstm(rows, LAGS, [42], "smoke")
+    truth = evaluate.truth_table(prepared, max(LAGS), PERIOD, PERIOD)
+    return evaluate.metrics_table(evaluate.align(lstm.lstm_forecast(rows, networks, LAGS), truth))
+
+
+@query
+def train_it2(spark, sf_dir):
+    """Short-profile fuzzy training of all series and both variants, scored on the test year."""
+    smoke = make_config({"profile": "smoke"}).efs
+    rows = durable(fx.supervised(spark, sf_dir))
+    models = fuzzy_train.train_it2(rows, fx.variants(), [42], smoke)
+    scored = fuzzy_predictions(rows.filter(F.col("split") == "test"), models, fx.variants())
+    return scored.groupBy("category", "variant", "seed").agg(
+        F.count(F.lit(1)).alias("samples"), F.avg("prediction_norm").alias("mean_prediction"),
+        F.count_if("no_rule_fired").alias("no_rule_samples"))
+
+
+# ---- records and checks of a run
+
+@query
+def preprocessing_record(spark, sf_dir):
+    """Scales and medians per series and variant, as recorded for each training job."""
+    config = make_config({"train_year": TRAIN_YEAR, "test_year": TEST_YEAR})
+    table_ = preprocessing_table(prepared_demand(spark, sf_dir), config)
+    return table_.select(
+        "category", "variant", F.array_join("feature_columns", ",").alias("feature_columns"), "input_policy",
+        F.col("scales")["sales"]["minimum"].alias("sales_minimum"),
+        F.col("scales")["sales"]["maximum"].alias("sales_maximum"),
+        F.col("scales")["rainfall"]["maximum"].alias("rainfall_maximum"),
+        F.col("training_medians")["humidity"].alias("humidity_median"),
+    )
+
+
+@query
+def training_jobs_identity(spark, sf_dir):
+    """Identity hash of each training job, from order-free fingerprints of its rows."""
+    return training_jobs(fx.supervised(spark, sf_dir), fx.variants(), [42, 43, 44], FuzzyConfig())
+
+
+@query
+def unavailable_records(spark, sf_dir):
+    metrics = seeded_metrics(spark, sf_dir)
+    config = make_config({"train_year": TRAIN_YEAR, "test_year": TEST_YEAR})
+    return unavailable_models(metrics.select("category").distinct(), metrics, config)
+
+
+@query
+def required_models(spark, sf_dir):
+    return verify.present_models(seeded_metrics(spark, sf_dir), MODELS)
+
+
+@query
+def fuzzy_variant_check(spark, sf_dir):
+    return verify.fuzzy_variants(seeded_metrics(spark, sf_dir))
+
+
+@query
+def activation_checks(spark, sf_dir):
+    _, rows = series_scored(spark, sf_dir)
+    activations = fuzzy_infer.rule_activations(rows, fx.SALES_FEATURES, ["category", "date"])
+    return verify.activation_checks(activations, ["category"])
+
+
+@query
+def support_checks(spark, sf_dir):
+    models, rows = series_scored(spark, sf_dir)
+    activations = fuzzy_infer.rule_activations(rows, fx.SALES_FEATURES, ["category", "date"])
+    return verify.support_checks(explain.explain(models, activations, ["category"]), activations, ["category"])
+
+
+@query
+def missing_outputs(spark, sf_dir):
+    """Training jobs of the seeded fixture without metrics of their variant and seed."""
+    jobs = training_jobs(fx.supervised(spark, sf_dir), fx.variants(), [42, 45], FuzzyConfig())
+    return verify.missing_outputs(jobs.drop("identity"), seeded_metrics(spark, sf_dir), ["category", "variant", "seed"])

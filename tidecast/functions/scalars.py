@@ -62,3 +62,14 @@ def unscale_col(value: Column, minimum: Column, maximum: Column) -> Column:
 def safe_name(text: Column) -> Column:
     """Text usable as a file or series name: other signs become `_`, outer `_` are cut."""
     return F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}]", "_"), "^_+|_+$", "")
+
+
+FIXED_POINT = 1e12
+
+
+def exact_sum(value: Column) -> Column:
+    """Aggregate: sum in fixed point (12 decimals), the same for any order of rows and partitions.
+
+    More than 9.2 million units in one group overflow the 64-bit sum, which is an error, not a wrap.
+    """
+    return F.sum(F.round(value * FIXED_POINT).cast("long")) / FIXED_POINT

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.functions.scalars import exact_sum
 from tidecast.operators.rounds import task_count
 
 JOB_KEYS = ["category", "variant", "seed"]
@@ -93,7 +94,7 @@ def score_jobs(chunks: DataFrame, jobs: DataFrame, mfs: int) -> DataFrame:
                       F.col("base"), F.col("coords"), F.col("values"))
     scored = spread.select(*JOB_KEYS, F.size("y").alias("rows"), F.posexplode(sums).alias("candidate", "error"))
     per_candidate = scored.groupBy(*JOB_KEYS, "candidate").agg(
-        F.sum("rows").alias("rows"), F.sum("error").alias("error")
+        F.sum("rows").alias("rows"), exact_sum(F.col("error")).alias("error")
     )
     # One group is the candidates of one job, whose number the search settings fix.
     return per_candidate.groupBy(*JOB_KEYS).agg(

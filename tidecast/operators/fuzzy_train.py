@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidecast.functions import fuzzy
 from tidecast.functions.binding import bind
 from tidecast.functions.draws import choice, normal, uniform
-from tidecast.functions.scalars import clip, is_finite
+from tidecast.functions.scalars import clip, exact_sum, is_finite
 from tidecast.operators.features import TRAIN
 from tidecast.operators.fuzzy_score import JOB_KEYS, score_jobs
 from tidecast.operators.rounds import durable, pack_rows, run_rounds
@@ -116,11 +116,12 @@ def fallbacks(rows: DataFrame) -> DataFrame:
 def weighted_consequents(rows: DataFrame, variant: str, features: list[str], mfs: int) -> DataFrame:
     """First consequent per (series, candidate rule): the activation-weighted mean target.
 
-    The fallback stands in where a rule is never active. Sums are combined map-side.
+    The fallback stands in where a rule is never active. Sums are combined map-side, in fixed
+    point, so that training does not depend on the partitioning.
     """
     sums = candidate_activations(rows, variant, features, mfs).groupBy(*SERIES_VARIANT, "rule_id").agg(
-        F.sum("activation").alias("activation"),
-        F.sum(F.col("activation") * F.col("target_norm")).alias("weighted"),
+        exact_sum(F.col("activation")).alias("activation"),
+        exact_sum(F.col("activation") * F.col("target_norm")).alias("weighted"),
     )
     mean = F.when(F.col("activation") > fuzzy.NO_FIRING, F.col("weighted") / F.col("activation"))
     return sums.join(fallbacks(rows).select("category", "fallback"), "category").select(

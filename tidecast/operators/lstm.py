@@ -143,8 +143,9 @@ def epoch_step(chunks: DataFrame, max_epochs: int, patience: int):
         paired = state.select(*SEED_KEYS, "split", "theta").join(chunks, "category")
         spread = paired.repartition(task_count(spark), *SEED_KEYS, "chunk")
         # A group is the chunks of one series: one per 512 days.
-        sums = spread.select(*SEED_KEYS, gradient.alias("part")).groupBy(*SEED_KEYS).agg(
-            F.collect_list("part").alias("parts")).select(*SEED_KEYS, sum_arrays(F.col("parts")).alias("sums"))
+        parts = spread.select(*SEED_KEYS, "chunk", gradient.alias("part")).groupBy(*SEED_KEYS).agg(
+            F.sort_array(F.collect_list(F.struct("chunk", "part")))["part"].alias("parts"))
+        sums = parts.select(*SEED_KEYS, sum_arrays(F.col("parts")).alias("sums"))
         scored = state.join(sums, SEED_KEYS).withColumn("loss", loss).select(*judged)
         moved = scored.withColumn("g", mean).withColumns({"m": m, "v": v, "scale_1": scale_1, "scale_2": scale_2})
         following = F.when(F.col("done"), F.col("theta")).otherwise(theta)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.operators.features import TEST, TRAIN
@@ -39,6 +39,11 @@ def training_jobs(
     return jobs.select(*JOB_KEYS, identity.alias("identity"))
 
 
+def refused_unless(models: DataFrame, holds: Column, message: str) -> DataFrame:
+    wrong = F.raise_error(F.concat(F.lit(message), F.concat_ws("/", *JOB_KEYS))).cast("boolean")
+    return models.filter(F.when(holds, True).otherwise(wrong))
+
+
 def fit_or_reuse(
     supervised: DataFrame, variants: dict[str, list[str]], seeds: list[int], cfg: FuzzyConfig,
     cache: DataFrame | None = None,
@@ -47,12 +52,11 @@ def fit_or_reuse(
     jobs = training_jobs(supervised, variants, seeds, cfg)
     if cache is None:
         return stamped(train_it2(supervised, variants, seeds, cfg).join(jobs, JOB_KEYS))
-    kept = cache.withColumnRenamed("identity", "cached_identity").join(jobs, JOB_KEYS)
-    same = F.coalesce(F.col("identity") == F.col("cached_identity"), F.lit(False))
     whole = F.col("rules").isNotNull() & F.col("memberships").isNotNull() & F.col("stage_3").isNotNull()
-    wrong = F.when(~same, "Cached job identity mismatch: ").otherwise("Cached result is incomplete: ")
-    named = F.concat(wrong, F.concat_ws("/", *JOB_KEYS))
-    reused = checked(kept.filter(F.when(same & whole, True).otherwise(F.raise_error(named).cast("boolean"))))
+    kept = checked(refused_unless(cache, whole, "Cached result is incomplete: "))
+    paired = kept.withColumnRenamed("identity", "cached_identity").join(jobs, JOB_KEYS)
+    same = F.coalesce(F.col("identity") == F.col("cached_identity"), F.lit(False))
+    reused = refused_unless(paired, same, "Cached job identity mismatch: ")
     reused = reused.drop("cached_identity")
     missing = jobs.join(cache.select(*JOB_KEYS), JOB_KEYS, "left_anti")
     fitted = stamped(train_it2(supervised, variants, seeds, cfg, only=missing).join(jobs, JOB_KEYS))
