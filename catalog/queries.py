@@ -329,9 +329,8 @@ def rule_stats(spark, sf_dir):
 
 @query
 def weighted_consequents(spark, sf_dir):
-    rows = fx.training_rows(spark, sf_dir)
-    parts = [fuzzy_train.weighted_consequents(rows, v, names, fx.MFS) for v, names in fx.variants().items()]
-    return parts[0].unionByName(parts[1])
+    found = fuzzy_train.weighted_consequents(fx.training_rows(spark, sf_dir), fx.variants(), fx.MFS)
+    return found.select("category", "variant", "rule_id", "activation", "consequent")
 
 
 @query
@@ -343,9 +342,9 @@ def candidate_rules(spark, sf_dir):
 
 @query
 def strongest_rules(spark, sf_dir):
-    rows, names = fx.training_rows(spark, sf_dir), fx.variants()["target_weather"]
-    ranked = fuzzy_train.strongest_rules(
-        fuzzy_train.weighted_consequents(rows, "target_weather", names, fx.MFS), len(names))
+    names = {"target_weather": fx.variants()["target_weather"]}
+    consequents = fuzzy_train.weighted_consequents(fx.training_rows(spark, sf_dir), names, fx.MFS)
+    ranked = fuzzy_train.strongest_rules(consequents, names)
     return ranked.filter("strong").select("category", "rule_id", "activation", "consequent")
 
 

@@ -210,7 +210,7 @@ def test_inference_reproduces_the_training_error(spark, trained):
 
 
 def test_chunked_scores_equal_whole_ones(spark, monkeypatch):
-    frame, genomes = training_frame(spark), [[0.6, 0.2, 0.9, 0.5] + [1.0] * 4 + [0.1, 0.4, 0.5, 0.9]]
+    frame, genomes = fuzzy_train.training_rows(training_frame(spark), VARIANTS), [[0.6, 0.2, 0.9, 0.5] + [1.0] * 4 + [0.1, 0.4, 0.5, 0.9]]
     whole = fuzzy_train.score_population(frame, VARIANTS["target_weather"], genomes, SMOKE).orderBy("category").collect()
     monkeypatch.setattr("tidecast.operators.rounds.CHUNK_ROWS", 5)
     assert pack_rows(frame, ["category"], ["humidity"], F.col("pos")).count() == 10

@@ -17,7 +17,7 @@ from tidecast.functions import fuzzy
 from tidecast.functions.binding import bind
 from tidecast.functions.draws import choice, normal, uniform
 from tidecast.functions.scalars import clip, exact_sum, is_finite
-from tidecast.operators.features import TRAIN
+from tidecast.operators.features import TRAIN, series
 from tidecast.operators.fuzzy_score import JOB_KEYS, score_jobs
 from tidecast.operators.rounds import durable, pack_rows, run_rounds
 from tidecast.plans.config import FuzzyConfig
@@ -68,9 +68,26 @@ def initial_shape(features: int, mfs: int) -> Column:
     return F.expr("array(" + ",".join(f"{c[i]}D" for i in range(2, 6) for c in cells) + ")")
 
 
+def by_variant(variants: dict[str, list[str]], value) -> Column:
+    """`value(features)` of the row's variant."""
+    names = list(variants)
+    chosen = value(variants[names[-1]])
+    for name in names[-2::-1]:
+        chosen = F.when(F.col("variant") == name, value(variants[name])).otherwise(chosen)
+    return chosen
+
+
+def feature_union(variants: dict[str, list[str]]) -> list[str]:
+    return list(dict.fromkeys(f for names in variants.values() for f in names))
+
+
 def training_rows(supervised: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
-    """Training rows checked to be finite and inside [0, 1] on every input."""
-    features = sorted({f for names in variants.values() for f in names})
+    """Training rows checked to be finite and inside [0, 1] on every input.
+
+    `fallback` is the series' clipped median training target and `rows` its row count; both are
+    windows over the partitioning that the features already have.
+    """
+    features = feature_union(variants)
     usable = is_finite(F.col("target_norm"))
     for name in features:
         usable = usable & is_finite(F.col(name)) & F.col(name).between(-1e-12, 1 + 1e-12)
@@ -78,89 +95,91 @@ def training_rows(supervised: DataFrame, variants: dict[str, list[str]]) -> Data
         F.raise_error(F.concat(F.col("category"), F.lit(": fuzzy training data must be finite and in [0,1]")))
         .cast("boolean")
     )
-    return supervised.filter(F.col("split") == TRAIN).filter(checked)
+    rows = supervised.filter(F.col("split") == TRAIN).filter(checked)
+    return rows.select(
+        "category", "split", "date", "pos", "target_norm", *features,
+        clip(F.median("target_norm").over(series())).alias("fallback"),
+        F.count(F.lit(1)).over(series()).alias("rows"),
+    )
 
 
-def candidate_activations(rows: DataFrame, variant: str, features: list[str], mfs: int) -> DataFrame:
-    """(category, variant, rule_id, target_norm, activation) of every candidate rule with weight 1.
+def candidate_activations(rows: DataFrame, variants: dict[str, list[str]], mfs: int) -> DataFrame:
+    """(category, variant, rule_id, target_norm, fallback, rows, activation) of every candidate rule.
 
-    The activation sqrt(lower * upper) of a rule is the product of its memberships' activations, so
-    these are computed once per row as plain columns and each exploded rule multiplies its own:
-    the whole step stays inside generated code.
+    The activation sqrt(lower * upper) of a rule with weight 1 is the product of its memberships'
+    activations, so these are computed once per row as plain columns and each exploded rule
+    multiplies its own: the rules of all variants come out of one pass inside generated code.
     """
-    degree = {}
+    features, degree = feature_union(variants), {}
     for f, m, center, sigma, scale, lag in initial_cells(len(features), mfs):
         lower, upper = fuzzy.membership_pair(F.col(features[f]), *map(F.lit, (center, sigma, scale, lag)))
         degree[f, m] = F.sqrt(lower * upper).alias(f"degree_{f}_{m}")
-    last = rule_limit(len(features), mfs) - 1
-    exploded = rows.select("category", "target_norm", *degree.values()).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("g"))
-    activation = F.lit(1.0)
-    for f in range(len(features)):
-        digit = F.expr(f"(g div {mfs ** (len(features) - 1 - f)}) % {mfs}")
-        own = F.col(f"degree_{f}_{mfs - 1}")
-        for m in range(mfs - 1):
-            own = F.when(digit == m, F.col(f"degree_{f}_{m}")).otherwise(own)
-        activation = activation * own
-    return exploded.select("category", F.lit(variant).alias("variant"), (F.col("g") + 1).alias("rule_id"),
-                           "target_norm", activation.alias("activation"))
-
-
-def fallbacks(rows: DataFrame) -> DataFrame:
-    """Clipped median training target per series, and its row count."""
-    return rows.groupBy("category").agg(
-        clip(F.median("target_norm")).alias("fallback"), F.count(F.lit(1)).alias("rows")
-    )
-
-
-def weighted_consequents(rows: DataFrame, variant: str, features: list[str], mfs: int) -> DataFrame:
-    """First consequent per (series, candidate rule): the activation-weighted mean target.
+    sizes = {variant: rule_limit(len(names), mfs) for variant, names in variants.items()}
+    exploded = rows.select("category", "target_norm", "fallback", "rows", *degree.values()).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(sum(sizes.values()) - 1))).alias("number"))
+    g, label, activation, start = F.col("number"), None, None, 0
+    for variant, names in reversed(list(variants.items())):
+        start = sum(sizes[v] for v in list(variants)[: list(variants).index(variant)])
+        product = F.lit(1.0)
+        for place, name in enumerate(names):
+            f, digit = features.index(name), F.expr(f"((number - {start}) div {mfs ** (len(names) - 1 - place)}) % {mfs}")
+            own = F.col(f"degree_{f}_{mfs - 1}")
+            for m in range(mfs - 1):
+                own = F.when(digit == m, F.col(f"degree_{f}_{m}")).otherwise(own)
+            product = product * own
+        rule = F.struct(F.lit(variant).alias("variant"), (g - start + 1).alias("rule_id"))
+        inside = g < start + sizes[variant]
+        label = rule if label is None else F.when(inside, rule).otherwise(label)
+        activation = product if activation is None else F.when(inside, product).otherwise(activation)
+    return exploded.select("category", label.alias("rule"), "target_norm", "fallback", "rows",
+                           activation.alias("activation")).select(
+        "category", "rule.variant", "rule.rule_id", "target_norm", "fallback", "rows", "activation")
+
+
+def weighted_consequents(rows: DataFrame, variants: dict[str, list[str]], mfs: int) -> DataFrame:
+    """First consequent per (series, variant, candidate rule): the activation-weighted mean target.
 
     The fallback stands in where a rule is never active. Sums are combined map-side, in fixed
     point, so that training does not depend on the partitioning.
     """
-    sums = candidate_activations(rows, variant, features, mfs).groupBy(*SERIES_VARIANT, "rule_id").agg(
+    sums = candidate_activations(rows, variants, mfs).groupBy(*SERIES_VARIANT, "rule_id").agg(
         exact_sum(F.col("activation")).alias("activation"),
         exact_sum(F.col("activation") * F.col("target_norm")).alias("weighted"),
+        F.max("fallback").alias("fallback"), F.max("rows").alias("rows"),
     )
     mean = F.when(F.col("activation") > fuzzy.NO_FIRING, F.col("weighted") / F.col("activation"))
-    return sums.join(fallbacks(rows).select("category", "fallback"), "category").select(
-        *SERIES_VARIANT, "rule_id", "activation", F.coalesce(mean, "fallback").alias("consequent")
-    )
+    return sums.select(*SERIES_VARIANT, "rule_id", "activation",
+                       F.coalesce(mean, "fallback").alias("consequent"), "fallback", "rows")
 
 
-def strongest_rules(consequents: DataFrame, features: int) -> DataFrame:
+def strongest_rules(consequents: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
     """Mark the first `max(2, 2 x features)` rules by activation; a tie goes to the lower rule id.
 
     A group is the candidate rules of one series, whose number is limited.
     """
     by_strength = Window.partitionBy(*SERIES_VARIANT).orderBy(F.col("activation").desc(), "rule_id")
-    return consequents.withColumn("strong", F.row_number().over(by_strength) <= max(2, 2 * features))
+    many = by_variant(variants, lambda names: F.lit(max(2, 2 * len(names))))
+    return consequents.withColumn("strong", F.row_number().over(by_strength) <= many)
 
 
 def initial_models(rows: DataFrame, variants: dict[str, list[str]], mfs: int) -> DataFrame:
     """Untrained models per (series, variant): every candidate rule with weight 1."""
-    parts = []
-    for variant, features in variants.items():
-        rules = weighted_consequents(rows, variant, features, mfs)
-        cell = F.struct("consequent", "rule_id", F.get("antecedents", F.col("rule_id") - 1).alias("antecedent"))
-        listed = (
-            rules.select("*", candidate_rules(len(features), mfs).alias("antecedents"))
-            .groupBy(*SERIES_VARIANT).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
-        )
-        ordered = F.transform("cells", lambda c, i: F.struct(
-            (i + 1).cast("int").alias("rule_id"), c["antecedent"].alias("antecedent"),
-            clip(c["consequent"]).alias("consequent"), F.lit(1.0).alias("weight"),
-        ))
-        parts.append(listed.select(
-            *SERIES_VARIANT, F.array(*[F.lit(f) for f in features]).alias("feature_columns"),
-            F.lit(mfs).alias("mfs"), initial_memberships(len(features), mfs).alias("memberships"),
-            ordered.alias("rules"),
-        ))
-    models = parts[0]
-    for part in parts[1:]:
-        models = models.unionByName(part)
-    return models.join(fallbacks(rows).select("category", "fallback"), "category")
+    # One group is the candidate rules of one series, whose number is limited.
+    listed = weighted_consequents(rows, variants, mfs).groupBy(*SERIES_VARIANT).agg(
+        F.sort_array(F.collect_list(F.struct("consequent", "rule_id"))).alias("cells"),
+        F.max("fallback").alias("fallback"),
+    ).withColumn("antecedents", by_variant(variants, lambda names: candidate_rules(len(names), mfs)))
+    ordered = F.transform("cells", lambda c, i: F.struct(
+        (i + 1).cast("int").alias("rule_id"), F.get("antecedents", c["rule_id"] - 1).alias("antecedent"),
+        clip(c["consequent"]).alias("consequent"), F.lit(1.0).alias("weight"),
+    ))
+    return listed.select(
+        *SERIES_VARIANT,
+        by_variant(variants, lambda names: F.array(*[F.lit(f) for f in names])).alias("feature_columns"),
+        F.lit(mfs).alias("mfs"),
+        by_variant(variants, lambda names: initial_memberships(len(names), mfs)).alias("memberships"),
+        ordered.alias("rules"), "fallback",
+    )
 
 
 # ---- stage 1: genetic rule learning; a genome is selection, weight, consequent per candidate rule
@@ -170,26 +189,20 @@ def first_state(
     cfg: FuzzyConfig,
 ) -> DataFrame:
     """One row per (series, variant, seed) with the first population."""
-    parts = []
-    for variant, features in variants.items():
-        total = rule_limit(len(features), cfg.num_input_mfs)
-        ranked = strongest_rules(weighted_consequents(rows, variant, features, cfg.num_input_mfs), len(features))
-        listed = ranked.groupBy(*SERIES_VARIANT).agg(
-            F.sort_array(F.collect_list(F.struct("rule_id", "consequent", "strong"))).alias("cells")
-        )
-        shape = initial_shape(len(features), cfg.num_input_mfs)
-        parts.append(listed.select(
-            *SERIES_VARIANT,
-            F.array(*[F.lit(feature_order.index(f)) for f in features]).alias("used"),
-            F.lit(total).alias("total"), shape.alias("shape"),
-            F.transform("cells", lambda c: clip(c["consequent"])).alias("consequents"),
-            F.transform("cells", lambda c: F.when(c["strong"], 0.8).otherwise(0.2)).alias("selection"),
-        ))
-    series = parts[0]
-    for part in parts[1:]:
-        series = series.unionByName(part)
-    jobs = series.join(fallbacks(rows), "category").withColumn(
-        "seed", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds]))
+    mfs = cfg.num_input_mfs
+    ranked = strongest_rules(weighted_consequents(rows, variants, mfs), variants)
+    listed = ranked.groupBy(*SERIES_VARIANT).agg(
+        F.sort_array(F.collect_list(F.struct("rule_id", "consequent", "strong"))).alias("cells"),
+        F.max("fallback").alias("fallback"), F.max("rows").alias("rows"),
+    )
+    jobs = listed.select(
+        *SERIES_VARIANT, "fallback", "rows",
+        by_variant(variants, lambda names: F.array(*[F.lit(feature_order.index(f)) for f in names])).alias("used"),
+        by_variant(variants, lambda names: F.lit(rule_limit(len(names), mfs))).alias("total"),
+        by_variant(variants, lambda names: initial_shape(len(names), mfs)).alias("shape"),
+        F.transform("cells", lambda c: clip(c["consequent"])).alias("consequents"),
+        F.transform("cells", lambda c: F.when(c["strong"], 0.8).otherwise(0.2)).alias("selection"),
+        F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])).alias("seed"),
     )
 
     def gene(k: Column, i: Column) -> Column:
@@ -400,10 +413,7 @@ def model_columns(variants: dict[str, list[str]], mfs: int) -> dict[str, Column]
     """Model arrays out of a candidate array: active rules only, ordered by consequent."""
     size, total = F.size("shape"), F.col("total")
     width = (size / 4).cast("int")
-    features = F.create_map(*[
-        part for name, columns in variants.items()
-        for part in (F.lit(name), F.array(*[F.lit(c) for c in columns]))
-    ])[F.col("variant")]
+    features = by_variant(variants, lambda names: F.array(*[F.lit(f) for f in names]))
     value = lambda i: F.get("parameters", i)
     memberships = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.struct(
         F.floor(i / mfs).cast("int").alias("feature"), F.pmod(i, F.lit(mfs)).alias("mf"),
@@ -431,8 +441,8 @@ def train_it2(
 
     `only` (job keys) leaves out jobs that need no training.
     """
-    feature_order = sorted({f for names in variants.values() for f in names})
-    rows = durable(training_rows(supervised, variants).select("category", "date", "pos", "target_norm", *feature_order))
+    feature_order = feature_union(variants)
+    rows = durable(training_rows(supervised, variants))
     chunks = durable(pack_rows(rows, ["category"], feature_order, F.col("pos")))
 
     jobs = first_state(rows, variants, feature_order, seeds, cfg)
@@ -479,7 +489,7 @@ def score_population(
     shape = initial_shape(len(features), cfg.num_input_mfs)
     listed = F.array(*[F.array(*[F.lit(float(v)) for v in g]) for g in genomes])
     decoded = F.transform(listed, lambda g: genome_rules(g, F.lit(total)))
-    jobs = fallbacks(rows).select(
+    jobs = rows.groupBy("category").agg(F.max("fallback").alias("fallback")).select(
         "category", F.lit("scored").alias("variant"), F.lit(0).cast("long").alias("seed"),
         F.sequence(F.lit(0), F.lit(len(features) - 1)).alias("used"), "fallback",
         F.flatten(F.transform(decoded, lambda g: F.concat(shape, g))).alias("base"),
