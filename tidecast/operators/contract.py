@@ -99,16 +99,18 @@ def contract_counts(demand: DataFrame) -> DataFrame:
     return demand.agg(*counters)
 
 
-def category_rows(demand: DataFrame) -> DataFrame:
-    """Rows per category; a NULL category is a category of its own."""
-    return demand.groupBy("category").agg(F.count(F.lit(1)).alias("rows"))
+def category_rows(keys: DataFrame) -> DataFrame:
+    """Rows per category out of `key_counts`; a NULL category is a category of its own."""
+    return keys.groupBy("category").agg(F.sum("rows").alias("rows"))
 
 
-def calendar_years(demand: DataFrame) -> DataFrame:
-    return (
-        demand.filter(F.col("date").isNotNull()).groupBy(F.year("date").alias("year"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+def year_counts(keys: DataFrame) -> DataFrame:
+    """Rows, and rows beyond the first of their key, per calendar year out of `key_counts`.
+
+    The group of unknown dates stays in, as its keys can repeat too.
+    """
+    return keys.groupBy(F.year("date").alias("year")).agg(
+        F.sum("rows").alias("rows"), F.sum(F.col("rows") - 1).alias("repeats"))
 
 
 def validation_report(demand: DataFrame) -> DataFrame:
@@ -127,20 +129,19 @@ def validation_report(demand: DataFrame) -> DataFrame:
         for section, item, column in stacked
     ])
     counted = counts.select(F.inline(cells))
-    repeats = (
-        key_counts(demand)
-        .agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).cast("long").alias("value"))
-        .select(F.lit("total").alias("section"), F.lit("duplicate_rows").alias("item"), "value")
-    )
-    years = calendar_years(demand)
-    year_rows = years.select(
-        F.lit("year").alias("section"), F.col("year").cast("string").alias("item"),
-        F.col("rows").alias("value"),
-    )
-    few_years = years.agg(F.count(F.lit(1)).alias("value")).filter(F.col("value") < 2).select(
+    # All that follows starts from one shuffle of the keys, which Spark plans once and reuses.
+    keys = key_counts(demand)
+    years = year_counts(keys)
+    # `known` is an aggregate, so that no filter on dates reaches below the shared shuffle.
+    known = F.when(F.col("year").isNotNull(), F.col("rows"))
+    repeats = years.agg(F.coalesce(F.sum("repeats"), F.lit(0)).cast("long").alias("value")).select(
+        F.lit("total").alias("section"), F.lit("duplicate_rows").alias("item"), "value")
+    dated = years.groupBy("year").agg(F.sum(known).alias("value")).filter(F.col("value").isNotNull())
+    year_rows = dated.select(F.lit("year").alias("section"), F.col("year").cast("string").alias("item"), "value")
+    few_years = years.agg(F.count(known).alias("value")).filter(F.col("value") < 2).select(
         F.lit("few_years").alias("section"), F.lit("years").alias("item"), "value"
     )
-    categories = category_rows(demand)
+    categories = category_rows(keys)
     category_cells = F.array_compact(F.array(
         F.when(F.col("category").isNotNull(), F.lit("category")),
         F.when(F.col("rows") < SHORT_SERIES_ROWS, F.lit("short_category")),
@@ -183,11 +184,11 @@ def validate(df: DataFrame, strict: bool = True) -> ValidationReport:
     """Check demand without repairing it; strict mode raises the errors joined by `; `."""
     demand = coerce(df)
     counts = contract_counts(demand).first().asDict()
-    duplicate_rows = (
-        key_counts(demand).agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).cast("long")).first()[0]
-    )
-    # Years are bounded by the calendar, so this list is small whatever the table size.
-    years = sorted(row["year"] for row in calendar_years(demand).collect())
+    keys = key_counts(demand)
+    # One row per calendar year, so this list is small whatever the table size.
+    per_year = year_counts(keys).collect()
+    duplicate_rows = sum(row["repeats"] for row in per_year)
+    years = sorted(row["year"] for row in per_year if row["year"] is not None)
     errors = []
     if counts["invalid_dates"]:
         errors.append(f"{counts['invalid_dates']} rows have invalid dates")
@@ -201,7 +202,7 @@ def validate(df: DataFrame, strict: bool = True) -> ValidationReport:
     warnings = []
     if len(years) < 2:
         warnings.append("Fewer than two calendar years are available for a year-on-year holdout")
-    categories = category_rows(demand)
+    categories = category_rows(keys)
     return ValidationReport(
         rows=counts["rows"],
         duplicate_rows=duplicate_rows,

@@ -82,14 +82,14 @@ def error_sums(x: Column, y: Column, used: Column, mfs: int, fallback: Column,
     return F.pandas_udf(batches, "array<double>")(x, y, used, fallback, base, coords, values)
 
 
-def score_jobs(chunks: DataFrame, jobs: DataFrame, mfs: int) -> DataFrame:
+def score_jobs(chunks: DataFrame, jobs: DataFrame, mfs: int, tasks: int | None = None) -> DataFrame:
     """(job keys, rows, errors): mean absolute error of each candidate of each job.
 
     `jobs` has `used`, `fallback`, `base`, `coords`, `values`. The work is spread by job and chunk.
     """
-    spark = chunks.sparkSession
+    tasks = tasks or task_count(chunks.sparkSession)
     paired = jobs.select(*JOB_KEYS, "used", "fallback", "base", "coords", "values").join(chunks, "category")
-    spread = paired.repartition(task_count(spark), *JOB_KEYS, "chunk")
+    spread = paired.repartition(tasks, *JOB_KEYS, "chunk")
     sums = error_sums(F.col("x"), F.col("y"), F.col("used"), mfs, F.col("fallback"),
                       F.col("base"), F.col("coords"), F.col("values"))
     scored = spread.select(*JOB_KEYS, F.size("y").alias("rows"), F.posexplode(sums).alias("candidate", "error"))

@@ -19,7 +19,7 @@ from tidecast.functions.draws import choice, normal, uniform
 from tidecast.functions.scalars import clip, exact_sum, is_finite
 from tidecast.operators.features import TRAIN, series
 from tidecast.operators.fuzzy_score import JOB_KEYS, score_jobs
-from tidecast.operators.rounds import durable, pack_rows, run_rounds
+from tidecast.operators.rounds import durable, pack_rows, run_rounds, task_count
 from tidecast.plans.config import FuzzyConfig
 
 MAX_CANDIDATE_RULES = 4096
@@ -242,7 +242,7 @@ def genome_rules(genome: Column, total: Column) -> Column:
     return F.concat(chosen, F.transform(F.slice(genome, total * 2 + 1, total), lambda c: clip(c)))
 
 
-def generation_step(chunks: DataFrame, cfg: FuzzyConfig):
+def generation_step(chunks: DataFrame, cfg: FuzzyConfig, tasks: int):
     """One generation: score the population, keep the best genome, breed the next population.
 
     The generation number is read from the state, so every round has the same plan and reuses the
@@ -310,7 +310,7 @@ def generation_step(chunks: DataFrame, cfg: FuzzyConfig):
     ]
 
     def step(state: DataFrame) -> DataFrame:
-        scores = score_jobs(chunks, state.select(*job_columns), cfg.num_input_mfs)
+        scores = score_jobs(chunks, state.select(*job_columns), cfg.num_input_mfs, tasks)
         scored = state.join(scores, JOB_KEYS).withColumn("ranked", ranked)
         return scored.select(*judged_columns).select(*next_columns)
 
@@ -353,7 +353,7 @@ def search_state(state: DataFrame, stage: int) -> DataFrame:
     )
 
 
-def poll_step(chunks: DataFrame, cfg: FuzzyConfig, stage: int):
+def poll_step(chunks: DataFrame, cfg: FuzzyConfig, stage: int, tasks: int):
     """One poll: score a move up and down of every element, take the first better one.
 
     Elements are polled in a drawn order; all moves of a poll start from the same point, so scoring
@@ -397,14 +397,15 @@ def poll_step(chunks: DataFrame, cfg: FuzzyConfig, stage: int):
 
     def step(state: DataFrame) -> DataFrame:
         polled = state.withColumn("polls", polls)
-        scores = score_jobs(chunks, polled.select(*job_columns), mfs)
+        scores = score_jobs(chunks, polled.select(*job_columns), mfs, tasks)
         return polled.join(scores, JOB_KEYS).withColumn("first", first).select(*next_columns)
 
     return step
 
 
-def pattern_stage(chunks: DataFrame, state: DataFrame, cfg: FuzzyConfig, stage: int) -> DataFrame:
-    return run_rounds(search_state(state, stage), poll_step(chunks, cfg, stage), cfg.pattern_max_iterations)
+def pattern_stage(chunks: DataFrame, state: DataFrame, cfg: FuzzyConfig, stage: int, tasks: int) -> DataFrame:
+    step = poll_step(chunks, cfg, stage, tasks)
+    return run_rounds(search_state(state, stage), step, cfg.pattern_max_iterations, tasks)
 
 
 # ---- the whole training
@@ -447,11 +448,13 @@ def train_it2(
 
     jobs = first_state(rows, variants, feature_order, seeds, cfg)
     jobs = jobs if only is None else jobs.join(only, JOB_KEYS, "left_semi")
-    learned = run_rounds(jobs, generation_step(chunks, cfg), cfg.max_generations + 1)
+    # Every chunk meets every variant and seed of its series.
+    tasks = task_count(chunks.sparkSession, chunks.count() * len(variants) * len(seeds))
+    learned = run_rounds(jobs, generation_step(chunks, cfg, tasks), cfg.max_generations + 1, tasks)
     started = learned.select(
         "*", F.concat("shape", genome_rules(F.col("best"), F.col("total"))).alias("parameters"))
-    tuned = pattern_stage(chunks, started, cfg, 2)
-    locked = pattern_stage(chunks, tuned, cfg, 3)
+    tuned = pattern_stage(chunks, started, cfg, 2, tasks)
+    locked = pattern_stage(chunks, tuned, cfg, 3, tasks)
 
     def searched(stage: str) -> Column:
         return F.struct(

@@ -116,7 +116,7 @@ def first_state(rows: DataFrame, seeds: list[int]) -> DataFrame:
     )
 
 
-def epoch_step(chunks: DataFrame, max_epochs: int, patience: int):
+def epoch_step(chunks: DataFrame, max_epochs: int, patience: int, tasks: int):
     """One round: validate the current parameters, keep them if they are the best, take an Adam step."""
     epoch = F.col("epochs")
     gradient = chunk_gradient(F.col("x"), F.col("y"), F.col("positions"), F.col("split"), F.col("theta"))
@@ -139,9 +139,8 @@ def epoch_step(chunks: DataFrame, max_epochs: int, patience: int):
     theta = F.zip_with("theta", move, lambda p, d: p - d)
 
     def step(state: DataFrame) -> DataFrame:
-        spark = state.sparkSession
         paired = state.select(*SEED_KEYS, "split", "theta").join(chunks, "category")
-        spread = paired.repartition(task_count(spark), *SEED_KEYS, "chunk")
+        spread = paired.repartition(tasks, *SEED_KEYS, "chunk")
         # A group is the chunks of one series: one per 512 days.
         parts = spread.select(*SEED_KEYS, "chunk", gradient.alias("part")).groupBy(*SEED_KEYS).agg(
             F.sort_array(F.collect_list(F.struct("chunk", "part")))["part"].alias("parts"))
@@ -162,7 +161,9 @@ def train_lstm(supervised: DataFrame, lags: list[int], seeds: list[int], profile
     features = [f"sales_lag_{k}" for k in reversed(lags)]
     rows = durable(numbered(supervised, TRAIN).select("category", "date", "place", "target_norm", *features))
     chunks = durable(pack_rows(rows, ["category"], features, F.col("place")))
-    return run_rounds(first_state(rows, seeds), epoch_step(chunks, max_epochs, patience), max_epochs + 1)
+    tasks = task_count(chunks.sparkSession, chunks.count() * len(seeds))
+    step = epoch_step(chunks, max_epochs, patience, tasks)
+    return run_rounds(first_state(rows, seeds), step, max_epochs + 1, tasks)
 
 
 def lstm_details() -> Column:

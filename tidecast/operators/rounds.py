@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 512
+TASK_PAIRS = 32
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -33,9 +34,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def task_count(spark: SparkSession) -> int:
-    """Tasks for CPU-heavy stages, whose few bytes adaptive execution would put into one task."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def task_count(spark: SparkSession, pairs: int | None = None) -> int:
+    """Tasks for CPU-heavy stages, whose few bytes adaptive execution would put into one task.
+
+    `pairs` is the number of (chunk, job) rows if it is known: a task gets at most `TASK_PAIRS` of
+    them, which also bounds the arrays in one Arrow batch.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    if pairs is None:
+        return max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(cores, -(-pairs // TASK_PAIRS))
 
 
 def pack_rows(rows: DataFrame, keys: list[str], features: list[str], position: Column) -> DataFrame:
@@ -64,10 +72,9 @@ def sum_arrays(arrays: Column) -> Column:
 
 
 def run_rounds(
-    state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int
+    state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, tasks: int
 ) -> DataFrame:
     """Apply `step` up to `rounds` times, until every state row says `done`."""
-    tasks = task_count(state.sparkSession)
     state = durable(state)
     for _ in range(rounds):
         waiting = state.filter(~F.col("done"))
