@@ -35,6 +35,8 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
+        # Recording the Python call site of every column expression costs more than small queries do.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
