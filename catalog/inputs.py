@@ -84,25 +84,32 @@ def raw_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated.select(*[text[c].alias(c) for c in CONTRACT_COLUMNS], F.lit("x").alias("extra"))
 
 
-# The wide stand-in has one row per calendar day and one column per listed (year, brand), so the
-# lists are part of its layout, like the headings of a delimited file.
-WIDE_YEARS = [1996, 1997]
-WIDE_BRANDS = {"Brand#1": "water", "Brand#2": "insecticide control", "Brand#3": "ice cream"}
+# The headings of the wide stand-in: every year and brand of the tables. One brand has the name that
+# the conversion replaces, and 1997 has no Rainfall column.
+WIDE_YEARS = list(range(1995, 2002))
+WIDE_BRANDS = {f"Brand#{i}": "insecticide control" if i == 2 else f"brand {i}" for i in range(1, 26)}
+WIDE_HEADINGS = {"AVG temp": "avg_temp", "MAX temp": "max_temp", "MIN temp": "min_temp",
+                 "Humidity": "humidity", "Rainfall": "rainfall"}
 
 
 def wide_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide stand-in: `Date` as d/M, `<yyyy> <category> sales`, weather headings (no Rainfall in 1997)."""
-    demand = holdout_demand(spark, sf_dir)
-    day = F.concat(F.dayofmonth("date"), F.lit("/"), F.month("date"))
+    """Wide stand-in: `Date` as d/M, `<yyyy> <category> sales` and weather columns per year.
+
+    First one row per (day, year) with a column per brand, then one row per day: sums meet map-side
+    in both steps.
+    """
+    demand = derived_demand(spark, sf_dir)
+    keys = [F.month("date").alias("m"), F.dayofmonth("date").alias("d"), F.year("date").alias("y")]
+    yearly = demand.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("category") == brand, F.col("sales"))).alias(name) for brand, name in WIDE_BRANDS.items()],
+        *[F.max(c).alias(c) for c in WIDE_HEADINGS.values()],
+    )
+    year_row = F.struct(*[c for c in yearly.columns if c not in ("m", "d", "y")])
+    # A group is one calendar day of the seven years.
+    days = yearly.groupBy("m", "d").agg(F.map_from_entries(F.collect_list(F.struct("y", year_row))).alias("years"))
     cells = []
     for year in WIDE_YEARS:
-        in_year = F.year("date") == year
-        for brand, name in WIDE_BRANDS.items():
-            sales = F.max(F.when(in_year & (F.col("category") == brand), F.col("sales")))
-            cells.append(sales.alias(f"{year} {name} sales"))
-        headings = {"AVG temp": "avg_temp", "MAX temp": "max_temp", "MIN temp": "min_temp",
-                    "Humidity": "humidity"}
-        if year == 1996:
-            headings["Rainfall"] = "rainfall"
-        cells += [F.max(F.when(in_year, F.col(c))).alias(f"{year} {h}") for h, c in headings.items()]
-    return demand.groupBy(day.alias("Date")).agg(*cells)
+        of_year = F.try_element_at("years", F.lit(year))
+        cells += [of_year[name].alias(f"{year} {name} sales") for name in WIDE_BRANDS.values()]
+        cells += [of_year[c].alias(f"{year} {h}") for h, c in WIDE_HEADINGS.items() if (year, c) != (1997, "rainfall")]
+    return days.select(F.concat(F.col("d"), F.lit("/"), F.col("m")).alias("Date"), *cells)

@@ -195,18 +195,19 @@ select date, category, {r("sales", "sales")}, violations from (
     case when rainfall < 0 then 'rainfall must be non-negative' end) as violations
   from coerced) x where violations <> ''""")
 
-WIDE_DAYS = f"""(select distinct day(date) as d, month(date) as m from demand
-  where year(date) in ({", ".join(map(str, WIDE_YEARS))}))"""
-WIDE_LONG = " union all ".join(
-    f"""select try_cast('{y}-' || lpad(cast(m as varchar), 2, '0') || '-' || lpad(cast(d as varchar), 2, '0') as date) as date,
- '{name.replace("insecticide control", "insect repellent")}' as category,
- max(sales) filter (where category = '{brand}') as sales, max(avg_temp) as avg_temp, max(max_temp) as max_temp,
- max(min_temp) as min_temp, max(humidity) as humidity, {"max(rainfall)" if y == 1996 else "cast(null as double)"} as rainfall
- from {WIDE_DAYS} k left join demand on day(date) = d and month(date) = m and year(date) = {y} group by d, m"""
-    for y in WIDE_YEARS for brand, name in WIDE_BRANDS.items()
-)
-oracle("wide_to_long", ["demand"],
-       f"select date, category, {rs(['sales', *WEATHER])} from ({WIDE_LONG}) x")
+CTES["wide_cells"] = (["demand"], f"""
+select d, m, y, brand, name
+from (select distinct day(date) as d, month(date) as m from demand) k
+cross join (values {", ".join(f"({y})" for y in WIDE_YEARS)}) t(y)
+cross join (values {", ".join(f"('{b}', '{n.replace('insecticide control', 'insect repellent')}')" for b, n in WIDE_BRANDS.items())}) u(brand, name)""")
+oracle("wide_to_long", ["wide_cells"], f"""
+select try_cast(y || '-' || lpad(cast(m as varchar), 2, '0') || '-' || lpad(cast(d as varchar), 2, '0') as date) as date,
+       name as category, {r("s.sales", "sales")}, {", ".join(r("w." + c, c) for c in WEATHER[:-1])},
+       {r("case when y <> 1997 then w.rainfall end", "rainfall")}
+from wide_cells c
+left join demand s on s.category = brand and day(s.date) = d and month(s.date) = m and year(s.date) = y
+left join (select date, {", ".join(f"max({c}) as {c}" for c in WEATHER)} from demand group by date) w
+  on day(w.date) = d and month(w.date) = m and year(w.date) = y""")
 
 # ---- features
 

@@ -147,6 +147,9 @@ def test_config_rules(tmp_path):
     path = tmp_path / "run.yaml"
     path.write_text("profile: smoke\nseeds: [1, 2]\nefs:\n  backend: python-it2\n")
     config = load_config(str(path))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setenv("TIDECAST_FUZZY_BACKEND", "matlab")
+        assert load_config(str(path)).efs.backend == "matlab"
     assert config.seeds == [1] and config.efs.population_size == 10 and config.efs.max_generations == 2
 
 

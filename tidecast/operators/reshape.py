@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators.contract import CONTRACT_COLUMNS, coerce
+from tidecast.functions.scalars import strip
+from tidecast.operators.contract import coerce
 
 # Wide-table covariate headings and their canonical names.
 WIDE_COVARIATES = {
@@ -34,22 +35,28 @@ def wide_to_long(df: DataFrame) -> DataFrame:
     def quoted(name: str):
         return F.col(f"`{name}`").cast("string")
 
-    cells = []
-    for name, year, category in sales_columns:
-        covariates = [
+    # Covariates once per year; a cell holds its sales and the place of its year.
+    years = sorted({year for _, year, _ in sales_columns})
+    per_year = F.array(*[
+        F.struct(F.lit(year).alias("year"), *[
             (quoted(f"{year} {heading}") if f"{year} {heading}" in df.columns
              else F.lit(None).cast("string")).alias(canonical)
             for heading, canonical in WIDE_COVARIATES.items()
-        ]
-        cells.append(F.struct(
-            F.lit(year).alias("year"),
-            F.lit(category.replace(*RENAMED_CATEGORY)).alias("category"),
-            quoted(name).alias("sales"), *covariates,
-        ))
-    parts = df.select(F.col("Date").cast("string").alias("day"), F.explode(F.array(*cells)).alias("cell"))
-    day_first = F.try_to_timestamp(F.concat("day", F.lit("/"), "cell.year"), F.lit("d/M/yyyy"))
+        ])
+        for year in years
+    ])
+    cells = F.array(*[
+        F.struct(F.lit(years.index(year)).alias("place"),
+                 F.lit(category.replace(*RENAMED_CATEGORY)).alias("category"), quoted(name).alias("sales"))
+        for name, year, category in sales_columns
+    ])
+    parts = df.select(
+        strip(F.col("Date").cast("string")).alias("day"), per_year.alias("per_year"), cells.alias("cells")
+    ).select("day", "per_year", F.inline("cells")).select(
+        "day", "category", "sales", F.get("per_year", F.col("place")).alias("of_year"))
+    day_first = F.try_to_timestamp(F.concat("day", F.lit("/"), "of_year.year"), F.lit("d/M/yyyy"))
     long = parts.select(
-        day_first.cast("date").alias("date"),
-        *[F.col(f"cell.{name}") for name in CONTRACT_COLUMNS[1:]],
+        day_first.cast("date").alias("date"), "category", "sales",
+        *[F.col(f"of_year.{name}") for name in WIDE_COVARIATES.values()],
     )
     return coerce(long)

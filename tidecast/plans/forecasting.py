@@ -38,7 +38,7 @@ class Forecasts:
 def with_variant_features(test: DataFrame, models: DataFrame, variant: str) -> DataFrame:
     """Test rows beside every model of a variant (one per seed)."""
     picked = models.filter(F.col("variant") == variant)
-    return fuzzy_infer.with_model(test.join(picked.select(*JOB_KEYS), "category"), picked, JOB_KEYS)
+    return test.join(picked.select(*JOB_KEYS, *fuzzy_infer.MODEL_COLUMNS), "category")
 
 
 def fuzzy_predictions(test: DataFrame, models: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
