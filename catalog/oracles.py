@@ -161,8 +161,19 @@ def needed(names: list[str], seen: list[str]) -> list[str]:
     return seen
 
 
+# Date columns of the results, given as ISO text like those of the queries.
+DATES = {"split_years": ["first_day", "last_day"]}
+DATES |= {name: ["date"] for name in (
+    "coerce_demand", "demand_violations", "wide_to_long", "fill_forward", "lag_features", "unscale_targets",
+    "evaluation_dates", "seasonal_naive", "align_forecasts", "predictions_table", "forecast_lines", "actual_line",
+    "forecast_pivot", "preview_demand", "predict_saved", "series_predictions", "ar_ols")}
+
+
 def oracle(name: str, uses: list[str], select: str) -> None:
     parts = ",\n".join(f"{n} as ({CTES[n][1]})" for n in needed(uses, []))
+    if name in DATES:
+        texts = ", ".join(f"cast({d} as varchar) as {d}" for d in DATES[name])
+        select = f"select * replace ({texts}) from ({select}) typed"
     ORACLES[name] = f"with {parts}\n{select}"
 
 

@@ -1,4 +1,8 @@
-"""Computed doubles are compared at a fixed number of decimals: sums run in another order per engine."""
+"""Forms in which both engines' results are compared.
+
+Sums run in another order per engine, so computed doubles are compared at a fixed number of
+decimals; dates are compared as ISO text, which no client library turns into timestamps.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +14,17 @@ DECIMALS = 6
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[
-        F.round(F.col(f"`{f.name}`"), DECIMALS).alias(f.name) if isinstance(f.dataType, T.DoubleType)
-        else F.col(f"`{f.name}`")
-        for f in df.schema
-    ])
+    """Doubles at the compared decimals, dates as ISO text."""
+
+    def shown(field: T.StructField):
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.DoubleType):
+            return F.round(column, DECIMALS).alias(field.name)
+        if isinstance(field.dataType, T.DateType):
+            return F.date_format(column, "yyyy-MM-dd").alias(field.name)
+        return column
+
+    return df.select(*[shown(field) for field in df.schema])
 
 
 def r(expression: str, alias: str) -> str:
