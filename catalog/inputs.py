@@ -105,11 +105,12 @@ def wide_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.max(c).alias(c) for c in WIDE_HEADINGS.values()],
     )
     year_row = F.struct(*[c for c in yearly.columns if c not in ("m", "d", "y")])
-    # A group is one calendar day of the seven years.
-    days = yearly.groupBy("m", "d").agg(F.map_from_entries(F.collect_list(F.struct("y", year_row))).alias("years"))
+    # One row per (day, year) is left, so the greatest row of a year is its only one.
+    days = yearly.groupBy("m", "d").agg(*[
+        F.max(F.when(F.col("y") == year, year_row)).alias(f"of_{year}") for year in WIDE_YEARS])
     cells = []
     for year in WIDE_YEARS:
-        of_year = F.try_element_at("years", F.lit(year))
+        of_year = F.col(f"of_{year}")
         cells += [of_year[name].alias(f"{year} {name} sales") for name in WIDE_BRANDS.values()]
         cells += [of_year[c].alias(f"{year} {h}") for h, c in WIDE_HEADINGS.items() if (year, c) != (1997, "rainfall")]
     return days.select(F.concat(F.col("d"), F.lit("/"), F.col("m")).alias("Date"), *cells)

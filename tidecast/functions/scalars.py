@@ -13,8 +13,12 @@ MISSING_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-DAY_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
+# Signs that count as blank, and signs a plain decimal number is made of.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+NUMBER_SIGNS = "0123456789+-.eE"
 
 
 def text_or_null(text: Column) -> Column:
@@ -23,17 +27,19 @@ def text_or_null(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def number_or_null(text: Column) -> Column:
-    """Double parsed from text; NULL where the text is no plain number."""
-    return F.when(text.rlike(NUMBER_PATTERN), strip(text).try_cast("double"))
+    """Double parsed from text; NULL where the text is no plain decimal number."""
+    bare = strip(text)
+    return F.when(F.translate(bare, NUMBER_SIGNS, "") == "", bare.try_cast("double"))
 
 
 def day_or_null(text: Column) -> Column:
     """Date parsed from ISO text, with or without a time of day; NULL where it is no date."""
-    return F.when(text.rlike(DAY_PATTERN), F.try_to_timestamp(strip(text)).cast("date"))
+    bare = strip(text)
+    return F.when(F.substring(bare, 5, 1) == "-", F.try_to_timestamp(bare).cast("date"))
 
 
 def nan_to_null(value: Column) -> Column:

@@ -35,26 +35,26 @@ def wide_to_long(df: DataFrame) -> DataFrame:
     def quoted(name: str):
         return F.col(f"`{name}`").cast("string")
 
-    # Covariates once per year; a cell holds its sales and the place of its year.
-    years = sorted({year for _, year, _ in sales_columns})
-    per_year = F.array(*[
-        F.struct(F.lit(year).alias("year"), *[
+    # Covariates once per year; an unpivoted sales cell looks up those of its year.
+    of_years = F.create_map(*[
+        part for year in sorted({year for _, year, _ in sales_columns})
+        for part in (F.lit(year), F.struct(*[
             (quoted(f"{year} {heading}") if f"{year} {heading}" in df.columns
              else F.lit(None).cast("string")).alias(canonical)
             for heading, canonical in WIDE_COVARIATES.items()
-        ])
-        for year in years
+        ]))
     ])
-    cells = F.array(*[
-        F.struct(F.lit(years.index(year)).alias("place"),
-                 F.lit(category.replace(*RENAMED_CATEGORY)).alias("category"), quoted(name).alias("sales"))
-        for name, year, category in sales_columns
-    ])
-    parts = df.select(
-        strip(F.col("Date").cast("string")).alias("day"), per_year.alias("per_year"), cells.alias("cells")
-    ).select("day", "per_year", F.inline("cells")).select(
-        "day", "category", "sales", F.get("per_year", F.col("place")).alias("of_year"))
-    day_first = F.try_to_timestamp(F.concat("day", F.lit("/"), "of_year.year"), F.lit("d/M/yyyy"))
+    base = df.select(
+        strip(F.col("Date").cast("string")).alias("day"), of_years.alias("of_years"),
+        *[quoted(name).alias(name) for name, _, _ in sales_columns],
+    )
+    # The DataFrame form of unpivot keeps NULL cells.
+    cells = base.unpivot(["day", "of_years"], [F.col(f"`{name}`") for name, _, _ in sales_columns], "heading", "sales")
+    year, category = (F.regexp_extract("heading", SALES_HEADING.pattern, group) for group in (1, 2))
+    parts = cells.select(
+        "day", year.alias("year"), F.replace(category, *map(F.lit, RENAMED_CATEGORY)).alias("category"), "sales",
+        F.try_element_at("of_years", year).alias("of_year"))
+    day_first = F.try_to_timestamp(F.concat("day", F.lit("/"), "year"), F.lit("d/M/yyyy"))
     long = parts.select(
         day_first.cast("date").alias("date"), "category", "sales",
         *[F.col(f"of_year.{name}") for name in WIDE_COVARIATES.values()],
