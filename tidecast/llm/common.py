@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; a session without one gets a folder in its warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,9 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and outlives executors."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")  # its own shuffle files are of no use once the table is written
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def blob(text: str) -> Column:
