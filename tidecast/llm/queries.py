@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, neardup, packing, secrets
+from tidecast.llm import bpe, neardup, packing, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,16 @@ def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # words of a text from which nothing went may still stand apart by any white space
+    gaps = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    return cleaned.select(
+        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
+        F.sha2(F.trim(gaps).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda m: m["kind"] == kind)).cast("long")
@@ -50,6 +60,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_hilbert_packing": op4_hilbert_packing,
     "op6_lsh_forest": op6_lsh_forest,
+    "op8_fm_index": op8_fm_index,
     "op10_secret_scan": op10_secret_scan,
 }
 
