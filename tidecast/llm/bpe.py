@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Held, by_batch, lists
+from tidecast.llm.common import Held, Remembered, by_batch, lists
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -183,23 +183,6 @@ class Transducer:
         return out + self._back(lasts, at)
 
 
-class Remembered(dict):
-    """The last `most` values made, and those before them that were needed again."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most, self.older = make, most, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key, self)
-        if value is self:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Encoder:
     """Whole texts: pieces by the pattern; ids of pieces and of ` word` chunks are remembered, bounded."""
 

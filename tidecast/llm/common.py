@@ -125,3 +125,20 @@ class Held:
 
     def __hash__(self) -> int:
         return hash(self.digest)
+
+
+class Remembered(dict):
+    """The last `most` values made, and those before them that were needed again."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key, self)
+        if value is self:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Held, mixed, tasks
+from tidecast.llm.common import Held, Remembered, mixed, tasks
 
 DIMENSIONS, BITS = 3, 10
 SPREAD = 4.0  # scale of the projected means before they are squashed into the unit cube
@@ -24,38 +25,49 @@ SPREAD = 4.0  # scale of the projected means before they are squashed into the u
 class Tokens:
     """Ids of whole texts. Chunks between blanks and line feeds are encoded apart and remembered.
 
-    The tokenizer drops white space and no rule of it reaches across, so a text's ids are its chunks' ids.
+    The tokenizer drops white space, and no rule of it reaches across. It lower-cases letters one by one and
+    parts them from marks, so `Word,` has the ids of `word` and of `,`.
     """
 
-    def __init__(self, raw: bytes, most: int = 250_000):
+    MARKS = ".,;:!?#$%&*()=+-/\"<>@"
+
+    def __init__(self, raw: bytes, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.most = most
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, closed by the id `end`."""
-        out, last = [], np.uint32(end).tobytes()
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            try:
-                parts = list(map(self.known.__getitem__, chunks))
-            except KeyError:
-                self._learn(set(chunks) - self.known.keys())
-                parts = list(map(self.known.__getitem__, chunks))
-                if len(self.known) > self.most:
-                    self.known = {}
-            parts.append(last)
-            out.append(b"".join(parts))
-        return out
-
-    def _learn(self, chunks: set[str]) -> None:
-        new = list(chunks)
-        for chunk, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[chunk] = np.array(made.ids, np.uint32).tobytes()
+        self.size = self.tokenizer.get_vocab_size(True)
+        # the byte-level alphabet: visible Latin-1 bytes stand for themselves, the rest follow from 256 on
+        seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = (b for b in range(256) if b not in seen)
+        self.letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.plain = Remembered(self._plain, most)
+        self.words = Remembered(self._word, most // 4)
+        self.chunks = Remembered(self._chunk, most)
+
+    def _word(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _plain(self, word: str) -> bytes:
+        """Composed small letters are one pre-token: straight to the merges."""
+        name = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return np.array([t.id for t in self.tokenizer.model.tokenize(name)], np.uint32).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        word = chunk.rstrip(self.MARKS)
+        if not word.isalpha():
+            return self._word(chunk)
+        low, marks = word.lower(), chunk[len(word) :]
+        plain = len(low) == len(word) and "\u03a3" not in word  # a final sigma depends on its place
+        plain = plain and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)
+        ids = self.plain[low] if plain else self.words[word]
+        return ids + self.words[marks] if marks else ids
+
+    def encode(self, text: str, end: int) -> bytes:
+        """Little-endian 32-bit ids, closed by the id `end`."""
+        ids = map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))
+        return b"".join(ids) + np.uint32(end).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -117,15 +129,14 @@ def tokenized(
 
     def run(batches):
         own = tokens_of(held)
-        size = own.tokenizer.get_vocab_size(True)
         for batch in batches:
-            made = own.encode(batch.column(2).to_pylist(), end)
+            made = [own.encode(x, end) for x in batch.column(2).to_pylist()]
             arrays = [np.frombuffer(x, np.uint32) for x in made]
             tie = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            place = curve_keys(arrays, max(size, end + 1)) << 32 | (tie & 0xFFFFFFFF)
+            place = curve_keys(arrays, max(own.size, end + 1)) << 32 | (tie & 0xFFFFFFFF)
             part = np.searchsorted(cuts, place, side="right").astype(np.int32)
             counts = np.array([len(x) for x in arrays], np.int64)
-            narrow = [x.astype(np.uint16).tobytes() for x in arrays] if size <= 65536 else made
+            narrow = [x.astype(np.uint16).tobytes() for x in arrays] if own.size <= 65536 else made
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(place), pa.array(part), pa.array(counts), pa.array(narrow, pa.binary())],
                 [id_column, "place", "part", "n_tokens", "ids"],
@@ -210,7 +221,7 @@ def pack(
     keyed = docs.select(id_column, text)
     sample = keyed.where(F.pmod(F.xxhash64(F.lit(7), id_column), F.lit(every)) == 0)
     cuts = borders(tokenized(sample, vocabulary_path, end, id_column, text), parts)
-    narrow = tokens_of(Held.read(vocabulary_path)).tokenizer.get_vocab_size(True) <= 65536
+    narrow = tokens_of(Held.read(vocabulary_path)).size <= 65536
     whole = tokenized(keyed, vocabulary_path, end, id_column, text, cuts)
     kind = docs.schema[id_column].dataType.simpleString()
     dealt = whole.repartitionById(len(cuts) + 1, F.col("part"))
