@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, neardup, packing, secrets, substrings
+from tidecast.llm import bpe, neardup, packing, secrets, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,16 @@ def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.learned(docs, table(spark, sf_dir, "labels"))
+    # only the id passes through the scoring tasks next to the text
+    scored = toxicity.score(docs.select("doc_id", "text"), machine, keep=["doc_id"])
+    return scored.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
@@ -59,6 +69,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_hilbert_packing": op4_hilbert_packing,
+    "op5_factorization_machine": op5_factorization_machine,
     "op6_lsh_forest": op6_lsh_forest,
     "op8_fm_index": op8_fm_index,
     "op10_secret_scan": op10_secret_scan,
