@@ -42,6 +42,7 @@ TEMPLATES = {
     "gpl": [
         "this program is free software you can redistribute it and or modify it under the terms of the gnu "
         "general public license as published by the free software foundation",
+        "licensed under the gnu general public license",
     ],
     "cc-by-nc": ["creative commons attribution noncommercial", "licensed under cc by nc"],
     "cc-by": ["this work is licensed under a creative commons attribution"],
@@ -143,6 +144,19 @@ class Scanner:
                 self.numbers.setdefault(word, len(self.numbers) + 1)
         self.sizes = [len(s) for s in sequences]
         self.automaton = Automaton([[self.numbers[w] for w in s] for s in sequences])
+        # a phrase ends where its own state is the state or lies above it
+        own: dict[int, list[int]] = {}
+        for phrase, (sequence, _) in enumerate(self.phrases):
+            state = 0
+            for word in sequence:
+                state = self.automaton.next[state][self.numbers[word]]
+            own.setdefault(state, []).append(phrase)
+        self.here, self.above = own, {}
+        for state in sorted(range(len(self.automaton.next)), key=lambda s: self.automaton.length[s]):
+            up = self.automaton.link[state]
+            found = [*self.above.get(up, ()), *own.get(up, ())] if up >= 0 else []
+            if found:
+                self.above[state] = found
         self.known = Remembered(lambda w: self.numbers.get(w, 0), 300_000)
         self.shortest = min([len(w) for w, _ in self.phrases] + [least])
 
@@ -160,9 +174,11 @@ class Scanner:
             seen = list(self.automaton.statistics(run))
             for i, (length, state) in enumerate(seen):
                 at = begin + i + 1
-                for phrase, size in enumerate(self.sizes[: len(self.phrases)]):
-                    if length >= size and size in self.automaton.ends[state].get(phrase, ()):
-                        places.append((at - size, phrase))
+                for phrase in self.above.get(state, ()):
+                    places.append((at - self.sizes[phrase], phrase))
+                for phrase in self.here.get(state, ()):
+                    if length >= self.sizes[phrase]:
+                        places.append((at - self.sizes[phrase], phrase))
                 maximal = i + 1 == len(seen) or seen[i + 1][0] <= length
                 if maximal and length >= self.least:
                     for template, stops in self.automaton.ends[state].items():

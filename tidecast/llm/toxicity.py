@@ -66,17 +66,24 @@ class Machine:
 
 
 def fit(
-    rows: list[np.ndarray], labels: np.ndarray, least_rows: int = 3, epochs: int = 6, batch: int = 256,
-    step: float = 0.2, pull: float = 0.05, seed: int = 7,
+    rows: list[np.ndarray], labels: np.ndarray, least_rows: int = 4, least_z: float = 4.0, common: float = 0.02,
+    epochs: int = 12, batch: int = 256, step: float = 0.5, pull: float = 0.05, seed: int = 7,
 ) -> Machine:
-    """Learn from rows of buckets and 0/1 labels; without both labels the machine is its bias alone."""
+    """Learn from rows of buckets and 0/1 labels; without both labels the machine is its bias alone.
+
+    Buckets enter if their labels differ from the rest by `least_z` standard deviations, or if they are in a
+    share `common` of the rows: those can matter together with others though not alone.
+    """
     total = int(labels.sum())
     prior = (total + 0.5) / (len(labels) + 1.0)
     empty = Machine(float(np.log(prior / (1 - prior))), np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
     if not 0 < total < len(labels):
         return empty
-    names, counts = np.unique(np.concatenate(rows), return_counts=True)
-    names = names[counts >= least_rows]
+    flat = np.concatenate(rows)
+    names, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    bad = np.bincount(at, np.repeat(labels, [len(r) for r in rows]), len(names))
+    z = np.abs(bad - counts * prior) / np.sqrt(counts * prior * (1 - prior))
+    names = names[(counts >= least_rows) & ((z >= least_z) | (counts >= common * len(rows)))]
     if not len(names):
         return empty
     places = []
