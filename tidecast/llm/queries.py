@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, licenses, neardup, packing, secrets, substrings, toxicity, urls
+from tidecast.llm import bpe, kmtree, knnjoin, licenses, neardup, packing, secrets, substrings, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmtree.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select(
@@ -49,6 +53,10 @@ def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knnjoin.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substrings.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
     # words of a text from which nothing went may still stand apart by any white space
@@ -85,9 +93,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_templates": op1_url_templates,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_kmeans_tree": op3_kmeans_tree,
     "op4_hilbert_packing": op4_hilbert_packing,
     "op5_factorization_machine": op5_factorization_machine,
     "op6_lsh_forest": op6_lsh_forest,
+    "op7_voronoi_join": op7_voronoi_join,
     "op8_fm_index": op8_fm_index,
     "op9_license_automaton": op9_license_automaton,
     "op10_secret_scan": op10_secret_scan,

@@ -66,8 +66,8 @@ class Machine:
 
 
 def fit(
-    rows: list[np.ndarray], labels: np.ndarray, least_rows: int = 4, least_z: float = 4.0, common: float = 0.02,
-    epochs: int = 12, batch: int = 256, step: float = 0.5, pull: float = 0.05, seed: int = 7,
+    rows: list[np.ndarray], labels: np.ndarray, least_rows: int = 4, least_z: float = 5.0, common: float = 0.02,
+    epochs: int = 15, batch: int = 256, step: float = 0.5, pull: float = 0.01, seed: int = 7,
 ) -> Machine:
     """Learn from rows of buckets and 0/1 labels; without both labels the machine is its bias alone.
 
