@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Held, Remembered, by_batch, lists
+from tidecast.llm.common import Held, Remembered, by_batch, lists, mapped
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
 
     kind = docs.schema[id_column].dataType.simpleString()
     chosen = docs.select(id_column, F.coalesce(F.col(text), F.lit("")).alias(text))
-    return chosen.mapInArrow(by_batch(run), f"`{id_column}` {kind}, tokens array<int>")
+    return chosen.transform(mapped, by_batch(run), f"`{id_column}` {kind}, tokens array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, step: int = 4096) -> DataFrame:
@@ -287,4 +287,4 @@ def decode(encoded: DataFrame, ranks_path: str, step: int = 4096) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "decoded"])
 
     kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in encoded.schema)
-    return encoded.mapInArrow(run, f"{kinds}, decoded string")
+    return encoded.transform(mapped, run, f"{kinds}, decoded string")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.llm.common import mapped
+
 DATA_BLOCK, QUERY_BLOCK = 1024, 128
 
 
@@ -96,7 +98,7 @@ def scored(pairs: DataFrame, k: int, exact: Callable[[np.ndarray, np.ndarray], n
                     [pa.array(numbers[row[kept]]), pa.array(value[kept]), pa.array(name[kept])], ["number", "score", "id"]
                 )
 
-    return pairs.mapInArrow(run, "number bigint, score double, id bigint")
+    return pairs.transform(mapped, run, "number bigint, score double, id bigint")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:

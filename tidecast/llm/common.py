@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -46,6 +47,22 @@ def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    """`mapInArrow` with batches of at most 8 MB: long texts would make a batch of many rows very large.
+
+    The limit is a setting of the session, which is lowered if it is larger.
+    """
+    conf = df.sparkSession.conf
+    plain = re.fullmatch(r"(\d+)b", conf.get(BATCH))
+    if plain and not 0 < int(plain[1]) <= BATCH_BYTES:
+        conf.set(BATCH, f"{BATCH_BYTES}b")
+    return df.mapInArrow(function, schema)
+
+
 def by_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """A `mapInArrow` function that turns each batch into one batch, and nothing else."""
 
@@ -80,7 +97,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for at most `most` words at a time."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

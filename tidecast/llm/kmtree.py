@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm.cells import answers, best, classes, matrix, packed_data, packed_queries, scored, usable
-from tidecast.llm.common import by_batch, stored
+from tidecast.llm.common import by_batch, mapped, stored
 from tidecast.llm.knnjoin import hashed_sample
 
 
@@ -127,7 +127,7 @@ def calibrated(tree: Tree, cells: DataFrame, asked: DataFrame, k: int, recall: f
                 [pa.array(numbers[row]), pa.array(rough[row, at.ravel()]), pa.array(cell[at.ravel()])], ["number", "score", "id"]
             )
 
-    near = best(cells.select("cell", "vector").mapInArrow(compare, "number bigint, score double, id bigint"), k - 1)
+    near = best(cells.select("cell", "vector").transform(mapped, compare, "number bigint, score double, id bigint"), k - 1)
     true = near.groupBy("number").agg(F.collect_list("id").alias("leaves")).toArrow().to_pydict()
     place = {n: i for i, n in enumerate(numbers.tolist())}
     needed = []
@@ -163,7 +163,7 @@ def search(
             [pa.array(tree.assign(matrix(batch.column(0)))), *batch.columns], ["cell", "vector", "ids"]
         )
 
-    cells = stored(data.mapInArrow(by_batch(place), "cell bigint, vector array<double>, ids array<bigint>"))
+    cells = stored(data.transform(mapped, by_batch(place), "cell bigint, vector array<double>, ids array<bigint>"))
     visits = calibrated(tree, cells, asked, k, recall, most_calibration)
 
     def group(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -172,7 +172,7 @@ def search(
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.assign(points)), zero], ["number", "vector", "group", "floor"])
 
     distinct = asked.select("number", "vector").dropDuplicates(["number"])
-    grouped = distinct.mapInArrow(by_batch(group), "number bigint, vector array<double>, group bigint, floor double")
+    grouped = distinct.transform(mapped, by_batch(group), "number bigint, vector array<double>, group bigint, floor double")
     blocks = stored(packed_queries(grouped))
 
     def wanted(batches):
@@ -181,7 +181,7 @@ def search(
                 leaves = np.array(sorted({leaf for q in matrix(queries.values) for leaf in tree.walk(q, visits)}), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaves), block.as_py())), pa.array(leaves)], ["block", "cell"])
 
-    visited = blocks.select("block", "vectors").mapInArrow(wanted, "block bigint, cell bigint")
+    visited = blocks.select("block", "vectors").transform(mapped, wanted, "block bigint, cell bigint")
     pairs = visited.join(packed_data(cells), "cell").join(blocks.select("block", "numbers", F.col("vectors").alias("queries")), "block")
     found = scored(pairs.select("numbers", "queries", "vectors", "ids"), k, product)
     return answers(best(found, k), asked.select("query_id", "number"), k)

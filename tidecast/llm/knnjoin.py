@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm.cells import answers, best, classes, matrix, packed_data, packed_queries, scored, usable
-from tidecast.llm.common import by_batch, lists, stored
+from tidecast.llm.common import by_batch, lists, mapped, stored
 
 
 def integers(rows: DataFrame, scale: int) -> DataFrame:
@@ -40,7 +40,7 @@ def placed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
         cells = nearest(matrix(batch.column(0)), pivots).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(cells), *batch.columns], ["cell", "vector", "ids"])
 
-    return rows.select("vector", "ids").mapInArrow(by_batch(run), "cell bigint, vector array<double>, ids array<bigint>")
+    return rows.select("vector", "ids").transform(mapped, by_batch(run), "cell bigint, vector array<double>, ids array<bigint>")
 
 
 def summaries(cells: DataFrame, pivots: np.ndarray) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -67,7 +67,7 @@ def summaries(cells: DataFrame, pivots: np.ndarray) -> dict[int, tuple[float, np
                 ["cell", "radius", "low", "high"],
             )
 
-    parts = cells.select("cell", "vector").mapInArrow(run, "cell bigint, radius double, low array<double>, high array<double>")
+    parts = cells.select("cell", "vector").transform(mapped, run, "cell bigint, radius double, low array<double>, high array<double>")
     each = parts.select("cell", "radius", F.posexplode(F.arrays_zip("low", "high")).alias("i", "range"))
     least = each.groupBy("cell", "i").agg(F.min("range.low").alias("low"), F.max("range.high").alias("high"), F.max("radius").alias("radius"))
     whole = least.groupBy("cell").agg(F.max("radius").alias("radius"), F.sort_array(F.collect_list(F.struct("i", "low", "high"))).alias("r"))
@@ -128,9 +128,9 @@ def search(
                 )
 
     distinct = asked.select("number", "vector").dropDuplicates(["number"])
-    floored = distinct.mapInArrow(by_batch(grouped), "number bigint, vector array<double>, group bigint, floor double")
+    floored = distinct.transform(mapped, by_batch(grouped), "number bigint, vector array<double>, group bigint, floor double")
     blocks = stored(packed_queries(floored))
-    wanted = blocks.select("block", "numbers", "vectors", "floors").mapInArrow(visits, "block bigint, cell bigint")
+    wanted = blocks.select("block", "numbers", "vectors", "floors").transform(mapped, visits, "block bigint, cell bigint")
     pairs = wanted.join(packed_data(cells), "cell").join(blocks.select("block", "numbers", F.col("vectors").alias("queries")), "block")
     found = scored(pairs.select("numbers", "queries", "vectors", "ids"), k, lambda a, b: (a * b).sum(axis=1))
     return answers(best(found, k), asked.select("query_id", "number"), k).withColumn("score", F.col("score").cast("long"))

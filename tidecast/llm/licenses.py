@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidecast.llm.common import Held, Remembered, blob
+from tidecast.llm.common import Held, Remembered, blob, mapped
 
 # The base phrases and their labels.
 PHRASES = {
@@ -242,8 +242,8 @@ def scan(
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, blob(text)).mapInArrow(
-        run,
+    return docs.select(id_column, blob(text)).transform(
+        mapped, run,
         f"`{id_column}` {kind}, n_words bigint, places array<struct<start:bigint,label:string>>, "
         "spans array<struct<start:bigint,end:bigint,label:string,covered:double>>",
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import blob, by_batch, grams, mixed, stored, tasks, word_hashes
+from tidecast.llm.common import blob, by_batch, grams, mapped, mixed, stored, tasks, word_hashes
 from tidecast.llm.components import components
 
 TREES, MINIMA, DEPTH, LEAST, CROWD, NEAR = 16, 96, 16, 2, 6, 2
@@ -78,7 +78,8 @@ def signatures(docs: DataFrame, id_column: str, text: str, words: int) -> DataFr
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, blob(text)).mapInArrow(
+    return docs.select(id_column, blob(text)).transform(
+        mapped,
         run, f"`{id_column}` {kind}, n_shingles bigint, key_1 bigint, key_2 bigint, signature binary"
     )
 
@@ -148,9 +149,9 @@ def forest(nodes: DataFrame) -> DataFrame:
             yield paired(held)
 
     spark = nodes.sparkSession
-    keyed = nodes.select("node", "signature").mapInArrow(by_batch(keys_of), "tree int, key binary, node bigint")
+    keyed = nodes.select("node", "signature").transform(mapped, by_batch(keys_of), "tree int, key binary, node bigint")
     ordered = keyed.repartitionByRange(tasks(spark), "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    pairs = ordered.mapInArrow(pairs_of, "a bigint, b bigint, chained boolean")
+    pairs = ordered.transform(mapped, pairs_of, "a bigint, b bigint, chained boolean")
     return pairs.where("a < b").groupBy("a", "b").agg(F.max("chained").alias("chained"))
 
 
@@ -167,7 +168,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
         return made.filter(pa.array(share >= floor))
 
     joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "chained", "sign_a", "sign_b")
-    return joined.mapInArrow(by_batch(run), "a bigint, b bigint, chained boolean, share double")
+    return joined.transform(mapped, by_batch(run), "a bigint, b bigint, chained boolean, share double")
 
 
 def shingle_sets(docs: DataFrame, id_column: str, text: str, words: int) -> DataFrame:
@@ -175,7 +176,7 @@ def shingle_sets(docs: DataFrame, id_column: str, text: str, words: int) -> Data
         made = [shingles(x, words).tobytes() for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "shingles"])
 
-    return docs.select(F.col(id_column).alias("node"), blob(text)).mapInArrow(by_batch(run), "node bigint, shingles binary")
+    return docs.select(F.col(id_column).alias("node"), blob(text)).transform(mapped, by_batch(run), "node bigint, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -193,7 +194,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return made.filter(pa.array(linked))
 
     joined = pairs.join(sides[0], "a").join(sides[1], "b").select("x", "y", "set_a", "set_b")
-    return joined.mapInArrow(by_batch(run), "x bigint, y bigint")
+    return joined.transform(mapped, by_batch(run), "x bigint, y bigint")
 
 
 def rooted(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Held, Remembered, mixed, tasks
+from tidecast.llm.common import Held, Remembered, mapped, mixed, tasks
 
 DIMENSIONS, BITS = 3, 10
 SPREAD = 4.0  # scale of the projected means before they are squashed into the unit cube
@@ -144,7 +144,7 @@ def tokenized(
 
     kind = docs.schema[id_column].dataType.simpleString()
     chosen = docs.select(id_column, F.xxhash64(id_column).alias("tie"), F.coalesce(F.col(text), F.lit("")).alias(text))
-    return chosen.mapInArrow(run, f"`{id_column}` {kind}, place bigint, part int, n_tokens bigint, ids binary")
+    return chosen.transform(mapped, run, f"`{id_column}` {kind}, place bigint, part int, n_tokens bigint, ids binary")
 
 
 def borders(sample: DataFrame, parts: int) -> np.ndarray:
@@ -227,4 +227,4 @@ def pack(
     dealt = whole.repartitionById(len(cuts) + 1, F.col("part"))
     ordered = dealt.sortWithinPartitions("place", id_column).select(id_column, "ids")
     schema = f"`{id_column}` {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-    return ordered.mapInArrow(lambda b: cut(b, width, id_column, narrow), schema)
+    return ordered.transform(mapped, lambda b: cut(b, width, id_column, narrow), schema)

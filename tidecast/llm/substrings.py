@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import blob, by_batch, grams, lists, mixed, stored, word_hashes
+from tidecast.llm.common import blob, by_batch, grams, lists, mapped, mixed, stored, word_hashes
 from tidecast.llm.fmindex import Index
 
 GRAM = 16
@@ -83,7 +83,7 @@ def contexts(rows: DataFrame, window: int) -> DataFrame:
             ["anchor", "content", "row", "doc", "start", "n"],
         )
 
-    return rows.mapInArrow(by_batch(run), "anchor bigint, content bigint, row bigint, doc bigint, start int, n int")
+    return rows.transform(mapped, by_batch(run), "anchor bigint, content bigint, row bigint, doc bigint, start int, n int")
 
 
 def words_of(wanted: DataFrame, rows: DataFrame, window: int) -> DataFrame:
@@ -117,8 +117,8 @@ def words_of(wanted: DataFrame, rows: DataFrame, window: int) -> DataFrame:
 
     entries = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "content", "doc", "start", "n", "crowded")).alias("entries"))
     one_each = rows.select("row", "words").join(entries, "row").dropDuplicates(["row"])
-    return one_each.select("words", "entries").mapInArrow(
-        run, "anchor bigint, content bigint, doc bigint, crowded boolean, n int, words binary, windows array<bigint>"
+    return one_each.select("words", "entries").transform(
+        mapped, run, "anchor bigint, content bigint, doc bigint, crowded boolean, n int, words binary, windows array<bigint>"
     )
 
 
@@ -204,5 +204,5 @@ def remove(
     joined = docs.withColumns({"_row": F.xxhash64(id_column, text), "_words": F.col(text).cast("binary")})
     joined = joined.join(cuts.withColumnRenamed("row", "_row"), "_row", "left").select(*others, "_words", "cuts")
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]
-    made = joined.mapInArrow(by_batch(run), ", ".join([*kinds, f"`{text}` string", "_n_words bigint", "_n_removed bigint"]))
+    made = joined.transform(mapped, by_batch(run), ", ".join([*kinds, f"`{text}` string", "_n_words bigint", "_n_removed bigint"]))
     return made.select(*docs.columns, "_n_words", "_n_removed")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Held, Remembered, blob, by_batch, lists
+from tidecast.llm.common import Held, Remembered, blob, by_batch, lists, mapped
 
 BUCKETS = 1 << 22
 LETTERS = 4  # length of the prefix terms
@@ -136,7 +136,7 @@ def featured(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], lists(flat, np.array([len(x) for x in made]))], names)
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, blob(text)).mapInArrow(by_batch(run), f"{kinds}, buckets array<int>")
+    return docs.select(*columns, blob(text)).transform(mapped, by_batch(run), f"{kinds}, buckets array<int>")
 
 
 def held_out(id_column: str) -> Column:
@@ -187,4 +187,4 @@ def score(
 
     kept = [c for c in (docs.columns if keep is None else keep) if c != column]
     kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{column}` double"])
-    return docs.select(*kept, blob(text).alias("_bytes")).mapInArrow(by_batch(run), kinds)
+    return docs.select(*kept, blob(text).alias("_bytes")).transform(mapped, by_batch(run), kinds)
