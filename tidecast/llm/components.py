@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import stored
+from tidecast.llm.common import mapped, stored
 
 
 def locally_joined(edges: DataFrame) -> DataFrame:
@@ -34,29 +34,38 @@ def locally_joined(edges: DataFrame) -> DataFrame:
                 a, b = top(a), top(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-            if len(parent) > 1_000_000:
-                yield stars()
         if parent:
             yield stars()
 
-    x, y = edges.columns
-    return edges.select(F.col(x).cast("long"), F.col(y).cast("long")).mapInArrow(run, "u bigint, v bigint")
+    return edges.transform(mapped, run, "u bigint, v bigint")
+
 
+def rooted_at(stars: DataFrame) -> DataFrame:
+    """(node, root): the edges of finished stars, and their centres."""
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+        stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, task_edges: int = 250_000, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges; root is the smallest node that can be reached.
 
-    Alternates two steps until nothing changes: every node links its larger neighbours to the smallest
-    node it sees, then every node links its smaller neighbours to the smallest of them. Both only take a
-    minimum per node and join it back, so a hub's edges are never gathered. Empty edges give no rows.
+    Tasks of at most `task_edges` edges first join what they see; if one task saw all, that is the answer.
+    What reaches across tasks then alternates two steps until nothing changes: every node links its larger
+    neighbours to the smallest node it sees, and every node links its smaller neighbours to the smallest of
+    them. Both only take a minimum per node and join it back, so a hub's edges are never gathered. Empty
+    edges give no rows.
     """
-    stars, before = stored(locally_joined(edges).where("u <> v").distinct()), None
+    x, y = edges.columns
+    plain = stored(edges.select(F.col(x).cast("long").alias("u"), F.col(y).cast("long").alias("v")))
+    parts = 1 + plain.count() // task_edges
+    stars, before = stored(locally_joined(plain.repartition(parts)).distinct()), None
+    if parts == 1:
+        return rooted_at(stars)
     for _ in range(most_rounds):
         seen = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen.n == 0 or (seen.n, seen.s) == before:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
+            return rooted_at(stars)
         before = (seen.n, seen.s)
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
