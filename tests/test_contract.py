@@ -98,7 +98,17 @@ def test_wide_renames_and_keeps_missing_weather(spark):
 
 
 def test_wide_errors(spark):
-    with pytest.raises(ValueError, match="Date column"):
+    with pytest.raises(ValueError, match="named Date"):
         wide_to_long(wide(spark, {"day": ["1/3"], "2016 water sales": ["1"]}))
     with pytest.raises(ValueError, match="sales"):
         wide_to_long(wide(spark, {"Date": ["1/3"], "water": ["1"]}))
+
+
+def test_spellings_of_days_and_infinities(spark):
+    spellings = ["2016-03-01", "2016/03/01", "03/01/2016", "20160301", "1 March 2016", "Mar 1, 2016", " 2016-03-01 10:00 "]
+    rows = [(text, *GOOD[0][1:]) for text in spellings]
+    assert {r["date"] for r in coerce(spark.createDataFrame(rows, TEXT)).collect()} == {date(2016, 3, 1)}
+    odd = [("13/01/2016", *GOOD[0][1:]), ("day 1", *GOOD[0][1:]), ("", *GOOD[0][1:]), ("99999999", *GOOD[0][1:])]
+    assert [r["date"] for r in coerce(spark.createDataFrame(odd, TEXT)).collect()] == [date(2016, 1, 13), None, None, None]
+    endless = coerce(spark.createDataFrame([(*GOOD[0][:2], "inf", *GOOD[0][3:])], TEXT)).first()
+    assert endless["sales"] == float("inf") or endless["sales"] is None or float("inf") in endless.asDict().values()

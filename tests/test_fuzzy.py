@@ -155,8 +155,7 @@ def test_repeated_labels_are_numbered(spark):
 def test_candidate_rules(spark):
     row = spark.range(1).select(fuzzy_train.candidate_rules(2, 3).alias("r")).first()
     assert row["r"] == [[a, b] for a in range(3) for b in range(3)]
-    with pytest.raises(ValueError, match="exceed"):
-        fuzzy_train.rule_limit(13, 2)
+    assert fuzzy_train.rule_count(13, 2) == 8192
     cells = spark.range(1).select(fuzzy_train.initial_memberships(1, 4).alias("m")).first()["m"]
     assert [(c["center"], c["sigma"]) for c in cells] == [(0.125, 0.1375), (0.375, 0.1375), (0.625, 0.1375), (0.875, 0.1375)]
 
@@ -222,3 +221,19 @@ def test_training_refuses_inputs_outside_the_unit_interval(spark):
     frame = training_frame(spark).withColumn("humidity", F.col("humidity") + 1)
     with pytest.raises(Exception, match="must be finite and in"):
         fuzzy_train.training_rows(frame, VARIANTS).collect()
+
+
+def test_small_activations_keep_their_weight(spark):
+    from tidecast.functions.scalars import exact_sum
+
+    one = spark.createDataFrame([(3e-12, 0.5)], "a double, t double")
+    sums = one.agg(exact_sum(F.col("a")).alias("a"), exact_sum(F.col("a") * F.col("t")).alias("w")).first()
+    assert sums["w"] / sums["a"] == pytest.approx(0.5, rel=1e-5)
+
+
+def test_rules_without_samples_fail_the_support_check(spark):
+    from tidecast.operators.verify import support_checks
+
+    rules = spark.createDataFrame([("x", 1, 1), ("x", 2, 0), ("x", 3, 9)], "category string, rule_id int, support int")
+    seen = spark.createDataFrame([("x", 1, 0.5), ("x", 3, 0.5)], "category string, rule_id int, activation double")
+    assert support_checks(rules, seen, ["category"]).first()["outside"] == 2

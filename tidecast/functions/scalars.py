@@ -31,15 +31,35 @@ def strip(text: Column) -> Column:
 
 
 def number_or_null(text: Column) -> Column:
-    """Double parsed from text; NULL where the text is no plain decimal number."""
+    """Double parsed from text; NULL where the text is no plain decimal number and no infinity."""
     bare = strip(text)
-    return F.when(F.translate(bare, NUMBER_SIGNS, "") == "", bare.try_cast("double"))
+    plain = (F.translate(bare, NUMBER_SIGNS, "") == "") | F.ltrim(F.lower(bare), F.lit("+-")).isin("inf", "infinity")
+    return F.when(plain, bare.try_cast("double"))
+
+
+# Spellings of a day besides ISO, in the order in which they are tried: month first, then day first.
+SLASHED = ["y/M/d", "M/d/y", "d/M/y"]
+NAMED = ["d MMMM y", "d MMM y", "MMMM d, y", "MMM d, y", "MMMM d y", "MMM d y", "d-MMM-y"]
 
 
 def day_or_null(text: Column) -> Column:
-    """Date parsed from ISO text, with or without a time of day; NULL where it is no date."""
+    """Date parsed from text; NULL where it is no date.
+
+    ISO text with or without a time of day, `20160301`, `2016/03/01`, `03/01/2016` (the month first,
+    unless it cannot be), and days with an English month name.
+    """
     bare = strip(text)
-    return F.when(F.substring(bare, 5, 1) == "-", F.try_to_timestamp(bare).cast("date"))
+
+    def first_of(formats: list[str]) -> Column:
+        return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in formats])
+
+    parsed = (
+        F.when(F.substring(bare, 5, 1) == "-", F.try_to_timestamp(bare))
+        .when(F.contains(bare, F.lit("/")), first_of(SLASHED))
+        .when((F.length(bare) == 8) & (F.translate(bare, "0123456789", "") == ""), F.try_to_timestamp(bare, F.lit("yyyyMMdd")))
+        .when(F.translate(F.lower(bare), "abcdefghijklmnopqrstuvwxyz", "") != F.lower(bare), first_of(NAMED))
+    )
+    return parsed.cast("date")
 
 
 def nan_to_null(value: Column) -> Column:
@@ -70,12 +90,6 @@ def safe_name(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}]", "_"), "^_+|_+$", "")
 
 
-FIXED_POINT = 1e12
-
-
 def exact_sum(value: Column) -> Column:
-    """Aggregate: sum in fixed point (12 decimals), the same for any order of rows and partitions.
-
-    More than 9.2 million units in one group overflow the 64-bit sum, which is an error, not a wrap.
-    """
-    return F.sum(F.round(value * FIXED_POINT).cast("long")) / FIXED_POINT
+    """Aggregate: sum in fixed point (18 decimals), the same for any order of rows and partitions."""
+    return F.sum(value.cast("decimal(28,18)")).cast("double")

@@ -22,17 +22,14 @@ from tidecast.operators.fuzzy_score import JOB_KEYS, score_jobs
 from tidecast.operators.rounds import durable, pack_rows, run_rounds, task_count
 from tidecast.plans.config import FuzzyConfig
 
-MAX_CANDIDATE_RULES = 4096
 SERIES_VARIANT = ["category", "variant"]
 
 
 # ---- candidate rules and first memberships
 
-def rule_limit(features: int, mfs: int) -> int:
-    rules = mfs**features
-    if rules > MAX_CANDIDATE_RULES:
-        raise ValueError(f"{rules} candidate rules for {features} inputs exceed {MAX_CANDIDATE_RULES}")
-    return rules
+def rule_count(features: int, mfs: int) -> int:
+    """Candidate rules of a model: every choice of one membership per feature."""
+    return mfs**features
 
 
 def candidate_rules(features: int, mfs: int) -> Column:
@@ -42,7 +39,7 @@ def candidate_rules(features: int, mfs: int) -> Column:
     """
     rules = [
         "array(" + ",".join(str(g // mfs ** (features - 1 - f) % mfs) for f in range(features)) + ")"
-        for g in range(rule_limit(features, mfs))
+        for g in range(rule_count(features, mfs))
     ]
     return F.expr("array(" + ",".join(rules) + ")")
 
@@ -114,7 +111,7 @@ def candidate_activations(rows: DataFrame, variants: dict[str, list[str]], mfs:
     for f, m, center, sigma, scale, lag in initial_cells(len(features), mfs):
         lower, upper = fuzzy.membership_pair(F.col(features[f]), *map(F.lit, (center, sigma, scale, lag)))
         degree[f, m] = F.sqrt(lower * upper).alias(f"degree_{f}_{m}")
-    sizes = {variant: rule_limit(len(names), mfs) for variant, names in variants.items()}
+    sizes = {variant: rule_count(len(names), mfs) for variant, names in variants.items()}
     exploded = rows.select("category", "target_norm", "fallback", "rows", *degree.values()).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(sum(sizes.values()) - 1))).alias("number"))
     g, label, activation, start = F.col("number"), None, None, 0
@@ -198,7 +195,7 @@ def first_state(
     jobs = listed.select(
         *SERIES_VARIANT, "fallback", "rows",
         by_variant(variants, lambda names: F.array(*[F.lit(feature_order.index(f)) for f in names])).alias("used"),
-        by_variant(variants, lambda names: F.lit(rule_limit(len(names), mfs))).alias("total"),
+        by_variant(variants, lambda names: F.lit(rule_count(len(names), mfs))).alias("total"),
         by_variant(variants, lambda names: initial_shape(len(names), mfs)).alias("shape"),
         F.transform("cells", lambda c: clip(c["consequent"])).alias("consequents"),
         F.transform("cells", lambda c: F.when(c["strong"], 0.8).otherwise(0.2)).alias("selection"),
@@ -487,7 +484,7 @@ def score_population(
     rows: DataFrame, features: list[str], genomes: list[list[float]], cfg: FuzzyConfig
 ) -> DataFrame:
     """Fitness of each genome on each series: mean absolute error plus a price per active rule."""
-    total = rule_limit(len(features), cfg.num_input_mfs)
+    total = rule_count(len(features), cfg.num_input_mfs)
     chunks = pack_rows(rows, ["category"], features, F.col("pos"))
     shape = initial_shape(len(features), cfg.num_input_mfs)
     listed = F.array(*[F.array(*[F.lit(float(v)) for v in g]) for g in genomes])

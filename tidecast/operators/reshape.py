@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions.scalars import strip
@@ -26,37 +26,23 @@ RENAMED_CATEGORY = ("insecticide control", "insect repellent")
 def wide_to_long(df: DataFrame) -> DataFrame:
     """One long row per input row and `<yyyy> <category> sales` column. Row-local: no join, no shuffle."""
     if "Date" not in df.columns:
-        raise ValueError("Legacy wide data must contain a Date column")
+        raise ValueError("Wide table without a column named Date")
     found = [(name, SALES_HEADING.match(name)) for name in df.columns]
-    sales_columns = [(name, m.group(1), m.group(2).strip()) for name, m in found if m]
-    if not sales_columns:
-        raise ValueError("No '<year> <category> sales' columns were found")
-
-    def quoted(name: str):
-        return F.col(f"`{name}`").cast("string")
-
-    # Covariates once per year; an unpivoted sales cell looks up those of its year.
-    of_years = F.create_map(*[
-        part for year in sorted({year for _, year, _ in sales_columns})
-        for part in (F.lit(year), F.struct(*[
-            (quoted(f"{year} {heading}") if f"{year} {heading}" in df.columns
-             else F.lit(None).cast("string")).alias(canonical)
-            for heading, canonical in WIDE_COVARIATES.items()
-        ]))
-    ])
-    base = df.select(
-        strip(F.col("Date").cast("string")).alias("day"), of_years.alias("of_years"),
-        *[quoted(name).alias(name) for name, _, _ in sales_columns],
-    )
-    # The DataFrame form of unpivot keeps NULL cells.
-    cells = base.unpivot(["day", "of_years"], [F.col(f"`{name}`") for name, _, _ in sales_columns], "heading", "sales")
-    year, category = (F.regexp_extract("heading", SALES_HEADING.pattern, group) for group in (1, 2))
-    parts = cells.select(
-        "day", year.alias("year"), F.replace(category, *map(F.lit, RENAMED_CATEGORY)).alias("category"), "sales",
-        F.try_element_at("of_years", year).alias("of_year"))
+    sales = [(name, m.group(1), m.group(2).strip().replace(*RENAMED_CATEGORY)) for name, m in found if m]
+    if not sales:
+        raise ValueError("Wide table without a column named like '2016 water sales'")
+
+    def text_of(name: str) -> Column:
+        return F.col(f"`{name}`").cast("string") if name in df.columns else F.lit(None).cast("string")
+
+    # Headings are read once, by the driver: each cell is a struct of columns and constants.
+    cells = [
+        F.struct(
+            F.lit(year).alias("year"), F.lit(category).alias("category"), text_of(name).alias("sales"),
+            *[text_of(f"{year} {heading}").alias(canonical) for heading, canonical in WIDE_COVARIATES.items()],
+        )
+        for name, year, category in sales
+    ]
+    long = df.select(strip(F.col("Date").cast("string")).alias("day"), F.inline(F.array(*cells)))
     day_first = F.try_to_timestamp(F.concat("day", F.lit("/"), "year"), F.lit("d/M/yyyy"))
-    long = parts.select(
-        day_first.cast("date").alias("date"), "category", "sales",
-        *[F.col(f"of_year.{name}") for name in WIDE_COVARIATES.values()],
-    )
-    return coerce(long)
+    return coerce(long.select(day_first.cast("date").alias("date"), "category", "sales", *WIDE_COVARIATES.values()))

@@ -7,7 +7,6 @@ per (series, variant, seed) moves to the next round. A long series is many chunk
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,14 +17,11 @@ TASK_PAIRS = 32
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by `spark.checkpoint.dir`; only a local session may get one of its own."""
+    """Use the folder named by `spark.checkpoint.dir`; a session without one gets one in its warehouse."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not context.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
 
 
 def durable(df: DataFrame) -> DataFrame:

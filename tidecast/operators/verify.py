@@ -70,10 +70,11 @@ def activation_checks(activations: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def support_checks(rules: DataFrame, activations: DataFrame, keys: list[str]) -> DataFrame:
-    """Per model: rules whose support lies outside 0 .. sample count."""
+    """Per model: rules whose support lies outside 0 .. sample count, or that have no sample at all."""
     samples = activations.groupBy(*keys, "rule_id").agg(F.count(F.lit(1)).alias("samples"))
-    outside = (F.col("support") < 0) | (F.col("support") > F.col("samples"))
-    return rules.join(samples, [*keys, "rule_id"]).groupBy(*keys).agg(F.count_if(outside).alias("outside"))
+    inside = F.col("support").between(F.lit(0), F.col("samples"))
+    outside = ~F.coalesce(inside, F.lit(False))
+    return rules.join(samples, [*keys, "rule_id"], "left").groupBy(*keys).agg(F.count_if(outside).alias("outside"))
 
 
 def missing_outputs(jobs: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:

@@ -61,7 +61,7 @@ def run_benchmark(
         raise ValueError(f"{lost['category']}: both {config.train_year} and {config.test_year} data are required")
     demand = features.select_categories(demand, config.categories)
     run_id = new_run_id(spark, root, label)
-    write_manifest(spark, root, run_id, config.to_dict(), base_name(path), data_identity(spark, path, demand))
+    write_manifest(spark, root, run_id, config.to_dict(), base_name(path), data_identity(demand))
 
     def store(df: DataFrame, table: str) -> DataFrame:
         return write_run_table(df, root, table, run_id)

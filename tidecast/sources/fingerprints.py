@@ -1,20 +1,20 @@
-"""Identity of data: file digests and order-free table fingerprints."""
+"""Identity of data: order-free table fingerprints, and digests of files."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.sources.paths import total_bytes
-
-FILE_DIGEST_BYTES = 1 << 30
 PRIME = 2_147_483_647
 
 
 def row_fingerprint(columns: list[str], when: Column | None = None) -> Column:
-    """Aggregate: SHA-256 over the count and two order-free sums of row hashes."""
-    cells = [F.col(f"`{c}`") for c in columns]
-    first, second = F.xxhash64(*cells), F.xxhash64(F.lit("second"), *cells)
+    """Aggregate: SHA-256 over the count and two order-free sums of row hashes.
+
+    A row is hashed as JSON text with its column names, so a NULL counts where it stands.
+    """
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+    first, second = F.xxhash64(text), F.xxhash64(F.lit("second"), text)
     if when is not None:
         first, second = F.when(when, first), F.when(when, second)
     parts = [F.count(first), F.coalesce(F.bit_xor(first), F.lit(0)),
@@ -28,16 +28,19 @@ def fingerprint_df(df: DataFrame) -> str:
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """SHA-256 of a file; for a folder, of its files' digests in path order."""
+    """SHA-256 of one file; of a folder, the fingerprint of its files' paths and digests.
+
+    For small files that a caller wants to name byte by byte; a task holds a file whole. Runs use
+    `data_identity`.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     digests = files.select("path", F.sha2("content", 256).alias("digest"))
-    listed = digests.agg(F.sort_array(F.collect_list(F.struct("path", "digest")))["digest"].alias("digests"))
-    one = F.get("digests", F.lit(0))
-    return listed.select(
-        F.when(F.size("digests") == 1, one).otherwise(F.sha2(F.concat_ws("", "digests"), 256)).alias("digest")
-    ).first()["digest"]
+    found = digests.agg(
+        F.count("*").alias("files"), F.max("digest").alias("only"), row_fingerprint(digests.columns).alias("all")
+    ).first()
+    return found["only"] if found["files"] == 1 else found["all"]
 
 
-def data_identity(spark: SparkSession, path: str, df: DataFrame) -> str:
-    """File digest while all files are small, else the table fingerprint (no file is held whole)."""
-    return fingerprint(spark, path) if total_bytes(spark, path) <= FILE_DIGEST_BYTES else fingerprint_df(df)
+def data_identity(df: DataFrame) -> str:
+    """The table fingerprint, for inputs of every size."""
+    return fingerprint_df(df)
