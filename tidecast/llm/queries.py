@@ -103,4 +103,63 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+# Plain SQL of the operators that have one: all pairs or all windows, for small tables.
+ORACLES: dict[str, str] = {
+    "op6_lsh_forest": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), places AS (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS shingle FROM places
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+)
+SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept
+FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+""",
+    "op7_voronoi_join": """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scores AS (
+    SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+    FROM vectors q JOIN vectors d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scores
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 20
+""",
+    "op8_fm_index": r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+    SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50
+), windows AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM starts
+), firsts AS (
+    SELECT k, min(doc_id) AS lowest FROM windows GROUP BY k
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+    FROM windows JOIN firsts USING (k) WHERE lowest < doc_id
+), cells AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words
+), kept AS (
+    SELECT c.doc_id, string_agg(word, ' ' ORDER BY c.p) AS t
+    FROM cells c ANTI JOIN gone g ON g.doc_id = c.doc_id AND g.p = c.p GROUP BY c.doc_id
+), removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)
+""",
+}
