@@ -372,7 +372,7 @@ oracle("type_reduce", ["interval"], f"select sample_id, {rs(['y_left', 'y_right'
 oracle("it2_predict", ["interval"], f"""
 select sample_id, {r(crisp(str(fx.FALLBACK)), "prediction_norm")}, upper_sum <= 1e-12 as no_rule_fired from interval""")
 oracle("predict_saved", ["interval"], f"""
-select cast(o_orderdate as date) as date, {r(crisp(str(fx.FALLBACK)), "prediction_norm")},
+select sample_id, cast(o_orderdate as date) as date, {r(crisp(str(fx.FALLBACK)), "prediction_norm")},
        upper_sum <= 1e-12 as no_rule_fired from interval join orders on sample_id = o_orderkey""")
 oracle("rule_activations", ["firing"],
        f"select sample_id, rule_id, {r('sqrt(lower * upper)', 'activation')} from firing")

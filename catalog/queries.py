@@ -303,7 +303,7 @@ def predict_saved(spark, sf_dir):
     days = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("sample_id"), F.col("o_orderdate").cast("date").alias("date"))
     rows = fx.order_inputs(spark, sf_dir).join(days, "sample_id")
-    return fuzzy_infer.predict_saved(fx.fixed_model(spark), rows, fx.ORDER_FEATURES)
+    return fuzzy_infer.predict_saved(fx.fixed_model(spark), rows, fx.ORDER_FEATURES, ("sample_id", "date"))
 
 
 def order_activations(spark, sf_dir):

@@ -144,11 +144,14 @@ def activations_wide(activations: DataFrame, keys: list[str], rules: int) -> Dat
     return activations.groupBy(*keys).agg(*cells)
 
 
-def predict_saved(models: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
+def predict_saved(
+    models: DataFrame, rows: DataFrame, features: list[str], keys: tuple[str, ...] = ("date",)
+) -> DataFrame:
     """Score one saved model: the features must be the model's, in its order.
 
-    Row-local, so `rows` may be a stream.
+    `keys` are the columns that tell rows apart, such as series and date. Row-local, so `rows` may be a
+    stream.
     """
     model = single_model(models)
     check_features(model["feature_columns"], features)
-    return it2_predict(rows, features, ["date"], model)
+    return it2_predict(rows, features, list(keys), model)

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 from tidecast.operators.fuzzy_infer import predict_saved
 
 
-def score_stream(models: DataFrame, stream: DataFrame, features: list[str]) -> DataFrame:
-    """Predictions of one saved model for a streaming DataFrame with a `date` and the features."""
+def score_stream(
+    models: DataFrame, stream: DataFrame, features: list[str], keys: tuple[str, ...] = ("date",)
+) -> DataFrame:
+    """Predictions of one saved model for a streaming DataFrame with the key columns and the features."""
     if not stream.isStreaming:
         raise ValueError("score_stream expects a streaming DataFrame")
-    return predict_saved(models, stream, features)
+    return predict_saved(models, stream, features, keys)
