@@ -11,7 +11,6 @@ decides between them, and a token goes out once every token still under way agre
 from __future__ import annotations
 
 import base64
-import functools
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Held, Remembered, by_batch, lists, mapped
+from tidecast.llm.common import Held, Remembered, by_batch, kept, lists, mapped
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -235,9 +234,8 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(held: Held, pattern: str) -> Encoder:
-    return Encoder(held.raw, pattern)
+    return kept("encoder", (held, pattern), lambda: Encoder(held.raw, pattern))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:

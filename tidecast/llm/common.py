@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 import uuid
@@ -97,7 +96,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for at most `most` words at a time."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -110,9 +109,20 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-@functools.lru_cache(maxsize=None)
+_kept: dict[str, tuple] = {}
+
+
+def kept(kind: str, key, make: Callable):
+    """One value per worker: what a worker made for the last operator goes when the next one asks."""
+    now = _kept.get(kind)
+    if now is None or now[0] != key:
+        _kept.clear()
+        now = _kept[kind] = (key, make())
+    return now[1]
+
+
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return kept("words", None, WordHashes)
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:

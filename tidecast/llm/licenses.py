@@ -8,14 +8,13 @@ where a chain covers enough of it.
 
 from __future__ import annotations
 
-import functools
 import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidecast.llm.common import Held, Remembered, blob, mapped
+from tidecast.llm.common import Held, Remembered, blob, kept, mapped
 
 # The base phrases and their labels.
 PHRASES = {
@@ -203,9 +202,8 @@ class Scanner:
         return sorted(s for s in made if s[3] >= self.cover)
 
 
-@functools.lru_cache(maxsize=2)
 def scanner_of(held: Held) -> Scanner:
-    return Scanner(**json.loads(held.raw))
+    return kept("scanner", held, lambda: Scanner(**json.loads(held.raw)))
 
 
 def scan(

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Held, Remembered, mapped, mixed, tasks
+from tidecast.llm.common import Held, Remembered, kept, mapped, mixed, tasks
 
 DIMENSIONS, BITS = 3, 10
 SPREAD = 4.0  # scale of the projected means before they are squashed into the unit cube
@@ -70,9 +70,8 @@ class Tokens:
         return b"".join(ids) + np.uint32(end).tobytes()
 
 
-@functools.lru_cache(maxsize=2)
 def tokens_of(held: Held) -> Tokens:
-    return Tokens(held.raw)
+    return kept("tokens", held, lambda: Tokens(held.raw))
 
 
 @functools.lru_cache(maxsize=2)

@@ -8,7 +8,6 @@ learned with per-coordinate step sizes and an L1 pull, so buckets that carry not
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import pickle
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Held, Remembered, blob, by_batch, lists, mapped
+from tidecast.llm.common import Held, Remembered, blob, by_batch, kept, lists, mapped
 
 BUCKETS = 1 << 22
 LETTERS = 4  # length of the prefix terms
@@ -37,9 +36,8 @@ def terms(word: bytes) -> tuple[int, ...]:
     )
 
 
-@functools.lru_cache(maxsize=1)
 def known_terms() -> Remembered:
-    return Remembered(terms, 150_000)
+    return kept("terms", None, lambda: Remembered(terms, 60_000))
 
 
 def buckets(text: bytes) -> np.ndarray:
@@ -122,8 +120,8 @@ def fit(
             w, v = w - move_w * grad_w, v - move_v * grad_v
             weights[touched] = np.sign(w) * np.maximum(np.abs(w) - move_w * pull * seen, 0)
             factors[touched] = np.sign(v) * np.maximum(np.abs(v) - move_v * pull * seen[:, None], 0)
-    kept = (np.abs(weights) > 1e-3) | (np.abs(factors).max(axis=1) > 1e-2)
-    return Machine(float(bias), names[kept], weights[kept], factors[kept])
+    used = (np.abs(weights) > 1e-3) | (np.abs(factors).max(axis=1) > 1e-2)
+    return Machine(float(bias), names[used], weights[used], factors[used])
 
 
 def featured(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -159,11 +157,14 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int
     return fit(found, targets) if found else fit([], np.zeros(0))
 
 
-@functools.lru_cache(maxsize=2)
 def places_of(held: Held) -> tuple[Machine, Remembered]:
+    return kept("places", held, lambda: loaded(held))
+
+
+def loaded(held: Held) -> tuple[Machine, Remembered]:
     machine: Machine = pickle.loads(held.raw)
     place = {int(name): i for i, name in enumerate(machine.names)}
-    return machine, Remembered(lambda word: tuple(place[b] for b in terms(word) if b in place), 200_000)
+    return machine, Remembered(lambda word: tuple(place[b] for b in terms(word) if b in place), 120_000)
 
 
 def score(
@@ -185,6 +186,6 @@ def score(
         names = [*batch.schema.names[:-1], column]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own.scores(rows))], names)
 
-    kept = [c for c in (docs.columns if keep is None else keep) if c != column]
-    kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{column}` double"])
-    return docs.select(*kept, blob(text).alias("_bytes")).transform(mapped, by_batch(run), kinds)
+    others = [c for c in (docs.columns if keep is None else keep) if c != column]
+    kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), f"`{column}` double"])
+    return docs.select(*others, blob(text).alias("_bytes")).transform(mapped, by_batch(run), kinds)
