@@ -288,7 +288,6 @@ def test_toxicity_learns_pairs(spark):
 
 
 def test_toxicity_of_the_tables(spark):
-    from catalog.queries import QUERIES  # noqa: F401  the rest of the library loads without these operators
     from tidecast.llm.queries import op5_factorization_machine
 
     folder = "/root/testdata/sf0.01"
