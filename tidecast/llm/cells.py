@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.common import mapped
 
-DATA_BLOCK, QUERY_BLOCK = 1024, 128
+DATA_BLOCK, QUERY_BLOCK = 1024, 256
 
 
 def usable(table: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -67,6 +67,15 @@ def packed_queries(asked: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
     )
 
 
+def met(visits: DataFrame, blocks: DataFrame, cells: DataFrame) -> DataFrame:
+    """(numbers, queries, vectors, ids) of every visit: queries travel to the cells that they visit.
+
+    Data is dealt by cell once; what a join task pairs goes straight to its own products.
+    """
+    sent = visits.join(blocks.select("block", "numbers", F.col("vectors").alias("queries")), "block")
+    return sent.join(packed_data(cells), "cell").select("numbers", "queries", "vectors", "ids")
+
+
 def scored(pairs: DataFrame, k: int, exact: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(number, score, id): the best `k + 1` ids of every pair (numbers, queries, vectors, ids) of blocks.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.cells import answers, best, classes, matrix, packed_data, packed_queries, scored, usable
+from tidecast.llm.cells import answers, best, classes, matrix, met, packed_queries, scored, usable
 from tidecast.llm.common import by_batch, mapped, stored
 from tidecast.llm.knnjoin import hashed_sample
 
@@ -140,7 +140,7 @@ def calibrated(tree: Tree, cells: DataFrame, asked: DataFrame, k: int, recall: f
 
 def search(
     table: DataFrame, id_column: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20,
-    recall: float = 0.96, branches: int = 12, leaf_rows: int = 40, most_sample: int = 8192, most_calibration: int = 200,
+    recall: float = 0.96, branches: int = 10, leaf_rows: int = 128, most_sample: int = 8192, most_calibration: int = 200,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): about the best `k` rows by inner product for ids divisible by `every`.
 
@@ -182,6 +182,5 @@ def search(
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaves), block.as_py())), pa.array(leaves)], ["block", "cell"])
 
     visited = blocks.select("block", "vectors").transform(mapped, wanted, "block bigint, cell bigint")
-    pairs = visited.join(packed_data(cells), "cell").join(blocks.select("block", "numbers", F.col("vectors").alias("queries")), "block")
-    found = scored(pairs.select("numbers", "queries", "vectors", "ids"), k, product)
+    found = scored(met(visited, blocks, cells), k, product)
     return answers(best(found, k), asked.select("query_id", "number"), k)

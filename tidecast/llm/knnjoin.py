@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.cells import answers, best, classes, matrix, packed_data, packed_queries, scored, usable
+from tidecast.llm.cells import answers, best, classes, matrix, met, packed_queries, scored, usable
 from tidecast.llm.common import by_batch, lists, mapped, stored
 
 
@@ -97,7 +97,7 @@ def search(
     if not len(sample):
         empty = "query_id bigint, rank int, vec_id bigint, score bigint"
         return table.sparkSession.createDataFrame([], empty)
-    pivots = sample[: min(most_pivots, max(1, len(sample) // 8))]
+    pivots = sample[: min(most_pivots, max(1, len(sample) // 64))]
     cells = stored(placed(data, pivots))
     known = summaries(cells, pivots)
     numbers = np.array(sorted(known), np.int64)
@@ -131,6 +131,5 @@ def search(
     floored = distinct.transform(mapped, by_batch(grouped), "number bigint, vector array<double>, group bigint, floor double")
     blocks = stored(packed_queries(floored))
     wanted = blocks.select("block", "numbers", "vectors", "floors").transform(mapped, visits, "block bigint, cell bigint")
-    pairs = wanted.join(packed_data(cells), "cell").join(blocks.select("block", "numbers", F.col("vectors").alias("queries")), "block")
-    found = scored(pairs.select("numbers", "queries", "vectors", "ids"), k, lambda a, b: (a * b).sum(axis=1))
+    found = scored(met(wanted, blocks, cells), k, lambda a, b: (a * b).sum(axis=1))
     return answers(best(found, k), asked.select("query_id", "number"), k).withColumn("score", F.col("score").cast("long"))
