@@ -171,12 +171,36 @@ def estimated(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
     return joined.transform(mapped, by_batch(run), "a bigint, b bigint, chained boolean, share double")
 
 
-def shingle_sets(docs: DataFrame, id_column: str, text: str, words: int) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+MARKS = 1 << 23
+
+
+def marked(ends: DataFrame) -> np.ndarray:
+    """A fixed 1 MB of bits with the hashed ids set; the driver reads 131,072 words at most."""
+    words = ends.selectExpr(f"pmod(xxhash64(node), {MARKS}L) AS b").groupBy(F.expr("shiftright(b, 6) AS word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(b % 64 AS int))) AS bits")
+    ).toArrow()
+    bits = np.zeros(MARKS // 64, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return np.unpackbits(bits.view(np.uint8), bitorder="little")
+
+
+def shingle_sets(docs: DataFrame, id_column: str, text: str, words: int, ends: DataFrame) -> DataFrame:
+    """(node, shingles) of the documents in `ends`, and of some others whose hashed ids are marked too.
+
+    The marks keep most texts out of the shuffle; where very many documents are near copies they keep out
+    less, and nothing else changes.
+    """
+    marks = np.packbits(marked(ends))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        at = batch.column(2).to_numpy()
+        batch = batch.filter(pa.array((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
         made = [shingles(x, words).tobytes() for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "shingles"])
 
-    return docs.select(F.col(id_column).alias("node"), blob(text)).transform(mapped, by_batch(run), "node bigint, shingles binary")
+    known = docs.select(F.col(id_column).cast("long").alias("node"), blob(text).alias("words")).where("node IS NOT NULL")
+    chosen = known.withColumn("mark", F.pmod(F.xxhash64("node"), F.lit(MARKS)))
+    return chosen.transform(mapped, by_batch(run), "node bigint, shingles binary").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,9 +253,8 @@ def groups(
     share = percent / 100
     floor = share - SLACK * (share * (1 - share) / MINIMA) ** 0.5
     pairs = stored(estimated(forest(nodes), nodes, floor))
-    ends = pairs.select(F.col("a").alias(id_column)).union(pairs.select(F.col("b").alias(id_column))).distinct()
-    one_each = docs.select(id_column, text).join(ends, id_column, "left_semi")
-    sets = stored(shingle_sets(one_each, id_column, text, words).dropDuplicates(["node"]))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    sets = stored(shingle_sets(docs, id_column, text, words, ends))
 
     # neighbours in the first tree, then the best pair of any two components, then every pair that is left
     best = Window.partitionBy(F.least("x", "y"), F.greatest("x", "y")).orderBy(F.desc("share"), "a", "b")
