@@ -114,17 +114,17 @@ def figures(token: Column, odd_share: float, worst_z: float) -> Column:
         return (1 + (n - 1) * (1 - same) - runs) / spread
 
     def serial_z(n: Column, chars: Column) -> Column:
-        start = F.struct(zero.alias("sum"), zero.alias("squares"), zero.alias("lagged"), F.lit(None).cast("double").alias("last"))
+        start = F.struct(zero.alias("sum"), zero.alias("squares"), zero.alias("lagged"), F.lit(None).cast("double").alias("last"), F.lit(None).cast("double").alias("first"))
         sums = F.aggregate(
             F.transform(chars, lambda c: F.ascii(c).cast("double")), start,
             lambda t, c: F.struct(
                 (t["sum"] + c).alias("sum"), (t["squares"] + c * c).alias("squares"),
-                (t["lagged"] + F.coalesce(t["last"] * c, zero)).alias("lagged"), c.alias("last"),
+                (t["lagged"] + F.coalesce(t["last"] * c, zero)).alias("lagged"), c.alias("last"), F.coalesce(t["first"], c).alias("first"),
             ),
         )
         return let(sums, lambda t: F.when(
             t["squares"] * n > t["sum"] * t["sum"],
-            F.abs(t["lagged"] - t["sum"] * t["sum"] / n) / (t["squares"] - t["sum"] * t["sum"] / n) * F.sqrt(n),
+            F.abs(t["lagged"] - t["sum"] / n * (2 * t["sum"] - t["first"] - t["last"]) + (n - 1) * t["sum"] * t["sum"] / (n * n)) / (t["squares"] - t["sum"] * t["sum"] / n) * F.sqrt(n),
         ).otherwise(F.sqrt(n)))
 
     def odd_step(n: Column, odd: Column) -> Column:
