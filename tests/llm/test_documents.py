@@ -155,6 +155,29 @@ def test_near_copies_in_a_dense_region(spark):
     assert {r.doc_id: r.component_id for r in made} == root
 
 
+def test_near_copies_through_one_original(spark):
+    """A star: each copy is near the original only. Templates: many texts alike, of which few pairs are near."""
+    rng = random.Random(11)
+    texts = {0: words(300, 3)}
+    for i in range(1, 1001):
+        own = list(texts[0])
+        for at in rng.sample(range(5, 295, 8), 7):
+            own[at] = f"e{rng.randrange(10**9)}"
+        texts[i] = own
+    template = words(250, 4)
+    for i in range(2000, 2600):
+        texts[i] = [w for k, w in enumerate(template) for w in ([f"t{rng.randrange(10**9)}", w] if k % 21 == 0 else [w])]
+    for i in range(2600, 2640):  # one word replaced, near its own source and nothing else
+        texts[i] = [*texts[i - 600][:-1], f"l{i}"]
+    sets = {i: shingled(" ".join(t), 3) for i, t in texts.items()}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    assert all(near(0, i) for i in range(1, 1001)) and not any(near(i, i + 1) for i in range(1, 1000))
+    assert all(near(i, i - 600) for i in range(2600, 2640)) and not near(2000, 2001)
+    rows_ = [(i, " ".join(t)) for i, t in texts.items()]
+    made = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows_, "doc_id bigint, text string")).collect()}
+    assert made == {i: 0 if i <= 1000 else i - 600 if i >= 2600 else i for i in texts}
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(100, 140)]
     edges = spark.createDataFrame([*path, *((7, i) for i in range(8, 60)), (3, 3), (200, 199), (200, 199)], "a bigint, b bigint")

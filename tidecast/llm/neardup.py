@@ -7,6 +7,11 @@ adapts: a region of more than `CROWD` classes is cut one minimum deeper, again a
 is small enough all classes are candidates of each other, and neighbours in sorted order always are. The
 signatures drop candidates that are clearly too far apart, and the rest is confirmed on full sets unless
 confirmed links already connect the two.
+
+Classes in regions that were too crowded to compare all with all get a second search, a prefix join: two
+linked sets share one of their first shingles, in any order of the shingles, here from rare to common ones.
+Lists of classes with such a shingle in common are compared with their most typical member first, and what
+is still apart in a list then is compared all with all, in blocks.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from tidecast.llm.common import blob, by_batch, grams, mapped, mixed, stored, ta
 from tidecast.llm.components import components
 
 TREES, MINIMA, DEPTH, LEAST, CROWD, NEAR = 16, 96, 16, 2, 6, 2
+BUCKETS, BLOCK = 1 << 17, 512  # counters of shingles by hash; classes of a list that are compared together
 SLACK = 4.0  # standard deviations by which an estimate may lie below the threshold
 
 
@@ -107,8 +113,20 @@ def neighbours(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
+def crowded(keys: np.ndarray) -> np.ndarray:
+    """Whether the region of a place has more than `CROWD` classes, or reaches an end of the block."""
+    alike = (keys[1:, :LEAST] == keys[:-1, :LEAST]).all(axis=1)
+    sizes = np.diff(np.flatnonzero(np.concatenate([[True], ~alike, [True]])))
+    large = sizes > CROWD
+    large[[0, -1]] = True
+    return np.repeat(large, sizes)
+
+
 def forest(nodes: DataFrame) -> DataFrame:
-    """(a, b, chained) with a < b: candidates of all trees; chained if neighbours in the first tree."""
+    """(a, b, chained) with a <= b: candidates of all trees; chained if neighbours in the first tree.
+
+    A row with a = b says that the class has a place in a crowded region, where candidates are missing.
+    """
 
     def keys_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         flat = np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(1)])
@@ -134,10 +152,13 @@ def forest(nodes: DataFrame) -> DataFrame:
             a, b = neighbours(keys)
             good = trees[a] == trees[b]
             a, b = a[good], b[good]
-            x, y = nodes_[a], nodes_[b]
+            x, y, many = nodes_[a], nodes_[b], np.unique(nodes_[crowded(keys)])
+            chained = (trees[a] == 0) & (b - a == 1) & (x != y)
+            x, y, chained = (np.concatenate(z) for z in ((x, many), (y, many), (chained, np.zeros(len(many), bool))))
+            good = np.arange(len(x)) >= len(x) - len(many)
+            good |= x != y
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array((trees[a] == 0) & (b - a == 1))],
-                ["a", "b", "chained"],
+                [pa.array(z[good]) for z in (np.minimum(x, y), np.maximum(x, y), chained)], ["a", "b", "chained"],
             )
 
         for batch in batches:
@@ -145,14 +166,14 @@ def forest(nodes: DataFrame) -> DataFrame:
             if len(held) > 200_000:
                 yield paired(held)
                 held = held[-CROWD:]
-        if len(held) > 1:
+        if held:
             yield paired(held)
 
     spark = nodes.sparkSession
     keyed = nodes.select("node", "signature").transform(mapped, by_batch(keys_of), "tree int, key binary, node bigint")
     ordered = keyed.repartitionByRange(tasks(spark), "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     pairs = ordered.transform(mapped, pairs_of, "a bigint, b bigint, chained boolean")
-    return pairs.where("a < b").groupBy("a", "b").agg(F.max("chained").alias("chained"))
+    return pairs.groupBy("a", "b").agg(F.max("chained").alias("chained"))
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
@@ -184,10 +205,10 @@ def marked(ends: DataFrame) -> np.ndarray:
     return np.unpackbits(bits.view(np.uint8), bitorder="little")
 
 
-def shingle_sets(docs: DataFrame, id_column: str, text: str, words: int, ends: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents in `ends`, and of some others whose hashed ids are marked too.
+def over_sets(docs: DataFrame, id_column: str, text: str, words: int, ends: DataFrame, make, schema: str) -> DataFrame:
+    """`make(nodes, sets)` over the documents in `ends`, and over some others whose hashed ids are marked too.
 
-    The marks keep most texts out of the shuffle; where very many documents are near copies they keep out
+    The marks keep most texts out of what follows; where very many documents are near copies they keep out
     less, and nothing else changes.
     """
     marks = np.packbits(marked(ends))
@@ -195,12 +216,154 @@ def shingle_sets(docs: DataFrame, id_column: str, text: str, words: int, ends: D
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         at = batch.column(2).to_numpy()
         batch = batch.filter(pa.array((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
-        made = [shingles(x, words).tobytes() for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "shingles"])
+        return make(batch.column(0), [shingles(x, words) for x in batch.column(1).to_pylist()]) if batch.num_rows else None
 
     known = docs.select(F.col(id_column).cast("long").alias("node"), blob(text).alias("words")).where("node IS NOT NULL")
     chosen = known.withColumn("mark", F.pmod(F.xxhash64("node"), F.lit(MARKS)))
-    return chosen.transform(mapped, by_batch(run), "node bigint, shingles binary").dropDuplicates(["node"])
+    return chosen.transform(mapped, by_batch(run), schema)
+
+
+def shingle_sets(docs: DataFrame, id_column: str, text: str, words: int, ends: DataFrame) -> DataFrame:
+    """(node, shingles) of the documents in `ends` and some others."""
+
+    def make(nodes, sets):
+        return pa.RecordBatch.from_arrays([nodes, pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+
+    made = over_sets(docs, id_column, text, words, ends, make, "node bigint, shingles binary")
+    return made.dropDuplicates(["node"])
+
+
+def rarity(docs: DataFrame, id_column: str, text: str, words: int, ends: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Per bucket of shingles its rank from rare to common and the logarithm of its count.
+
+    The driver reads `BUCKETS` counters at most. Shingles that share a bucket have a common count; the order
+    is then less good, but any order finds the same links.
+    """
+
+    def make(nodes, sets):
+        counts = np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        used = np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bucket", "rows"])
+
+    counted = over_sets(docs, id_column, text, words, ends, make, "bucket bigint, rows bigint")
+    found = counted.groupBy("bucket").agg(F.sum("rows").alias("rows")).toArrow()
+    counts = np.ones(BUCKETS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("rows").to_numpy()
+    rank = np.unique(counts, return_inverse=True)[1].reshape(-1)
+    return (rank * 65535 // max(1, rank.max())).astype(np.uint16), np.log(counts).astype(np.float32)
+
+
+def first_shingles(docs: DataFrame, id_column: str, text: str, words: int, percent: int, ends: DataFrame) -> DataFrame:
+    """(shingle, place, node, n, typical): of each set so many of its rarest shingles that linked sets share one.
+
+    Sets of n shingles can only be linked if they share percent * n / 100, so one is among the first
+    n - ceil(percent * n / 100) + 1 of both. `place` counts them from 0; `typical` is the mean logarithm of the counts of all its shingles.
+    """
+    ranks, logs = rarity(docs, id_column, text, words, ends)
+
+    def make(nodes, sets):
+        first, counts, means = [], [], []
+        for own in sets:
+            buckets = (own & np.uint64(BUCKETS - 1)).astype(np.int64)
+            order = np.argsort(ranks[buckets], kind="stable")  # equal ranks stay in the order of their hashes
+            first.append(own[order[: len(own) + (-percent * len(own)) // 100 + 1]] if len(own) else own)
+            counts.append(len(first[-1]))
+            means.append(float(logs[buckets].mean()) if len(own) else 0.0)
+        sizes = np.array([len(own) for own in sets], np.int64)
+        places = np.concatenate([np.arange(count) for count in counts])
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate(first).view(np.int64)), pa.array(places), pa.array(np.repeat(nodes.to_numpy(), counts)),
+            pa.array(np.repeat(sizes, counts)), pa.array(np.repeat(np.array(means), counts)),
+        ], ["shingle", "place", "node", "n", "typical"])
+
+    return over_sets(docs, id_column, text, words, ends, make, "shingle bigint, place bigint, node bigint, n bigint, typical double")
+
+
+def open_lists(firsts: DataFrame, crowd: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (shingle, place, node, n, typical, root) and lists (shingle, rows, pivot): lists in more than one component."""
+    own = crowd.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    members = firsts.join(own, "node")
+    lists = members.groupBy("shingle").agg(
+        F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.max(F.struct("typical", -F.col("node"), "n", "root")).alias("pivot"),
+    ).where("low <> high")
+    pivot = F.struct((-F.col("pivot")["col2"]).alias("node"), F.col("pivot")["n"].alias("n"), F.col("pivot")["root"].alias("root"))
+    return members, lists.select("shingle", "rows", pivot.alias("pivot"))
+
+
+def with_pivots(members: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, chained): members of a list and its most typical one, as far as sizes allow a link."""
+    far = members.join(lists, "shingle").where("root <> pivot.root").where(
+        f"100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n)"
+    )
+    return far.select(
+        F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"), F.lit(False).alias("chained")
+    ).distinct()
+
+
+def apart(members: DataFrame, lists: DataFrame, nodes: DataFrame, percent: int, floor: float) -> DataFrame:
+    """(a, b, chained, share): members of one list in different components whose signatures agree on `floor`.
+
+    A list is dealt to blocks of about `BLOCK` members, and each two blocks meet in one place. Where the list
+    is that of the first shingle two sets share, they share no more than what follows its places in them.
+    """
+
+    def compared(columns):
+        shingle, i, j, block, node, root, n, place, signs = columns
+        out, at = [], np.arange(len(node))
+        for step in range(1, len(node)):
+            at = at[at < len(node) - step]
+            to = at + step
+            at = at[(shingle[at] == shingle[to]) & (i[at] == i[to]) & (j[at] == j[to])]
+            if not len(at):
+                break
+            a, b = at, at + step
+            good = (root[a] != root[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
+            good &= (100 + percent) * np.minimum(n[a] - place[a], n[b] - place[b]) >= percent * (n[a] + n[b])
+            a, b = a[good], b[good]
+            if len(a):
+                share = (signs[a] == signs[b]).mean(axis=1)
+                good = share >= floor
+                a, b = node[a[good]], node[b[good]]
+                out.append((np.minimum(a, b), np.maximum(a, b), share[good]))
+        if not out:
+            return None
+        a, b, share = (np.concatenate(x) for x in zip(*out))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool)), pa.array(share)], ["a", "b", "chained", "share"]
+        )
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(k).to_numpy() for k in range(8)]
+            new.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint16).reshape(-1, MINIMA))
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            key = np.stack(held[:3])
+            border = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
+            if len(border):
+                cut = border[-1] + 1
+                made, held = compared([x[:cut] for x in held]), [x[cut:] for x in held]
+                if made is not None:
+                    yield made
+        if held is not None:
+            made = compared(held)
+            if made is not None:
+                yield made
+
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
+    own = members.join(lists.select("shingle", blocks.alias("blocks")), "shingle").withColumn(
+        "block", F.expr("pmod(xxhash64(node), blocks)")
+    )
+    met = own.join(nodes.select("node", "signature"), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root",
+        "n", "place", "signature",
+    )
+    dealt = met.repartition(tasks(nodes.sparkSession), "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    found = dealt.transform(mapped, run, "a bigint, b bigint, chained boolean, share double")
+    return found.groupBy("a", "b").agg(F.max("chained").alias("chained"), F.max("share").alias("share"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -252,27 +415,38 @@ def groups(
     )
     share = percent / 100
     floor = share - SLACK * (share * (1 - share) / MINIMA) ** 0.5
-    pairs = stored(estimated(forest(nodes), nodes, floor))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    sets = stored(shingle_sets(docs, id_column, text, words, ends))
+    candidates = stored(estimated(forest(nodes), nodes, floor))
+    pairs, crowd = candidates.where("a < b"), candidates.where("a = b").select(F.col("a").alias("node")).distinct()
 
     # neighbours in the first tree, then the best pair of any two components, then every pair that is left
     best = Window.partitionBy(F.least("x", "y"), F.greatest("x", "y")).orderBy(F.desc("share"), "a", "b")
-    picks = (
+    chained, single, every = (
         lambda p: p.where("chained"),
         lambda p: p.withColumn("_row", F.row_number().over(best)).where("_row = 1"),
         lambda p: p,
     )
-    roots = None
-    for pick in picks:
-        open_ = pick(rooted(pairs, roots)).select("x", "y", "a", "b")
-        found = components(confirmed(open_, sets, percent))
-        if roots is None:
-            roots = found
-        else:
-            moved = found.select(F.col("node").alias("root"), F.col("root").alias("to"))
-            kept = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-            roots = stored(kept.union(found.join(roots, "node", "left_anti").select("node", "root")))
+
+    def joined(roots, pairs, picks):
+        sets = shingle_sets(docs, id_column, text, words, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        for pick in picks:
+            open_ = pick(rooted(pairs, roots)).select("x", "y", "a", "b")
+            found = components(confirmed(open_, sets, percent))
+            if roots is None:
+                roots = found
+            else:
+                moved = found.select(F.col("node").alias("root"), F.col("root").alias("to"))
+                kept = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+                roots = stored(kept.union(found.join(roots, "node", "left_anti").select("node", "root")))
+        return roots
+
+    roots = joined(None, pairs, (chained, single, every))
+    if not crowd.isEmpty():
+        firsts = first_shingles(docs, id_column, text, words, percent, crowd)
+        firsts = stored(firsts.dropDuplicates(["node", "shingle"]))
+        typical = stored(estimated(with_pivots(*open_lists(firsts, crowd, roots), percent), nodes, floor))
+        roots = joined(roots, typical, (every,))
+        left = stored(apart(*open_lists(firsts, crowd, roots), nodes, percent, floor))
+        roots = joined(roots, left, (single, every))
 
     component = nodes.join(roots, "node", "left").select(*keys, F.coalesce("root", "node").alias("component_id"))
     placed = signed.select(id_column, *keys, F.col("signature").isNotNull().alias("_filled")).join(component, keys, "left")
