@@ -283,6 +283,21 @@ def test_secret_spans(docs, none):
     assert secrets.find(none).count() == 0
 
 
+@pytest.mark.parametrize("alphabet", [
+    "0123456789abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz234567",
+    "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+])
+def test_random_keys_of_one_case(spark, alphabet):
+    rng = random.Random(8)
+    keys = {(n, i): "".join(rng.choice(alphabet) for _ in range(n)) for n in (24, 32, 64, 128) for i in range(100)}
+    plain = [f"see{''.join(words(5, i))}{i % 100} here" for i in range(400)]  # words run together, and a number
+    texts = [*((n * 1000 + i, f"see {k} here") for (n, i), k in keys.items()), *enumerate(plain, 10**6)]
+    made = {r.doc_id: r.spans for r in secrets.find(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    for n in (24, 32, 64, 128):
+        assert sum(len(made[n * 1000 + i]) > 0 for i in range(100)) >= 90
+    assert sum(len(made[i]) > 0 for i in range(10**6, 10**6 + 400)) <= 8
+
+
 def test_redaction(docs):
     made = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert made[18] == "key [secret] is hidden here" and made[8] is None and made[1] == rows()[0][1]

@@ -1,15 +1,18 @@
 """Secret scan: fixed patterns, and a battery of randomness tests over long tokens.
 
 Column functions only. A candidate is a run of characters of a key alphabet. Its encoding (hex, base32
-or base64) is read off the characters it holds. Three tests ask whether it looks random in that encoding:
-chi-squared uniformity of the alphabet, the number of runs of character classes, and the lag-1 serial
+or base36 in one case, or base64) is read off the characters it holds. Three tests ask whether it looks
+random in that encoding: chi-squared uniformity of the alphabet, the number of runs of character classes, and the lag-1 serial
 correlation of the character values. A random key passes all three. A fourth figure bounds how likely
-ordinary text would hold as many characters that are not lower case letters; it shrinks with the length,
-and per length class the Benjamini-Hochberg rule over all candidates says how small it must be.
+ordinary text would hold as many characters that are not lower case letters; in base36 and small base32, where
+keys hold few such characters, it is the likelihood ratio of text letters against the encoding. It shrinks
+with the length, and per length class the Benjamini-Hochberg rule over all candidates says how small it must be.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,12 @@ ASSIGN_LEAST = 6
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 LENGTH_CLASSES = (32, 64, 128)
+DIGITS = 0.2  # digits among the characters of ordinary long tokens that are not small letters
+SINGLE = "^([0-9a-z]+|[0-9A-Z]+)$"  # base36, and base32 in small letters
+# Shares of a to z among the letters of English text, in ten-thousandths.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (
+    817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7,
+)))
 STEPS = 400  # classes of the logarithm of the text bound, a tenth each
 
 
@@ -132,9 +141,22 @@ def figures(token: Column, odd_share: float, worst_z: float) -> Column:
         bound = n * (k * F.log(k / odd_share) + (1 - k) * F.log((1 - k) / (1 - odd_share))) / F.log(F.lit(10.0))
         return F.when(k > odd_share, F.least(F.floor(bound * 10), F.lit(STEPS))).otherwise(F.lit(0)).cast("int")
 
+    def ratio_step(n: Column, size: Column) -> Column:
+        # text gives a likelihood ratio of x with a probability of 1/x at most
+        low, total = F.lower(token), sum(LETTERS.values())
+        digits = odd_share * DIGITS
+        text = [(d, digits / 10) for d in "0123456789"] + [(c, (1 - digits) * f / total) for c, f in LETTERS.items()]
+        of_text = sum((count(low, F.lit(c)) * math.log10(share) for c, share in text), zero)
+        return F.greatest(F.least(F.floor((-n * F.log10(size) - of_text) * 10), F.lit(STEPS)), F.lit(0)).cast("int")
+
     def judged(x: Column) -> Column:
+        hexed, upper32 = token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), token.rlike("^[A-Z2-7]+$")
         n, size = F.length(token).cast("double"), (
-            F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(16.0)).when(token.rlike("^[A-Z2-7]+$"), F.lit(32.0)).otherwise(F.lit(64.0))
+            F.when(hexed, F.lit(16.0)).when(upper32 | token.rlike("^[a-z2-7]+$"), F.lit(32.0))
+            .when(token.rlike(SINGLE), F.lit(36.0)).otherwise(F.lit(64.0))
+        )
+        step = F.when(token.rlike(SINGLE) & ~hexed & ~upper32, ratio_step(n, size)).otherwise(
+            odd_step(n, 1 - count(x["kinds"], F.lit("a")) / n)
         )
         shares = F.transform(F.array(*map(F.lit, "0Aa+")), lambda c: count(x["kinds"], c) / n)
         length_class = F.lit(0)
@@ -145,7 +167,7 @@ def figures(token: Column, odd_share: float, worst_z: float) -> Column:
             & (runs_z(n, x["kinds"], shares) < worst_z) & (serial_z(n, x["chars"]) < worst_z)
         )
         return F.struct(
-            length_class.alias("length_class"), odd_step(n, 1 - count(x["kinds"], F.lit("a")) / n).alias("step"), random.alias("random"),
+            length_class.alias("length_class"), step.alias("step"), random.alias("random"),
         )
 
     return let(F.struct(F.split(token, "").alias("chars"), F.translate(token, letters, groups).alias("kinds")), judged)
