@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, kmtree, knnjoin, licenses, neardup, packing, secrets, substrings, toxicity, urls
+from tidecast.llm import bpe, kmtree, knnjoin, licenses, neardup, packing, ranked, secrets, spelling, substrings, tokenfile, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_presence_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read(spark, folder, with_ids=False)
+
+
 QUERIES = {
     "op1_url_templates": op1_url_templates,
     "op2_byte_bpe": op2_byte_bpe,
@@ -101,6 +114,9 @@ QUERIES = {
     "op8_fm_index": op8_fm_index,
     "op9_license_automaton": op9_license_automaton,
     "op10_secret_scan": op10_secret_scan,
+    "op11_presence_masks": op11_presence_masks,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_bit_packing": op13_bit_packing,
 }
 
 # Plain SQL of the operators that have one: all pairs or all windows, for small tables.
@@ -161,5 +177,35 @@ WITH words AS (
 ), removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT w.doc_id, len(w) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM words w LEFT JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)
+""",
+    "op11_presence_masks": r"""
+WITH terms AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents
+), wanted AS (
+    SELECT item_id, t, count(*) AS repeats FROM (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+    GROUP BY item_id, t
+), lengths AS (
+    SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id
+), totals AS (
+    SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths
+), counts AS (
+    SELECT doc_id, t, count(*) AS tf FROM terms WHERE t IN (SELECT t FROM wanted) GROUP BY doc_id, t
+), weights AS (
+    SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM (SELECT t, count(*) AS df FROM counts GROUP BY t), totals
+), worth AS (
+    SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS v
+    FROM counts JOIN lengths USING (doc_id) JOIN weights USING (t), totals
+), scores AS (
+    SELECT item_id, doc_id, CAST(sum(repeats * v) AS BIGINT) AS score FROM worth JOIN wanted USING (t) GROUP BY item_id, doc_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 20
 """,
 }
