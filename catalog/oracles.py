@@ -117,8 +117,30 @@ CTES["metrics"] = (["seeded"], f"select {KEYS}, {ERRORS} from seeded group by {K
 CTES["predictions"] = (["seeded"], f"""
 select {KEYS}, date, target as actual, predicted, target_norm as actual_norm, predicted_norm from seeded""")
 
+
+
+def billionths(value: str) -> str:
+    """A double as a whole number of billionths."""
+    return f"cast(floor({value} * cast(1e9 as double) + cast(0.5 as double)) as hugeint)"
+
+
+def fixed_mean(value: str) -> str:
+    """Mean from the exact sum of billionths, in the operations of the query."""
+    return f"cast(sum({billionths(value)}) as double) / cast(1e9 as double) / count({value})"
+
+
+def fixed_std(value: str) -> str:
+    """Sample deviation from exact sums: s = m * n + r leaves (q - m * (s + r)) - r * r / n."""
+    u, n = billionths(value), f"nullif(cast(count({value}) as hugeint), 1)"
+    s, q = f"cast(sum({u}) as hugeint)", f"cast(sum({u} * {u}) as hugeint)"
+    r = f"cast({s} % {n} as double)"
+    whole, half = f"({q} - ({s} // {n}) * ({s} + {s} % {n}))", f"cast({10**19} as hugeint)"
+    rest = f"cast({whole} // {half} as double) * cast(1e19 as double) + cast({whole} % {half} as double)"
+    return f"sqrt(greatest(({rest} - {r} * {r} / count({value})) / (count({value}) - 1), 0)) / cast(1e9 as double)"
+
+
 CTES["macro"] = (["metrics"], f"""
-select model, variant, backend, seed, {", ".join(f"avg({m}) as {m}" for m in METRICS)}
+select model, variant, backend, seed, {", ".join(f"{fixed_mean(m)} as {m}" for m in METRICS)}
 from metrics group by model, variant, backend, seed""")
 
 
@@ -279,16 +301,16 @@ oracle("metrics_table", ["metrics"], f"select {METRIC_ROW} from metrics")
 # ---- summaries and report tables
 
 MEAN_STD = ", ".join(
-    f"{r(f'avg({m})', f'{m}_mean')}, {r(f'stddev_samp({m})', f'{m}_std')}" for m in METRICS)
+    f"{fixed_mean(m)} as {m}_mean, {fixed_std(m)} as {m}_std" for m in METRICS)
 oracle("category_summary", ["metrics"], f"""
 select category, model, variant, backend, {MEAN_STD} from metrics group by category, model, variant, backend""")
-oracle("macro_metrics", ["macro"], f"select model, variant, backend, seed, {rs(METRICS)} from macro")
+oracle("macro_metrics", ["macro"], f"select model, variant, backend, seed, {', '.join(METRICS)} from macro")
 oracle("macro_summary", ["macro"], f"""
 select model, variant, backend, {MEAN_STD} from macro group by model, variant, backend""")
 oracle("covariate_ablation", ["ablation"],
        f"select category, backend, seed, {rs(ABLATION_COLUMNS)} from ablation")
 oracle("ablation_summary", ["ablation"], " union all ".join(
-    f"select {i} as position, '{c}' as measure, {r(f'avg({c})', 'mean')}, {r(f'stddev_samp({c})', 'std')} from ablation"
+    f"select {i} as position, '{c}' as measure, {fixed_mean(c)} as mean, {fixed_std(c)} as std from ablation"
     for i, c in enumerate(ABLATION_COLUMNS)))
 oracle("forecast_lines", ["predictions"], f"""
 select category, date, model, variant, backend, {r("avg(predicted)", "predicted")}

@@ -52,6 +52,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+def bitwise(fn: Callable[[SparkSession, str], DataFrame]):
+    """Register a query whose doubles are equal in both engines to the last bit: nothing is rounded."""
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
 # ---- contract and reshape
 
 @query
@@ -213,17 +219,17 @@ def metrics_table(spark, sf_dir):
     return seeded_metrics(spark, sf_dir)
 
 
-@query
+@bitwise
 def category_summary(spark, sf_dir):
     return summaries.category_summary(seeded_metrics(spark, sf_dir))
 
 
-@query
+@bitwise
 def macro_metrics(spark, sf_dir):
     return summaries.macro_metrics(seeded_metrics(spark, sf_dir))
 
 
-@query
+@bitwise
 def macro_summary(spark, sf_dir):
     return summaries.macro_summary(seeded_metrics(spark, sf_dir))
 
@@ -233,7 +239,7 @@ def covariate_ablation(spark, sf_dir):
     return summaries.covariate_ablation(seeded_metrics(spark, sf_dir))
 
 
-@query
+@bitwise
 def ablation_summary(spark, sf_dir):
     return summaries.ablation_summary(summaries.covariate_ablation(seeded_metrics(spark, sf_dir)))
 

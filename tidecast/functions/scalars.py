@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,3 +95,49 @@ def safe_name(text: Column) -> Column:
 def exact_sum(value: Column) -> Column:
     """Aggregate: sum in fixed point (18 decimals), the same for any order of rows and partitions."""
     return F.sum(value.cast("decimal(28,18)")).cast("double")
+
+
+# Means and deviations over whole numbers of billionths; larger values than WIDE leave the fixed point.
+UNITS, WIDE = 1e9, 9e9
+HALF, FULL = Decimal(10**19), Decimal(9 * 10**37)
+
+
+def fixed_units(value: Column) -> Column:
+    """A double as a whole number of billionths; NULL for NULL, NaN and what is too large for it."""
+    return F.when(F.abs(value) < WIDE, F.floor(value * UNITS + 0.5)).cast("decimal(19,0)")
+
+
+def fixed_sums(value: Column) -> Column:
+    """Aggregate: what `fixed_mean` and `fixed_std` need, the same for any order of rows and partitions.
+
+    Sums of whole numbers and of their squares add without rounding. A group with a value beyond the
+    fixed point keeps the float mean and deviation, as do squares whose sum has more than 38 digits.
+    """
+    units = fixed_units(value)
+    return F.struct(
+        F.count(units).alias("n"), F.sum(units).alias("s"), F.try_sum(units * units).alias("q"),
+        F.bool_or(F.isnan(value) | (F.abs(value) >= WIDE)).alias("wide"),
+        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+    )
+
+
+def fixed_mean(sums: Column) -> Column:
+    """Mean of `fixed_sums`; NULL without a value."""
+    exact = sums["s"].cast("double") / UNITS / F.when(sums["n"] > 0, sums["n"])
+    return F.when(sums["wide"], sums["mean"]).otherwise(exact)
+
+
+def fixed_std(sums: Column) -> Column:
+    """Sample deviation of `fixed_sums`; NULL for fewer than two values.
+
+    With s = m * n + r in whole numbers, the sum of squared deviations is (q - m * (s + r)) - r * r / n,
+    whose large terms cancel exactly.
+    """
+    n = F.when(sums["n"] > 1, sums["n"])
+    m, r = F.call_function("div", sums["s"], n), sums["s"] % n
+    rest = sums["q"] - m.cast("decimal(19,0)") * (sums["s"] + r)
+    # in two parts of at most 64 bits, whose doubles every engine rounds alike
+    high, low = F.call_function("div", rest, F.lit(HALF)).cast("double"), (rest % F.lit(HALF)).cast("double")
+    spread = (high * F.lit(1e19) + low - r.cast("double") * r.cast("double") / n) / (n - 1)
+    exact = F.sqrt(F.greatest(spread, F.lit(0.0))) / UNITS
+    return F.when(sums["wide"] | sums["q"].isNull() | (sums["q"] >= F.lit(FULL)), sums["std"]).otherwise(exact)

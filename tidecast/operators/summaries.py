@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.functions.scalars import fixed_mean, fixed_std, fixed_sums
 from tidecast.operators.evaluate import METRICS
 
 
@@ -13,28 +14,35 @@ def with_backend(df: DataFrame) -> DataFrame:
     return df if "backend" in df.columns else df.withColumn("backend", F.lit("unspecified"))
 
 
+def summed(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row per key with the fixed-point sums of each column: equal for every order and partitioning."""
+    return rows.groupBy(*keys).agg(*[fixed_sums(F.col(c)).alias(c) for c in columns])
+
+
 def mean_and_std(columns: list[str]) -> list:
+    """Mean and sample deviation of summed columns."""
     return [
-        agg(c).alias(f"{c}_{name}")
-        for c in columns for name, agg in (("mean", F.avg), ("std", F.stddev_samp))
+        of(F.col(c)).alias(f"{c}_{name}")
+        for c in columns for name, of in (("mean", fixed_mean), ("std", fixed_std))
     ]
 
 
 def category_summary(metrics: DataFrame) -> DataFrame:
     """Mean and sample deviation over seeds."""
     keys = ["category", "model", "variant", "backend"]
-    return with_backend(metrics).groupBy(*keys).agg(*mean_and_std(METRICS))
+    return summed(with_backend(metrics), keys, METRICS).select(*keys, *mean_and_std(METRICS))
 
 
 def macro_metrics(metrics: DataFrame) -> DataFrame:
     """Mean over categories per seed."""
     keys = ["model", "variant", "backend", "seed"]
-    return with_backend(metrics).groupBy(*keys).agg(*[F.avg(c).alias(c) for c in METRICS])
+    return summed(with_backend(metrics), keys, METRICS).select(*keys, *[fixed_mean(F.col(c)).alias(c) for c in METRICS])
 
 
 def macro_summary(metrics: DataFrame) -> DataFrame:
     """Mean and sample deviation over seeds of the macro means."""
-    return macro_metrics(metrics).groupBy("model", "variant", "backend").agg(*mean_and_std(METRICS))
+    keys = ["model", "variant", "backend"]
+    return summed(macro_metrics(metrics), keys, METRICS).select(*keys, *mean_and_std(METRICS))
 
 
 def covariate_ablation(metrics: DataFrame) -> DataFrame:
@@ -68,7 +76,6 @@ def ablation_summary(ablation: DataFrame) -> DataFrame:
     measures = [c for c in ablation.columns if c not in ("category", "backend", "seed")]
     long = ablation.select(F.posexplode(F.array(*measures)).alias("position", "value"))
     named = F.element_at(F.array(*[F.lit(m) for m in measures]), F.col("position") + 1)
-    return (
-        long.groupBy("position").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-        .select("position", named.alias("measure"), "mean", "std")
+    return summed(long, ["position"], ["value"]).select(
+        "position", named.alias("measure"), fixed_mean(F.col("value")).alias("mean"), fixed_std(F.col("value")).alias("std")
     )
