@@ -45,6 +45,11 @@ def fixed_model(spark: SparkSession) -> DataFrame:
     return fuzzy_infer.literal_model(spark, ORDER_FEATURES, MEMBERSHIPS, RULES, FALLBACK)
 
 
+def narrow_model(spark: SparkSession) -> DataFrame:
+    narrow = [(f, m, center, sigma / 10, scale, lag / 10) for f, m, center, sigma, scale, lag in MEMBERSHIPS]
+    return fuzzy_infer.literal_model(spark, ORDER_FEATURES, narrow, RULES, FALLBACK)
+
+
 def supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.make_supervised(prepared_demand(spark, sf_dir), LAGS, COVARIATES)
 

@@ -396,6 +396,13 @@ select sample_id, {r(crisp(str(fx.FALLBACK)), "prediction_norm")}, upper_sum <=
 oracle("predict_saved", ["interval"], f"""
 select sample_id, cast(o_orderdate as date) as date, {r(crisp(str(fx.FALLBACK)), "prediction_norm")},
        upper_sum <= 1e-12 as no_rule_fired from interval join orders on sample_id = o_orderkey""")
+# The same rules with memberships a tenth as wide: between them no rule fires.
+CTES["narrow_mfs"] = (["mfs"], "select feature, mf, center, sigma / 10 as sigma, lower_scale, lower_lag / 10 as lower_lag from mfs")
+CTES["narrow_bounds"] = (["inputs", "narrow_mfs"], CTES["bounds"][1].replace("cross join mfs", "cross join narrow_mfs"))
+CTES["narrow_firing"] = (["narrow_bounds", "rules"], CTES["firing"][1].replace("join bounds", "join narrow_bounds"))
+CTES["narrow_interval"] = (["narrow_firing"], reduced("narrow_firing", "sample_id"))
+oracle("predict_between_rules", ["narrow_interval"], f"""
+select sample_id, {r(crisp(str(fx.FALLBACK)), "prediction_norm")}, upper_sum <= 1e-12 as no_rule_fired from narrow_interval""")
 oracle("rule_activations", ["firing"],
        f"select sample_id, rule_id, {r('sqrt(lower * upper)', 'activation')} from firing")
 oracle("activations_wide", ["firing"], "select sample_id, " + ", ".join(
@@ -448,9 +455,9 @@ oracle("weighted_consequents", ["consequents"],
        f"select category, variant, rule_id, {rs(['activation', 'consequent'])} from consequents")
 oracle("candidate_rules", ["rule_texts"], "select category, variant, rule_id, antecedent from rule_texts")
 oracle("strongest_rules", ["consequents"], f"""
-select category, rule_id, {rs(["activation", "consequent"])} from (
-  select *, row_number() over (partition by category order by activation desc, rule_id) as nth
-  from consequents where variant = 'target_weather') x where nth <= 12""")
+select category, variant, rule_id, {rs(["activation", "consequent"])} from (
+  select *, row_number() over (partition by category, variant order by activation desc, rule_id) as nth
+  from consequents) x where nth <= case variant when 'sales_only' then 6 else 12 end""")
 oracle("initial_memberships", ["fallback"], " union all ".join(
     f"""select category, '{v}' as variant, f as feature, m as mf, {r("(m + 0.5) / 2", "center")}, {r("0.55 / 2", "sigma")},
         {r("0.8", "lower_scale")}, {r("0", "lower_lag")} from fallback, range(0, {len(n)}) a(f), range(0, 2) b(m)"""
@@ -469,23 +476,23 @@ from (select *, row_number() over (partition by category, variant, label order b
             from series_rules) a) b""")
 
 CTES["series_firing"] = (["supervised", "candidates", "series_rules"], f"""
-select d.category, d.date, s.rule_id, s.consequent, product(0.8 * degree) as lower, product(degree) as upper
-from (select i.category, i.date, i.feature, c.rule_id as candidate, exp(-0.5 * pow((i.x - (c.mf + 0.5) / 2) / 0.275, 2)) as degree
-      from ({long_inputs("test")}) i join candidates c on c.variant = i.variant and c.feature = i.feature
-      where i.variant = 'sales_only') d
-join series_rules s on s.category = d.category and s.candidate = d.candidate and s.variant = 'sales_only'
-group by d.category, d.date, s.rule_id, s.consequent""")
-CTES["series_interval"] = (["series_firing"], reduced("series_firing", "category, date"))
+select d.category, d.variant, d.date, s.rule_id, s.consequent, product(0.8 * degree) as lower, product(degree) as upper
+from (select i.category, i.variant, i.date, i.feature, c.rule_id as candidate,
+             exp(-0.5 * pow((i.x - (c.mf + 0.5) / 2) / 0.275, 2)) as degree
+      from ({long_inputs("test")}) i join candidates c on c.variant = i.variant and c.feature = i.feature) d
+join series_rules s on s.category = d.category and s.candidate = d.candidate and s.variant = d.variant
+group by d.category, d.variant, d.date, s.rule_id, s.consequent""")
+CTES["series_interval"] = (["series_firing"], reduced("series_firing", "category, variant, date"))
 oracle("series_predictions", ["series_interval", "fallback"], f"""
-select category, date, {r(crisp("fallback"), "prediction_norm")}, upper_sum <= 1e-12 as no_rule_fired
+select category, variant, date, {r(crisp("fallback"), "prediction_norm")}, upper_sum <= 1e-12 as no_rule_fired
 from series_interval join fallback using (category)""")
 oracle("explain_rules", ["series_firing", "rule_texts"], f"""
-select category, rule_id, antecedent, {HALF_OPEN} as consequent, {r("consequent", "consequent_value_norm")},
+select category, variant, rule_id, antecedent, {HALF_OPEN} as consequent, {r("consequent", "consequent_value_norm")},
        {r("1", "weight")}, support, mean_activation, max_activation
-from (select category, rule_id, consequent, {STATS} from series_firing group by category, rule_id, consequent) s
-join (select category, rule_id, antecedent from rule_texts where variant = 'sales_only') t using (category, rule_id)""")
+from (select category, variant, rule_id, consequent, {STATS} from series_firing group by category, variant, rule_id, consequent) s
+join (select category, variant, rule_id, antecedent from rule_texts) t using (category, variant, rule_id)""")
 oracle("activation_matrix", ["series_firing"], f"""
-select category, row_number() over (partition by category, rule_id order by date) - 1 as sample_index, rule_id,
+select category, variant, row_number() over (partition by category, variant, rule_id order by date) - 1 as sample_index, rule_id,
        {r("sqrt(lower * upper)", "activation")} from series_firing""")
 
 GENE_ROWS = [
@@ -547,19 +554,30 @@ select 'required_model' as "check", cast(null as varchar) as model_key, w.model
 from (values ('seasonal_naive'), ('arima'), ('lstm'), ('efs')) w(model)""")
 oracle("fuzzy_variant_check", ["metrics"], """
 select 'fuzzy_variant' as "check", cast(null as varchar) as model_key,
-       variant in ('sales_only', 'target_weather') as ok, variant as detail
-from (select distinct variant from metrics where model = 'efs') m""")
-CTES["rule_facts"] = (["series_firing"], """
-select category, rule_id, count(*) as samples, min(sqrt(lower * upper)) as low, max(sqrt(lower * upper)) as high,
-       stddev_pop(sqrt(lower * upper)) as spread from series_firing group by category, rule_id""")
+       variant = 'sales_only' as ok, variant as detail
+from (select distinct variant from metrics where model = 'efs' union all select 'weather') m""")
+# Stored activations as the checks must see them: whole, out of range, constant and with gaps.
+CTES["stored_activations"] = (["series_firing"], """
+select category, variant, date, rule_id, case right(category, 1)
+  when '1' then sqrt(lower * upper) + 1 when '2' then 0.5
+  when '3' then case when day(date) > 20 then sqrt(lower * upper) end else sqrt(lower * upper) end as activation
+from series_firing""")
+CTES["rule_facts"] = (["stored_activations"], """
+select category, variant, rule_id, count(*) as samples, bool_and(activation is not null) as finite, min(activation) as low,
+       max(activation) as high, stddev_pop(activation) as spread from stored_activations group by category, variant, rule_id""")
 CTES["facts"] = (["rule_facts"], """
-select category, max(samples) as samples, min(low) as low, max(high) as high, max(spread) as spread
-from rule_facts group by category""")
+select category, variant, max(samples) as samples, bool_and(finite) as finite, min(low) as low, max(high) as high,
+       max(spread) as spread from rule_facts group by category, variant""")
 oracle("activation_checks", ["facts"], f"""
-select category, 'activation_finite' as "check", true as ok, {r("cast(samples as double)", "value")} from facts
-union all select category, 'activation_range', low >= 0 and high <= 1, {r("high", "value")} from facts
-union all select category, 'activation_responds', spread > 1e-12, {r("spread", "value")} from facts""")
-oracle("support_checks", ["series_firing"], "select distinct category, cast(0 as bigint) as outside from series_firing")
+select category, variant, 'activation_finite' as "check", finite as ok, {r("cast(samples as double)", "value")} from facts
+union all select category, variant, 'activation_range', low >= 0 and high <= 1, {r("high", "value")} from facts
+union all select category, variant, 'activation_responds', spread > 1e-12, {r("spread", "value")} from facts""")
+oracle("support_checks", ["series_firing"], """
+select category, variant, count(*) filter (where support > samples or samples is null) as outside
+from (select category, variant, rule_id,
+             count(*) filter (where sqrt(lower * upper) > 0.01) + case when right(category, 1) = '1' and rule_id <= 2 then 9999 else 0 end as support,
+             case when right(category, 1) <> '2' or rule_id > 3 then count(*) end as samples
+      from series_firing group by category, variant, rule_id) s group by category, variant""")
 oracle("missing_outputs", ["supervised"], """
 select distinct category, variant, cast(45 as bigint) as seed
 from supervised cross join (values ('sales_only'), ('target_weather')) v(variant) where split = 'train'""")

@@ -6,36 +6,31 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidecast.functions import fuzzy, labels
+from tidecast.functions import labels
 from tidecast.operators import explain, fuzzy_infer, fuzzy_train
 from tidecast.operators.fuzzy_score import chunk_errors
+from tidecast.operators.fuzzy_trie import Trie, crisp, ends
 from tidecast.operators.rounds import pack_rows
 from tidecast.plans.config import FuzzyConfig
 
 MEMBERSHIPS = [(0, 0, 0.25, 0.2, 0.8, 0.05), (0, 1, 0.75, 0.2, 0.7, 0.0)]
 
 
-def firing_frame(spark, rows):
-    cell = "array<struct<consequent:double,rule_id:int,lower:double,upper:double>>"
-    return spark.createDataFrame([(r,) for r in rows], f"firing {cell}")
+def predict(lower, upper, level, fallback=0.4):
+    lower, upper = np.asarray(lower, float), np.asarray(upper, float)
+    return crisp(*ends(lower, upper, np.asarray(level, float)), upper.sum(axis=1), fallback)
 
 
-def predict(frame, fallback=0.4):
-    interval = fuzzy.reduced_interval(F.col("firing"))
-    rows = frame.select(interval.alias("i")).select(
-        "i", fuzzy.crisp_output(F.col("i"), F.lit(fallback)).alias("y"), fuzzy.no_rule_fired(F.col("i")).alias("n"))
-    return rows.collect()
+def test_degenerate_interval_is_a_weighted_average():
+    firing = [[0.2, 0.8], [0.5, 0.5]]
+    value, silent = predict(firing, firing, [0, 1])
+    assert value.round(12).tolist() == [0.8, 0.5] and not silent.any()
 
 
-def test_degenerate_interval_is_a_weighted_average(spark):
-    rows = [[(0.0, 1, a, a), (1.0, 2, b, b)] for a, b in ((0.2, 0.8), (0.5, 0.5))]
-    found = predict(firing_frame(spark, rows))
-    assert [round(r["y"], 12) for r in found] == [0.8, 0.5] and not any(r["n"] for r in found)
-
-
-def test_fallback_without_firing_or_rules(spark):
-    found = predict(firing_frame(spark, [[(0.7, 1, 0.0, 0.0)], []]))
-    assert [r["y"] for r in found] == [0.4, 0.4] and all(r["n"] for r in found)
+def test_fallback_without_firing_or_rules():
+    for firing, level in (([[0.0]], [0.7]), (np.zeros((1, 0)), [])):
+        value, silent = predict(firing, firing, level)
+        assert value.tolist() == [0.4] and silent.all()
 
 
 def iterate(lower, upper, level, left):
@@ -51,17 +46,17 @@ def iterate(lower, upper, level, left):
     return value
 
 
-def test_ends_equal_the_iteration(spark):
+def test_ends_equal_the_iteration():
     rng = np.random.default_rng(7)
-    rows, expected = [], []
+    found, expected = [], []
     for _ in range(120):
         size = rng.integers(1, 9)
         level = np.sort(rng.random(size))
         upper = rng.random(size)
         lower = upper * rng.random(size)
-        rows.append([(float(c), i, float(a), float(b)) for i, (c, a, b) in enumerate(zip(level, lower, upper, strict=True))])
+        left, right = ends(lower[None, :], upper[None, :], level)
+        found.append([left[0], right[0]])
         expected.append([iterate(lower, upper, level, side) for side in (True, False)])
-    found = [(r["i"]["left"], r["i"]["right"]) for r in predict(firing_frame(spark, rows))]
     assert np.allclose(found, expected, atol=1e-10)
 
 
@@ -94,17 +89,63 @@ def test_chunk_scores_equal_brute_force(seed, features, mfs):
     assert abs(found[0] - expected) < 1e-7
 
 
-def test_written_out_model_equals_the_walked_one(spark):
-    rules = [(1, [0], 0.2, 0.9), (2, [1], 0.8, 1.0)]
-    models = fuzzy_infer.literal_model(spark, ["x"], MEMBERSHIPS, rules, 0.4)
-    rows = spark.range(50).select("id", F.when(F.col("id") > 0, F.col("id") / 40).alias("x"), F.lit(1).alias("key"))
-    model = fuzzy_infer.single_model(models)
-    written = fuzzy_infer.it2_predict(rows, ["x"], ["id"], model).orderBy("id").collect()
-    joined = fuzzy_infer.with_model(rows, models.withColumn("key", F.lit(1)), ["key"])
-    walked = fuzzy_infer.it2_predict(joined, ["x"], ["id"]).orderBy("id").collect()
-    assert written[0]["prediction_norm"] is None and walked[0]["prediction_norm"] is None
-    assert np.allclose([r["prediction_norm"] for r in written[1:]], [r["prediction_norm"] for r in walked[1:]], atol=1e-12)
-    assert written[40]["prediction_norm"] == written[49]["prediction_norm"]  # inputs are clipped to 1
+def plain_prediction(x, memberships, rules, fallback):
+    """One row, one rule after the other."""
+    lower, upper = np.ones(len(rules)), np.ones(len(rules))
+    shapes = {(f, m): rest for f, m, *rest in memberships}
+    for i, (_, antecedent, _, weight) in enumerate(rules):
+        for feature, mf in enumerate(antecedent):
+            center, sigma, scale, lag = shapes[feature, mf]
+            high = np.exp(-0.5 * ((x[feature] - center) / sigma) ** 2)
+            lower[i] *= max(0.0, min(high, scale * np.exp(-0.5 * ((x[feature] - center - lag) / sigma) ** 2)))
+            upper[i] *= high
+        lower[i], upper[i] = lower[i] * weight, upper[i] * weight
+    if upper.sum() <= 1e-12:
+        return fallback
+    level = np.array([r[2] for r in rules])
+    return float(np.clip(sum(iterate(lower, upper, level, side) for side in (True, False)) / 2, 0, 1))
+
+
+@pytest.mark.parametrize("features,mfs,count", [(1, 2, 2), (1, 4, 4), (3, 4, 64), (5, 4, 1024), (5, 4, 700), (2, 3, 0)])
+def test_any_number_of_rules_equals_the_plain_evaluation(spark, features, mfs, count):
+    rng = np.random.default_rng(count)
+    names = [f"x{i}" for i in range(features)]
+    memberships = [(f, m, (m + 0.5) / mfs, 0.3, 0.8, 0.03) for f in range(features) for m in range(mfs)]
+    every = [list(map(int, np.unravel_index(i, (mfs,) * features))) for i in range(mfs**features)]
+    chosen = rng.permutation(len(every))[:count]
+    rules = [(i + 1, every[g], float(rng.random()), float(rng.random()) + 0.1) for i, g in enumerate(chosen)]
+    inputs = rng.random((60, features)) * 1.1
+    rows = spark.createDataFrame([(i, i % 3, *map(float, x)) for i, x in enumerate(inputs)], f"id int, key int, {', '.join(n + ' double' for n in names)}")
+    one = fuzzy_infer.literal_model(spark, names, memberships, rules, 0.4)
+    expected = [plain_prediction(np.minimum(x, 1), memberships, rules, 0.4) for x in inputs]
+    alone = {r["id"]: r["prediction_norm"] for r in fuzzy_infer.it2_predict(rows, names, ["id"], one).collect()}
+    keyed = one.crossJoin(spark.range(2).selectExpr("cast(id as int) as key"))
+    by_key = {r["id"]: r["prediction_norm"] for r in fuzzy_infer.it2_predict(rows, names, ["id"], keyed, ("key",)).collect()}
+    assert set(by_key) == {i for i in range(60) if i % 3 < 2}
+    for i in range(60):
+        assert alone[i] == pytest.approx(expected[i], abs=1e-9) and by_key.get(i, alone[i]) == alone[i]
+
+
+def test_shared_prefixes_are_one_node():
+    grid = np.array(np.unravel_index(np.arange(4**5), (4,) * 5)).T
+    trie = Trie(grid, 4)
+    assert [level.shape[1] for level in trie.levels] == [4, 16, 64, 256, 1024]
+    degrees = np.random.default_rng(1).random((7, 20))
+    plain = np.prod([degrees[:, f * 4 + grid[:, f]] for f in range(5)], axis=0)
+    assert np.allclose(trie.products(degrees), plain, rtol=1e-14)
+
+
+def test_null_inputs_have_no_prediction(spark):
+    models = fuzzy_infer.literal_model(spark, ["x"], MEMBERSHIPS, [(1, [0], 0.2, 0.9), (2, [1], 0.8, 1.0)], 0.4)
+    rows = spark.createDataFrame([(0, None, "a"), (1, 0.5, None), (2, 9.0, "a"), (3, 1.0, None)], "id int, x double, key string")
+    found = fuzzy_infer.it2_predict(rows, ["x"], ["id"], models).orderBy("id").collect()
+    assert found[0]["prediction_norm"] is None and found[0]["no_rule_fired"] is False
+    assert found[2]["prediction_norm"] == found[3]["prediction_norm"]  # inputs are clipped to 1
+    firing = fuzzy_infer.firing_table(rows, ["x"], ["id"], models).filter("id = 0").collect()
+    assert [(r["lower"], r["upper"]) for r in firing] == [(0.0, None)] * 2
+    keyed = models.withColumn("key", F.lit("a"))
+    assert {r["id"] for r in fuzzy_infer.it2_predict(rows, ["x"], ["id"], keyed, ("key",)).collect()} == {0, 2}
+    assert fuzzy_infer.it2_predict(rows.limit(0), ["x"], ["id"], models).count() == 0
 
 
 def test_feature_contract(spark):
@@ -202,8 +243,7 @@ def test_training_does_not_depend_on_names_or_partitions(spark, trained):
 
 def test_inference_reproduces_the_training_error(spark, trained):
     models = fuzzy_train.train_it2(training_frame(spark), VARIANTS, [42], SMOKE)
-    rows = fuzzy_infer.with_model(training_frame(spark), models, ["category"])
-    found = fuzzy_infer.it2_predict(rows, VARIANTS["target_weather"], ["category", "target_norm"])
+    found = fuzzy_infer.it2_predict(training_frame(spark), VARIANTS["target_weather"], ["category", "target_norm"], models, ("category",))
     mae = found.filter("category = 'tea'").agg(F.avg(F.abs(F.col("prediction_norm") - F.col("target_norm")))).first()[0]
     assert abs(mae - trained[0]["training_mae_norm"]) < 1e-12
 

@@ -1,8 +1,7 @@
-"""Interval type-2 fuzzy inference as row-local column expressions.
+"""Interval type-2 fuzzy models: their tables, and membership degrees as column expressions.
 
 A model is two arrays: `memberships` (feature, mf, center, sigma, lower_scale, lower_lag), ordered
 by feature and mf, and `rules` (rule_id, antecedent, consequent, weight), ordered by consequent.
-An input row is an array of feature values in model order.
 """
 
 from __future__ import annotations
@@ -10,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidecast.functions.binding import bind
-from tidecast.functions.scalars import clip
-
 NO_FIRING = 1e-12
 
 MEMBERSHIP_TYPE = (
@@ -33,126 +29,3 @@ def membership_pair(
     upper = bell(value, center, sigma)
     shifted = lower_scale * bell(value, center + lower_lag, sigma)
     return F.greatest(F.lit(0.0), F.least(upper, shifted)), upper
-
-
-def membership_bounds(x: Column, memberships: Column) -> Column:
-    """array<struct<feature, mf, lower, upper>> in the order of the memberships; x is in [0, 1]."""
-
-    def bounds(m: Column) -> Column:
-        lower, upper = membership_pair(
-            F.get(x, m["feature"]), m["center"], m["sigma"], m["lower_scale"], m["lower_lag"])
-        return F.struct(m["feature"].alias("feature"), m["mf"].alias("mf"),
-                        lower.alias("lower"), upper.alias("upper"))
-
-    return F.transform(memberships, bounds)
-
-
-def firing_bounds(bounds: Column, rules: Column, mfs: Column) -> Column:
-    """array<struct<consequent, rule_id, lower, upper>> in the order of the rules."""
-
-    def fire(rule: Column, all_bounds: Column, side: str) -> Column:
-        # Position of a rule's membership: feature * mfs + its mf index.
-        picked = F.transform(
-            rule["antecedent"], lambda mf, feature: F.get(all_bounds, feature * mfs + mf)[side]
-        )
-        return F.aggregate(picked, F.lit(1.0), lambda product, degree: product * degree) * rule["weight"]
-
-    def fired(all_bounds: Column) -> Column:
-        return F.transform(rules, lambda rule: F.struct(
-            rule["consequent"].alias("consequent"), rule["rule_id"].alias("rule_id"),
-            fire(rule, all_bounds, "lower").alias("lower"), fire(rule, all_bounds, "upper").alias("upper"),
-        ))
-
-    return bind(bounds, fired)
-
-
-def endpoint(ordered: Column, pick) -> Column:
-    """Best weighted mean over all switch points of rules in the given order.
-
-    Starting from the lower firing of every rule, one rule after the other is raised to its upper
-    firing; `pick` keeps the least or the greatest mean met on the way. The optimum of the
-    center-of-sets interval always lies at such a switch point, so no iteration is needed.
-    """
-
-    def mean(weight: Column, weighted: Column) -> Column:
-        return weighted / F.when(weight > NO_FIRING, weight)
-
-    def state(weight: Column, weighted: Column, best: Column) -> Column:
-        return F.struct(weight.alias("weight"), weighted.alias("weighted"), best.alias("best"))
-
-    total = F.aggregate(ordered, F.lit(0.0), lambda s, rule: s + rule["lower"])
-    moment = F.aggregate(ordered, F.lit(0.0), lambda s, rule: s + rule["lower"] * rule["consequent"])
-
-    def raise_rule(s: Column, rule: Column) -> Column:
-        gain = rule["upper"] - rule["lower"]
-        weight, weighted = s["weight"] + gain, s["weighted"] + gain * rule["consequent"]
-        return state(weight, weighted, pick(s["best"], mean(weight, weighted)))
-
-    start = bind(F.struct(total.alias("w"), moment.alias("m")),
-                 lambda s: state(s["w"], s["m"], mean(s["w"], s["m"])))
-    return F.aggregate(ordered, start, raise_rule, lambda s: s["best"])
-
-
-def reduced_interval(firing: Column) -> Column:
-    """struct<left, right, upper_sum> of rules that are ordered by consequent."""
-    return F.struct(
-        endpoint(firing, F.least).alias("left"),
-        endpoint(F.reverse(firing), F.greatest).alias("right"),
-        F.aggregate(firing, F.lit(0.0), lambda s, rule: s + rule["upper"]).alias("upper_sum"),
-    )
-
-
-def no_rule_fired(interval: Column) -> Column:
-    return F.coalesce(interval["upper_sum"] <= NO_FIRING, F.lit(False))
-
-
-def crisp_output(interval: Column, fallback: Column) -> Column:
-    return F.when(no_rule_fired(interval), fallback).otherwise(
-        clip((interval["left"] + interval["right"]) / 2)
-    )
-
-
-def activation(rule: Column) -> Column:
-    return F.sqrt(rule["lower"] * rule["upper"])
-
-
-# ---- the same for one model that the driver knows, as plain arithmetic inside generated code
-
-WRITTEN_OUT_RULES = 16
-
-
-def written_memberships(values: list[Column], memberships: list) -> dict[tuple[int, int], tuple[Column, Column]]:
-    return {
-        (m["feature"], m["mf"]): membership_pair(
-            values[m["feature"]],
-            *[F.lit(m[name]) for name in ("center", "sigma", "lower_scale", "lower_lag")])
-        for m in memberships
-    }
-
-
-def written_interval(lowers: list[Column], uppers: list[Column], consequents: list[float]) -> Column:
-    """struct<left, right, upper_sum> from one lower and one upper column per rule, by consequent."""
-
-    def mean(weight: Column, moment: Column) -> Column:
-        return moment / F.when(weight > NO_FIRING, weight)
-
-    def end(order: list[int], pick) -> Column:
-        weight, moment = F.lit(0.0), F.lit(0.0)
-        for i in order:
-            weight, moment = weight + lowers[i], moment + lowers[i] * consequents[i]
-        means = [mean(weight, moment)]
-        for i in order:
-            gain = uppers[i] - lowers[i]
-            weight, moment = weight + gain, moment + gain * consequents[i]
-            means.append(mean(weight, moment))
-        return pick(*means)
-
-    rising = list(range(len(consequents)))
-    total = F.lit(0.0)
-    for upper in uppers:
-        total = total + upper
-    if not rising:
-        return F.struct(F.lit(None).cast("double").alias("left"), F.lit(None).cast("double").alias("right"),
-                        total.alias("upper_sum"))
-    return F.struct(end(rising, F.least).alias("left"), end(rising[::-1], F.greatest).alias("right"),
-                    total.alias("upper_sum"))

@@ -15,26 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions.scalars import exact_sum
+from tidecast.operators.fuzzy_trie import Trie, crisp, ends
 from tidecast.operators.rounds import task_count
 
 JOB_KEYS = ["category", "variant", "seed"]
 
 
-def switch_means(lower, gain, level):
-    """Weighted means after raising the first 0, 1, 2, ... rules to their upper firing."""
-    raised = np.hstack([np.zeros((len(gain), 1)), gain])
-    total = lower.sum(axis=1, keepdims=True) + raised.cumsum(axis=1)
-    moment = (lower @ level)[:, None] + (raised * np.append(0.0, level)).cumsum(axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(total > 1e-12, moment / total, np.nan)
-
-
 def chunk_errors(x, y, used, mfs, fallback, candidates) -> list[float]:
     """Sum of |prediction - y| on one chunk for each candidate (rows of a matrix)."""
     features = len(used)
     width, rules = features * mfs, mfs**features
     values = x.reshape(len(y), -1)[:, used]
-    digits = np.array(np.unravel_index(np.arange(rules), (mfs,) * features)) + mfs * np.arange(features)[:, None]
+    grid = Trie(np.array(np.unravel_index(np.arange(rules), (mfs,) * features)).T, mfs)
     errors, known = [], None
     for row in candidates:
         shape = row[: 4 * width].reshape(4, features, mfs)
@@ -43,16 +35,13 @@ def chunk_errors(x, y, used, mfs, fallback, candidates) -> list[float]:
             gap = values[:, :, None] - center
             high = np.exp(-0.5 * (gap / sigma) ** 2)
             low = np.minimum(high, scale * np.exp(-0.5 * ((gap - lag) / sigma) ** 2))
-            low, high = (m.reshape(len(y), -1)[:, digits].prod(axis=1) for m in (low, high))
+            low, high = (grid.products(m.reshape(len(y), -1)) for m in (low, high))
         weight, consequent = row[4 * width : 4 * width + rules], row[4 * width + rules :]
         order = np.argsort(consequent, kind="stable")
         order = order[weight[order] > 0]
         lower, gain = low[:, order] * weight[order], (high - low)[:, order] * weight[order]
         level = consequent[order]
-        left = np.fmin.reduce(switch_means(lower, gain, level), axis=1)
-        right = np.fmax.reduce(switch_means(lower[:, ::-1], gain[:, ::-1], level[::-1]), axis=1)
-        silent = (lower + gain).sum(axis=1) <= 1e-12
-        output = np.where(silent, fallback, np.clip((left + right) / 2, 0, 1))
+        output, _ = crisp(*ends(lower, lower + gain, level), (lower + gain).sum(axis=1), fallback)
         errors.append(float(np.abs(output - y).sum()))
     return errors
 

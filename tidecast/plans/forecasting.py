@@ -35,27 +35,23 @@ class Forecasts:
     models: DataFrame | None = None
 
 
-def with_variant_features(test: DataFrame, models: DataFrame, variant: str) -> DataFrame:
-    """Test rows beside every model of a variant (one per seed)."""
-    picked = models.filter(F.col("variant") == variant)
-    return test.join(picked.select(*JOB_KEYS, *fuzzy_infer.MODEL_COLUMNS), "category")
+def fuzzy_scored(evaluate, test: DataFrame, models: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
+    """Test rows of every series through each of its models: variants and seeds."""
+    parts = []
+    for variant, names in variants.items():
+        own = models.filter(F.col("variant") == variant)
+        rows = test.join(own.select(*JOB_KEYS), "category")
+        parts.append(evaluate(rows, names, [*JOB_KEYS, "date"], own, tuple(JOB_KEYS)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fuzzy_predictions(test: DataFrame, models: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
     """(job keys, date, prediction_norm, no_rule_fired) of every model on its test rows."""
-    parts = [
-        fuzzy_infer.it2_predict(with_variant_features(test, models, v), names, [*JOB_KEYS, "date"])
-        for v, names in variants.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return fuzzy_scored(fuzzy_infer.it2_predict, test, models, variants)
 
 
 def fuzzy_activations(test: DataFrame, models: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
-    parts = [
-        fuzzy_infer.rule_activations(with_variant_features(test, models, v), names, [*JOB_KEYS, "date"])
-        for v, names in variants.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return fuzzy_scored(fuzzy_infer.rule_activations, test, models, variants)
 
 
 def fuzzy_forecast(predictions: DataFrame, supervised: DataFrame) -> DataFrame:
