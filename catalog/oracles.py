@@ -188,15 +188,15 @@ DATES = {"split_years": ["first_day", "last_day"]}
 DATES |= {name: ["date"] for name in (
     "coerce_demand", "demand_violations", "wide_to_long", "fill_forward", "lag_features", "unscale_targets",
     "evaluation_dates", "seasonal_naive", "align_forecasts", "predictions_table", "forecast_lines", "actual_line",
-    "forecast_pivot", "preview_demand", "predict_saved", "series_predictions", "ar_ols")}
+    "forecast_pivot", "preview_demand", "predict_saved", "series_predictions", "ar_ols", "arima_fixed_roll")}
 
 
 def oracle(name: str, uses: list[str], select: str) -> None:
-    parts = ",\n".join(f"{n} as ({CTES[n][1]})" for n in needed(uses, []))
+    parts = ",\n".join(f"{n} as ({CTES[n][1]})" for n in needed([u for u in uses if u != "recursive"], []))
     if name in DATES:
         texts = ", ".join(f"cast({d} as varchar) as {d}" for d in DATES[name])
         select = f"select * replace ({texts}) from ({select}) typed"
-    ORACLES[name] = f"with {parts}\n{select}"
+    ORACLES[name] = f"with {'recursive ' if 'recursive' in uses else ''}{parts}\n{select}"
 
 
 # ---- contract and reshape
@@ -536,6 +536,24 @@ select category, d, {r(AIC, "aic")}, {rs(["constant", "ar"])} from (
   select category, 1, 0, sum((y - y1) * (y1 - y2)) / sum(pow(y1 - y2, 2)), count(*), 1,
          sum(pow(y - y1, 2)) - pow(sum((y - y1) * (y1 - y2)), 2) / sum(pow(y1 - y2, 2)) from steps group by category) f""")
 
+# ARIMA with fixed parameters, walked row by row.
+CTES["scaled_days"] = (["prepared"], f"""
+select *, row_number() over w - 1 as nth, {scaled("sales", "sales")} as y from prepared
+window w as (partition by category order by case split when 'train' then 0 else 1 end, date)""")
+CTES["changes"] = (["scaled_days"], """
+select *, y - lag(y) over (partition by category order by nth) as w from scaled_days""")
+CTES["unexplained"] = (["changes"], """
+select *, case when nth >= 3 then w - (0.02 + 0.5 * coalesce(lag(w) over o, 0) - 0.2 * coalesce(lag(w, 2) over o, 0)) else 0 end as u
+from changes window o as (partition by category order by nth)""")
+CTES["walk"] = (["unexplained"], """
+select category, nth, cast(0 as double) as e1, cast(0 as double) as e2 from unexplained where nth = 0
+union all select n.category, n.nth, n.u - 0.4 * walk.e1 - 0.3 * walk.e2, walk.e1
+from walk join unexplained n on n.category = walk.category and n.nth = walk.nth + 1""")
+oracle("arima_fixed_roll", ["recursive", "walk"], f"""
+select category, date, {r("(y - e1) * greatest(sales_max - sales_min, cast(1e-12 as double)) + sales_min", "predicted")},
+       {r("y - e1", "predicted_norm")}
+from walk join unexplained using (category, nth) where split = 'test' and target_observed""")
+
 # ---- records and checks of a run
 
 oracle("preprocessing_record", ["scales", "medians"], f"""

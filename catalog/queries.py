@@ -438,7 +438,7 @@ def ar_ols(spark, sf_dir):
 @query
 def arima_ar_fits(spark, sf_dir):
     """The grid's AR(1) candidates, which are least-squares fits on the common sample."""
-    fits = arima.arima_candidates(prepared_demand(spark, sf_dir), "smoke")
+    fits = arima.regression_candidates(prepared_demand(spark, sf_dir), "smoke")
     return fits.filter("p = 1 and q = 0").select(
         "category", "d", "aic", "constant", F.get("ar", F.lit(0)).alias("ar"))
 
@@ -459,6 +459,16 @@ def arima_forecast(spark, sf_dir):
     return evaluate.metrics_table(evaluate.align(forecast, truth))
 
 
+@query
+def arima_fixed_roll(spark, sf_dir):
+    """Rolling one-step forecasts of one ARIMA(2, 1, 2) with given parameters for every series, in short chunks."""
+    prepared = durable(prepared_demand(spark, sf_dir))
+    fit = prepared.select("category").distinct().select(
+        "category", F.lit(2).alias("p"), F.lit(1).alias("d"), F.lit(2).alias("q"), F.lit(0.02).alias("constant"),
+        F.array(F.lit(0.5), F.lit(-0.2)).alias("ar"), F.array(F.lit(0.4), F.lit(0.3)).alias("ma"))
+    return arima.arima_roll(fit, prepared, chunk=64).select("category", "date", "predicted", "predicted_norm")
+
+
 @query
 def lstm_forecast(spark, sf_dir):
     """Short-profile training and test metrics of the neural baseline."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidecast.operators import arima, features, lstm
+from tidecast.operators import arima, arma, features, lstm
 from tidecast.operators.contract import DEMAND_SCHEMA
 
 
@@ -44,7 +44,7 @@ def test_grid_recovers_simulated_orders(prepared):
 
 
 def test_autoregression_fit_is_least_squares(prepared):
-    fits = {r["category"]: r for r in arima.arima_candidates(prepared, "smoke").filter("p = 1 and d = 0 and q = 0").collect()}
+    fits = {r["category"]: r for r in arima.regression_candidates(prepared, "smoke").filter("p = 1 and d = 0 and q = 0").collect()}
     rows = prepared.filter("split = 'train'").orderBy("date").collect()
     for name, fit in fits.items():
         own = [r for r in rows if r["category"] == name]
@@ -54,6 +54,70 @@ def test_autoregression_fit_is_least_squares(prepared):
         assert np.allclose([fit["ar"][0], fit["constant"]], [slope, constant], atol=1e-8)
 
 
+def test_deviance_of_an_ar1_is_the_closed_form():
+    y, phi, mean = simulated(11, ar=0.6, size=300) / 100, 0.55, 1.01
+    w, n = y - mean, len(y)
+    rest = (1 - phi**2) * w[0] ** 2 + ((w[1:] - phi * w[:-1]) ** 2).sum()
+    theta = np.zeros((1, arma.WIDTH))
+    theta[0, :2] = mean, phi
+    closed = n * (np.log(2 * np.pi * rest / n) + 1) - np.log(1 - phi**2)
+    assert arma.deviance(y[None], np.array([n]), theta)[0] == pytest.approx(closed, abs=1e-8)
+    fitted, aic = arma.fits(y[None], np.array([[1, 0]]), np.array([True]))
+    assert aic[0] == pytest.approx(arma.deviance(y[None], np.array([n]), fitted)[0] + 6, abs=1e-9) and aic[0] <= closed + 6
+
+
+@pytest.mark.parametrize("ar,ma", [([0.5, -0.3], [1.7]), ([], [0.4, 2.0, -0.3]), ([0.9], [-1.0]), ([0.2, 0.1, 0.3], [0.5, 0.5, 0.1])])
+def test_deviance_equals_the_dense_normal_density(ar, ma):
+    """Non-invertible and borderline moving averages too; series of several lengths go together."""
+    psi = [1.0]
+    for k in range(1, 3000):
+        psi.append((ma[k - 1] if k <= len(ma) else 0.0) + sum(a * psi[k - 1 - i] for i, a in enumerate(ar) if k > i))
+    psi, theta = np.array(psi), np.zeros((1, arma.WIDTH))
+    theta[0, 0], theta[0, 1 : 1 + len(ar)], theta[0, 4 : 4 + len(ma)] = 0.3, ar, ma
+    sizes, y = [5, 60, 120], np.full((3, 120), np.nan)
+    expected = []
+    for row, n in zip(y, sizes):
+        row[:n] = np.random.default_rng(n).normal(size=n)
+        cover = np.array([psi[: len(psi) - h] @ psi[h:] for h in range(n)])[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))]
+        w = row[:n] - 0.3
+        expected.append(n * (np.log(2 * np.pi * (w @ np.linalg.solve(cover, w)) / n) + 1) + np.linalg.slogdet(cover)[1])
+    assert np.allclose(arma.deviance(y, np.array(sizes), np.repeat(theta, 3, axis=0)), expected, atol=1e-6)
+
+
+def test_larger_orders_never_fit_worse():
+    y = simulated(13, ar=0.5, ma=0.4, size=150) / 100
+    orders = np.array([(p, q) for p in range(4) for q in range(4)])
+    _, aic = arma.fits(np.repeat(y[None], 16, axis=0), orders, np.ones(16, bool))
+    own = (aic - 2 * (orders.sum(axis=1) + 2)).reshape(4, 4)
+    assert (np.diff(own, axis=0) < 0.05).all() and (np.diff(own, axis=1) < 0.05).all()
+
+
+def test_short_series_get_a_model(spark):
+    demand = demand_of(spark, short=[5.0, 7, 6, 9, 8, 11, 10, 12] * 2, tiny=[1.0, 2.0] * 2)
+    prepared = features.prepare_features(demand, 2016, 2017, [])
+    best = {r["category"]: r for r in arima.arima_select(prepared, "full").collect()}
+    assert np.isfinite(best["short"]["aic"]) and len(best["short"]["ar"]) == best["short"]["p"]
+    assert arima.arima_roll(arima.arima_select(prepared, "full"), prepared).filter("category = 'short'").count() == 8
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 512])
+def test_chunked_scan_equals_the_plain_recursion(spark, chunk):
+    values = simulated(14, ar=0.3, ma=0.5, size=90)
+    prepared = features.prepare_features(demand_of(spark, a=values, b=values[::-1]), 2016, 2017, [])
+    fit = spark.createDataFrame([(c, -1.0, 1, 0, 3, 0.1, [0.3], [0.4, -0.9, 1.2]) for c in "ab"],
+                                "category string, aic double, p int, d int, q int, constant double, ar array<double>, ma array<double>")
+    found = {(r["category"], r["date"]): r["predicted_norm"] for r in arima.arima_roll(fit, prepared, chunk=chunk).collect()}
+    for name, own in (("a", values), ("b", values[::-1])):
+        low, high = own[:45].min(), own[:45].max()
+        y, e, expected = (own - low) / (high - low), [0.0] * 3, []
+        for t in range(1, 90):
+            guess = 0.1 + 0.3 * y[t - 1] + 0.4 * e[-1] - 0.9 * e[-2] + 1.2 * e[-3]
+            e.append(y[t] - guess)
+            expected.append(guess)
+        mine = [v for (c, _), v in sorted(found.items()) if c == name]
+        assert np.allclose(mine, expected[44:], rtol=1e-7)
+
+
 def test_rolling_forecast_uses_only_the_past(spark, prepared):
     best = arima.arima_select(prepared, "smoke")
     rows = arima.arima_roll(best, prepared).collect()

@@ -1,12 +1,15 @@
-"""ARIMA by two least-squares regressions (Hannan-Rissanen), with the grid search as aggregates.
+"""ARIMA: order search by exact likelihood, rolling forecasts as a scan, and a regression form of the grid.
 
-1. A long autoregression per series and differencing order gives estimates of the innovations.
-2. The series is regressed on its own lags and lagged innovations. One matrix of cross products
-   per (series, d) holds every (p, q) candidate as a sub-block, so the whole order grid costs one
-   aggregation and small solves, on a sample common to all orders.
+`arima_candidates` fits every order of a series by the exact likelihood of `arma`: one row per (series,
+order) with the values of the training year, at most 366, so a search is spread over tasks by series and order.
 
-Rows are never gathered for fitting. Only the forecast recursion with moving-average terms walks a
-series in time order; its group is the holdout pair of years, at most 732 days.
+`regression_candidates` is the two-step least-squares form (Hannan-Rissanen) for series of any length: a
+long autoregression estimates the innovations, then one matrix of cross products per (series, d) holds every
+(p, q) candidate as a sub-block. Rows are never gathered there.
+
+The forecast recursion with moving-average terms is an affine map of the last innovations. Chunks of a
+series are walked from zero, their maps are composed in time order, and each chunk is then corrected for the
+innovations it really starts from; so a long series is many tasks.
 """
 
 from __future__ import annotations
@@ -17,9 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions.scalars import scale_col
+from tidecast.operators import arma
 from tidecast.operators.features import TRAIN
 from tidecast.operators.forecasts import tagged, to_both_scales
-from tidecast.operators.rounds import task_count
+from tidecast.operators.rounds import durable, task_count
 
 FIT_TYPE = "array<struct<p:int,d:int,q:int,aic:double,constant:double,ar:array<double>,ma:array<double>>>"
 
@@ -134,8 +138,47 @@ def innovations(train: DataFrame, lags: int) -> DataFrame:
     return complete.join(coefficients, ["category", "d"]).withColumn("e", F.col("w") - fitted)
 
 
-def arima_candidates(prepared: DataFrame, profile: str = "full") -> DataFrame:
-    """Every usable fit: (category, p, d, q, aic, constant, ar, ma), on the training scale."""
+def arima_candidates(prepared: DataFrame, profile: str = "full", batch: int = 128) -> DataFrame:
+    """Every usable fit by exact likelihood: (category, p, d, q, aic, constant, ar, ma), on the training scale.
+
+    A series without differencing has a mean, a differenced one has none; `constant` is the intercept of the
+    recursion. Candidates need more rows than parameters and a residual that is not zero; moving-average parts
+    may be non-invertible.
+    """
+    bound = order_bound(profile)
+    orders = [(p, d, q) for p in range(bound + 1) for d in range(2) for q in range(bound + 1) if p or d or q]
+    train = differenced(prepared).filter((F.col("split") == TRAIN) & F.col("w").isNotNull())
+    # one group is the training year of a series, which the contract keeps to 366 days
+    series = train.groupBy("category", "d").agg(F.sort_array(F.collect_list(F.struct("date", "w"))).alias("rows"))
+    listed = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d).alias("of_d"), F.lit(q).alias("q")) for p, d, q in orders])
+    each = series.select("category", "d", F.col("rows.w").alias("w"), F.inline(listed)).filter("d = of_d")
+    tasks = task_count(prepared.sparkSession)
+    each = each.select("category", "p", "d", "q", "w").repartition(tasks, "category", "p", "d", "q")
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, len(whole), batch):
+                part = whole.iloc[i : i + batch]
+                y = np.full((len(part), max(map(len, part["w"]))), np.nan)
+                for row, values in zip(y, part["w"]):
+                    row[: len(values)] = values
+                orders_, level = part[["p", "q"]].to_numpy(), part["d"].to_numpy() == 0
+                theta, aic = arma.fits(y, orders_, level)
+                rows = part["w"].map(len).to_numpy() > orders_.sum(axis=1) + level + 1
+                good = rows & np.isfinite(aic) & (np.nanvar(y, axis=1) > 1e-24)
+                yield pd.DataFrame({
+                    "category": part["category"], "p": part["p"], "d": part["d"], "q": part["q"], "aic": aic,
+                    "constant": theta[:, 0] * (1 - theta[:, 1 : 1 + arma.BOUND].sum(axis=1)),
+                    "ar": [list(t[1 : 1 + p]) for t, p in zip(theta, part["p"])],
+                    "ma": [list(t[1 + arma.BOUND : 1 + arma.BOUND + q]) for t, q in zip(theta, part["q"])],
+                })[good]
+
+    schema = "category string, p int, d int, q int, aic double, constant double, ar array<double>, ma array<double>"
+    return each.mapInPandas(run, schema)
+
+
+def regression_candidates(prepared: DataFrame, profile: str = "full") -> DataFrame:
+    """Every usable fit of the two-step regressions: (category, p, d, q, aic, constant, ar, ma), on the training scale."""
     bound = order_bound(profile)
     series = differenced(prepared)
     train = series.filter(F.col("split") == TRAIN)
@@ -173,37 +216,92 @@ def ar_ols(prepared: DataFrame) -> DataFrame:
         "category", "date", "slope", "intercept", (F.col("intercept") + F.col("slope") * F.col("before")).alias("predicted"))
 
 
-def one_step(group: pd.DataFrame) -> pd.DataFrame:
-    """Rolling one-step forecasts of one series with fixed parameters, in time order."""
-    group = group.sort_values(["turn", "date"], kind="stable")
-    ar, ma = np.asarray(group["ar"].iloc[0], dtype=float), np.asarray(group["ma"].iloc[0], dtype=float)
-    constant, w, y = group["constant"].iloc[0], group["w"].to_numpy(), group["y"].to_numpy()
-    w = np.where(np.isnan(w), 0.0, w)
-    start = max(len(ar) + int(group["d"].iloc[0]), 1)
-    e, forecast = np.zeros(len(w)), np.full(len(w), np.nan)
-    for t in range(start, len(w)):
-        shocks = e[max(t - len(ma), 0) : t][::-1]
-        expected = constant + ar @ w[t - len(ar) : t][::-1] + ma[: len(shocks)] @ shocks
-        e[t] = w[t] - expected
-        forecast[t] = y[t] - e[t]
-    return pd.DataFrame({"category": group["category"], "date": group["date"], "forecast_norm": forecast})
+def shocks(u: np.ndarray, ma: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Innovations e[t] = u[t] - ma[0] e[t-1] - ma[1] e[t-2] ..., after the innovations `before`, newest first."""
+    e, last = np.zeros(len(u)), list(before)
+    for t, value in enumerate(u.tolist()):
+        now = value - float(np.dot(ma, last)) if len(ma) else value
+        e[t] = now
+        last = [now, *last[:-1]] if len(ma) else last
+    return e
 
 
-def arima_roll(best: DataFrame, prepared: DataFrame) -> DataFrame:
+def carried(ma: np.ndarray, steps: int) -> np.ndarray:
+    """What becomes of the innovations before a chunk after so many steps, as a matrix on (newest, ..., oldest)."""
+    move = np.eye(len(ma), k=-1)
+    if len(ma):
+        move[0] = -ma
+    return np.linalg.matrix_power(move, steps)
+
+
+def newest(e: np.ndarray, q: int) -> list[float]:
+    """The last q innovations, newest first; those before the chunk count as 0."""
+    own = e[::-1][:q].tolist()
+    return own + [0.0] * (q - len(own))
+
+
+def arima_roll(best: DataFrame, prepared: DataFrame, chunk: int = 512) -> DataFrame:
     """One-step test forecasts: each filled observation enters the history after its forecast.
 
-    Parameters stay as fitted. Unobserved targets are masked at the end only.
+    Parameters stay as fitted. Unobserved targets are masked at the end only. A series is cut into chunks of
+    `chunk` rows; only one row per chunk, of q numbers and a q x q map, is brought into time order.
     """
-    series = differenced(prepared).join(best, ["category", "d"])
     tasks = task_count(prepared.sparkSession)
-    walked = (
-        series.select("category", "turn", "date", "d", "y", "w", "constant", "ar", "ma").repartition(tasks, "category")
-        .groupBy("category").applyInPandas(one_step, "category string, date date, forecast_norm double")
+    lags = [F.coalesce(F.lag("w", k).over(in_time()), F.lit(0.0)).alias(f"w_{k}") for k in range(1, arma.BOUND + 1)]
+    at = (F.row_number().over(in_time()) - 1).alias("at")
+    rows = differenced(prepared).select("*", *lags, at).join(best, ["category", "d"])
+    w = F.coalesce("w", F.lit(0.0))
+    expected = F.col("constant")
+    for k in range(1, arma.BOUND + 1):
+        expected = expected + F.coalesce(F.get("ar", F.lit(k - 1)), F.lit(0.0)) * F.col(f"w_{k}")
+    begun = F.col("at") >= F.greatest(F.size("ar") + F.col("d"), F.lit(1))
+    rows = rows.withColumn("u", F.when(begun, w - expected).otherwise(F.lit(0.0))).withColumn("chunk", F.expr(f"at div {chunk}"))
+    packed = rows.groupBy("category", "chunk").agg(
+        F.sort_array(F.collect_list(F.struct("at", "date", "y", "u", begun.alias("begun")))).alias("rows"), F.first("ma").alias("ma"),
     )
-    kept = prepared.filter((F.col("split") != TRAIN) & F.col("target_observed")).select(
-        "category", "date", "sales_min", "sales_max")
-    scaled = kept.join(walked, ["category", "date"]).withColumnRenamed("forecast_norm", "predicted_norm")
-    return tagged(to_both_scales(scaled), "arima")
+
+    def mapped(cells: pd.Series, ma: pd.Series) -> pd.Series:
+        made = []
+        for own, coefficients in zip(cells, ma, strict=True):
+            coefficients = np.asarray(coefficients, float)
+            e = shocks(np.asarray(own, float), coefficients, np.zeros(len(coefficients)))
+            made.append([*newest(e, len(coefficients)), *carried(coefficients, len(own)).ravel()])
+        return pd.Series(made)
+
+    def composed(maps: pd.Series, ma: pd.Series) -> pd.Series:
+        """Innovations before each chunk: the maps of all chunks before it, one after the other."""
+        made = []
+        for own, coefficients in zip(maps, ma, strict=True):
+            q, state, before = len(coefficients), np.zeros(len(coefficients)), []
+            for cell in own:
+                before.append(state.tolist())
+                cell = np.asarray(cell, float)
+                state = cell[:q] + cell[q:].reshape(q, q) @ state
+            made.append(before)
+        return pd.Series(made)
+
+    def corrected(cells: pd.Series, ma: pd.Series, before: pd.Series) -> pd.Series:
+        return pd.Series([
+            shocks(np.asarray(u, float), np.asarray(m, float), np.asarray(b, float)).tolist()
+            for u, m, b in zip(cells, ma, before, strict=True)
+        ])
+
+    for fn, names in ((mapped, ["cells", "ma"]), (composed, ["maps", "ma"]), (corrected, ["cells", "ma", "before"])):
+        fn.__annotations__ = {**{n: pd.Series for n in names}, "return": pd.Series}
+    packed = durable(packed.repartition(tasks, "category", "chunk"))
+    maps = packed.select("category", "chunk", "ma", F.pandas_udf(mapped, "array<double>")(F.col("rows.u"), F.col("ma")).alias("map"))
+    ordered = maps.groupBy("category").agg(
+        F.sort_array(F.collect_list(F.struct("chunk", "map"))).alias("maps"), F.first("ma").alias("ma"))
+    starts = ordered.select(
+        "category", F.arrays_zip(F.col("maps.chunk").alias("chunk"), F.pandas_udf(composed, "array<array<double>>")(
+            F.col("maps.map"), F.col("ma")).alias("before")).alias("cells"),
+    ).select("category", F.inline("cells")).toDF("category", "chunk", "before")
+    walked = packed.join(starts, ["category", "chunk"]).withColumn(
+        "e", F.pandas_udf(corrected, "array<double>")(F.col("rows.u"), F.col("ma"), F.col("before")))
+    one = walked.select("category", F.inline(F.arrays_zip("rows", "e"))).select("category", "rows.*", "e")
+    forecast = one.filter("begun").select("category", "date", (F.col("y") - F.col("e")).alias("predicted_norm"))
+    kept = prepared.filter((F.col("split") != TRAIN) & F.col("target_observed")).select("category", "date", "sales_min", "sales_max")
+    return tagged(to_both_scales(kept.join(forecast, ["category", "date"])), "arima")
 
 
 def arima_details() -> Column:
