@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,3 +170,71 @@ class Remembered(dict):
             self.clear()
         self[key] = value
         return value
+
+
+class BatchMemory:
+    """Values of words, made for a whole batch of texts at a time.
+
+    `make` adds the values of new words to the table that it is given. Over `most` values, only those of the
+    batch under way stay, so the table holds at most `most` values and those of one batch.
+    """
+
+    def __init__(self, make: Callable[[list, dict], None], most: int):
+        self.make, self.most, self.known = make, most, {}
+
+    def of(self, words: list) -> list:
+        """The value of each of these words."""
+        known = self.known
+        new = [word for word in words if word not in known]
+        if new:
+            self.make(new, known)
+            if len(known) > self.most:
+                self.known = known = {word: known[word] for word in words}
+        return list(map(known.__getitem__, words))
+
+
+FIRST = "\ue000"  # stands before the first word of a text
+
+
+class Chunked:
+    """Encodes texts by their words between blanks: each word that a batch holds is encoded once.
+
+    `make(words, table)` puts the ids of words into a table, as bytes of 32-bit numbers, or None where a word
+    can't be told apart from its neighbours; texts with such a word, or that `odd` finds, go through `whole`.
+    A line feed is replaced by `feed` first. With `marked`, the first word of a text begins with FIRST.
+    """
+
+    def __init__(self, make, whole: Callable[[str], bytes], most: int, feed: str = "\n", odd: str | None = None, marked: bool = True):
+        self.memory, self.whole, self.feed, self.odd, self.marked = BatchMemory(make, most), whole, feed, odd, marked
+
+    def encode(self, texts: pa.Array, most: int = 2 << 20) -> list:
+        """Ids of each text as bytes of 32-bit numbers; no text is null. About `most` bytes go at a time."""
+        made, low = [], 0
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        while low < len(texts):
+            begin = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, begin + most, "right")))
+            made += self._encode(texts.slice(low, high - low))
+            low = high
+        return made
+
+    def _encode(self, texts: pa.Array) -> list:
+        parts = texts if self.feed == "\n" else pc.replace_substring(texts, "\n", self.feed)
+        parts = pc.binary_join_element_wise(FIRST, parts, "") if self.marked else parts
+        words = pc.split_pattern(parts, " ")
+        edges, named = words.offsets.to_numpy(), words.values.dictionary_encode()
+        index, values = named.indices.to_numpy(), self.memory.of(named.dictionary.to_pylist())
+        size = np.fromiter((0 if v is None else len(v) >> 2 for v in values), np.int64, len(values))
+        flat = np.frombuffer(b"".join(v for v in values if v is not None), np.uint32)
+        n, start = size[index], np.cumsum(size) - size
+        ends = np.cumsum(n)
+        raw = flat[np.repeat(start[index] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        places = np.append(0, ends * 4)[edges].tolist()
+        made = [raw[a:b] for a, b in zip(places, places[1:])]
+        tied = np.fromiter((v is None for v in values), bool, len(values))
+        alone = np.diff(np.append(0, np.cumsum(tied[index]))[edges]) > 0
+        if self.odd:
+            alone |= pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(alone).tolist():
+            made[i] = self.whole(texts[i].as_py())
+        return made

@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import os
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Held, Remembered, kept, mapped, mixed, tasks
+from tidecast.llm.common import Chunked, Held, Remembered, kept, mapped, mixed, tasks
 
 DIMENSIONS, BITS = 3, 10
+SCALE = 1 << 24  # directions are whole multiples of its inverse
 SPREAD = 4.0  # scale of the projected means before they are squashed into the unit cube
 
 
@@ -26,48 +28,52 @@ class Tokens:
     """Ids of whole texts. Chunks between blanks and line feeds are encoded apart and remembered.
 
     The tokenizer drops white space, and no rule of it reaches across. It lower-cases letters one by one and
-    parts them from marks, so `Word,` has the ids of `word` and of `,`.
+    parts them from marks, so `Word,` has the ids of `word` and of `,` where `word` is made of composed letters
+    that stay letters; every other chunk goes through the tokenizer as a whole.
     """
 
-    MARKS = ".,;:!?#$%&*()=+-/\"<>@"
+    MARKS = ".,;:!?#$%&*()=+-/\"@"
 
     def __init__(self, raw: bytes, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(True)
+        self.merge = self.tokenizer.model.tokenize
         # the byte-level alphabet: visible Latin-1 bytes stand for themselves, the rest follow from 256 on
         seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = (b for b in range(256) if b not in seen)
         self.letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.plain = Remembered(self._plain, most)
-        self.words = Remembered(self._word, most // 4)
-        self.chunks = Remembered(self._chunk, most)
-
-    def _word(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _plain(self, word: str) -> bytes:
-        """Composed small letters are one pre-token: straight to the merges."""
-        name = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(name)], np.uint32).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        word = chunk.rstrip(self.MARKS)
-        if not word.isalpha():
-            return self._word(chunk)
-        low, marks = word.lower(), chunk[len(word) :]
-        plain = len(low) == len(word) and "\u03a3" not in word  # a final sigma depends on its place
-        plain = plain and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)
-        ids = self.plain[low] if plain else self.words[word]
-        return ids + self.words[marks] if marks else ids
-
-    def encode(self, text: str, end: int) -> bytes:
-        """Little-endian 32-bit ids, closed by the id `end`."""
-        ids = map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))
-        return b"".join(ids) + np.uint32(end).tobytes()
+        self.marks = Remembered(self._whole, 1000)
+        self.chunks = Chunked(self._chunks, self._whole, most, " ", marked=False)
+
+    def _whole(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def _chunks(self, new: list[str], known: dict) -> None:
+        merge, letters, marks = self.merge, self.letters, self.marks
+        for chunk in new:
+            word = chunk.rstrip(self.MARKS)
+            plain = word.isalpha()
+            if plain and not word.isascii():
+                # letters up to Latin Extended-B, in both cases one composed character each: no dotted capital I
+                plain = max(word) < "\u0250" and "\u0130" not in word and unicodedata.is_normalized("NFC", word)
+            if not plain:
+                known[chunk] = self._whole(chunk)
+                continue
+            low = word.lower()
+            ids = known.get(low)
+            if ids is None:  # composed small letters are one piece: straight to the merges
+                name = low if low.isascii() else "".join(map(letters.__getitem__, low.encode()))
+                ids = known[low] = array("I", [t.id for t in merge(name)]).tobytes()
+            if chunk != low:
+                known[chunk] = ids if len(word) == len(chunk) else ids + marks[chunk[len(word) :]]
+
+    def encode(self, texts: pa.Array, end: int) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, closed by the id `end`."""
+        closing = array("I", [end]).tobytes()
+        return [ids + closing for ids in self.chunks.encode(texts)]
 
 
 def tokens_of(held: Held) -> Tokens:
@@ -79,7 +85,7 @@ def directions(vocabulary: int) -> np.ndarray:
     """A hashed direction in the cube for every token id."""
     cells = np.arange(vocabulary * DIMENSIONS, dtype=np.uint64) + np.uint64(0x5EED)
     unit = (mixed(mixed(cells)) >> np.uint64(11)).astype(np.float64) / 2.0**53
-    return (unit * 2.0 - 1.0).reshape(vocabulary, DIMENSIONS)
+    return ((unit * 2.0 - 1.0) * SCALE).astype(np.int32).reshape(vocabulary, DIMENSIONS)
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -108,10 +114,20 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[np.ndarray], vocabulary: int) -> np.ndarray:
-    """Hilbert key of each document's mean direction."""
-    table = directions(vocabulary)
-    means = np.array([table[x].mean(axis=0) for x in ids]) if ids else np.zeros((0, DIMENSIONS))
+def curve_keys(ids: np.ndarray, counts: np.ndarray, vocabulary: int, step: int = 1 << 20) -> np.ndarray:
+    """Hilbert key of each document's mean direction; `ids` are those of all documents, `counts` of each (at least 1).
+
+    A direction is a whole number, so sums are exact and do not depend on the documents beside it.
+    """
+    table, sums = directions(vocabulary), np.zeros((len(counts), DIMENSIONS), np.int64)
+    ends = np.cumsum(counts)
+    low = 0
+    while low < len(counts):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - counts[low] + step, "right")))
+        first = ends[low:high] - counts[low:high]
+        sums[low:high] = np.add.reduceat(table[ids[first[0] : ends[high - 1]]], first - first[0], axis=0, dtype=np.int64)
+        low = high
+    means = sums / counts[:, None] / SCALE
     cells = np.minimum((np.tanh(means * SPREAD) * 0.5 + 0.5) * (1 << BITS), (1 << BITS) - 1)
     return hilbert(cells.astype(np.int64))
 
@@ -122,27 +138,33 @@ def tokenized(
 ) -> DataFrame:
     """(id, place, part, n_tokens, ids); `part` counts the cuts at or below a place.
 
-    `place` is the curve key with hashed ids below it, which parts equal texts.
+    `place` is the curve key with a hash of the row below it, which parts equal texts, of one id too.
     """
     held = Held.read(vocabulary_path)
 
     def run(batches):
         own = tokens_of(held)
         for batch in batches:
-            made = [own.encode(x, end) for x in batch.column(2).to_pylist()]
-            arrays = [np.frombuffer(x, np.uint32) for x in made]
+            if not batch.num_rows:
+                continue
+            made = own.encode(batch.column(2), end)
+            counts = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            ids = np.frombuffer(b"".join(made), np.uint32)
             tie = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            place = curve_keys(arrays, max(own.size, end + 1)) << 32 | (tie & 0xFFFFFFFF)
+            place = curve_keys(ids, counts, max(own.size, end + 1)) << 32 | (tie & 0xFFFFFFFF)
             part = np.searchsorted(cuts, place, side="right").astype(np.int32)
-            counts = np.array([len(x) for x in arrays], np.int64)
-            narrow = [x.astype(np.uint16).tobytes() for x in arrays] if own.size <= 65536 else made
+            stored = ids.astype(np.uint16) if own.size <= 65536 else ids
+            edges = np.append(0, np.cumsum(counts)) * stored.itemsize
+            blobs = pa.Array.from_buffers(
+                pa.binary(), len(counts), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(stored)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(place), pa.array(part), pa.array(counts), pa.array(narrow, pa.binary())],
+                [batch.column(0), pa.array(place), pa.array(part), pa.array(counts), blobs],
                 [id_column, "place", "part", "n_tokens", "ids"],
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    chosen = docs.select(id_column, F.xxhash64(id_column).alias("tie"), F.coalesce(F.col(text), F.lit("")).alias(text))
+    row = F.xxhash64(id_column, F.monotonically_increasing_id())
+    chosen = docs.select(id_column, row.alias("tie"), F.coalesce(F.col(text), F.lit("")).alias(text))
     return chosen.transform(mapped, run, f"`{id_column}` {kind}, place bigint, part int, n_tokens bigint, ids binary")
 
 
@@ -212,13 +234,13 @@ def pack(
     Every sequence but a task's last is full; the rest of a task is cut into sequences whose lengths are
     powers of two, which need no padding. A null or empty text is one piece that holds `end`. Repeated rows
     are packed each; an empty table gives no rows. A sample of `per_part` documents per part, chosen by
-    hash, only places the borders between tasks; hot groups of equal texts are cut by hashed ids.
+    a hash of the row, only places the borders between tasks; hot groups of equal texts or rows are cut by it.
     """
     spark = docs.sparkSession
     parts = tasks(spark)
     every = max(1, docs.count() // (per_part * parts))
     keyed = docs.select(id_column, text)
-    sample = keyed.where(F.pmod(F.xxhash64(F.lit(7), id_column), F.lit(every)) == 0)
+    sample = keyed.where(F.pmod(F.xxhash64(F.lit(7), F.monotonically_increasing_id()), F.lit(every)) == 0)
     cuts = borders(tokenized(sample, vocabulary_path, end, id_column, text), parts)
     narrow = tokens_of(Held.read(vocabulary_path)).size <= 65536
     whole = tokenized(keyed, vocabulary_path, end, id_column, text, cuts)
