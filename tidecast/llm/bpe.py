@@ -11,6 +11,7 @@ decides between them, and a token goes out once every token still under way agre
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Held, Remembered, by_batch, kept, lists, mapped
+from tidecast.llm.common import FIRST, Chunked, Held, Remembered, by_batch, kept, lists, mapped
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -185,52 +186,56 @@ class Transducer:
 class Encoder:
     """Whole texts: pieces by the pattern; ids of pieces and of ` word` chunks are remembered, bounded."""
 
-    def __init__(self, raw: bytes, pattern: str, most: int = 300_000):
+    def __init__(self, raw: bytes, pattern: str, most: int = 500_000):
         self.transducer = Transducer(parse_ranks(raw))
         self.pattern = regex.compile(pattern)
-        self.pieces = Remembered(lambda x: np.array(self.transducer.encode(x.encode()), np.int32).tobytes(), most // 4)
-        self.chunks = Remembered(self._chunk, most)
+        self.pieces = Remembered(lambda x: array("I", self.transducer.encode(x.encode())).tobytes(), most // 4)
+        self.chunks = Chunked(self._chunks, self.plain, most, odd=FIRST)
 
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
-    def _chunk(self, word: str) -> bytes | None:
-        """Ids of ` word`, which no neighbour can change; None if white space touches its ends."""
-        free = bool(word) and not word[0].isspace() and not word[-1].isspace()
-        return self.plain(" " + word) if free else None
+    def _chunks(self, new: list[str], known: dict) -> None:
+        """Ids of ` word`, which no neighbour can change, and of a first word; None if white space touches their ends."""
+        for word in new:
+            first = word[:1] == FIRST
+            inner = word[1:] if first else word
+            free = bool(inner) and not inner[0].isspace() and not inner[-1].isspace()
+            known[word] = self.plain(inner if first else " " + word) if free else None
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace():
-            return self.plain(text)
-        made = list(map(self.chunks.__getitem__, rest))
-        return self.plain(text) if None in made else self.plain(first) + b"".join(made)
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """32-bit ids of each text."""
+        return self.chunks.encode(texts)
 
 
 class Utf8Stream:
-    """Text out of bytes that arrive in any cut: an unfinished character waits for its rest."""
+    """Text out of bytes that arrive in any cut.
+
+    States of the machine: 0 between characters, else the number of bytes that the character under way still
+    needs. Whole characters go out, the bytes of an unfinished one wait.
+    """
+
+    # bytes that follow a lead byte; bytes that can't lead or that stand for themselves have none
+    FOLLOW = bytes(1 if 0xC2 <= b < 0xE0 else 2 if 0xE0 <= b < 0xF0 else 3 if 0xF0 <= b < 0xF5 else 0 for b in range(256))
 
     def __init__(self):
-        self.waiting = b""
+        self.state, self.waiting = 0, b""
 
     def feed(self, data: bytes) -> str:
         data = self.waiting + data
-        end = len(data)
-        for back in range(1, min(4, end + 1)):
-            byte = data[end - back]
-            if byte < 0x80:
-                break
-            if byte >= 0xC0:  # a lead byte: how many bytes follow it?
-                follow = 1 if byte < 0xE0 else 2 if byte < 0xF0 else 3 if byte < 0xF8 else 0
-                if follow >= back:
-                    end -= back
-                break
-        self.waiting = data[end:]
-        return data[:end].decode("utf-8", "replace")
+        end, self.state = len(data), 0
+        # the state at the end depends on the last three bytes alone: a character has at most four
+        for at in range(max(0, end - 3), end):
+            byte = data[at]
+            if self.state and 0x80 <= byte < 0xC0:
+                self.state -= 1
+            else:
+                self.state, start = self.FOLLOW[byte], at
+        self.waiting = data[start:] if self.state else b""
+        return data[: end - len(self.waiting)].decode("utf-8", "replace")
 
     def close(self) -> str:
-        rest, self.waiting = self.waiting, b""
+        rest, self.waiting, self.state = self.waiting, b"", 0
         return rest.decode("utf-8", "replace")
 
 
@@ -248,7 +253,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = encoder(held, pattern)
-        made = [own.encode(x) for x in batch.column(1).to_pylist()]
+        made = own.encode(batch.column(1))
         flat = np.frombuffer(b"".join(made), np.int32)
         counts = np.array([len(x) // 4 for x in made], np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), lists(flat, counts)], [id_column, "tokens"])
