@@ -233,7 +233,7 @@ def test_chunks_of_random_texts_have_the_ids_of_the_whole():
     tokenizer, rng = Tokenizer.from_file(VOCABULARY), random.Random(7)
     with open(VOCABULARY, "rb") as file:
         own = tokenfile.Tokens(file.read(), most=500)
-    pieces = ["a", "Ab", "é", " ", "  ", "\n", "\t", " ", " ", "\x85", "\x1c", "'s", "'", "12", "日", "😀", "́", "<|endoftext|>", "<|", "!?", "​", "İ"]
+    pieces = ["a", "Ab", "é", " ", "  ", "\n", "\t", " ", " ", "\x85", "\x1c", "'s", "'", "12", "日", "😀", "́", "<|endoftext|>", "<|", "!?", "​", "İ", "foo-bar(12)", "x://y.z/q?a=1&b", "3.14%", "ab12cd", "\x7f", "a\x01b", "(", "n't"]
     for _ in range(300):
         texts = ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(20)]
         for text, ids in zip(texts, own.encode(pa.array(texts))):

@@ -14,8 +14,10 @@ magic. So the i-th document or id of a file is found by two binary searches, and
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Held, Remembered, kept, mapped, shared_folder, tasks
+from tidecast.llm.common import FIRST, Chunked, Held, Remembered, kept, mapped, shared_folder, tasks
 
 MAGIC = int.from_bytes(b"tokbits1", "little")
 HEADER = 64
@@ -146,49 +148,82 @@ class File:
 
 
 class Tokens:
-    """Ids of whole texts by the tokenizers library; chunks between blanks are encoded apart and remembered.
+    """Ids of whole texts by the tokenizers library; what stands between white space is encoded apart and remembered.
 
-    A blank after something that is no white space and before something that is none always opens a new
-    piece: pieces hold a blank only as their first character, and added tokens hold none.
+    The pattern cuts a run of white space before its last sign, and that sign opens the next piece if it is a
+    blank, else it is a piece of its own. A blank with letters is one piece, and marks behind it another,
+    so these go to the merges without a search for pieces. Texts that may hold added tokens go whole.
     """
 
-    def __init__(self, raw: bytes, most: int = 150_000):
+    MARKS = ".,;:!?"
+    SPACE = re.compile(r"(\s+)")
+    RUNS = re.compile(" ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")  # pieces of printable ASCII without apostrophes
+    ODD = f"<[|]|[\x1c-\x1f{FIRST}]"  # added tokens, signs that not every library takes for white space, FIRST itself
+
+    def __init__(self, raw: bytes, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.size = self.tokenizer.get_vocab_size(True)
-        self.chunks = Remembered(self._chunk, most)
+        self.merge = self.tokenizer.model.tokenize
+        # the byte-level alphabet: visible Latin-1 bytes stand for themselves, the rest follow from 256 on
+        seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = (b for b in range(256) if b not in seen)
+        self.letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.ends = Remembered(self.whole, 1000)
+        self.chunks = Chunked(self._chunks, self.spaced, most, " \n", self.ODD)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _chunk(self, word: str) -> bytes | None:
-        """Ids of ` word`; None if white space touches its ends."""
-        free = bool(word) and not word[0].isspace() and not word[-1].isspace()
-        return self.whole(" " + word) if free else None
-
-    def encode(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace():
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        return self.chunks.encode(texts)
+
+    def _chunks(self, new: list[str], known: dict) -> None:
+        """Ids of words behind a blank, a line feed or nothing."""
+        merge, letters, marks, ends, feed = self.merge, self.letters, self.MARKS, self.ends, self.ends["\n"]
+        runs = self.RUNS.findall
+        for word in new:
+            before = word[:1]
+            inner = word[1:] if before == "\n" or before == FIRST else word
+            bare = inner.rstrip(marks)
+            if bare.isalpha() and (bare.isascii() or max(bare) < "\u0250"):
+                name = bare if bare.isascii() else "".join(map(letters.__getitem__, bare.encode()))
+                ids = array("I", [t.id for t in merge(name if inner is not word else "\u0120" + name)]).tobytes()
+                if len(bare) < len(inner):
+                    ids += ends[inner[len(bare) :]]
+            elif not inner or inner[0].isspace() or inner[-1].isspace():
+                known[word] = None
+                continue
+            elif inner.isascii() and inner.isprintable() and "'" not in inner:
+                pieces = runs(inner if inner is not word else " " + word)
+                ids = b"".join([array("I", [t.id for t in merge(x.replace(" ", "\u0120"))]).tobytes() for x in pieces])
+            else:
+                ids = self.whole(inner if inner is not word else " " + word)
+            known[word] = feed + ids if before == "\n" else ids
+
+    def spaced(self, text: str) -> bytes:
+        """Ids of a text with any white space between its words."""
+        if re.search(self.ODD, text):
             return self.whole(text)
-        made = list(map(self.chunks.__getitem__, rest))
-        return self.whole(first) + b"".join(made) if None not in made else self.stepwise([first, *rest])
-
-    def stepwise(self, words: list[str]) -> bytes:
-        """Words that white space touches stay with their neighbours; all others are chunks of their own."""
-        made, waiting = [], []
-        for i, word in enumerate(words):
-            ids = self.chunks[word] if i else None
-            if ids is None or not waiting and not made or waiting and (not waiting[-1] or waiting[-1][-1].isspace()):
-                waiting.append(word)
+        first, *rest = self.SPACE.split(text)
+        made, words = [self.whole(first)] if first else [], []
+        for space, word in zip(rest[::2], rest[1::2]):
+            if not word:  # at the end nothing is cut off
+                words.append(space)
+            else:
+                words += [space[:-1], (FIRST if space[-1] != " " else "") + word, space[-1]]
+        wanted = {w for w in words if w and not w.isspace()}
+        known = dict(zip(wanted, self.chunks.memory.of(list(wanted))))
+        for space, word in zip(rest[::2], rest[1::2]):
+            if not word:
+                made.append(self.ends[space])
                 continue
-            if waiting:
-                made.append(self.whole(" " * bool(made) + " ".join(waiting)))
-                waiting = []
-            made.append(ids)
-        if waiting:
-            made.append(self.whole(" " * bool(made) + " ".join(waiting)))
+            if len(space) > 1:
+                made.append(self.ends[space[:-1]])
+            made += [known[word]] if space[-1] == " " else [self.ends[space[-1]], known[FIRST + word]]
         return b"".join(made)
 
 
@@ -216,8 +251,8 @@ def write(
         own, writer, closing = tokens_of(held), Writer(bits, block), np.array([end], np.uint32).tobytes()
         one = lambda made: pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["bytes"])
         for batch in batches:
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                made = writer.add(doc, np.frombuffer(own.encode(value) + closing, np.uint32))
+            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1))):
+                made = writer.add(doc, np.frombuffer(ids + closing, np.uint32))
                 if made:
                     yield one(made)
         last = writer.block()
