@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from catalog import fuzzy_inputs as fx
 from catalog.inputs import COVARIATES, LAGS, PERIOD, PRICE_UNIT, TEST_YEAR, TRAIN_YEAR, WIDE_BRANDS, WIDE_YEARS
 from catalog.rounding import r, rs
+from tidecast.plans.config import FuzzyConfig
 
 ORACLES: dict[str, str] = {}
 
@@ -554,6 +558,47 @@ select category, date, {r("(y - e1) * greatest(sales_max - sales_min, cast(1e-12
        {r("y - e1", "predicted_norm")}
 from walk join unexplained using (category, nth) where split = 'test' and target_observed""")
 
+# ---- identity of series and jobs
+
+def digest_cell(value: str) -> str:
+    return f"coalesce(cast({billionths(value)} as varchar), 'null')"
+
+
+def digest_leaf(columns: list[str]) -> str:
+    return "sha256(concat_ws('|', cast(date as varchar), " + ", ".join(map(digest_cell, columns)) + "))"
+
+
+def digest_of(split: str, columns: list[str]) -> str:
+    leaf = digest_leaf(columns)
+    return f"sha256(coalesce(string_agg({leaf}, '' order by date, {leaf}) filter (where split = '{split}'), ''))"
+
+
+CTES["job_digests"] = (["supervised"], " union all ".join(
+    f"select category, '{v}' as variant, '{json.dumps(names)}' as features, {digest_of('train', [*names, 'target_norm'])} as train, "
+    f"{digest_of('test', [*names, 'target_norm'])} as test, count(*) filter (where split = 'train') as train_rows "
+    f"from supervised group by category" for v, names in VARIANTS.items()))
+SETTINGS = json.dumps(asdict(FuzzyConfig()), sort_keys=True)
+oracle("training_jobs_identity", ["job_digests"], f"""
+select category, variant, cast(seed as bigint) as seed,
+       sha256(concat_ws('|', '1', features, 'target_norm', cast(seed as varchar), '{SETTINGS}', train, test)) as identity
+from job_digests cross join (values (42), (43), (44)) s(seed) where train_rows > 0""")
+CTES["demand_leaves"] = (["demand"], f"""
+select category, date, {digest_leaf(["sales", "rainfall"])} as digest from demand""")
+CTES["series_nodes"] = (["demand_leaves"], """
+select category, count(*) as nodes, sha256(string_agg(digest, '' order by date, digest)) as digest from demand_leaves group by category""")
+CTES["level_5"] = (["series_nodes"], """
+select sha256(length(category) || ':' || category) as path, cast(1 as bigint) as nodes, digest from series_nodes""")
+for level in range(4, -1, -1):
+    CTES[f"level_{level}"] = ([f"level_{level + 1}"], f"""
+select substr(path, 1, {level}) as path, cast(sum(nodes) as bigint) as nodes, sha256(string_agg(digest, '' order by path)) as digest
+from level_{level + 1} group by 1""")
+oracle("demand_tree", [f"level_{i}" for i in range(5)], "select 9 as level, category as path, nodes, digest from series_nodes" + "".join(
+    f" union all select {i}, path, nodes, digest from level_{i}" for i in range(5)))
+oracle("changed_days", ["demand"], """
+select category, cast(date as varchar) as day, case right(category, 1) when '1' then 'added' when '2' then 'removed' else 'changed' end as change
+from demand where day(date) = 3 and right(category, 1) = '1' or day(date) = 7 and right(category, 1) = '2'
+   or day(date) = 20 and right(category, 1) = '3' and sales is not null""")
+
 # ---- records and checks of a run
 
 oracle("preprocessing_record", ["scales", "medians"], f"""

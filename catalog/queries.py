@@ -43,6 +43,7 @@ from tidecast.plans.benchmark import preprocessing_table
 from tidecast.plans.config import MODELS, FuzzyConfig, make_config
 from tidecast.plans.forecasting import fuzzy_predictions, unavailable_models
 from tidecast.plans.jobs import training_jobs
+from tidecast.sources import merkle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -513,6 +514,26 @@ def training_jobs_identity(spark, sf_dir):
     return training_jobs(fx.supervised(spark, sf_dir), fx.variants(), [42, 43, 44], FuzzyConfig())
 
 
+@query
+def demand_tree(spark, sf_dir):
+    """Digests of all demand series, of their buckets and of the table."""
+    days = merkle.leaves(derived_demand(spark, sf_dir), ["category"], "date", ["sales", "rainfall"])
+    nodes = merkle.series(days, ["category"])
+    own = nodes.select(F.lit(9).alias("level"), F.col("category").alias("path"), F.col("days").alias("nodes"), "digest")
+    return own.unionByName(merkle.tree(nodes, ["category"]))
+
+
+@query
+def changed_days(spark, sf_dir):
+    """Demand against a later version of it: one value moved, one day lost and one added in some series."""
+    old = derived_demand(spark, sf_dir).filter("not (day(date) = 3 and right(category, 1) = '1')")
+    new = derived_demand(spark, sf_dir).filter("not (day(date) = 7 and right(category, 1) = '2')")
+    moved = F.when((F.dayofmonth("date") == 20) & (last_sign() == "3"), F.col("sales") + 1).otherwise(F.col("sales"))
+    keys, columns = ["category"], ["sales", "rainfall"]
+    before, after = (merkle.leaves(t, keys, "date", columns) for t in (old, new.withColumn("sales", moved)))
+    return merkle.changed_days(before, after, keys)
+
+
 @query
 def unavailable_records(spark, sf_dir):
     metrics = seeded_metrics(spark, sf_dir)

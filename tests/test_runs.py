@@ -95,6 +95,64 @@ def test_models_are_reused_by_identity(spark, run, monkeypatch, tmp_path):
                      cache.withColumn("rules", F.lit(None).cast(cache.schema["rules"].dataType))).collect()
 
 
+def test_a_changed_day_refits_one_series(spark, run, monkeypatch):
+    """One training day of one series moves: only the jobs of this series are asked for, all others are reused."""
+    from tidecast.operators import features
+    from tidecast.plans import jobs
+    from tidecast.sources import merkle
+
+    config, _ = run
+    cache = table(spark, run, "models")
+    prepared = features.prepare_features(sources.read_demand(spark, config.data_path), 1996, 1997, config.weather_features)
+    supervised = features.make_supervised(prepared, config.lags, config.weather_features)
+    variants = features.feature_variants(config.lags, config.weather_features)
+    day = supervised.filter("category = 'Brand#1' and split = 'train'").agg(F.min("date")).first()[0]
+    moved = (F.col("category") == "Brand#1") & (F.col("date") == F.lit(day))
+    other = supervised.withColumn("target_norm", F.when(moved, F.col("target_norm") + 0.01).otherwise(F.col("target_norm")))
+    before, after = (merkle.leaves(t, ["category"], "date", ["target_norm"]) for t in (supervised, other))
+    assert [tuple(r) for r in merkle.changed_days(before, after, ["category"]).collect()] == [("Brand#1", day, "changed")]
+    original, asked = jobs.train_it2, []
+
+    def spied(*args, only, **kwargs):
+        asked.extend(sorted((r["category"], r["variant"]) for r in only.collect()))
+        return original(*args, only=only, **kwargs)
+
+    monkeypatch.setattr(jobs, "train_it2", spied)
+    found = fit_or_reuse(other, variants, config.seeds, config.efs, cache, on_change="refit")
+    assert asked == [("Brand#1", "sales_only"), ("Brand#1", "target_weather")]
+    kept = {(r["category"], r["variant"]): r["model_sha256"] for r in cache.collect()}
+    again = {(r["category"], r["variant"]): r["model_sha256"] for r in found.collect()}
+    assert set(kept) == set(again) and all(again[k] == v for k, v in kept.items() if k[0] != "Brand#1")
+
+
+def test_tree_digests_follow_content_only(spark):
+    from datetime import date, timedelta
+
+    from tidecast.sources import merkle
+
+    rows = [(f"s{i}", date(2016, 1, 1) + timedelta(days=d), float(i * d), None if d == 3 else "a|b") for i in range(30) for d in range(5)]
+    frame = spark.createDataFrame(rows, "name string, day date, x double, note string")
+
+    def root(df):
+        nodes = merkle.series(merkle.leaves(df, ["name"], "day", ["x", "note"]), ["name"])
+        return {(r["level"], r["path"]): (r["nodes"], r["digest"]) for r in merkle.tree(nodes, ["name"]).collect()}
+
+    whole = root(frame)
+    assert whole[0, ""][0] == 30 and sum(n for (level, _), (n, _) in whole.items() if level == 4) == 30
+    assert root(frame.orderBy(F.desc("x")).repartition(7)) == whole
+    for changed in (
+        frame.withColumn("x", F.when((F.col("name") == "s4") & (F.col("x") == 8), 8.5).otherwise(F.col("x"))),
+        frame.withColumn("note", F.when(F.col("name") == "s4", F.lit("a")).otherwise(F.col("note"))),
+        frame.filter("not (name = 's4' and x = 8)"), frame.union(frame.filter("name = 's4' and x = 8")),
+    ):
+        other = root(changed)
+        assert other[0, ""] != whole[0, ""]
+        assert sum(other[k] != whole[k] for k in whole if k[0] == 4) == 1
+        days = merkle.changed_days(*(merkle.leaves(t, ["name"], "day", ["x", "note"]) for t in (frame, changed)), ["name"])
+        assert {r["name"] for r in days.collect()} == {"s4"}
+    assert root(frame.limit(0)) == {}
+
+
 def test_changed_models_are_refused(spark, run, tmp_path):
     models.save_models(table(spark, run, "models"), str(tmp_path / "models"))
     loaded = models.load_models(spark, str(tmp_path / "models"))

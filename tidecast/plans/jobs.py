@@ -12,16 +12,20 @@ from tidecast.operators.features import TEST, TRAIN
 from tidecast.operators.fuzzy_score import JOB_KEYS
 from tidecast.operators.fuzzy_train import train_it2
 from tidecast.plans.config import FuzzyConfig
-from tidecast.sources.fingerprints import row_fingerprint
+from tidecast.sources import merkle
 from tidecast.sources.models import checked, stamped
 
 
 def training_jobs(
     supervised: DataFrame, variants: dict[str, list[str]], seeds: list[int], cfg: FuzzyConfig
 ) -> DataFrame:
-    """One row per (category, variant, seed) with the identity of its inputs and settings."""
+    """One row per (category, variant, seed) with the identity of its inputs and settings.
+
+    Inputs enter as the digests of the series' training and test rows, see `merkle`.
+    """
     digests = [
-        row_fingerprint(["date", *names, "target_norm"], F.col("split") == split).alias(f"{split}_{variant}")
+        merkle.in_time_order("date", merkle.leaf(supervised.schema, ["date", *names, "target_norm"]), F.col("split") == split)
+        .alias(f"{split}_{variant}")
         for variant, names in variants.items() for split in (TRAIN, TEST)
     ]
     series = supervised.groupBy("category").agg(*digests, F.count_if(F.col("split") == TRAIN).alias("train_rows"))
@@ -32,10 +36,10 @@ def training_jobs(
         for variant, names in variants.items() for s in seeds
     ])
     jobs = series.filter("train_rows > 0").select("category", F.inline(cells))
-    identity = F.sha2(F.to_json(F.struct(
-        F.lit(1).alias("schema_version"), "features", F.lit("target_norm").alias("target"), "seed",
-        F.lit(json.dumps(asdict(cfg), sort_keys=True)).alias("efs"), "train", "test",
-    )), 256)
+    identity = F.sha2(F.concat_ws(
+        "|", F.lit("1"), "features", F.lit("target_norm"), F.col("seed").cast("string"),
+        F.lit(json.dumps(asdict(cfg), sort_keys=True)), "train", "test",
+    ), 256)
     return jobs.select(*JOB_KEYS, identity.alias("identity"))
 
 
@@ -46,9 +50,12 @@ def refused_unless(models: DataFrame, holds: Column, message: str) -> DataFrame:
 
 def fit_or_reuse(
     supervised: DataFrame, variants: dict[str, list[str]], seeds: list[int], cfg: FuzzyConfig,
-    cache: DataFrame | None = None,
+    cache: DataFrame | None = None, on_change: str = "raise",
 ) -> DataFrame:
-    """Stamped models with their identity; cached ones only if identity, content and digest hold."""
+    """Stamped models with their identity; cached ones only if identity, content and digest hold.
+
+    A job whose inputs or settings changed stops the run (`"raise"`) or is fitted anew, it alone (`"refit"`).
+    """
     jobs = training_jobs(supervised, variants, seeds, cfg)
     if cache is None:
         return stamped(train_it2(supervised, variants, seeds, cfg).join(jobs, JOB_KEYS))
@@ -56,8 +63,10 @@ def fit_or_reuse(
     kept = checked(refused_unless(cache, whole, "Cached result is incomplete: "))
     paired = kept.withColumnRenamed("identity", "cached_identity").join(jobs, JOB_KEYS)
     same = F.coalesce(F.col("identity") == F.col("cached_identity"), F.lit(False))
-    reused = refused_unless(paired, same, "Cached job identity mismatch: ")
+    refit = on_change == "refit"
+    reused = paired.filter(same) if refit else refused_unless(paired, same, "Cached job identity mismatch: ")
     reused = reused.drop("cached_identity")
-    missing = jobs.join(cache.select(*JOB_KEYS), JOB_KEYS, "left_anti")
+    known = [*JOB_KEYS, "identity"] if refit else JOB_KEYS
+    missing = jobs.join(cache.select(*known), known, "left_anti")
     fitted = stamped(train_it2(supervised, variants, seeds, cfg, only=missing).join(jobs, JOB_KEYS))
     return reused.select(*fitted.columns).unionByName(fitted)
