@@ -125,6 +125,31 @@ def test_a_changed_day_refits_one_series(spark, run, monkeypatch):
     assert set(kept) == set(again) and all(again[k] == v for k, v in kept.items() if k[0] != "Brand#1")
 
 
+def test_of_two_writers_one_finishes_a_run(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "runs")
+    with ThreadPoolExecutor(4) as pool:
+        opened = list(pool.map(lambda _: runs.open_run(spark, root, "x", {"a": 1}, "f", "0" * 64), range(4)))
+    assert len(set(opened)) == 4 and runs.list_runs(spark, root).count() == 4
+
+    def finish(rows):
+        try:
+            runs.finish_manifest(spark, root, opened[0], 1, rows, 0)
+        except runs.RunConflict:
+            return None
+        return rows
+
+    with ThreadPoolExecutor(4) as pool:
+        done = [x for x in pool.map(finish, range(1, 5)) if x]
+    assert len(done) == 1
+    latest = {r["run_id"]: r for r in runs.list_runs(spark, root).collect()}
+    assert latest[opened[0]]["status"] == "complete" and latest[opened[0]]["metric_rows"] == done[0]
+    assert latest[opened[1]]["status"] == "running"
+    with pytest.raises(runs.RunConflict):
+        runs.write_manifest(spark, root, opened[1], {}, "f", "0" * 64)
+
+
 def test_tree_digests_follow_content_only(spark):
     from datetime import date, timedelta
 

@@ -13,7 +13,7 @@ from tidecast.plans.forecasting import fuzzy_activations, fuzzy_predictions, run
 from tidecast.sources.demand import read_demand
 from tidecast.sources.fingerprints import data_identity
 from tidecast.sources.paths import base_name, resolve_source
-from tidecast.sources.runs import finish_manifest, new_run_id, write_manifest, write_run_table
+from tidecast.sources.runs import finish_manifest, open_run, write_run_table
 
 SUMMARY_FIELDS = ["training_rows", "training_mae_norm", "upper_parameter_max_delta", "upper_parameters_locked",
                   "stage_1", "stage_2", "stage_3"]
@@ -60,8 +60,7 @@ def run_benchmark(
     if config.categories != "all" and (lost := features.absent_categories(demand, config.categories).first()):
         raise ValueError(f"{lost['category']}: both {config.train_year} and {config.test_year} data are required")
     demand = features.select_categories(demand, config.categories)
-    run_id = new_run_id(spark, root, label)
-    write_manifest(spark, root, run_id, config.to_dict(), base_name(path), data_identity(demand))
+    run_id = open_run(spark, root, label, config.to_dict(), base_name(path), data_identity(demand))
 
     def store(df: DataFrame, table: str) -> DataFrame:
         return write_run_table(df, root, table, run_id)
