@@ -58,6 +58,31 @@ def test_coercion_of_odd_text(spark):
     assert second["date"] is None and second["category"] is None
 
 
+def test_validation_reads_its_source_once(spark, tmp_path):
+    """Two bad rows and a repeated key; the rows that leave the scan are counted while they pass."""
+    rows = [*GOOD, GOOD[0], ("x", "", "-1", "1", "1", "1", "1", "1")]
+    spark.createDataFrame(rows, TEXT).write.parquet(str(tmp_path / "in"))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    source = spark.read.parquet(str(tmp_path / "in"))
+    report = validate(source.mapInArrow(counted, source.schema), strict=False)
+    assert read.value == len(rows)
+    assert report.rows == 4 and report.duplicate_rows == 1 and report.missing_by_column["date"] == 1
+    assert report.errors[:3] == ["1 rows have invalid dates", "1 rows have empty categories", "1 duplicate date/category rows"]
+    assert report.errors[3:] == ["sales values must be non-negative"]
+    assert report.short_categories.count() == 2 and read.value == len(rows)
+
+
+def test_empty_tables_have_a_report(spark):
+    report = validate(spark.createDataFrame([], TEXT))
+    assert report.rows == 0 and report.errors == [] and set(report.missing_by_column.values()) == {0} and report.years == []
+
+
 def test_one_year_warns(spark):
     report = validate(spark.createDataFrame(GOOD[:1], TEXT))
     assert report.warnings == ["Fewer than two calendar years are available for a year-on-year holdout"]

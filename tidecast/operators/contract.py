@@ -16,6 +16,7 @@ from tidecast.functions.scalars import (
     strip,
     text_or_null,
 )
+from tidecast.operators.rounds import durable
 
 # The eight contract columns, in contract order.
 CONTRACT_COLUMNS = [
@@ -78,25 +79,34 @@ def violations(demand: DataFrame) -> DataFrame:
 
 
 def key_counts(demand: DataFrame) -> DataFrame:
-    """Rows per (category, date); NULL keys count as equal. Two columns and a count are shuffled."""
-    return demand.groupBy("category", "date").agg(F.count(F.lit(1)).alias("rows"))
+    """Rows per (category, date) and what they lack or break; NULL keys count as equal.
 
+    Everything a report needs is counted here, in one pass over the source with a map-side combine.
+    """
+    values = [name for name in CONTRACT_COLUMNS if name not in ("category", "date")]
+    missing = [F.count_if(F.col(name).isNull()).alias(f"missing_{name}") for name in values]
+    broken = [F.count_if(F.coalesce(rule, F.lit(False))).alias(f"broken_{i}") for i, rule in enumerate(range_rules().values())]
+    return demand.groupBy("category", "date").agg(F.count(F.lit(1)).alias("rows"), *missing, *broken)
+
+
+def contract_counts(keys: DataFrame) -> DataFrame:
+    """One row of row-level counters out of `key_counts`."""
+
+    def total(value: Column, when: Column | None = None) -> Column:
+        return F.coalesce(F.sum(value if when is None else F.when(when, value)), F.lit(0)).cast("long")
 
-def contract_counts(demand: DataFrame) -> DataFrame:
-    """One row of row-level counters, from one map-side aggregation."""
+    rows, category = F.col("rows"), F.col("category")
+    of_key = {"category": category.isNull(), "date": F.col("date").isNull()}
     counters = [
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("date").isNull()).alias("invalid_dates"),
-        F.count_if(F.col("category").isNull() | (F.col("category") == "")).alias("empty_categories"),
+        total(rows).alias("rows"), total(rows, of_key["date"]).alias("invalid_dates"),
+        total(rows, category.isNull() | (category == "")).alias("empty_categories"),
     ]
+    counters += [(total(F.col(f"broken_{i}")) > 0).cast("long").alias(f"broken_{i}") for i in range(len(range_rules()))]
     counters += [
-        F.coalesce(F.bool_or(rule), F.lit(False)).cast("long").alias(f"broken_{index}")
-        for index, rule in enumerate(range_rules().values())
+        (total(rows, of_key[name]) if name in of_key else total(F.col(f"missing_{name}"))).alias(f"missing_{name}")
+        for name in CONTRACT_COLUMNS
     ]
-    counters += [
-        F.count_if(F.col(name).isNull()).alias(f"missing_{name}") for name in CONTRACT_COLUMNS
-    ]
-    return demand.agg(*counters)
+    return keys.agg(*counters)
 
 
 def category_rows(keys: DataFrame) -> DataFrame:
@@ -119,7 +129,9 @@ def validation_report(demand: DataFrame) -> DataFrame:
     Sections: `total`, `missing`, `broken` (0/1 per range rule), `year`, `category`,
     `short_category` and `few_years`.
     """
-    counts = contract_counts(demand)
+    # All that follows starts from one shuffle of the keys, which Spark plans once and reuses.
+    keys = key_counts(demand)
+    counts = contract_counts(keys)
     stacked = [("total", "rows", "rows"), ("total", "invalid_dates", "invalid_dates"),
                ("total", "empty_categories", "empty_categories")]
     stacked += [("broken", message, f"broken_{i}") for i, message in enumerate(range_rules())]
@@ -129,8 +141,6 @@ def validation_report(demand: DataFrame) -> DataFrame:
         for section, item, column in stacked
     ])
     counted = counts.select(F.inline(cells))
-    # All that follows starts from one shuffle of the keys, which Spark plans once and reuses.
-    keys = key_counts(demand)
     years = year_counts(keys)
     # `known` is an aggregate, so that no filter on dates reaches below the shared shuffle.
     known = F.when(F.col("year").isNotNull(), F.col("rows"))
@@ -181,10 +191,12 @@ class ValidationReport:
 
 
 def validate(df: DataFrame, strict: bool = True) -> ValidationReport:
-    """Check demand without repairing it; strict mode raises the errors joined by `; `."""
-    demand = coerce(df)
-    counts = contract_counts(demand).first().asDict()
-    keys = key_counts(demand)
+    """Check demand without repairing it; strict mode raises the errors joined by `; `.
+
+    The source is read once: its counts per key are stored, and all figures come from them.
+    """
+    keys = durable(key_counts(coerce(df)))
+    counts = contract_counts(keys).first().asDict()
     # One row per calendar year, so this list is small whatever the table size.
     per_year = year_counts(keys).collect()
     duplicate_rows = sum(row["repeats"] for row in per_year)
