@@ -107,6 +107,37 @@ def test_templates_are_rejected_by_their_labels(spark):
     assert {r for t, r in verdict if t.startswith(("/news", "/rare"))} == {False}
 
 
+def test_urls_without_rule_go_with_their_branch(spark):
+    """On `pages`: where most of a host is blocked by rules its other urls are too; hosts without rules stay."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    made = urls.judge(pages).collect()
+    of_host = {}
+    for row in made:
+        own = of_host.setdefault(row.host, {"block": 0, "allow": 0, "free": []})
+        if row.rule:
+            own[row.verdict] += 1
+        else:
+            own["free"].append(row.verdict)
+    blocked = [v for own in of_host.values() for v in own["free"] if own["block"] >= 20 and not own["allow"]]
+    clean = [v for own in of_host.values() for v in own["free"] if own["allow"] >= own["block"]]
+    assert blocked and set(blocked) == {"block"}
+    assert clean and set(clean) == {"allow"}
+
+
+def test_purity_flows_down_and_deep_paths_count(spark):
+    rows = [("a.org", f"/x/{i}", 1) for i in range(30)] + [("a.org", f"/y/{i}", None) for i in range(5)]
+    rows += [("b.org", f"/x/{i}", 0) for i in range(30)] + [("b.org", f"/y/{i}", None) for i in range(5)]
+    deep = "/p/q/r/s"
+    rows += [("c.org", f"{deep}/bad/t{i % 3}/u", 1) for i in range(30)] + [("c.org", f"{deep}/good/v", 0) for i in range(30)]
+    made = spark.createDataFrame(rows, "host string, path string, bad bigint")
+    tree = urls.templates(made.select("host", urls.segments(made.path).alias("shapes"), "bad")).collect()
+    found = {(r.host, r.shapes[0], r.shapes[-2]): r.rejected for r in tree}
+    assert found["a.org", "x", "<n>"] and found["a.org", "y", "<n>"]
+    assert not found["b.org", "x", "<n>"] and not found["b.org", "y", "<n>"]
+    assert {r for (h, _, last), r in found.items() if h == "c.org" and last.startswith("bad/")} == {True}
+    assert {r for (h, _, last), r in found.items() if h == "c.org" and last.startswith("good/")} == {False}
+
+
 def test_alike_branches_merge(spark):
     rows = [("h.org", f"/{branch}/{i}", i % 2) for branch in ("aa", "bb") for i in range(40)]
     rows += [("h.org", f"/cc/{i}", 1) for i in range(40)]

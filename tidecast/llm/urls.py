@@ -2,9 +2,12 @@
 
 Column functions only. A path is read as segments; digits, hexadecimal names and long mixed names become
 shapes. Per host the tree is built from the root: where a node has many different children and none of
-them is common, its children become one wildcard. Sibling branches that lead to the same shapes and whose
-labelled shares do not differ by more than chance are merged. A template is rejected if its labelled
-share of bad urls, smoothed towards the share of all labelled urls, is high and rests on enough labels.
+them is common, its children become one wildcard. From the leaves up, sibling branches that lead to the same
+shapes and whose labelled shares do not differ by more than chance are merged. Then purity flows down: the
+labelled share of bad urls of a node is smoothed towards that of its parent, that of a host's root towards the
+share of all hosts with the same templates, and theirs towards the share of all labelled urls. So a branch
+without labels has the purity of what is above it. A template is rejected if its purity is high and its
+host has enough labels.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 
-DEPTH = 4  # segments that the tree tells apart; what follows is one more segment
+DEPTH = 4  # levels of single segments; all segments below are one more level, told apart as a whole
 SALTS = 8
 
 
@@ -62,9 +65,10 @@ def shape(segment: Column) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """Shapes of the first `DEPTH` segments, and one for the rest; a path without segments has none."""
+    """Shapes of the first `DEPTH` segments, and of all others as one; a path without segments has none."""
     parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
-    more = F.when(F.size(parts) > DEPTH, F.array(F.lit("<more>"))).otherwise(F.array().cast("array<string>"))
+    rest = F.array_join(F.slice(parts, DEPTH + 1, F.greatest(F.size(parts), F.lit(1))), "/")
+    more = F.when(F.size(parts) > DEPTH, F.array(rest)).otherwise(F.array().cast("array<string>"))
     closed = F.when(F.size(parts) > 0, F.array(F.when(path.endswith("/"), F.lit("<dir>")).otherwise(F.lit("<end>"))))
     return F.concat(F.slice(parts, 1, DEPTH), more, F.coalesce(closed, F.array().cast("array<string>")))
 
@@ -79,7 +83,7 @@ def generalised(branches: DataFrame, least_children: int, common: float) -> Data
     One aggregation per level over branches, which are already counted per shape, so a host's urls are never
     gathered.
     """
-    for level in range(DEPTH):
+    for level in range(DEPTH + 1):
         child = F.get("parts", F.lit(level))
         nodes = branches.withColumns({"parent": name(F.slice("parts", 1, level)), "child": child}).where("child IS NOT NULL")
         children = nodes.groupBy("host", "parent", "child").agg(F.sum("rows").alias("rows"))
@@ -96,33 +100,62 @@ def generalised(branches: DataFrame, least_children: int, common: float) -> Data
     return branches
 
 
-def merged(branches: DataFrame, worst_z: float) -> DataFrame:
-    """Merge first-level siblings with the same set of continuations and alike labelled shares.
+def merged(branches: DataFrame, level: int, worst_z: float) -> DataFrame:
+    """Merge siblings of a level with the same set of continuations and alike labelled shares.
 
     Branches are pooled within a quarter of the labelled share, and those that lie too far from their pool
-    stay apart. Branches without labels only merge with each other: labels never spread to them.
+    stay apart. Branches without labels merge with each other.
     """
-    first = F.get("parts", F.lit(0))
-    tails = branches.withColumns({"first": first, "tail": name(F.slice("parts", 2, DEPTH + 2))})
-    sides = tails.groupBy("host", "first").agg(
-        F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"),
-        F.hash(F.array_sort(F.collect_set("tail"))).alias("profile"),
-    ).withColumn("known", F.col("labelled") > 0)
-    band = F.when(F.col("known"), F.floor(4 * F.col("bad") / F.col("labelled") + 0.5)).otherwise(F.lit(-1))
-    sides, alone = sides.withColumn("band", band), ["host", "profile", "band"]
+    own, parent = F.get("parts", F.lit(level)), name(F.slice("parts", 1, level))
+    tails = branches.withColumns({"parent": parent, "own": own, "tail": name(F.slice("parts", level + 2, DEPTH + 2))})
+    distinct = tails.where("own IS NOT NULL").groupBy("host", "parent", "own", "tail").agg(
+        F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    sides = distinct.groupBy("host", "parent", "own").agg(
+        F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.bit_xor(F.xxhash64("tail")).alias("profile"))
+    band = F.when(F.col("labelled") > 0, F.floor(4 * F.col("bad") / F.col("labelled") + 0.5)).otherwise(F.lit(-1))
+    sides, alone = sides.withColumn("band", band), ["host", "parent", "profile", "band"]
     pool = sides.groupBy(*alone).agg(
         F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.count("*").alias("siblings")
     )
     share = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1)
-    own = F.when(F.col("labelled") > 0, F.col("bad") / F.col("labelled")).otherwise(share)
-    z = F.abs(own - share) / F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1)))
-    alike = sides.join(pool, alone).where((F.col("siblings") > 1) & (z <= worst_z))
-    alike = alike.select("host", "first", F.concat(F.lit("<group "), F.hex("profile"), F.lit(" "), F.col("band"), F.lit(">")).alias("group_name"), F.lit(True).alias("alike"))
-    joined = tails.join(alike, ["host", "first"], "left")
-    parts = F.when(F.col("alike"), F.concat(F.array("group_name"), F.slice("parts", 2, DEPTH + 2))).otherwise(F.col("parts"))
+    mine = F.when(F.col("labelled") > 0, F.col("bad") / F.col("labelled")).otherwise(share)
+    z = F.abs(mine - share) / F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1)))
+    alike = sides.join(pool, alone).where((F.col("siblings") > 1) & (z <= worst_z)).select(
+        "host", "parent", "own", F.concat(F.lit("<group "), F.hex("profile"), F.lit(" "), F.col("band"), F.lit(">")).alias("group_name"))
+    joined = tails.join(alike, ["host", "parent", "own"], "left")
+    parts = F.when(F.col("group_name").isNotNull(), F.concat(
+        F.slice("parts", 1, level), F.array("group_name"), F.slice("parts", level + 2, DEPTH + 2))).otherwise(F.col("parts"))
     return joined.select("host", "shapes", parts.alias("parts"), "rows", "labelled", "bad")
 
 
+def with_purity(named: DataFrame, prior: float, strength: float) -> DataFrame:
+    """Templates (host, template, parts, labelled, bad) with `purity` and the labels of their host.
+
+    One aggregation per level over templates; a node's share is smoothed towards the node above it. A node
+    with the same labels as the one above, such as an only child, adds nothing: labels count once.
+    """
+    def smoothed(bad: str, labelled: str, towards: Column) -> Column:
+        return (F.col(bad) + strength * towards) / (F.col(labelled) + strength)
+
+    sums = [F.sum("labelled").alias("n"), F.sum("bad").alias("b")]
+    hosts = named.groupBy("host").agg(*sums, F.bit_xor(F.xxhash64("template")).alias("profile"))
+    alike = hosts.groupBy("profile").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
+    roots = hosts.join(alike, "profile").select(
+        "host", F.col("n").alias("host_labels"), F.col("n").alias("above"), smoothed("b", "n", smoothed("all_b", "all_n", F.lit(prior))).alias("purity"))
+    made = named.join(roots, "host")
+    for level in range(1, DEPTH + 3):
+        made = made.withColumn("prefix", name(F.slice("parts", 1, level)))
+        nodes = made.where(F.size("parts") >= level).groupBy("host", "prefix").agg(*sums)
+        fewer = (F.size("parts") >= level) & (F.col("n") < F.col("above"))
+        made = made.join(nodes, ["host", "prefix"], "left").withColumns({
+            "purity": F.when(fewer, smoothed("b", "n", F.col("purity"))).otherwise(F.col("purity")),
+            "above": F.when(fewer, F.col("n")).otherwise(F.col("above")),
+        }).drop("n", "b", "prefix")
+        if level % 3 == 0:
+            made = stored(made)  # small tables; shorter plans
+    return made
+
+
 def templates(
     urls: DataFrame, least_children: int = 24, common: float = 0.2, worst_z: float = 1.96,
     strength: float = 4.0, least_labels: int = 5, worst_share: float = 0.8,
@@ -134,16 +167,19 @@ def templates(
     counted = urls.groupBy("host", "shapes").agg(
         F.count("*").alias("rows"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
-    branches = stored(counted.withColumn("parts", F.col("shapes")))
-    grouped = stored(merged(stored(generalised(branches, least_children, common)), worst_z))
+    grouped = stored(generalised(stored(counted.withColumn("parts", F.col("shapes"))), least_children, common))
+    for level in range(DEPTH, -1, -1):
+        grouped = merged(grouped, level, worst_z)
+        if level % 2 == 0:
+            grouped = stored(grouped)
     known = grouped.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("bad")).first()
     prior = ((known.bad or 0) + 0.5) / ((known.n or 0) + 1.0)
     named = grouped.withColumn("template", name(F.col("parts")))
-    judged = named.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    purity = (F.col("bad") + F.lit(strength * prior)) / (F.col("labelled") + F.lit(strength))
-    judged = judged.withColumn("purity", purity).withColumn(
-        "rejected", (F.col("labelled") >= least_labels) & (F.col("purity") >= worst_share)
-    )
+    judged = named.groupBy("host", "template").agg(
+        F.first("parts").alias("parts"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    judged = with_purity(stored(judged), prior, strength).withColumn(
+        "rejected", (F.col("host_labels") >= least_labels) & (F.col("purity") >= worst_share)
+    ).drop("parts", "above")
     return named.select("host", "shapes", "template").join(judged, ["host", "template"])
 
 
