@@ -21,9 +21,19 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity 0.8; the smallest id stays."""
-    groups = neardup.groups(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi")
+    """One row of each group of near copies: five words, similarity 0.8; the smallest id stays.
+
+    Of rows that repeat an id and a text one stays. An id on several texts is judged text by text: its row goes
+    if the component of that text has a smaller id. Rows without an id stay.
+    """
+    groups = neardup.groups(docs.withColumn("_text", F.xxhash64("text")), words=5, percent=80, keep=["_text"])
+    kept = stored(groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "_text").agg(F.count("*").alias("_rows")))
+    tagged = docs.withColumn("_text", F.xxhash64("text")).join(kept, ["doc_id", "_text"], "left")
+    made = tagged.where("_rows = 1 OR doc_id IS NULL")
+    again = tagged.where("_rows > 1").dropDuplicates(["doc_id", "_text"])
+    if not kept.where("_rows > 1").isEmpty():  # without such rows there is nothing to add
+        made = made.unionByName(again)
+    return made.select(*docs.columns)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
