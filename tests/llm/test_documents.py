@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,27 @@ def test_packing_covers_every_id_once(docs, none):
     assert packing.pack(none, VOCABULARY).count() == 0
 
 
+def test_packed_ids_of_random_texts_are_those_of_the_library():
+    """Chunks beside the dotted capital I, combining marks, letters that change their length, special tokens."""
+    with open(VOCABULARY, "rb") as file:
+        own, rng = packing.Tokens(file.read(), most=500), random.Random(7)
+    pieces = ["a", "Ab", "é", "E\u0301", " ", "  ", "\n", "\t", "\xa0", "\x85", "'s", "'", "12", "日", "😀", "<|endoftext|>", "<|", "!?",
+              "İ", "BELGESİ", "GELDİ", ",", ".", "ß", "ΑΣ", "ŉ", "ǰ", "Ǆ", "</w>", "ﬁ", "\u0307", "\u200b"]
+    for _ in range(300):
+        texts = ["".join(rng.choices(pieces, k=rng.randint(0, 9))) for _ in range(20)] + ["BELGESİ. GELDİ, x", "a <|endoftext|> b"]
+        for text, ids in zip(texts, own.encode(pa.array(texts), 2)):
+            assert np.frombuffer(ids, np.uint32).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids + [2], repr(text)
+
+
+def test_packing_spreads_rows_that_are_all_alike(spark):
+    """One row repeated 4,000 times among 50 others: a bounded sample and no task above twice the mean."""
+    many = spark.range(4050).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("doc_id"),
+                                    F.when(F.col("id") < 4000, "one text again").otherwise(F.concat(F.lit("t "), "id")).alias("text"))
+    made = packing.pack(many, VOCABULARY).groupBy(F.shiftright("sequence_id", 40).alias("part")).agg(F.sum("length").alias("n")).collect()
+    held = [r.n for r in made]
+    assert len(held) >= 7 and max(held) < 2 * sum(held) / len(held)
+
+
 def test_hilbert_curve_is_one_path():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     keys = packing.hilbert(cells, bits=3)
@@ -155,6 +177,31 @@ def test_near_copies_in_a_dense_region(spark):
     assert {r.doc_id: r.component_id for r in made} == root
 
 
+def test_near_copies_under_repeated_ids(spark):
+    """Ids on two texts that share nothing: each row belongs to the component of its own text."""
+    a, b, c = (" ".join(words(60, s)) for s in (1, 2, 3))
+    rows_ = [(6, a), (7, b), (6, b), (9, a + " x"), (4, b + " y"), (7, c), (7, c), (None, a), (8, c + " z"), (9, None)]
+    made = neardup.groups(spark.createDataFrame(rows_, "doc_id bigint, text string"), words=3, percent=85)
+    found = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in made.collect())
+    assert found == [
+        (0, 0, True), (4, 4, True), (6, 4, False), (6, 6, True), (7, 4, False), (7, 7, True), (7, 7, True), (8, 7, False), (9, 6, False), (9, 9, True),
+    ]
+
+
+def test_pairs_just_at_the_threshold_are_all_linked(spark):
+    """5,000 pairs of texts that share exactly 85 of 100 distinct shingles."""
+    rng = random.Random(9)
+    rows_ = []
+    for i in range(5000):
+        shared = [f"p{i}w{k}" for k in range(87)]  # 85 shingles, and 8 and 7 behind them that differ
+        rows_ += [(2 * i, " ".join(shared + [f"a{rng.randrange(10**9)}" for _ in range(8)])),
+                  (2 * i + 1, " ".join(shared + [f"b{rng.randrange(10**9)}" for _ in range(7)]))]
+    sets = [shingled(t, 3) for _, t in rows_[:2]]
+    assert 100 * len(sets[0] & sets[1]) == 85 * len(sets[0] | sets[1])
+    made = neardup.groups(spark.createDataFrame(rows_, "doc_id bigint, text string").repartition(8))
+    assert made.where("component_id <> doc_id - doc_id % 2").count() == 0
+
+
 def test_near_copies_through_one_original(spark):
     """A star: each copy is near the original only. Templates: many texts alike, of which few pairs are near."""
     rng = random.Random(11)

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.llm.common import blob, by_batch, grams, mapped, mixed, stored, tasks, word_hashes
@@ -26,7 +26,7 @@ from tidecast.llm.components import components
 
 TREES, MINIMA, DEPTH, LEAST, CROWD, NEAR = 16, 96, 16, 2, 6, 2
 BUCKETS, BLOCK = 1 << 17, 512  # counters of shingles by hash; classes of a list that are compared together
-SLACK = 4.0  # standard deviations by which an estimate may lie below the threshold
+SLACK = 7.0  # standard deviations by which an estimate may lie below the threshold: a true pair does once in 1e9
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -50,43 +50,34 @@ def minima(joined: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, id_column: str, text: str, words: int) -> DataFrame:
-    """(id, n_shingles, key_1, key_2, signature); the keys name the set, signature is null without words."""
+def signatures(docs: DataFrame, id_column: str, text: str, words: int, keep: list[str]) -> DataFrame:
+    """(id, kept columns, n_shingles, key_1, key_2, signature); the keys name the set, signature is null without words."""
 
     def run(batches):
         for batch in batches:
             sizes, keys, made = [], [], []
-            texts, at = batch.column(1).to_pylist(), 0
+            texts, at = batch.column(batch.num_columns - 1).to_pylist(), 0
             while at < len(texts):
                 sets, held = [], 0
                 while at < len(texts) and held < 500_000:
                     sets.append(shingles(texts[at], words))
                     held, at = held + len(sets[-1]), at + 1
+                keys += zip(*(x.tolist() for x in set_keys(sets)))
                 filled = [x for x in sets if len(x)]
-                sums, flat = iter(()), iter(())
-                if filled:
-                    joined = np.concatenate(filled)
-                    starts = np.concatenate([[0], np.cumsum([len(x) for x in filled])[:-1]])
-                    scattered = mixed(joined)
-                    sums = iter(zip(
-                        np.add.reduceat(scattered, starts).view(np.int64).tolist(),
-                        np.bitwise_xor.reduceat(mixed(scattered), starts).view(np.int64).tolist(),
-                    ))
-                    flat = iter(minima(joined, starts))
+                flat = iter(minima(np.concatenate(filled), np.cumsum([len(x) for x in filled]) - [len(x) for x in filled]) if filled else ())
                 for x in sets:
                     sizes.append(len(x))
-                    keys.append(next(sums) if len(x) else (0, 0))
                     made.append(next(flat).tobytes() if len(x) else None)
             first, second = zip(*keys)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, first, second)), pa.array(made, pa.binary())],
-                [id_column, "n_shingles", "key_1", "key_2", "signature"],
+                [*batch.columns[:-1], *(pa.array(x, pa.int64()) for x in (sizes, first, second)), pa.array(made, pa.binary())],
+                [*own, "n_shingles", "key_1", "key_2", "signature"],
             )
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, blob(text)).transform(
-        mapped,
-        run, f"`{id_column}` {kind}, n_shingles bigint, key_1 bigint, key_2 bigint, signature binary"
+    own = [id_column, *keep]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
+    return docs.select(*own, blob(text)).transform(
+        mapped, run, f"{kinds}, n_shingles bigint, key_1 bigint, key_2 bigint, signature binary"
     )
 
 
@@ -195,9 +186,9 @@ def estimated(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
 MARKS = 1 << 23
 
 
-def marked(ends: DataFrame) -> np.ndarray:
+def marked(ids: DataFrame) -> np.ndarray:
     """A fixed 1 MB of bits with the hashed ids set; the driver reads 131,072 words at most."""
-    words = ends.selectExpr(f"pmod(xxhash64(node), {MARKS}L) AS b").groupBy(F.expr("shiftright(b, 6) AS word")).agg(
+    words = ids.selectExpr(f"pmod(xxhash64(id), {MARKS}L) AS b").groupBy(F.expr("shiftright(b, 6) AS word")).agg(
         F.expr("bit_or(shiftleft(1L, cast(b % 64 AS int))) AS bits")
     ).toArrow()
     bits = np.zeros(MARKS // 64, np.int64)
@@ -205,47 +196,64 @@ def marked(ends: DataFrame) -> np.ndarray:
     return np.unpackbits(bits.view(np.uint8), bitorder="little")
 
 
-def over_sets(docs: DataFrame, id_column: str, text: str, words: int, ends: DataFrame, make, schema: str) -> DataFrame:
-    """`make(nodes, sets)` over the documents in `ends`, and over some others whose hashed ids are marked too.
+def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers that name each set of shingles; 0 for an empty one."""
+    filled = np.array([len(x) > 0 for x in sets], bool)
+    keys = np.zeros((2, len(sets)), np.int64)
+    if filled.any():
+        full = [x for x in sets if len(x)]
+        scattered = mixed(np.concatenate(full))
+        starts = np.cumsum([len(x) for x in full]) - [len(x) for x in full]
+        keys[0, filled] = np.add.reduceat(scattered, starts).view(np.int64)
+        keys[1, filled] = np.bitwise_xor.reduceat(mixed(scattered), starts).view(np.int64)
+    return keys[0], keys[1]
 
-    The marks keep most texts out of what follows; where very many documents are near copies they keep out
-    less, and nothing else changes.
-    """
-    marks = np.packbits(marked(ends))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        at = batch.column(2).to_numpy()
-        batch = batch.filter(pa.array((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
-        return make(batch.column(0), [shingles(x, words) for x in batch.column(1).to_pylist()]) if batch.num_rows else None
+def node_of(row_id: Column, repeated: Column) -> Column:
+    """Number of a class by the smallest id it stands under: the id, or a hash with the set if the id has several texts."""
+    return F.when(repeated, F.xxhash64(row_id, "key_1", "key_2")).otherwise(row_id)
 
-    known = docs.select(F.col(id_column).cast("long").alias("node"), blob(text).alias("words")).where("node IS NOT NULL")
-    chosen = known.withColumn("mark", F.pmod(F.xxhash64("node"), F.lit(MARKS)))
-    return chosen.transform(mapped, by_batch(run), schema)
 
+def shingle_sets(docs: DataFrame, id_column: str, text: str, words: int, ids: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(node, shingles) of the documents under `ids`, and of some others whose hashed ids are marked too.
 
-def shingle_sets(docs: DataFrame, id_column: str, text: str, words: int, ends: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents in `ends` and some others."""
+    The marks keep most texts out of what follows; where very many documents are near copies they keep out
+    less, and nothing else changes. Texts are read and hashed once for all that comes after.
+    """
+    # sent once to each executor, not with every plan that holds this function
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(marked(ids)))
 
-    def make(nodes, sets):
-        return pa.RecordBatch.from_arrays([nodes, pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        at, marks = batch.column(2).to_numpy(), sent.value
+        batch = batch.filter(pa.array((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+        if not batch.num_rows:
+            return None
+        sets = [shingles(x, words) for x in batch.column(1).to_pylist()]
+        columns = [batch.column(0), *map(pa.array, set_keys(sets)), pa.array([x.tobytes() for x in sets], pa.binary())]
+        made = pa.RecordBatch.from_arrays(columns, ["id", "key_1", "key_2", "shingles"])
+        return made.filter(pa.array([len(x) > 0 for x in sets]))  # an id may also stand on a text without words
 
-    made = over_sets(docs, id_column, text, words, ends, make, "node bigint, shingles binary")
-    return made.dropDuplicates(["node"])
+    known = docs.select(F.col(id_column).cast("long").alias("id"), blob(text).alias("words")).where("id IS NOT NULL")
+    chosen = known.withColumn("mark", F.pmod(F.xxhash64("id"), F.lit(MARKS)))
+    made = chosen.transform(mapped, by_batch(run), "id bigint, key_1 bigint, key_2 bigint, shingles binary")
+    flagged = made.join(repeated.withColumn("again", F.lit(True)), "id", "left")
+    return flagged.select(node_of(F.col("id"), F.col("again")).alias("node"), "shingles").dropDuplicates(["node"])
 
 
-def rarity(docs: DataFrame, id_column: str, text: str, words: int, ends: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def rarity(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Per bucket of shingles its rank from rare to common and the logarithm of its count.
 
     The driver reads `BUCKETS` counters at most. Shingles that share a bucket have a common count; the order
     is then less good, but any order finds the same links.
     """
 
-    def make(nodes, sets):
-        counts = np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+        counts = np.bincount((flat & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         used = np.flatnonzero(counts)
         return pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bucket", "rows"])
 
-    counted = over_sets(docs, id_column, text, words, ends, make, "bucket bigint, rows bigint")
+    counted = sets.select("shingles").transform(mapped, by_batch(run), "bucket bigint, rows bigint")
     found = counted.groupBy("bucket").agg(F.sum("rows").alias("rows")).toArrow()
     counts = np.ones(BUCKETS, np.int64)
     counts[found.column("bucket").to_numpy()] = found.column("rows").to_numpy()
@@ -253,30 +261,33 @@ def rarity(docs: DataFrame, id_column: str, text: str, words: int, ends: DataFra
     return (rank * 65535 // max(1, rank.max())).astype(np.uint16), np.log(counts).astype(np.float32)
 
 
-def first_shingles(docs: DataFrame, id_column: str, text: str, words: int, percent: int, ends: DataFrame) -> DataFrame:
+def first_shingles(sets: DataFrame, percent: int) -> DataFrame:
     """(shingle, place, node, n, typical): of each set so many of its rarest shingles that linked sets share one.
 
     Sets of n shingles can only be linked if they share percent * n / 100, so one is among the first
     n - ceil(percent * n / 100) + 1 of both. `place` counts them from 0; `typical` is the mean logarithm of the counts of all its shingles.
     """
-    ranks, logs = rarity(docs, id_column, text, words, ends)
+    sent = sets.sparkSession.sparkContext.broadcast(rarity(sets))
 
-    def make(nodes, sets):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ranks, logs = sent.value
+        own_sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
         first, counts, means = [], [], []
-        for own in sets:
+        for own in own_sets:
             buckets = (own & np.uint64(BUCKETS - 1)).astype(np.int64)
             order = np.argsort(ranks[buckets], kind="stable")  # equal ranks stay in the order of their hashes
             first.append(own[order[: len(own) + (-percent * len(own)) // 100 + 1]] if len(own) else own)
             counts.append(len(first[-1]))
             means.append(float(logs[buckets].mean()) if len(own) else 0.0)
-        sizes = np.array([len(own) for own in sets], np.int64)
+        sizes = np.array([len(own) for own in own_sets], np.int64)
         places = np.concatenate([np.arange(count) for count in counts])
         return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate(first).view(np.int64)), pa.array(places), pa.array(np.repeat(nodes.to_numpy(), counts)),
+            pa.array(np.concatenate(first).view(np.int64)), pa.array(places), pa.array(np.repeat(batch.column(0).to_numpy(), counts)),
             pa.array(np.repeat(sizes, counts)), pa.array(np.repeat(np.array(means), counts)),
         ], ["shingle", "place", "node", "n", "typical"])
 
-    return over_sets(docs, id_column, text, words, ends, make, "shingle bigint, place bigint, node bigint, n bigint, typical double")
+    schema = "shingle bigint, place bigint, node bigint, n bigint, typical double"
+    return sets.select("node", "shingles").transform(mapped, by_batch(run), schema)
 
 
 def open_lists(firsts: DataFrame, crowd: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -396,23 +407,27 @@ def rooted(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def groups(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """(id, n_shingles, component_id, kept) per row of `docs`.
+    """(id, columns `keep`, n_shingles, component_id, kept) per row of `docs`.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased. A text with fewer words
     than a shingle has is one shingle; null texts and texts without words have none and link with nothing.
     `component_id` is the smallest id that links reach, `kept` marks it. Ids are whole numbers; rows
-    that repeat an id and a text fall into one component, and rows without an id have a null component and
-    are kept. Other columns are ignored; an empty table gives no rows.
+    that repeat an id and a text fall into one component, an id on several texts is in the component of each of
+    them, row by row, and rows without an id have a null component and are kept. Other columns are ignored; an
+    empty table gives no rows.
     """
-    signed = stored(signatures(docs, id_column, text, words))
+    signed = stored(signatures(docs, id_column, text, words, keep or []))
     keys = ["n_shingles", "key_1", "key_2"]
+    row_id = F.col(id_column).cast("long")
+    classes = signed.where(F.col("signature").isNotNull() & row_id.isNotNull())
+    many = classes.groupBy(row_id.alias("id")).agg(F.min(F.struct(*keys)).alias("low"), F.max(F.struct(*keys)).alias("high"))
+    repeated = stored(many.where("low <> high").select("id"))
     first = Window.partitionBy(*keys).orderBy(id_column)
-    classes = signed.where(F.col("signature").isNotNull() & F.col(id_column).isNotNull())
-    nodes = stored(
-        classes.withColumn("_row", F.row_number().over(first)).where("_row = 1")
-        .select(F.col(id_column).cast("long").alias("node"), *keys, "signature")
-    )
+    picked = classes.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(row_id.alias("id"), *keys, "signature")
+    flagged = picked.join(repeated.withColumn("again", F.lit(True)), "id", "left")
+    nodes = stored(flagged.select(node_of(F.col("id"), F.col("again")).alias("node"), "id", *keys, "signature"))
     share = percent / 100
     floor = share - SLACK * (share * (1 - share) / MINIMA) ** 0.5
     candidates = stored(estimated(forest(nodes), nodes, floor))
@@ -426,8 +441,10 @@ def groups(
         lambda p: p,
     )
 
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd).distinct()
+    sets = stored(shingle_sets(docs, id_column, text, words, ends.join(nodes, "node").select("id"), repeated))
+
     def joined(roots, pairs, picks):
-        sets = shingle_sets(docs, id_column, text, words, pairs.select(F.explode(F.array("a", "b")).alias("node")))
         for pick in picks:
             open_ = pick(rooted(pairs, roots)).select("x", "y", "a", "b")
             found = components(confirmed(open_, sets, percent))
@@ -441,17 +458,18 @@ def groups(
 
     roots = joined(None, pairs, (chained, single, every))
     if not crowd.isEmpty():
-        firsts = first_shingles(docs, id_column, text, words, percent, crowd)
-        firsts = stored(firsts.dropDuplicates(["node", "shingle"]))
+        firsts = stored(first_shingles(sets, percent))
         typical = stored(estimated(with_pivots(*open_lists(firsts, crowd, roots), percent), nodes, floor))
         roots = joined(roots, typical, (every,))
         left = stored(apart(*open_lists(firsts, crowd, roots), nodes, percent, floor))
         roots = joined(roots, left, (single, every))
 
-    component = nodes.join(roots, "node", "left").select(*keys, F.coalesce("root", "node").alias("component_id"))
-    placed = signed.select(id_column, *keys, F.col("signature").isNotNull().alias("_filled")).join(component, keys, "left")
+    placed_nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed_nodes.groupBy("root").agg(F.min("id").alias("component_id"))
+    component = placed_nodes.join(least, "root").select(*keys, "component_id")
+    placed = signed.select(id_column, *(keep or []), *keys, F.col("signature").isNotNull().alias("_filled")).join(component, keys, "left")
     named = F.when(F.col("_filled"), F.col("component_id")).otherwise(F.col(id_column).cast("long"))
     named = F.when(F.col(id_column).isNotNull(), named)
     return placed.select(
-        id_column, "n_shingles", named.alias("component_id"), F.coalesce(named == F.col(id_column), F.lit(True)).alias("kept")
+        id_column, *(keep or []), "n_shingles", named.alias("component_id"), F.coalesce(named == F.col(id_column), F.lit(True)).alias("kept")
     )

@@ -237,8 +237,9 @@ def redact(
 
     All rows and columns stay; null and empty texts stay as they are.
     """
-    found = scanned(docs, text, odd_share, worst_z)
-    spans = with_spans(found, least_steps(found.select("_tokens"), rate))
+    # texts are scanned once: what was found is stored beside them before the rate is applied
+    found = stored(scanned(docs, text, odd_share, worst_z))
+    spans = with_spans(found, least_steps(found, rate))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(t: Column, m: Column) -> Column:

@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Held, Remembered, blob, by_batch, kept, lists, mapped
+from tidecast.llm.common import Held, Remembered, blob, by_batch, kept, lists, mapped, stored
 
 BUCKETS = 1 << 22
 LETTERS = 4  # length of the prefix terms
 FACTORS = 4
+LEAST_ROWS, LEAST_Z, COMMON = 4, 5.0, 0.02  # what a bucket needs to enter the machine
 MARKS = bytes(b for b in range(128) if not chr(b).isalnum() and b not in b" \t\n\r\x0b\x0c")
 
 
@@ -64,7 +65,7 @@ class Machine:
 
 
 def fit(
-    rows: list[np.ndarray], labels: np.ndarray, least_rows: int = 4, least_z: float = 5.0, common: float = 0.02,
+    rows: list[np.ndarray], labels: np.ndarray, least_rows: int = LEAST_ROWS, least_z: float = LEAST_Z, common: float = COMMON,
     epochs: int = 15, batch: int = 256, step: float = 0.5, pull: float = 0.01, seed: int = 7,
 ) -> Machine:
     """Learn from rows of buckets and 0/1 labels; without both labels the machine is its bias alone.
@@ -142,16 +143,37 @@ def held_out(id_column: str) -> Column:
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def telling(rows: DataFrame, label: str) -> DataFrame:
+    """`rows` (doc_id, label, buckets) with only those buckets that `fit` can take in.
+
+    Counted and chosen in Spark, by the conditions of `fit` with a little room for rounding; so the driver
+    reads what the machine keeps, however long the texts are.
+    """
+    seen = rows.agg(F.count("*").alias("n"), F.sum(label).alias("bad")).first()
+    if not 0 < (seen["bad"] or 0) < seen["n"]:
+        return rows.withColumn("buckets", F.array().cast("array<int>"))
+    prior = (seen["bad"] + 0.5) / (seen["n"] + 1.0)
+    each = rows.select("doc_id", label, F.explode("buckets").alias("bucket"))
+    n, bad = F.count("*"), F.sum(label)
+    z = F.abs(F.col("bad") - F.col("n") * prior) / F.sqrt(F.col("n") * (prior * (1 - prior)))
+    strong = (F.col("n") >= LEAST_ROWS) & ((z >= LEAST_Z - 1e-6) | (F.col("n") >= COMMON * seen["n"]))
+    names = each.groupBy("bucket").agg(n.alias("n"), bad.alias("bad")).where(strong).select("bucket")
+    left = each.join(names, "bucket").groupBy("doc_id").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
+    return rows.drop("buckets").join(left, "doc_id", "left").withColumn("buckets", F.coalesce("buckets", F.array().cast("array<int>")))
+
+
 def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 12_000) -> Machine:
     """Fit on at most `most` labelled documents that are not held out, those with the smallest hashed ids.
 
-    The bound is on what the driver gathers and what the join sends to every task: so many ids, then so
-    many rows of distinct buckets. Of several labels of an id the larger counts; null labels do not.
+    The bound is on what the join sends to every task, so many ids, and on the rows that the driver reads, each
+    with those of its buckets that can enter the machine. Of several labels of an id the larger counts;
+    null labels do not.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(label).alias(label))
     chosen = known.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    table = featured(rows, ["doc_id", label], "text").toArrow().sort_by("doc_id").combine_chunks()
+    chosen = telling(stored(featured(rows, ["doc_id", label], "text")), label)
+    table = chosen.select("doc_id", label, "buckets").toArrow().sort_by("doc_id").combine_chunks()
     targets = table.column(label).to_numpy().astype(np.float64)
     found = [x.values.to_numpy() for x in table.column("buckets").combine_chunks()]
     return fit(found, targets) if found else fit([], np.zeros(0))
