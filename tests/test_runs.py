@@ -63,6 +63,9 @@ def test_run_tables_agree(spark, run):
     assert table(spark, run, "preprocessing").count() == 4
     assert table(spark, run, "unavailable").count() == 0
     assert table(spark, run, "training_summary").filter("upper_parameters_locked").count() == 4
+    for row in table(spark, run, "training_summary").collect():
+        assert row["elapsed_seconds"] > 0 and 0 <= row["training_no_rule_samples"] <= row["training_rows"]
+        assert row["test_no_rule_samples"] >= 0
 
 
 def test_models_are_reused_by_identity(spark, run, monkeypatch, tmp_path):

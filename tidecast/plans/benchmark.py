@@ -37,13 +37,20 @@ def preprocessing_table(prepared: DataFrame, config: RunConfig) -> DataFrame:
     )
 
 
-def training_summary(models: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Training record per model with its silent test samples."""
-    silent = predictions.groupBy(*JOB_KEYS).agg(F.count_if("no_rule_fired").alias("test_no_rule_samples"))
-    return models.select(
+def training_summary(models: DataFrame, trained: DataFrame, predictions: DataFrame, elapsed: float | None) -> DataFrame:
+    """Training record per model with its silent training and test samples.
+
+    `elapsed_seconds` is the wall time of the training that made the models: all jobs of a run train together.
+    """
+    def silent(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*JOB_KEYS).agg(F.count_if("no_rule_fired").alias(name))
+
+    fields = models.select(
         *JOB_KEYS, "backend", F.size("feature_columns").alias("num_inputs"), F.col("mfs").alias("num_input_mfs"),
-        F.size("rules").alias("num_rules"), *SUMMARY_FIELDS,
-    ).join(silent, JOB_KEYS, "left")
+        F.size("rules").alias("num_rules"), *SUMMARY_FIELDS, F.lit(elapsed).cast("double").alias("elapsed_seconds"),
+    )
+    known = fields.join(silent(trained, "training_no_rule_samples"), JOB_KEYS, "left")
+    return known.join(silent(predictions, "test_no_rule_samples"), JOB_KEYS, "left")
 
 
 def run_benchmark(
@@ -101,8 +108,9 @@ def store_fuzzy(store, forecasts, config: RunConfig) -> None:
     variants = features.feature_variants(config.lags, config.weather_features)
     models = store(forecasts.models, "models")
     store(models.select(*JOB_KEYS, "identity"), "jobs")
-    test = durable(forecasts.supervised.filter(F.col("split") == features.TEST))
+    test, train = (durable(forecasts.supervised.filter(F.col("split") == s)) for s in (features.TEST, features.TRAIN))
     predictions = store(fuzzy_predictions(test, models, variants), "fuzzy_predictions")
     activations = store(fuzzy_activations(test, models, variants), "activations")
     store(explain.explain(models, activations, JOB_KEYS), "rules")
-    store(training_summary(models, predictions), "training_summary")
+    trained = fuzzy_predictions(train, models, variants)
+    store(training_summary(models, trained, predictions, forecasts.training_seconds), "training_summary")

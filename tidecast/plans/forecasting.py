@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from functools import reduce
 
@@ -33,6 +34,7 @@ class Forecasts:
     supervised: DataFrame
     fit_details: DataFrame | None = None
     models: DataFrame | None = None
+    training_seconds: float | None = None
 
 
 def fuzzy_scored(evaluate, test: DataFrame, models: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
@@ -85,7 +87,9 @@ def run_forecasters(prepared: DataFrame, config: RunConfig, cache: DataFrame | N
             {**keys, "model": F.lit("lstm"), "seed": F.col("seed"), "details": lstm.lstm_details()}))
     if "efs" in config.models and config.efs.backend != "matlab":
         variants = features.feature_variants(config.lags, config.weather_features)
+        began = time.perf_counter()
         result.models = durable(fit_or_reuse(supervised, variants, config.seeds, config.efs, cache))
+        result.training_seconds = time.perf_counter() - began
         test = supervised.filter(F.col("split") == features.TEST)
         scored = fuzzy_predictions(test, result.models, variants)
         forecasts.append(fuzzy_forecast(scored, supervised))
