@@ -76,11 +76,11 @@ def items():
     return [(1, prose(12, 3)), (2, prose(30, 4)), (3, "ing ing THE"), (4, "absent zebra"), (5, ""), (6, None), (7, wide), (8, "É日本"), (9, "y")]
 
 
-@pytest.mark.parametrize("block,item_block,sampled", [(4096, 256, 64), (7, 2, 1)])
-def test_ranked_search_equals_brute_force(spark, docs, block, item_block, sampled):
+@pytest.mark.parametrize("block,item_block,sampled,sent", [(4096, 256, 64, 8 << 20), (7, 2, 1, 8 << 20), (7, 2, 1, 0)])
+def test_ranked_search_equals_brute_force(spark, docs, block, item_block, sampled, sent):
     given = [*items(), items()[0]]
     wanted = spark.createDataFrame(given, "item_id bigint, text string")
-    found = ranked.search(docs, wanted, k=5, block=block, item_block=item_block, sampled=sampled).collect()
+    found = ranked.search(docs, wanted, k=5, block=block, item_block=item_block, sampled=sampled, broadcast_bytes=sent).collect()
     assert {tuple(r) for r in found} == plain_search([r[:2] for r in rows()], items(), 5)
     # rows of the document that stands three times tie with themselves
     assert len(found) == sum(min(5, len(plain_search([r[:2] for r in rows()], [x], 99))) for x in items())

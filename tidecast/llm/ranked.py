@@ -178,11 +178,16 @@ class Block:
         return scores, ids
 
 
-def searched(blocks: DataFrame, groups: DataFrame, n_docs: int, n_terms: int, k: int, salts: int) -> DataFrame:
-    """(item, doc_id, score): per task and item the k best; `groups` are blocks of items with their floors."""
+def searched(blocks: DataFrame, groups: DataFrame, n_docs: int, n_terms: int, k: int, small: bool) -> DataFrame:
+    """(item, doc_id, score): per task and item the k best; `groups` are blocks of items with their floors.
+
+    Items that are known to be `small` are sent to every task; else blocks of documents and copies of the
+    items are dealt by a salt.
+    """
+    salts = 1 if small else tasks(blocks.sparkSession)
     spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     keyed = blocks.withColumn("salt", F.pmod(F.xxhash64("docs"), F.lit(salts)).cast("int"))
-    pairs = keyed.join(spread, "salt").drop("salt")
+    pairs = keyed.join(F.broadcast(spread) if small else spread.hint("merge"), "salt").drop("salt")
     names = pairs.columns
 
     def run(batches):
@@ -226,6 +231,7 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
 def search(
     docs: DataFrame, items: DataFrame, k: int = 20, id_column: str = "doc_id", text: str = "text",
     item_column: str = "item_id", item_text: str = "text", block: int = 4096, item_block: int = 256, sampled: int = 64,
+    broadcast_bytes: int = 8 << 20,
 ) -> DataFrame:
     """(item_id, rank, doc_id, score): each item's k documents with the highest score above 0, equal ones by id.
 
@@ -235,11 +241,11 @@ def search(
     `items` count once, texts of one item id are pooled, an item without terms or matches has no rows.
 
     About `sampled` blocks are searched first: an item's k-th score there is a floor that every later block
-    may skip below. Items travel in blocks of `item_block`; blocks of documents meet each of them by a salted key.
+    may skip below. Items travel in blocks of `item_block`: to every task if all their terms, which are counted
+    first, take at most `broadcast_bytes`, else dealt by a salt, as blocks of documents are.
     """
-    spark = docs.sparkSession
-    salts = tasks(spark)
     terms = stored(item_terms(items, item_column, item_text))
+    small = 40 * terms.count() <= broadcast_bytes
     table = bit_table(terms.select("term").distinct())
     blocks = stored(blocks_of(docs, table, id_column, text, block))
     length = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -272,7 +278,7 @@ def search(
 
     every = max(1, int(total["blocks"]) // sampled)
     some = blocks.where(F.pmod(F.xxhash64("docs", F.lit(5)), F.lit(every)) == 0)
-    first = best_of(searched(some, grouped(None), n_docs, n_terms, k, salts), k)
+    first = best_of(searched(some, grouped(None), n_docs, n_terms, k, small), k)
     floors = stored(first.where(F.col("rank") == k).select("item", F.col("score").alias("floor")))
-    found = best_of(searched(blocks, grouped(floors), n_docs, n_terms, k, salts), k)
+    found = best_of(searched(blocks, grouped(floors), n_docs, n_terms, k, small), k)
     return found.join(numbered.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score")
