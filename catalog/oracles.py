@@ -140,7 +140,8 @@ def fixed_std(value: str) -> str:
     r = f"cast({s} % {n} as double)"
     whole, half = f"({q} - ({s} // {n}) * ({s} + {s} % {n}))", f"cast({10**19} as hugeint)"
     rest = f"cast({whole} // {half} as double) * cast(1e19 as double) + cast({whole} % {half} as double)"
-    return f"sqrt(greatest(({rest} - {r} * {r} / count({value})) / (count({value}) - 1), 0)) / cast(1e9 as double)"
+    spread = f"({rest} - {r} * {r} / count({value})) / (count({value}) - 1)"
+    return f"case when count({value}) > 1 then sqrt(greatest({spread}, 0)) / cast(1e9 as double) end"
 
 
 CTES["macro"] = (["metrics"], f"""

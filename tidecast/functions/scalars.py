@@ -139,5 +139,5 @@ def fixed_std(sums: Column) -> Column:
     # in two parts of at most 64 bits, whose doubles every engine rounds alike
     high, low = F.call_function("div", rest, F.lit(HALF)).cast("double"), (rest % F.lit(HALF)).cast("double")
     spread = (high * F.lit(1e19) + low - r.cast("double") * r.cast("double") / n) / (n - 1)
-    exact = F.sqrt(F.greatest(spread, F.lit(0.0))) / UNITS
+    exact = F.when(sums["n"] > 1, F.sqrt(F.greatest(spread, F.lit(0.0))) / UNITS)
     return F.when(sums["wide"] | sums["q"].isNull() | (sums["q"] >= F.lit(FULL)), sums["std"]).otherwise(exact)
