@@ -238,3 +238,40 @@ def test_chunks_of_random_texts_have_the_ids_of_the_whole():
         texts = ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(20)]
         for text, ids in zip(texts, own.encode(pa.array(texts))):
             assert np.frombuffer(ids, np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_token_files_stay_small(spark, docs):
+    """A task's documents go to several files, whose order and contents are those of one."""
+    with_many = tokenfile.write(docs, VOCABULARY, block=50, blocks=2)
+    sizes = tokenfile.directory(spark, with_many).select("path").collect()
+    assert any("-c001" in row.path for row in sizes)
+    whole = tokenfile.write(docs, VOCABULARY, blocks=1 << 20)
+    key = lambda r: (r.start, r.n_tokens)
+    for with_ids in (False, True):
+        found = sorted(tokenfile.read(spark, with_many, with_ids).collect(), key=key)
+        assert found == sorted(tokenfile.read(spark, whole, with_ids).collect(), key=key)
+
+
+def test_words_met_again_stay_in_memory():
+    """Rare words in between don't push out those of every batch."""
+    from tidecast.llm.common import BatchMemory
+
+    made = []
+    memory = BatchMemory(lambda new, known: (made.extend(new), known.update((w, w * 2) for w in new)), 100)
+    usual = [f"u{i}" for i in range(40)]
+    for step in range(20):
+        words = [f"r{step}-{i}" for i in range(50)] + (usual if step % 4 < 2 else [])
+        assert memory.of(words) == [w * 2 for w in words]
+        assert len(memory.often) + len(memory.fresh) <= 200
+    assert sum(w in usual for w in made) == len(usual)
+
+
+def test_marks_share_the_ids_of_their_word():
+    """A word with marks behind it is encoded once with and without them."""
+    with open(VOCABULARY, "rb") as file:
+        own = tokenfile.Tokens(file.read())
+    texts = ["x oddword, oddword. oddword", "été! x été; ×, ÷. 3.14, a).", ", .", ""]
+    for text, ids in zip(texts, own.encode(pa.array(texts))):
+        assert np.frombuffer(ids, np.uint32).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    kept = {*own.chunks.memory.fresh, *own.chunks.memory.often}
+    assert "oddword" in kept and not {"oddword,", "oddword."} & kept

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -175,63 +176,127 @@ class Remembered(dict):
 class BatchMemory:
     """Values of words, made for a whole batch of texts at a time.
 
-    `make` adds the values of new words to the table that it is given. Over `most` values, only those of the
-    batch under way stay, so the table holds at most `most` values and those of one batch.
+    `make` adds the values of new words to the table that it is given. Words of one batch are fresh until a
+    later batch holds them again. Over `most` values the fresh ones go; if those met again are most of them, only
+    those of the batch under way stay. So there are at most `most` values and those of one batch.
     """
 
     def __init__(self, make: Callable[[list, dict], None], most: int):
-        self.make, self.most, self.known = make, most, {}
+        self.make, self.most, self.often, self.fresh = make, most, {}, {}
 
     def of(self, words: list) -> list:
-        """The value of each of these words."""
-        known = self.known
-        new = [word for word in words if word not in known]
+        """The value of each of these words, which are all different."""
+        often, fresh, new = self.often, self.fresh, []
+        values = list(map(often.get, words, itertools.repeat(self)))
+        for i in [i for i, value in enumerate(values) if value is self]:
+            word = words[i]
+            value = fresh.pop(word, self)
+            if value is self:
+                new.append(i)
+            else:
+                often[word] = values[i] = value
         if new:
-            self.make(new, known)
-            if len(known) > self.most:
-                self.known = known = {word: known[word] for word in words}
-        return list(map(known.__getitem__, words))
+            self.make([words[i] for i in new], fresh)
+            for i in new:
+                values[i] = fresh[words[i]]
+        if len(often) + len(fresh) > self.most:
+            self.fresh = {}
+            if len(often) > self.most * 4 // 5:
+                self.often = {word: often[word] for word in words if word in often}
+        return values
 
 
 FIRST = "\ue000"  # stands before the first word of a text
 
 
+def runs(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of n[i] values from start[i], one after the other."""
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((start - (ends - n)).astype(kind), n)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
+
+
 class Chunked:
     """Encodes texts by their words between blanks: each word that a batch holds is encoded once.
 
     `make(words, table)` puts the ids of words into a table, as bytes of 32-bit numbers, or None where a word
     can't be told apart from its neighbours; texts with such a word, or that `odd` finds, go through `whole`.
     A line feed is replaced by `feed` first. With `marked`, the first word of a text begins with FIRST.
+    `marks` behind a digit or a letter of ASCII or Latin-1 are encoded apart from their word, by `whole`; `same`
+    gives words in a form that has the same ids.
     """
 
-    def __init__(self, make, whole: Callable[[str], bytes], most: int, feed: str = "\n", odd: str | None = None, marked: bool = True):
+    PLAIN = np.array([chr(b).isalnum() if b < 128 else False for b in range(256)])
+
+    def __init__(
+        self, make, whole: Callable[[str], bytes], most: int, feed: str = "\n", odd: str | None = None, marked: bool = True,
+        marks: str = "", same: Callable[[pa.Array], pa.Array] | None = None,
+    ):
         self.memory, self.whole, self.feed, self.odd, self.marked = BatchMemory(make, most), whole, feed, odd, marked
+        self.marks, self.same, self.tails = marks, same, Remembered(whole, 1000)
 
-    def encode(self, texts: pa.Array, most: int = 2 << 20) -> list:
+    def encode(self, texts: pa.Array, most: int = 4 << 20) -> list:
         """Ids of each text as bytes of 32-bit numbers; no text is null. About `most` bytes go at a time."""
-        made, low = [], 0
+        return list(self.encoded(texts, most))
+
+    def encoded(self, texts: pa.Array, most: int = 4 << 20) -> Iterator[bytes]:
+        """The same, of which only those of the bytes under way are held."""
+        low = 0
         ends = np.cumsum(pc.binary_length(texts).to_numpy())
         while low < len(texts):
             begin = ends[low - 1] if low else 0
             high = max(low + 1, int(np.searchsorted(ends, begin + most, "right")))
-            made += self._encode(texts.slice(low, high - low))
+            yield from self._encode(texts.slice(low, high - low))
             low = high
-        return made
+
+    def _parted(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Words without the marks at their ends, and these marks."""
+        raw, bodies = np.frombuffer(words.buffers()[2] or b"", np.uint8), pc.utf8_rtrim(words, self.marks)
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][1 : len(words) + 1].astype(np.int64)
+        size, kept = pc.binary_length(words).to_numpy(), pc.binary_length(bodies).to_numpy()
+        at = np.flatnonzero((kept < size) & (kept > 0))
+        last = ends[at] - size[at] + kept[at] - 1
+        # a letter of Latin-1 is the byte C3 and another; two of these are signs
+        before = np.where(kept[at] > 1, raw[last - 1], 0)
+        letter = (before == 0xC3) & (raw[last] != 0x97) & (raw[last] != 0xB7)
+        cut = np.zeros(len(words), bool)
+        cut[at[self.PLAIN[raw[last]] | letter]] = True
+        n = np.where(cut, size - kept, 0).astype(np.int64)
+        places = np.append(0, np.cumsum(n)).astype(np.int32)
+        tails = pa.StringArray.from_buffers(len(words), pa.py_buffer(places), pa.py_buffer(runs(raw, ends - n, n)))
+        return pc.if_else(pa.array(cut), bodies, words), tails
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different words, one after the other; how many each has; which can't be told apart."""
+        bodies, tails = self._parted(words) if self.marks else (words, None)
+        named = (self.same(bodies) if self.same else bodies).dictionary_encode()
+        values = self.memory.of(named.dictionary.to_numpy(zero_copy_only=False).tolist())
+        tied = np.fromiter((v is None for v in values), bool, len(values))
+        if tied.any():
+            values = [v or b"" for v in values]
+        index = named.indices.to_numpy()
+        order, tied = index[:, None], tied[index]
+        if tails is not None:
+            ends = tails.dictionary_encode()
+            order = np.column_stack([index, ends.indices.to_numpy() + len(values)])
+            values += map(self.tails.__getitem__, ends.dictionary.to_pylist())
+        size = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+        flat, start, n = np.frombuffer(b"".join(values), np.uint32), np.cumsum(size) - size, size[order]
+        return runs(flat, start[order.ravel()], n.ravel()), n.sum(axis=1), tied
 
     def _encode(self, texts: pa.Array) -> list:
         parts = texts if self.feed == "\n" else pc.replace_substring(texts, "\n", self.feed)
         parts = pc.binary_join_element_wise(FIRST, parts, "") if self.marked else parts
         words = pc.split_pattern(parts, " ")
         edges, named = words.offsets.to_numpy(), words.values.dictionary_encode()
-        index, values = named.indices.to_numpy(), self.memory.of(named.dictionary.to_pylist())
-        size = np.fromiter((0 if v is None else len(v) >> 2 for v in values), np.int64, len(values))
-        flat = np.frombuffer(b"".join(v for v in values if v is not None), np.uint32)
-        n, start = size[index], np.cumsum(size) - size
-        ends = np.cumsum(n)
-        raw = flat[np.repeat(start[index] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        places = np.append(0, ends * 4)[edges].tolist()
+        index, (flat, size, tied) = named.indices.to_numpy(), self._ids(named.dictionary)
+        n = size[index]
+        raw = runs(flat, (np.cumsum(size) - size)[index], n).tobytes()
+        places = np.append(0, np.cumsum(n) * 4)[edges].tolist()
         made = [raw[a:b] for a, b in zip(places, places[1:])]
-        tied = np.fromiter((v is None for v in values), bool, len(values))
         alone = np.diff(np.append(0, np.cumsum(tied[index]))[edges]) > 0
         if self.odd:
             alone |= pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import FIRST, Chunked, Held, Remembered, kept, mapped, shared_folder, tasks
+from tidecast.llm.common import FIRST, Chunked, Held, Remembered, kept, mapped, shared_folder, stored, tasks
 
 MAGIC = int.from_bytes(b"tokbits1", "little")
 HEADER = 64
@@ -160,7 +160,7 @@ class Tokens:
     RUNS = re.compile(" ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")  # pieces of printable ASCII without apostrophes
     ODD = f"<[|]|[\x1c-\x1f{FIRST}]"  # added tokens, signs that not every library takes for white space, FIRST itself
 
-    def __init__(self, raw: bytes, most: int = 200_000):
+    def __init__(self, raw: bytes, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -172,14 +172,14 @@ class Tokens:
         hidden = (b for b in range(256) if b not in seen)
         self.letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.ends = Remembered(self.whole, 1000)
-        self.chunks = Chunked(self._chunks, self.spaced, most, " \n", self.ODD)
+        self.chunks = Chunked(self._chunks, self.spaced, most, " \n", self.ODD, marks=self.MARKS)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        return self.chunks.encode(texts)
+        return self.chunks.encoded(texts)
 
     def _chunks(self, new: list[str], known: dict) -> None:
         """Ids of words behind a blank, a line feed or nothing."""
@@ -233,14 +233,15 @@ def tokens_of(held: Held) -> Tokens:
 
 def write(
     docs: DataFrame, vocabulary_path: str, path: str | None = None, end: int = 2, id_column: str = "doc_id", text: str = "text",
-    block: int = 1 << 17, part_bytes: int = 64 << 20,
+    block: int = 1 << 17, part_bytes: int = 64 << 20, blocks: int = 8,
 ) -> str:
     """Encode whole texts, close each with the id `end`, and write token files in ascending id order; returns their folder.
 
-    Files are named by their place in that order, one for each task of about `part_bytes` of text. Ids of
-    documents are integers; a null id is kept as the smallest 64-bit number, so it comes first. A null text is
-    empty and holds `end` alone; repeated rows are documents each, rows of one id stand by hash and length
-    of their text; an empty table makes a folder without documents.
+    Files are named by their place in that order. A task has about `part_bytes` of text, and a file at most `blocks`
+    blocks, which keeps it small: Spark holds a file several times over while it is read. Ids of documents are
+    integers; a null id is kept as the smallest 64-bit number, so it comes first. A null text is empty and holds
+    `end` alone; repeated rows are documents each, rows of one id stand by hash and length of their text; an
+    empty table makes a folder without documents.
     """
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/tokens/{uuid.uuid4().hex}"
@@ -255,6 +256,9 @@ def write(
                 made = writer.add(doc, np.frombuffer(ids + closing, np.uint32))
                 if made:
                     yield one(made)
+                if len(writer.directory) == blocks:
+                    yield one(writer.close())
+                    writer = Writer(bits, block)
         last = writer.block()
         if last:
             yield one(last)
@@ -270,7 +274,8 @@ def write(
     dealt = rows.repartitionByRange(parts, "id", "size", "tie", F.monotonically_increasing_id())
     ordered = dealt.sortWithinPartitions("id", "size", "tie").select("id", "text")
     made = ordered.transform(mapped, run, "bytes binary")
-    made.select(F.col("bytes").cast("string").alias("value")).write.text(path)
+    value = F.col("bytes").cast("string").alias("value")
+    made.select(value).write.option("maxRecordsPerFile", blocks + 1).text(path)  # with the directory
     return path
 
 
@@ -289,8 +294,13 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
             n = [pa.array([getattr(x, name) for x in own], pa.int64()) for name in ("n_docs", "n_ids")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *n], ["path", "n_docs", "n_ids"])
 
-    rows = files(spark, path).transform(mapped, run, "path string, n_docs bigint, n_ids bigint")
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one small row per file
+    return _placed(files(spark, path).transform(mapped, run, "path string, n_docs bigint, n_ids bigint"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Documents and ids of all files before each one, by the numbers of task and file in their names."""
+    numbers = [F.regexp_extract("path", f"{sign}(\\d+)[^/]*$", 1).cast("int") for sign in ("part-", "-c")]
+    before = Window.orderBy(*numbers).rowsBetween(Window.unboundedPreceding, -1)  # one small row per file
     return rows.withColumns({
         f"{x}_before": F.coalesce(F.sum(f"n_{x}").over(before), F.lit(0).cast("bigint")) for x in ("docs", "ids")
     })
@@ -299,7 +309,8 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document; `start` counts the ids of all files before it.
 
-    `ids` are little-endian unsigned 32-bit numbers, their crc32 is unsigned.
+    `ids` are little-endian unsigned 32-bit numbers, their crc32 is unsigned. Without them the rows are small: they
+    are stored, and the files are opened once.
     """
     names = ["path", "doc_id", "at", "n_tokens", "ids_crc32", *["ids"] * with_ids]
 
@@ -317,5 +328,10 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
 
     kinds = "path string, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     rows = files(spark, path).transform(mapped, run, kinds)
-    placed = rows.join(directory(spark, path).select("path", "ids_before"), "path")
+    if with_ids:
+        totals = directory(spark, path)
+    else:
+        rows = stored(rows)
+        totals = _placed(rows.groupBy("path").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids")))
+    placed = rows.join(totals.select("path", "ids_before"), "path")
     return placed.select("doc_id", (F.col("ids_before") + F.col("at")).alias("start"), *names[3:])
