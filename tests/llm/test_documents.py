@@ -117,6 +117,16 @@ def test_packed_ids_of_random_texts_are_those_of_the_library():
             assert np.frombuffer(ids, np.uint32).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids + [2], repr(text)
 
 
+def test_packed_words_share_ids_in_either_case_and_with_marks():
+    with open(VOCABULARY, "rb") as file:
+        own = packing.Tokens(file.read())
+    texts = ["Oddword, ODDWORD. oddword", "Été! été; ×, ÷. İ, don't. a).", "<|ENDOFTEXT|> x. 3.14,", ", .", ""]
+    for text, ids in zip(texts, own.encode(pa.array(texts), 2)):
+        assert np.frombuffer(ids, np.uint32).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids + [2], repr(text)
+    kept = {*own.chunks.memory.fresh, *own.chunks.memory.often}
+    assert "oddword" in kept and not {"Oddword,", "ODDWORD.", "Oddword", "ODDWORD"} & kept
+
+
 def test_packing_spreads_rows_that_are_all_alike(spark):
     """One row repeated 4,000 times among 50 others: a bounded sample and no task above twice the mean."""
     many = spark.range(4050).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("doc_id"),

@@ -13,6 +13,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ class Tokens:
 
     MARKS = ".,;:!?#$%&*()=+-/\"@"
 
-    def __init__(self, raw: bytes, most: int = 200_000):
+    def __init__(self, raw: bytes, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,11 +47,15 @@ class Tokens:
         hidden = (b for b in range(256) if b not in seen)
         self.letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.marks = Remembered(self._whole, 1000)
-        self.chunks = Chunked(self._chunks, self._whole, most, " ", marked=False)
+        self.chunks = Chunked(self._chunks, self._whole, most, " ", marked=False, marks=self.MARKS, same=self._same)
 
     def _whole(self, chunk: str) -> bytes:
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
+    @staticmethod
+    def _same(words: pa.Array) -> pa.Array:
+        return pc.if_else(pc.ascii_is_alpha(words), pc.ascii_lower(words), words)
+
     def _chunks(self, new: list[str], known: dict) -> None:
         merge, letters, marks = self.merge, self.letters, self.marks
         for chunk in new:
