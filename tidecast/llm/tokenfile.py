@@ -160,7 +160,7 @@ class Tokens:
     RUNS = re.compile(" ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")  # pieces of printable ASCII without apostrophes
     ODD = f"<[|]|[\x1c-\x1f{FIRST}]"  # added tokens, signs that not every library takes for white space, FIRST itself
 
-    def __init__(self, raw: bytes, most: int = 250_000):
+    def __init__(self, raw: bytes, most: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -179,7 +179,7 @@ class Tokens:
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        return self.chunks.encoded(texts)
+        return self.chunks.encoded(texts, 2 << 20)
 
     def _chunks(self, new: list[str], known: dict) -> None:
         """Ids of words behind a blank, a line feed or nothing."""
