@@ -275,3 +275,26 @@ def test_marks_share_the_ids_of_their_word():
         assert np.frombuffer(ids, np.uint32).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
     kept = {*own.chunks.memory.fresh, *own.chunks.memory.often}
     assert "oddword" in kept and not {"oddword,", "oddword."} & kept
+
+
+def test_token_memory_outlives_a_task():
+    """Tasks of one worker share what it remembers, and what the driver remembers does not travel with them."""
+    from pyspark import cloudpickle
+    from tidecast.llm.common import Held
+
+    held = Held.read(VOCABULARY)
+    tokenfile.tokens_of(held)
+    sent = cloudpickle.dumps(tokenfile.tokens_of)
+    first, second = (cloudpickle.loads(sent)(held) for _ in range(2))
+    assert first is second
+    assert len(sent) < len(held.raw) // 4
+
+
+def test_another_operator_frees_the_token_memory():
+    """A worker holds the memory of one operator at a time."""
+    from tidecast.llm.common import Held, kept
+
+    held = Held.read(VOCABULARY)
+    first = tokenfile.tokens_of(held)
+    kept("another", held.digest, dict)
+    assert tokenfile.tokens_of(held) is not first

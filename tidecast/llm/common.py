@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -115,14 +117,33 @@ _kept: dict[str, tuple] = {}
 
 
 def kept(kind: str, key, make: Callable):
-    """One value per worker: what a worker made for the last operator goes when the next one asks."""
+    """One value per task: what was made for the last operator goes when the next one asks.
+
+    The package travels by value, so each task has a copy of this module's variables; see `lasting`.
+    """
     now = _kept.get(kind)
     if now is None or now[0] != key:
         _kept.clear()
+        _process().clear()
         now = _kept[kind] = (key, make())
     return now[1]
 
 
+def _process() -> dict:
+    """A table of the process itself, which all copies of this module share and which does not travel."""
+    return sys.modules.setdefault("tidecast_lasting", types.ModuleType("tidecast_lasting")).__dict__.setdefault("values", {})
+
+
+def lasting(kind: str, key, make: Callable):
+    """One value per worker, over all of its tasks: made once, and no old ones wait for the garbage collector."""
+    values = _process()
+    now = values.get(kind)
+    if now is None or now[0] != key:
+        values.clear()
+        now = values[kind] = (key, make())
+    return now[1]
+
+
 def word_hashes() -> WordHashes:
     return kept("words", None, WordHashes)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import FIRST, Chunked, Held, Remembered, kept, mapped, shared_folder, stored, tasks
+from tidecast.llm.common import FIRST, Chunked, Held, Remembered, lasting, mapped, shared_folder, stored, tasks
 
 MAGIC = int.from_bytes(b"tokbits1", "little")
 HEADER = 64
@@ -228,7 +228,7 @@ class Tokens:
 
 
 def tokens_of(held: Held) -> Tokens:
-    return kept("token files", held, lambda: Tokens(held.raw))
+    return lasting("token files", held, lambda: Tokens(held.raw))
 
 
 def write(
