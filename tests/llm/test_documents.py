@@ -275,6 +275,19 @@ def test_repeated_passages(docs, none, crowd):
     assert substrings.remove(none).count() == 0
 
 
+def test_word_memory_outlives_a_task():
+    """Tasks of one worker share the hashes of words, though the package travels by value."""
+    from pyspark import cloudpickle
+    from tidecast.llm import common
+
+    sent = cloudpickle.dumps(substrings.contexts_of), cloudpickle.dumps(common.word_hashes)
+    first, second = (cloudpickle.loads(sent[1])() for _ in range(2))
+    assert first is second
+    text = b"a b c d e f " * 30
+    found = [cloudpickle.loads(sent[0])(first.of(text.split()), 50) for _ in range(2)]
+    assert all((a == b).all() for a, b in zip(*found))
+
+
 def test_index_finds_the_smallest_owner():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 4, 260).astype(np.uint64)

@@ -145,7 +145,7 @@ def lasting(kind: str, key, make: Callable):
 
 
 def word_hashes() -> WordHashes:
-    return kept("words", None, WordHashes)
+    return lasting("words", None, WordHashes)
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
