@@ -244,6 +244,20 @@ def test_components_of_paths_and_stars(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_rounds_without_links_store_nothing(spark, monkeypatch):
+    """Texts that share nothing: no table of links, stars or components for any of the six rounds."""
+    from tidecast.llm import components as rounds
+
+    made = []
+    for module in (neardup, rounds):
+        monkeypatch.setattr(module, "stored", lambda df, f=module.stored: made.append(df.columns) or f(df))
+    docs = spark.createDataFrame([(i, " ".join(words(40, i))) for i in range(60)], "doc_id bigint, text string")
+    found = neardup.groups(docs).collect()
+    assert len(found) == 60 and all(r.kept and r.component_id == r.doc_id for r in found)
+    assert ["node", "root"] not in made
+    assert sum(columns == ["u", "v"] for columns in made) <= 3  # the first round's candidates, which no set confirms
+
+
 def cut(found, window):
     """Plain version over (id, text): a dictionary of all windows."""
     first, out = {}, {}
@@ -395,6 +409,20 @@ def test_toxicity_learns_pairs(spark):
     assert all(0 <= r.score < 0.5 for r in toxicity.score(docs, alone).collect())
 
 
+def test_fit_holds_little_more_than_its_rows():
+    """The driver learns from rows of buckets: less than 4.5 times their bytes are made beside them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows_ = [np.unique(rng.integers(0, 3000, 300)).astype(np.int32) for _ in range(4000)]
+    labels = (rng.random(4000) < 0.3).astype(np.float64)
+    tracemalloc.start()
+    toxicity.fit(rows_, labels, common=0.001, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4.5 * sum(x.nbytes for x in rows_)
+
+
 def test_toxicity_of_the_tables(spark):
     from tidecast.llm.queries import op5_factorization_machine
 

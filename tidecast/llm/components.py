@@ -48,17 +48,28 @@ def rooted_at(stars: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, task_edges: int = 250_000, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges; root is the smallest node that can be reached.
+    """(node, root) for every node of the edges; root is the smallest node that can be reached. Empty edges give no rows."""
+    x, y = edges.columns
+    found = some_components(edges, task_edges, most_rounds)
+    if found is None:
+        return edges.select(F.col(x).cast("long").alias("node"), F.col(y).cast("long").alias("root")).limit(0)
+    return found
+
+
+def some_components(edges: DataFrame, task_edges: int = 250_000, most_rounds: int = 60) -> DataFrame | None:
+    """The same, and None for empty edges, so that nothing more is planned for them.
 
     Tasks of at most `task_edges` edges first join what they see; if one task saw all, that is the answer.
     What reaches across tasks then alternates two steps until nothing changes: every node links its larger
     neighbours to the smallest node it sees, and every node links its smaller neighbours to the smallest of
-    them. Both only take a minimum per node and join it back, so a hub's edges are never gathered. Empty
-    edges give no rows.
+    them. Both only take a minimum per node and join it back, so a hub's edges are never gathered.
     """
     x, y = edges.columns
     plain = stored(edges.select(F.col(x).cast("long").alias("u"), F.col(y).cast("long").alias("v")))
-    parts = 1 + plain.count() // task_edges
+    count = plain.count()
+    if not count:
+        return None
+    parts = 1 + count // task_edges
     stars, before = stored(locally_joined(plain.repartition(parts)).distinct()), None
     if parts == 1:
         return rooted_at(stars)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.llm.common import blob, by_batch, grams, mapped, mixed, stored, tasks, word_hashes
-from tidecast.llm.components import components
+from tidecast.llm.components import some_components
 
 TREES, MINIMA, DEPTH, LEAST, CROWD, NEAR = 16, 96, 16, 2, 6, 2
 BUCKETS, BLOCK = 1 << 17, 512  # counters of shingles by hash; classes of a list that are compared together
@@ -445,18 +445,22 @@ def groups(
     sets = stored(shingle_sets(docs, id_column, text, words, ends.join(nodes, "node").select("id"), repeated))
 
     def joined(roots, pairs, picks):
+        if pairs.isEmpty():  # a round without links leaves the components as they are, and costs no plans
+            return roots
         for pick in picks:
             open_ = pick(rooted(pairs, roots)).select("x", "y", "a", "b")
-            found = components(confirmed(open_, sets, percent))
+            found = some_components(confirmed(open_, sets, percent))
             if roots is None:
                 roots = found
-            else:
+            elif found is not None:
                 moved = found.select(F.col("node").alias("root"), F.col("root").alias("to"))
                 kept = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
                 roots = stored(kept.union(found.join(roots, "node", "left_anti").select("node", "root")))
         return roots
 
     roots = joined(None, pairs, (chained, single, every))
+    if roots is None:
+        roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     if not crowd.isEmpty():
         firsts = stored(first_shingles(sets, percent))
         typical = stored(estimated(with_pivots(*open_lists(firsts, crowd, roots), percent), nodes, floor))

@@ -78,9 +78,10 @@ def fit(
     empty = Machine(float(np.log(prior / (1 - prior))), np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
     if not 0 < total < len(labels):
         return empty
-    flat = np.concatenate(rows)
-    names, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    bad = np.bincount(at, np.repeat(labels, [len(r) for r in rows]), len(names))
+    names, counts = np.unique(np.concatenate(rows), return_counts=True)
+    own, times = np.unique(np.concatenate([row for row, y in zip(rows, labels) if y]), return_counts=True)
+    bad = np.zeros(len(names))
+    bad[np.searchsorted(names, own)] = times
     z = np.abs(bad - counts * prior) / np.sqrt(counts * prior * (1 - prior))
     names = names[(counts >= least_rows) & ((z >= least_z) | (counts >= common * len(rows)))]
     if not len(names):
@@ -89,7 +90,7 @@ def fit(
     for row in rows:
         at = np.searchsorted(names, row)
         row, at = row[at < len(names)], at[at < len(names)]
-        places.append(at[names[at] == row])
+        places.append(at[names[at] == row].astype(np.int32))
     rng = np.random.default_rng(seed)
     n = len(names)
     weights, factors = np.zeros(n), rng.normal(0, 0.02, (n, FACTORS))
