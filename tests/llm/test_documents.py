@@ -302,6 +302,43 @@ def test_word_memory_outlives_a_task():
     assert all((a == b).all() for a, b in zip(*found))
 
 
+@pytest.mark.parametrize("stage", ["terms", "places", "tokens"])
+def test_memories_of_the_pipeline_outlive_a_task(stage):
+    """Tasks of one worker share what a stage remembers, and what the driver remembers does not travel with them."""
+    import pickle
+
+    from pyspark import cloudpickle
+    from tidecast.llm.common import Held
+
+    machine = toxicity.Machine(0.0, np.arange(2, dtype=np.int32), np.ones(2), np.ones((2, toxicity.FACTORS)))
+    held = Held.read(VOCABULARY) if stage == "tokens" else Held(pickle.dumps(machine))
+    function, given = {
+        "terms": (toxicity.known_terms, ()), "places": (toxicity.places_of, (held,)), "tokens": (packing.tokens_of, (held,)),
+    }[stage]
+    function(*given)
+    sent = cloudpickle.dumps(function)
+    first, second = (cloudpickle.loads(sent)(*given) for _ in range(2))
+    assert first is second
+    assert len(sent) < 500_000
+
+
+def test_a_memory_goes_before_the_next_one_is_made():
+    """Also one that holds itself in a cycle, without waiting for the garbage collector."""
+    import gc
+    import weakref
+
+    from tidecast.llm.common import Held
+
+    gc.collect()
+    gc.disable()
+    try:
+        first = weakref.ref(packing.tokens_of(Held.read(VOCABULARY)))
+        toxicity.known_terms()
+        assert first() is None
+    finally:
+        gc.enable()
+
+
 def test_index_finds_the_smallest_owner():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 4, 260).astype(np.uint64)

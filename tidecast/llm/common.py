@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import itertools
 import re
@@ -135,11 +136,17 @@ def _process() -> dict:
 
 
 def lasting(kind: str, key, make: Callable):
-    """One value per worker, over all of its tasks: made once, and no old ones wait for the garbage collector."""
+    """One value per worker, over all of its tasks: made once, and no old ones wait for the garbage collector.
+
+    A value may hold itself in a cycle, and values of ended tasks do, so they are collected before another is made.
+    """
     values = _process()
     now = values.get(kind)
     if now is None or now[0] != key:
+        now = None
         values.clear()
+        _kept.clear()
+        gc.collect()
         now = values[kind] = (key, make())
     return now[1]
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Chunked, Held, Remembered, kept, mapped, mixed, tasks
+from tidecast.llm.common import Chunked, Held, Remembered, lasting, mapped, mixed, tasks
 
 DIMENSIONS, BITS = 3, 10
 SCALE = 1 << 24  # directions are whole multiples of its inverse
@@ -82,7 +82,7 @@ class Tokens:
 
 
 def tokens_of(held: Held) -> Tokens:
-    return kept("tokens", held, lambda: Tokens(held.raw))
+    return lasting("tokens", held, lambda: Tokens(held.raw))
 
 
 @functools.lru_cache(maxsize=2)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Held, Remembered, blob, by_batch, kept, lists, mapped, stored
+from tidecast.llm.common import Held, Remembered, blob, by_batch, lasting, lists, mapped, stored
 
 BUCKETS = 1 << 22
 LETTERS = 4  # length of the prefix terms
@@ -38,7 +38,7 @@ def terms(word: bytes) -> tuple[int, ...]:
 
 
 def known_terms() -> Remembered:
-    return kept("terms", None, lambda: Remembered(terms, 60_000))
+    return lasting("terms", None, lambda: Remembered(terms, 60_000))
 
 
 def buckets(text: bytes) -> np.ndarray:
@@ -181,7 +181,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int
 
 
 def places_of(held: Held) -> tuple[Machine, Remembered]:
-    return kept("places", held, lambda: loaded(held))
+    return lasting("places", held, lambda: loaded(held))
 
 
 def loaded(held: Held) -> tuple[Machine, Remembered]:
