@@ -138,7 +138,8 @@ def _process() -> dict:
 def lasting(kind: str, key, make: Callable):
     """One value per worker, over all of its tasks: made once, and no old ones wait for the garbage collector.
 
-    A value may hold itself in a cycle, and values of ended tasks do, so they are collected before another is made.
+    A value may hold itself in a cycle, so old ones are collected before another is made, and Arrow gives back
+    the memory that it keeps for later batches.
     """
     values = _process()
     now = values.get(kind)
@@ -147,6 +148,7 @@ def lasting(kind: str, key, make: Callable):
         values.clear()
         _kept.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         now = values[kind] = (key, make())
     return now[1]
 
